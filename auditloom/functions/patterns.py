@@ -7,10 +7,8 @@ takes, and put a pattern into a form in which ``rlike`` gives the same answer.
 """
 
 import re
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Regex flags: unix line ends only, and Unicode character classes.
@@ -28,28 +26,27 @@ def guard_parts(pattern: Column) -> tuple[Column, Column]:
     return trigger, F.when(guarded, F.regexp_extract(pattern, _GUARDED, 2))
 
 
-def strict_dialect_problem(pattern: Column) -> Column:
-    """Why the strict dialect rejects a pattern, or null if it takes it."""
+def with_problem(rules: DataFrame, column: str, problem: str) -> DataFrame:
+    """Add a column saying why the strict dialect rejects a pattern, null if it takes it."""
+    pattern = F.col(column)
     # Escaped backslashes, then other escaped signs and classes, are out of the way
     # before a construct is searched.
-    no_double = F.replace(pattern, F.lit("\\\\"), F.lit(""))
-    bare = F.regexp_replace(no_double, r"\\[^A-Za-z0-9]", "")
-    outside = F.regexp_replace(bare, r"\[\^?\]?[^\]]*\]", "c")
-    return (
-        F.when(outside.rlike(r"\(\?<?[=!]"), F.lit("look-around"))
-        .when(outside.rlike(r"\(\?>"), F.lit("atomic group"))
-        .when(no_double.rlike(r"\\[0-9k]"), F.lit("back-reference"))
-        .when(no_double.rlike(r"\\[CEGHIJKLMNOQRTVXYZceghijlmoqy]"), F.lit("unknown escape"))
-        .when(_java_compiles(spark_pattern(pattern)), F.lit(None).cast("string"))
-        .otherwise(F.lit("malformed"))
+    staged = (
+        rules.withColumn("_escapes", F.replace(pattern, F.lit("\\\\"), F.lit("")))
+        .withColumn("_plain", F.regexp_replace("_escapes", r"\\[^A-Za-z0-9]|\[\^?\]?[^\]]*\]", "c"))
+        .withColumn("_java", spark_pattern(pattern))
     )
-
-
-def _java_compiles(pattern: Column) -> Column:
+    plain, escapes = F.col("_plain"), F.col("_escapes")
     # rlike raises an error on a malformed pattern; try_reflect gives null instead.
-    return F.try_reflect(
-        F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern
-    ).isNotNull()
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("_java"))
+    return staged.withColumn(
+        problem,
+        F.when(plain.rlike(r"\(\?<?[=!]"), "look-around")
+        .when(plain.rlike(r"\(\?>"), "atomic group")
+        .when(escapes.rlike(r"\\[0-9k]"), "back-reference")
+        .when(escapes.rlike(r"\\[CEGHIJKLMNOQRTVXYZceghijlmoqy]"), "unknown escape")
+        .when(pattern.isNotNull() & compiled.isNull(), "malformed"),
+    ).drop("_escapes", "_plain", "_java")
 
 
 # Fixed values. ASCII classes by name, as ranges.
@@ -160,17 +157,24 @@ def _blot(pattern: str) -> str:
     return flat
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+def sql_text(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_word(column: str, words: list[str]) -> str:
+    """SQL predicate: the column holds one of the words."""
+    return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
 
 
-def matches(line: Column, pattern: str, unicode_classes: bool = True) -> Column:
-    """Predicate: the pattern matches somewhere in the line.
+def matches(column: str, pattern: str, unicode_classes: bool = True) -> str:
+    """SQL predicate: the pattern matches somewhere in the column.
 
     A plain search for the needed words goes first, as it is far cheaper than a regex.
     """
     words, exact = needed_words(pattern)
     if exact:
-        return any_word(line, words)
-    found = line.rlike((UNICODE_CLASSES if unicode_classes else UNIX_LINES) + pattern)
-    return any_word(line, words) & found if words else found
+        return any_word(column, words)
+    flags = UNICODE_CLASSES if unicode_classes else UNIX_LINES
+    found = f"rlike({column}, {sql_text(flags + pattern)})"
+    return f"({any_word(column, words)} AND {found})" if words else found

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from auditloom.functions.patterns import guard_parts, spark_pattern, strict_dialect_problem
+from auditloom.functions.patterns import guard_parts, spark_pattern, with_problem
 
 # A rule table is configuration that ends up as text inside the plan. It is brought to
 # the driver only within this bound.
@@ -12,17 +12,13 @@ MAX_RULES = 20_000
 
 def with_state(rules: DataFrame) -> DataFrame:
     """Rules with their first pattern and state: live, disabled, no pattern, unsupported."""
-    first = F.try_element_at("patterns", F.lit(1))
-    return (
-        rules.withColumn("pattern", first)
-        .withColumn("problem", strict_dialect_problem(F.col("pattern")))
-        .withColumn(
-            "state",
-            F.when(~F.col("enabled"), "disabled")
-            .when(F.col("pattern").isNull(), "no pattern")
-            .when(F.col("problem").isNotNull(), "unsupported")
-            .otherwise("live"),
-        )
+    first = rules.withColumn("pattern", F.try_element_at("patterns", F.lit(1)))
+    return with_problem(first, "pattern", "problem").withColumn(
+        "state",
+        F.when(~F.col("enabled"), "disabled")
+        .when(F.col("pattern").isNull(), "no pattern")
+        .when(F.col("problem").isNotNull(), "unsupported")
+        .otherwise("live"),
     )
 
 
@@ -87,14 +83,13 @@ def collect_live(rules: DataFrame) -> list[Row]:
 
 def collect_all_patterns(rules: DataFrame) -> list[Row]:
     """Enabled rules, on the driver, with every pattern that the strict dialect takes."""
-    each = (
-        rules.where("enabled")
-        .select("rule_seq", "id", "description", "severity", "mitigation", F.explode("patterns").alias("pattern"))
-        .withColumn("problem", strict_dialect_problem(F.col("pattern")))
-        .where(F.col("problem").isNull())
+    each = rules.where("enabled").select(
+        "rule_seq", "id", "description", "severity", "mitigation", F.explode("patterns").alias("pattern")
     )
     return _bounded(
-        each.groupBy("rule_seq", "id", "description", "severity", "mitigation")
+        with_problem(each, "pattern", "problem")
+        .where(F.col("problem").isNull())
+        .groupBy("rule_seq", "id", "description", "severity", "mitigation")
         .agg(F.collect_set(spark_pattern(F.col("pattern"))).alias("tests"))
     )
 
@@ -102,18 +97,16 @@ def collect_all_patterns(rules: DataFrame) -> list[Row]:
 def collect_guarded(rules: DataFrame) -> list[Row]:
     """Enabled rules, on the driver, with the trigger and the guard of their first pattern."""
     trigger, guard = guard_parts(F.col("pattern"))
-    return _bounded(
+    parts = (
         rules.where("enabled")
         .withColumn("pattern", F.try_element_at("patterns", F.lit(1)))
+        .where(F.col("pattern").isNotNull())
         .withColumn("trigger", trigger)
         .withColumn("guard", guard)
-        .where(F.col("pattern").isNotNull())
-        .withColumn("problem", F.coalesce(
-            strict_dialect_problem(F.col("trigger")),
-            F.when(F.col("guard").isNotNull(), strict_dialect_problem(F.col("guard"))),
-        ))
-        .where(F.col("problem").isNull())
-        .select(
+    )
+    checked = with_problem(with_problem(parts, "trigger", "trigger_problem"), "guard", "guard_problem")
+    return _bounded(
+        checked.where("trigger_problem IS NULL AND guard_problem IS NULL").select(
             "rule_seq", "id", "description", "severity", "mitigation",
             spark_pattern(F.col("trigger")).alias("trigger"),
             spark_pattern(F.col("guard")).alias("guard"),

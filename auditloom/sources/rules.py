@@ -3,6 +3,7 @@
 import tomllib
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,21 @@ class AnalysisMode(NamedTuple):
     llm: bool = False
 
 
+_ARROW_RULES = pa.schema([
+    ("rule_seq", pa.int32()), ("id", pa.string()), ("description", pa.string()), ("severity", pa.string()),
+    ("patterns", pa.list_(pa.string())), ("enabled", pa.bool_()), ("mitigation", pa.string()),
+])
+
+
+def _local_rules(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    # An Arrow table becomes a local relation, whose size the planner knows.
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ARROW_RULES), schemas.RULES)
+
+
 def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rules from catalogue rows (id, severity, enabled, patterns, description, mitigation)."""
-    data = [
-        (seq, id_, description, severity, patterns, enabled, mitigation)
-        for seq, (id_, severity, enabled, patterns, description, mitigation) in enumerate(rows)
-    ]
-    return spark.createDataFrame(data, schemas.RULES)
+    names = ["id", "severity", "enabled", "patterns", "description", "mitigation"]
+    return _local_rules(spark, [{"rule_seq": seq, **dict(zip(names, row))} for seq, row in enumerate(rows)])
 
 
 def stock_rust_rules(spark: SparkSession) -> DataFrame:
@@ -67,10 +76,10 @@ def read_rule_file(spark: SparkSession, path: str) -> tuple[DataFrame, AnalysisM
 
 def parse_rule_file(spark: SparkSession, text: str) -> tuple[DataFrame, AnalysisMode | None]:
     config = tomllib.loads(text)
-    data = [
-        (seq, r["id"], r["description"], r["severity"], r["patterns"], r["enabled"], r.get("mitigation"))
-        for seq, r in enumerate(config["rules"])
-    ]
+    for seq, rule in enumerate(config["rules"]):
+        for name in _REQUIRED:
+            if name not in rule:
+                raise ValueError(f"rule without {name}: {rule.get('id', seq)}")
+    rules = _local_rules(spark, [{"rule_seq": seq, **rule} for seq, rule in enumerate(config["rules"])])
     mode = config.get("analysis_mode")
-    rules = spark.createDataFrame(data, schemas.RULES)
     return rules, AnalysisMode(mode["regex"], mode["ast"], mode["llm"]) if mode else None
