@@ -7,6 +7,7 @@ takes, and put a pattern into a form in which ``rlike`` gives the same answer.
 """
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,19 +163,60 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def any_word(column: str, words: list[str]) -> str:
+def holds(column: str, word: str) -> str:
+    """SQL predicate: the column holds the word."""
+    return f"contains({column}, {sql_text(word)})"
+
+
+def any_word(column: str, words: list[str], holds: Callable[[str, str], str] = holds) -> str:
     """SQL predicate: the column holds one of the words."""
-    return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
+    return "(" + " OR ".join(holds(column, w) for w in words) + ")"
 
 
-def matches(column: str, pattern: str, unicode_classes: bool = True) -> str:
+def matches(
+    column: str, pattern: str, unicode_classes: bool = True, holds: Callable[[str, str], str] = holds
+) -> str:
     """SQL predicate: the pattern matches somewhere in the column.
 
-    A plain search for the needed words goes first, as it is far cheaper than a regex.
+    A plain search for the needed words goes first, as it is far cheaper than a regex;
+    ``holds`` says how a word is searched.
     """
     words, exact = needed_words(pattern)
     if exact:
-        return any_word(column, words)
+        return any_word(column, words, holds)
     flags = UNICODE_CLASSES if unicode_classes else UNIX_LINES
     found = f"rlike({column}, {sql_text(flags + pattern)})"
-    return f"({any_word(column, words)} AND {found})" if words else found
+    return f"({any_word(column, words, holds)} AND {found})" if words else found
+
+
+class WordFlags:
+    """One search per line for each word that several tests need.
+
+    The words become the array column ``has`` of booleans. A word that holds another one
+    of them, or an underscore, is searched only in lines that have that smaller part, so
+    that it needs no flag of its own.
+    """
+
+    def __init__(self, words: set[str]):
+        self._gates: dict[str, str] = {}
+        many_underscores = sum("_" in w for w in words) > 2
+        for word in words:
+            parts = [o for o in words if o != word and o in word]
+            if parts:
+                self._gates[word] = max(parts, key=lambda o: (len(o), o))
+            elif many_underscores and "_" in word and word != "_":
+                self._gates[word] = "_"
+        plain = {w for w in words if w not in self._gates} | set(self._gates.values()) - set(self._gates)
+        self._numbers = {w: i for i, w in enumerate(sorted(plain))}
+
+    def column(self, line: str) -> str:
+        """SQL for the array of flags."""
+        return "array(" + ", ".join(holds(line, w) for w in self._numbers) + ")"
+
+    def holds(self, line: str, word: str) -> str:
+        """SQL predicate that the line holds the word, by its flag."""
+        if word in self._numbers:
+            return f"has[{self._numbers[word]}]"
+        if word in self._gates:
+            return f"({self.holds(line, self._gates[word])} AND {holds(line, word)})"
+        return holds(line, word)

@@ -91,31 +91,32 @@ def node_findings(found: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-# Definitions, then any name with what stands before it and an opening parenthesis.
-_TOKEN = r"(?:fn|struct)[ \t]+[A-Za-z_][A-Za-z0-9_]*|[.:!]*[A-Za-z_][A-Za-z0-9_]*!?[ \t]*\(?"
-_LOOPS = ["loop", "while", "for"]
+_LETTER = r"\p{L}\p{M}\p{N}_"
+# Definitions, loops, and names before an opening parenthesis with what stands before
+# them; all of them from the start of a name on.
+_TOKEN = (
+    rf"(?<![{_LETTER}.:!])(?:(?:fn|struct)[ \t]+[{_LETTER}]+|(?:loop|while|for)(?![{_LETTER}]))"
+    rf"|(?:[.:!]+|(?<![{_LETTER}.:!]))[{_LETTER}]+!?[ \t]*\("
+)
 # Words that an opening parenthesis does not make a call.
-_NO_CALLS = [*_LOOPS, "if", "match", "return", "fn", "struct"]
+_NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct"]
 
 
 def _token_node(token: Column, pos: Column) -> Column:
     name = F.trim(token, F.lit(".:!( \t"))
-    is_fn = F.startswith(token, F.lit("fn ")) | F.startswith(token, F.lit("fn\t"))
-    is_struct = F.startswith(token, F.lit("struct ")) | F.startswith(token, F.lit("struct\t"))
-    is_bare = F.left(token, F.lit(1)).rlike("[A-Za-z_]")
-    is_call = F.endswith(token, F.lit("(")) & ~F.contains(token, F.lit("!"))
+    is_call = F.endswith(token, F.lit("("))
+    is_bare = F.left(token, F.lit(1)).rlike(f"[{_LETTER}]")
     is_method = F.startswith(token, F.lit(".")) & ~F.startswith(token, F.lit(".."))
     kind = (
-        F.when((is_fn | is_struct) & ~is_call & ~F.endswith(token, F.lit(" ")), F.when(is_fn, "fn").otherwise("struct"))
-        .when(is_bare & name.isin(_LOOPS), name)
-        .when(is_bare & name.isin(_NO_CALLS), F.lit(None))
-        .when(is_call & is_method, "method_call")
-        .when(is_call, "call")
+        F.when(~is_call, F.regexp_extract(token, "^[a-z]+", 0))
+        .when(F.contains(token, F.lit("!")) | name.rlike("^[0-9]") | (is_bare & name.isin(_NO_CALLS)), F.lit(None))
+        .when(is_method, "method_call")
+        .otherwise("call")
     )
     return F.struct(
         pos.alias("pos"),
         kind.alias("kind"),
-        F.when(is_fn | is_struct, F.regexp_extract(token, r"[A-Za-z0-9_]+$", 0)).otherwise(name).alias("name"),
+        F.when(is_call, name).otherwise(F.regexp_extract(token, rf"[{_LETTER}]+$", 0)).alias("name"),
         F.when(F.contains(token, F.lit(":")), 2).otherwise(1).alias("qualified"),
     )
 
@@ -126,7 +127,9 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     Line comments are cut off first. ``node_seq`` follows the text. The words are sorted
     out within their line, so that only nodes leave it as rows.
     """
-    code_line = F.regexp_replace("line", "//.*$", "")
+    code_line = F.when(
+        F.contains("line", F.lit("//")), F.regexp_replace("line", "(?s)//.*", "")
+    ).otherwise(F.col("line"))
     tokens = F.transform(F.regexp_extract_all(code_line, F.lit(_TOKEN), F.lit(0)), _token_node)
     found = lines(sources).select(
         "path", "line_number", "line", F.inline(F.filter(tokens, lambda t: t["kind"].isNotNull()))

@@ -56,7 +56,7 @@ _MEMBERS = [
 
 
 def parse_answers(responses: DataFrame) -> DataFrame:
-    """Responses with their ``items``, or a ``problem`` for which the whole answer is void.
+    """Responses with their ``items``, and a ``problem`` for which the whole answer is void.
 
     An answer without any choice or content has no items and no problem. Otherwise its
     text holds a JSON list from the first ``[`` to the last ``]``, and every item needs
@@ -77,18 +77,18 @@ def parse_answers(responses: DataFrame) -> DataFrame:
         .withColumn("list", F.try_parse_json(F.regexp_extract("text", r"(?s)\[.*\]", 0)))
         .withColumn("raw_items", F.expr("try_variant_get(list, '$', 'array<variant>')"))
     )
-    items = F.transform("raw_items", lambda item: F.struct(*[_member(item, *m).alias(m[0]) for m in _MEMBERS]))
-    valid = F.forall("raw_items", _is_valid_item)
+    checked = F.transform(
+        "raw_items",
+        lambda item: F.struct(*[_member(item, *m).alias(m[0]) for m in _MEMBERS], _is_valid_item(item).alias("ok")),
+    )
     problem = (
         F.when(~F.col("is_answer"), "not a response")
         .when(F.col("is_empty"), F.lit(None).cast("string"))
         .when(F.col("text").isNull(), "not a response")
-        .when(F.col("raw_items").isNull(), "no JSON list")
-        .when(~valid, "malformed item")
-    )
-    return staged.withColumn("problem", problem).select(
-        *responses.columns, "problem", F.when(F.col("problem").isNull(), items).alias("items")
+        .when(F.col("items").isNull(), "no JSON list")
+        .when(~F.forall("items", lambda item: item["ok"]), "malformed item")
     )
+    return staged.withColumn("items", checked).select(*responses.columns, problem.alias("problem"), "items")
 
 
 def _member(item: Column, snake: str, camel: str, json_type: str, required: bool) -> Column:
@@ -118,7 +118,10 @@ def answer_findings(parsed: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``parsed`` comes from ``parse_answers`` and carries the ``source_seq`` of the request.
     """
-    items = parsed.where(F.col("problem").isNull()).select("source_seq", F.posexplode("items").alias("pos", "item"))
+    # The condition stays inside the generator: as a filter it would be pushed down to the
+    # table and the answers would be parsed once for it and once for their items.
+    valid = F.when(F.col("problem").isNull(), F.col("items"))
+    items = parsed.select("source_seq", F.posexplode(valid).alias("pos", "item"))
     return items.join(sources.select("program", "source_seq"), "source_seq").select(
         "program",
         "source_seq",

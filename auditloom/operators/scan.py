@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from auditloom import schemas
-from auditloom.functions.patterns import any_word, matches, needed_words, sql_text
+from auditloom.functions.patterns import WordFlags, any_word, matches, needed_words, sql_text
 from auditloom.functions.text import split_lines, trim_unicode
 from auditloom.operators import rules as rule_sets
 from auditloom.operators.lines import lines
@@ -40,14 +40,13 @@ def scan_guarded(sources: DataFrame, rules: DataFrame, unicode_classes: bool = T
     """Findings where the trigger of a rule matches a line and its guard does not."""
     guarded = rule_sets.collect_guarded(rules)
 
-    def test(rule: Row) -> tuple[Hashable, str]:
-        hit = matches("line", rule.trigger, unicode_classes)
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
+        hit = matches("line", rule.trigger, unicode_classes, flags.holds)
         if rule.guard is not None:
             hit = f"{hit} AND NOT {matches('line', rule.guard, unicode_classes)}"
         return (rule.trigger, rule.guard), hit
 
-    words = [needed_words(r.trigger)[0] for r in guarded]
-    return _scan(sources, guarded, test, words, lines)
+    return _scan(sources, guarded, test, lambda rule: [rule.trigger], lines)
 
 
 def scan_context(
@@ -60,14 +59,15 @@ def scan_context(
     """
     guarded = rule_sets.collect_guarded(rules)
 
-    def test(rule: Row) -> tuple[Hashable, str]:
-        hit = matches("line", rule.trigger, unicode_classes)
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
+        hit = matches("line", rule.trigger, unicode_classes, flags.holds)
         if rule.guard is not None:
             hit = f"{hit} AND NOT exists(around, near -> {matches('near', rule.guard, unicode_classes)})"
         return (rule.trigger, rule.guard), hit
 
-    words = [needed_words(r.trigger)[0] for r in guarded]
-    return _scan(sources, guarded, test, words, lambda texts: _lines_with_neighbours(texts, reach))
+    return _scan(
+        sources, guarded, test, lambda rule: [rule.trigger], lambda texts: _lines_with_neighbours(texts, reach)
+    )
 
 
 def _lines_with_neighbours(sources: DataFrame, reach: int) -> DataFrame:
@@ -87,40 +87,50 @@ def _lines_with_neighbours(sources: DataFrame, reach: int) -> DataFrame:
 
 
 def _scan_patterns(sources: DataFrame, rules: list[Row], unicode_classes: bool) -> DataFrame:
-    def test(rule: Row) -> tuple[Hashable, str]:
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
         patterns = sorted(rule.tests)
-        return tuple(patterns), " OR ".join(matches("line", p, unicode_classes) for p in patterns)
+        return tuple(patterns), " OR ".join(
+            matches("line", p, unicode_classes, flags.holds) for p in patterns
+        )
 
-    words = [needed_words(p)[0] for rule in rules for p in rule.tests]
-    return _scan(sources, rules, test, words, lines)
+    return _scan(sources, rules, test, lambda rule: rule.tests, lines)
 
 
 def _scan(
     sources: DataFrame,
     rules: list[Row],
-    test: Callable[[Row], tuple[Hashable, str]],
-    words: list[list[str]],
+    test: Callable[[Row, WordFlags], tuple[Hashable, str]],
+    patterns: Callable[[Row], list[str]],
     to_lines: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """One finding per rule and line for which the rule's test holds."""
-    if all(words) and words:
+    """One finding per rule and line for which the rule's test holds.
+
+    ``patterns`` are those of which a hit of the rule matches at least one.
+    """
+    words = [needed_words(p)[0] for rule in rules for p in patterns(rule)]
+    if words and all(words):
         needed = sorted({w for ws in words for w in ws})
         needed = [w for w in needed if not any(o in w for o in needed if o != w)]
-        sources = sources.where(F.expr(any_word("code", needed)))
+        sources = sources.where(any_word("code", needed))
     passes = [
-        _one_pass(to_lines(sources), rules[i:i + RULES_PER_PASS], test)
+        _one_pass(to_lines(sources), rules[i:i + RULES_PER_PASS], test, patterns)
         for i in range(0, max(len(rules), 1), RULES_PER_PASS)
     ]
     return reduce(DataFrame.unionByName, passes)
 
 
 def _one_pass(
-    texts: DataFrame, rules: list[Row], test: Callable[[Row], tuple[Hashable, str]]
+    texts: DataFrame,
+    rules: list[Row],
+    test: Callable[[Row, WordFlags], tuple[Hashable, str]],
+    patterns: Callable[[Row], list[str]],
 ) -> DataFrame:
+    flags = WordFlags({w for rule in rules for p in patterns(rule) for w in needed_words(p)[0]})
+    texts = texts.withColumn("has", F.expr(flags.column("line")))
     # Rules with the same test are tried once.
     tests: dict[Hashable, tuple[str, list[int]]] = {}
     for number, rule in enumerate(rules):
-        key, hit = test(rule)
+        key, hit = test(rule, flags)
         tests.setdefault(key, (hit, []))[1].append(number)
     held = [
         f"CASE WHEN {hit} THEN array({', '.join(map(str, numbers))}) END" for hit, numbers in tests.values()

@@ -193,29 +193,35 @@ found AS (
        OR (n.kind = 'binary' AND n.op = c.key) OR n.kind IN ('loop', 'while', 'for', 'fn', 'struct'))
   WHERE n.line_number > 0 AND n.snippet NOT IN ('', 'unknown'))
 """
-_TOKEN = r"(?:fn|struct)[ \t]+[A-Za-z_][A-Za-z0-9_]*|[.:!]*[A-Za-z_][A-Za-z0-9_]*!?[ \t]*\(?"
+_NAME = r"[\p{L}\p{M}\p{N}_]+"
+_TOKEN = rf"(?:fn|struct)[ \t]+{_NAME}|[.:!]*{_NAME}!?[ \t]*\(?"
+# Every name of a line is a token here; those that are nodes are numbered by position.
 LEXICAL_NODES = rf"""
 tokens AS (
-  SELECT path, line_number, line, unnest(t) AS token, unnest(range(len(t))) AS pos
+  SELECT path, line_number, line, unnest(t) AS token, unnest(range(len(t))) AS token_pos
   FROM (SELECT *, regexp_extract_all(regexp_replace(line, '(?s)//.*', ''), '{_TOKEN}') AS t FROM lines)),
 words AS (
-  SELECT *, regexp_extract(token, '[A-Za-z_][A-Za-z0-9_]*') AS word,
-         regexp_matches(token, '^[A-Za-z_]') AS bare, regexp_matches(token, '\($') AND NOT contains(token, '!') AS opens
+  SELECT *, regexp_extract(token, '{_NAME}') AS word, regexp_matches(token, '^{_NAME}') AS bare,
+         regexp_matches(token, '\($') AS opens
   FROM tokens),
 kinds AS (
   SELECT *, CASE
-      WHEN regexp_matches(token, '^(fn|struct)[ \t]+[A-Za-z0-9_]+$') THEN word
+      WHEN regexp_matches(token, '^(fn|struct)[ \t]+{_NAME}$') THEN word
       WHEN bare AND word IN ('loop', 'while', 'for') THEN word
+      WHEN contains(token, '!') OR regexp_matches(word, '^[0-9]') THEN NULL
       WHEN bare AND word IN ('if', 'match', 'return', 'fn', 'struct') THEN NULL
       WHEN opens AND regexp_matches(token, '^\.([^.]|$)') THEN 'method_call'
       WHEN opens THEN 'call' END AS kind
   FROM words),
+placed_nodes AS (
+  SELECT *, row_number() OVER (PARTITION BY path, line_number ORDER BY token_pos) - 1 AS pos
+  FROM kinds WHERE kind IS NOT NULL),
 code_nodes AS (
   SELECT path, (CAST(line_number AS BIGINT) << 32) + pos AS node_seq, kind,
-         CASE WHEN kind IN ('fn', 'struct') THEN regexp_extract(token, '[A-Za-z0-9_]+$') ELSE word END AS name,
+         CASE WHEN kind IN ('fn', 'struct') THEN regexp_extract(token, '{_NAME}$') ELSE word END AS name,
          CASE WHEN kind = 'call' THEN CASE WHEN contains(token, ':') THEN 2 ELSE 1 END END AS path_len,
          CAST(NULL AS VARCHAR) AS op, CAST(line_number AS BIGINT) AS line_number, {_trim('line')} AS snippet
-  FROM kinds WHERE kind IS NOT NULL)
+  FROM placed_nodes)
 """
 FIRST_NODES = """
 first_nodes AS (
