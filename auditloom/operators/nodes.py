@@ -102,7 +102,7 @@ _TOKEN = (
 _NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct"]
 
 
-def _token_node(token: Column, pos: Column) -> Column:
+def _token_node(token: Column) -> Column:
     name = F.trim(token, F.lit(".:!( \t"))
     is_call = F.endswith(token, F.lit("("))
     is_bare = F.left(token, F.lit(1)).rlike(f"[{_LETTER}]")
@@ -114,7 +114,6 @@ def _token_node(token: Column, pos: Column) -> Column:
         .otherwise("call")
     )
     return F.struct(
-        pos.alias("pos"),
         kind.alias("kind"),
         F.when(is_call, name).otherwise(F.regexp_extract(token, rf"[{_LETTER}]+$", 0)).alias("name"),
         F.when(F.contains(token, F.lit(":")), 2).otherwise(1).alias("qualified"),
@@ -132,14 +131,15 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     ).otherwise(F.col("line"))
     tokens = F.transform(F.regexp_extract_all(code_line, F.lit(_TOKEN), F.lit(0)), _token_node)
     found = lines(sources).select(
-        "path", "line_number", "line", F.inline(F.filter(tokens, lambda t: t["kind"].isNotNull()))
+        "path", "line_number", "line",
+        F.posexplode(F.filter(tokens, lambda t: t["kind"].isNotNull())).alias("pos", "node"),
     )
     return found.select(
         "path",
         (F.shiftleft("line_number", 32) + F.col("pos")).alias("node_seq"),
-        "kind",
-        "name",
-        F.when(F.col("kind") == "call", F.col("qualified")).alias("path_len"),
+        "node.kind",
+        "node.name",
+        F.when(F.col("node.kind") == "call", F.col("node.qualified")).alias("path_len"),
         F.lit(None).cast("string").alias("op"),
         "line_number",
         trim_unicode(F.col("line")).alias("snippet"),

@@ -126,7 +126,7 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One syntax node per line item; a third of them in one file."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.expr("IF(l_orderkey % 3 = 0, 'src/hot.rs', concat('src/o', l_orderkey, '.rs'))").alias("path"),
         F.expr("(l_orderkey * 8 + l_linenumber) * 200000000 + l_partkey").alias("node_seq"),
         F.expr(
