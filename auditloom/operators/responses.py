@@ -74,8 +74,15 @@ def parse_answers(responses: DataFrame) -> DataFrame:
         body.withColumn("is_answer", is_answer)
         .withColumn("is_empty", is_answer & is_empty)
         .withColumn("text", text)
-        .withColumn("list", F.try_parse_json(F.regexp_extract("text", r"(?s)\[.*\]", 0)))
-        .withColumn("raw_items", F.expr("try_variant_get(list, '$', 'array<variant>')"))
+        .withColumn("list", F.regexp_extract("text", r"(?s)\[.*\]", 0))
+        .withColumn("seal", F.sha2("list", 256))
+        # The parser stops after the first value. A seal behind the list shows that all of
+        # it was read.
+        .withColumn("sealed", F.try_parse_json(F.concat(F.lit("["), "list", F.lit(',"'), "seal", F.lit('"]'))))
+        .withColumn("raw_items", F.when(
+            F.try_variant_get("sealed", "$[1]", "string") == F.col("seal"),
+            F.try_variant_get("sealed", "$[0]", "array<variant>"),
+        ))
     )
     checked = F.transform(
         "raw_items",

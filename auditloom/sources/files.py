@@ -20,7 +20,8 @@ def read_sources(
     ``roots`` come in the order in which findings are listed; a missing one is an error.
     A file under several roots is read once, for the first of them. Without
     ``extensions`` every file is taken. ``program`` is the path segment below
-    ``program_root``. Files that are not UTF-8 go to the rejects.
+    ``program_root``. Files that are not UTF-8 go to the rejects. Spark's file listing
+    passes over empty files and over names that start with ``_`` or ``.``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:

@@ -1,0 +1,45 @@
+import datetime as dt
+
+from auditloom.operators.scan import scan_strict
+from auditloom.sources.rules import stock_rust_rules
+from auditloom.streaming.dedup import drop_redelivered
+from auditloom.streaming.scan import arriving_files, run_to_end
+
+
+def test_files_are_scanned_as_they_arrive(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+
+    def run():
+        found = scan_strict(arriving_files(spark, str(inbox), "*.rs"), stock_rust_rules(spark))
+        run_to_end(found, out, state)
+        return sorted((r.file_path.rsplit("/", 1)[1], r.line_number) for r in spark.read.parquet(out).collect())
+
+    (inbox / "a.rs").write_text("x\nunsafe {\n")
+    (inbox / "b.txt").write_text("unsafe {\n")
+    assert run() == [("a.rs", 2)]
+    assert run() == [("a.rs", 2)]
+    (inbox / "c.rs").write_text("unsafe {}")
+    assert run() == [("a.rs", 2), ("c.rs", 1)]
+
+
+def test_redelivered_sources_are_dropped(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "at timestamp, path string, code string"
+    noon = dt.datetime(2024, 1, 1, 12)
+
+    def deliver(*rows):
+        data = [(noon + dt.timedelta(minutes=m), path, code) for m, path, code in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(schema).parquet(str(inbox))
+        run_to_end(drop_redelivered(stream, "at", "1 hour"), out, state)
+        return sorted((r.path, r.code) for r in spark.read.parquet(out).collect())
+
+    hot = [(i % 50, "hot", "same") for i in range(500)]
+    assert deliver((0, "a", "1"), (1, "a", "1"), (2, "a", "2"), (3, "b", "1"), *hot) == [
+        ("a", "1"), ("a", "2"), ("b", "1"), ("hot", "same")
+    ]
+    # Repeats in a later batch are dropped; new content under an old path is not.
+    assert deliver((30, "a", "1"), (31, "hot", "same"), (32, "a", "3")) == [
+        ("a", "1"), ("a", "2"), ("a", "3"), ("b", "1"), ("hot", "same")
+    ]
