@@ -5,9 +5,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from auditloom.operators.nodes import collapse_nodes, dedup_nodes, node_findings, scan_nodes
-from auditloom.operators.responses import answer_findings, parse_answers
+from auditloom.operators.responses import answer_findings, answer_rejects, parse_answers
+from auditloom.operators.routing import skipped_sources
 from auditloom.operators.scan import scan_strict
-from auditloom.operators.solidity import setter_findings
+from auditloom.operators.solidity import setter_findings, unreadable_trees
 from auditloom.sources.files import drop_blank_inline
 from auditloom.sources.rules import AnalysisMode
 
@@ -62,6 +63,23 @@ def audit_programs(
     return _bag(parts)
 
 
+def audit_rejects(
+    sources: DataFrame,
+    unread: DataFrame | None = None,
+    trees: DataFrame | None = None,
+    responses: DataFrame | None = None,
+) -> DataFrame:
+    """What an audit left out: (stage, path, reason). ``unread`` comes from reading files."""
+    parts = [skipped_sources(sources)]
+    if unread is not None:
+        parts.append(unread)
+    if trees is not None:
+        parts.append(unreadable_trees(trees))
+    if responses is not None:
+        parts.append(answer_rejects(parse_answers(responses)))
+    return _bag(parts)
+
+
 def _tree_part(sources: DataFrame, nodes: DataFrame, collapse: bool) -> DataFrame:
     found = scan_nodes(nodes)
     return node_findings(collapse_nodes(found) if collapse else dedup_nodes(found), sources)

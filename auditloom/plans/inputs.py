@@ -221,6 +221,14 @@ def contract_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("path", F.expr(f"to_json(named_struct('nodes', array({pragma}, {contract})))").alias("tree"))
 
 
+def document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in place of trees, every other one an empty tree."""
+    return table(spark, sf_dir, "documents").select(
+        F.expr(PATH).alias("path"),
+        F.expr("IF(doc_id % 2 = 0, ' {\"nodes\": []}', text)").alias("tree"),
+    )
+
+
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One byte span per document, forty characters from somewhere inside it."""
     documents = spread(table(spark, sf_dir, "documents"), "doc_id")

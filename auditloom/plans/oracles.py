@@ -296,6 +296,12 @@ answered AS (
   FROM items i JOIN sources s ON i.source_seq = s.source_seq)
 """
 
+_ANSWER_REJECTS = (
+    "SELECT 'answer' AS stage, 'conv/' || conv_id || '/' || turn AS path, "
+    "CASE (conv_id + turn) % 7 WHEN 4 THEN 'malformed item' ELSE 'no JSON list' END AS reason "
+    "FROM conversations WHERE (conv_id + turn) % 7 IN (2, 3, 4, 5)"
+)
+
 _STRICT_CODE = _strict(catalogue.RUST_RULES + catalogue.SOLIDITY_RULES)
 _NODE_PART = """
 SELECT s.program, s.source_seq, 'tree' AS analyzer, n.rule_id, n.rule_id AS vuln_type, n.severity, n.message,
@@ -438,9 +444,10 @@ def all_sql() -> dict[str, str]:
         f"AS line_number, {_trim(f'substring(text, {start} + 1, 40)')} AS code_snippet FROM documents",
         "prompt_build": _requests(),
         "response_parse": _with(TEXT_SOURCES, ANSWERS) + "SELECT * FROM answered",
-        "response_rejects": "SELECT 'answer' AS stage, 'conv/' || conv_id || '/' || turn AS path, "
-        "CASE (conv_id + turn) % 7 WHEN 4 THEN 'malformed item' ELSE 'no JSON list' END AS reason "
-        "FROM conversations WHERE (conv_id + turn) % 7 IN (2, 3, 4, 5)",
+        "response_rejects": _ANSWER_REJECTS,
+        "rejects": f"SELECT 'tree' AS stage, {PATH} AS path, 'JSON artifact' AS reason FROM documents "
+        f"WHERE doc_id % 4 = 2 UNION ALL SELECT 'tree', {PATH}, 'not a JSON object' FROM documents "
+        f"WHERE doc_id % 2 = 1 UNION ALL {_ANSWER_REJECTS}",
         "stream_scan": _TEXT_SCAN,
         "stream_dedup": "SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'users/hot' ELSE 'users/' || user_id END "
         "AS path, event_type AS code FROM events",

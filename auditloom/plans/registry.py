@@ -10,7 +10,7 @@ from auditloom.functions.text import clean_path, display_name, has_extension, is
 from auditloom.operators import dedup, nodes, responses, routing, rules, scan, solidity
 from auditloom.operators.lines import snippets
 from auditloom.plans import inputs, reports
-from auditloom.plans.audit import audit_programs, audit_rust, audit_solidity
+from auditloom.plans.audit import audit_programs, audit_rejects, audit_rust, audit_solidity
 from auditloom.sources import files, sinks
 from auditloom.sources.rules import (
     AnalysisMode,
@@ -184,6 +184,14 @@ def audit_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rejects(
+        inputs.text_sources(spark, sf_dir),
+        trees=inputs.document_trees(spark, sf_dir),
+        responses=inputs.answers(spark, sf_dir),
+    )
+
+
 # Reports.
 
 
@@ -309,7 +317,7 @@ QUERIES: dict[str, Query] = {
         src_files, src_inline, src_ext_filter, src_dedup, out_json,
         rules_load, rules_active, rules_rejected, rules_lint, rules_last,
         lines, route_kind, scan_text, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
-        scan_guarded_code, scan_context, scan_all, audit_contracts,
+        scan_guarded_code, scan_context, scan_all, audit_contracts, rejects,
         count_total, count_by_analyzer, count_by_severity, count_by_source, report_matrix, report_rollup,
         program_report, program_totals,
         nodes_scan, nodes_dedup, nodes_collapse, nodes_lexical,

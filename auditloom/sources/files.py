@@ -1,10 +1,12 @@
 """Source texts from files, directories and tables."""
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom import catalogue
 from auditloom.functions.text import clean_path, trim_unicode
 
 
@@ -23,6 +25,8 @@ def read_sources(
     ``program_root``. Files that are not UTF-8 go to the rejects. Spark's file listing
     passes over empty files and over names that start with ``_`` or ``.``.
     """
+    if not roots:
+        raise ValueError("no file or directory to read")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:
         reader = reader.option("pathGlobFilter", extension_glob(extensions, any_case))
@@ -52,6 +56,29 @@ def read_sources(
     return sources, rejects
 
 
+def read_rust_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One source file of any extension, under the path as given."""
+    sources, rejects = read_sources(spark, [path])
+    return sources.withColumn("path", F.lit(path)), rejects
+
+
+def read_solidity_project(
+    spark: SparkSession, base: str, targets: Sequence[str] = (), target_dirs: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Solidity and JSON files of a project: the directories first, then the targets.
+
+    Targets are files or directories. Relative paths are below ``base``; files of other
+    kinds are passed over, and a path that does not exist is an error.
+    """
+    roots = [root if "://" in root else os.path.join(base, root) for root in (*target_dirs, *targets)]
+    return read_sources(spark, roots, catalogue.SOLIDITY_EXTENSIONS)
+
+
+def read_programs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rust files of a collection: each directory right below ``root`` is a program."""
+    return read_sources(spark, [root], catalogue.RUST_EXTENSIONS, any_case=False, program_root=root)
+
+
 def extension_glob(extensions: list[str], any_case: bool) -> str:
     """File-name glob; letter case is spelled out, as globs see case."""
 
@@ -94,12 +121,12 @@ def drop_blank_inline(sources: DataFrame) -> DataFrame:
 
 
 def spread(sources: DataFrame, key: str = "source_seq") -> DataFrame:
-    """Repartition an input that has fewer splits than the cluster has cores.
+    """Repartition an input that has too few splits to keep the cluster busy.
 
     Meant for a plain read of a few small files. An input with enough splits is left as
     it is: moving its texts would cost more than the scan gains.
     """
     cores = sources.sparkSession.sparkContext.defaultParallelism
-    if sources.rdd.getNumPartitions() >= cores:
+    if sources.rdd.getNumPartitions() >= 2 * cores:
         return sources
     return sources.repartition(2 * cores, key)

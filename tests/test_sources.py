@@ -8,7 +8,17 @@ from auditloom.operators.dedup import keep_first_source
 from auditloom.operators.routing import skipped_sources, tree_sources
 from auditloom.operators.scan import scan_strict
 from auditloom.sources import sinks
-from auditloom.sources.files import drop_blank_inline, extension_glob, read_sources, table_sources
+from auditloom.operators.solidity import locate
+from auditloom.sources.files import (
+    drop_blank_inline,
+    extension_glob,
+    read_programs,
+    read_rust_file,
+    read_solidity_project,
+    read_sources,
+    table_sources,
+)
+from auditloom.sources.tables import save_by_path
 from auditloom.sources.rules import stock_rust_rules
 from pyspark.sql import functions as F
 
@@ -60,6 +70,35 @@ def test_rust_files_and_programs(spark, tree):
     assert [(r.program, r.path.rsplit("/", 1)[1]) for r in sources.collect()] == [("two", "lib.rs")]
 
 
+def test_reading_as_the_scans_do(spark, tree):
+    project, _ = read_solidity_project(spark, str(tree), ["two/a.sol", "two/lib.rs", "one/a.sol"], ["one/deep"])
+    assert names(project, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "two/a.sol"]
+    programs, _ = read_programs(spark, str(tree))
+    assert [r.program for r in programs.collect()] == ["two"]
+    given = str(tree) + "/one/../one/skip.txt"
+    single, _ = read_rust_file(spark, given)
+    assert [(r.path, r.code) for r in single.collect()] == [(given, "x")]
+    with pytest.raises(ValueError, match="no file"):
+        read_solidity_project(spark, str(tree))
+
+
+def test_tables_by_path_join_in_place(spark, sources, tmp_path):
+    table = sources(*[(f"f{i}.sol", f"x{i}\ny") for i in range(50)])
+    spans = spark.createDataFrame([(f"f{i}.sol", "3:1:0") for i in range(50)], "path string, src string")
+    save_by_path(table, "bucketed_sources", 4, str(tmp_path / "s"))
+    save_by_path(spans, "bucketed_spans", 4, str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = locate(spark.table("bucketed_spans"), spark.table("bucketed_sources"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert found.where("line_number in (1, 2) and code_snippet in ('', 'y')").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_sources")
+        spark.sql("DROP TABLE bucketed_spans")
+
+
 def test_any_extension_and_broken_text(spark, tree):
     sources, rejects = read_sources(spark, [str(tree / "two")])
     assert names(sources, tree) == ["two/LIB.RS", "two/a.sol", "two/lib.rs"]
