@@ -126,7 +126,8 @@ def _needed_in_sequence(text: str, blotted: str) -> list[str]:
             # The sign before such a repetition may be missing from a match.
             word = re.sub(r"(\\.|.)$", "", word)
         runs.append(_plain(word))
-    longest = max(runs, key=len, default="")
+    # Of equally long words, one with digits or signs is the rarer one in most texts.
+    longest = max(runs, key=lambda w: (len(w), not w.isalpha()), default="")
     return [longest] if longest else []
 
 

@@ -93,10 +93,10 @@ def node_findings(found: DataFrame, sources: DataFrame) -> DataFrame:
 
 _LETTER = r"\p{L}\p{M}\p{N}_"
 # Definitions, loops, and names before an opening parenthesis with what stands before
-# them; all of them from the start of a name on.
+# them; all of them from the start of a name on. Possessive repeats keep it linear.
 _TOKEN = (
     rf"(?<![{_LETTER}.:!])(?:(?:fn|struct)[ \t]+[{_LETTER}]+|(?:loop|while|for)(?![{_LETTER}]))"
-    rf"|(?:[.:!]+|(?<![{_LETTER}.:!]))[{_LETTER}]+!?[ \t]*\("
+    rf"|(?:[.:!]++|(?<![{_LETTER}.:!]))[{_LETTER}]++!?+[ \t]*+\("
 )
 # Words that an opening parenthesis does not make a call.
 _NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct"]

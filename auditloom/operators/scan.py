@@ -139,8 +139,12 @@ def _one_pass(
         f"array_compact(array({', '.join(held[i:i + RULES_PER_ARRAY])}))"
         for i in range(0, len(held), RULES_PER_ARRAY)
     ]
-    hits = F.expr(f"explode(flatten(concat({', '.join(chunks)})))")
-    found = texts.select("program", "source_seq", "path", "line_number", "line", hits.alias("number"))
+    # The numbers are worked out in a projection, whose code Spark splits into small methods.
+    # They sit in a struct because a generator over a bare column would bring in a filter on
+    # its size, pushed below the projection and so working everything out twice.
+    hits = F.expr(f"struct(flatten(concat({', '.join(chunks)})) AS numbers)")
+    place = ["program", "source_seq", "path", "line_number", "line"]
+    found = texts.select(*place, hits.alias("hits")).select(*place, F.explode("hits.numbers").alias("number"))
     texts_of_rules = F.expr(f"array({', '.join(map(_rule_text, rules))})").cast(_RULE_TEXTS)
     return found.withColumn("rule", F.get(texts_of_rules, "number")).select(
         "program",

@@ -21,7 +21,7 @@ from auditloom.functions.patterns import needed_words
         (r"unsafe\s*\{", ["unsafe"], False),
         (r"\.call\s*\{\s*value", [".call"], False),
         (r"(\w+\s*/\s*\d+)", ["/"], False),
-        (r"(as\s+u8|as\s+i8)", ["as"], False),
+        (r"(as\s+u8|as\s+i8)", ["u8", "i8"], False),
         (r"(for\s+\(.*\)|loop\s*\{)", ["for", "loop"], False),
         ("(f32|f64).*?(x|y)", ["f32", "f64"], False),
         ("[a-z]+@[a-z]+", ["@"], False),
