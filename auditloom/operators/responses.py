@@ -140,6 +140,6 @@ def answer_findings(parsed: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer_rejects(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("problem").isNotNull()).select(
-        F.lit("answer").alias("stage"), "path", F.col("problem").alias("reason")
-    )
+    # A generator in place of a filter, for the same reason.
+    problems = F.when(F.col("problem").isNotNull(), F.array("problem"))
+    return parsed.select(F.lit("answer").alias("stage"), "path", F.explode(problems).alias("reason"))

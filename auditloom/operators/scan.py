@@ -22,6 +22,8 @@ from auditloom.operators.lines import lines
 # generated code; more rules only mean more arrays or more passes.
 RULES_PER_ARRAY = 100
 RULES_PER_PASS = 1000
+# With more words than this, nearly every text holds one of them.
+MAX_GATE_WORDS = 200
 
 
 def scan_strict(sources: DataFrame, rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
@@ -108,8 +110,8 @@ def _scan(
     ``patterns`` are those of which a hit of the rule matches at least one.
     """
     words = [needed_words(p)[0] for rule in rules for p in patterns(rule)]
-    if words and all(words):
-        needed = sorted({w for ws in words for w in ws})
+    needed = sorted({w for ws in words for w in ws})
+    if words and all(words) and len(needed) <= MAX_GATE_WORDS:
         needed = [w for w in needed if not any(o in w for o in needed if o != w)]
         sources = sources.where(any_word("code", needed))
     passes = [

@@ -111,7 +111,7 @@ def setter_findings(trees: DataFrame, sources: DataFrame, rules: DataFrame) -> D
 
 def unreadable_trees(trees: DataFrame) -> DataFrame:
     """Trees that are not JSON objects."""
-    node = F.get_json_object("tree", "$")
-    return trees.where(F.col("tree").isNotNull() & (node.isNull() | ~F.startswith(F.ltrim(node), F.lit("{")))).select(
+    is_object = F.startswith(F.ltrim(F.get_json_object("tree", "$")), F.lit("{"))
+    return trees.where(F.col("tree").isNotNull() & ~F.coalesce(is_object, F.lit(False))).select(
         F.lit("tree").alias("stage"), "path", F.lit("not a JSON object").alias("reason")
     )
