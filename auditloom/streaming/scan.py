@@ -3,18 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.text import clean_path
+
+
+_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 
 def arriving_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """A stream of text files, each file whole and one source."""
-    reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    """A stream of files, each one whole source.
+
+    ``code`` is null for a file that is not UTF-8: scans find nothing in it, and such rows
+    can be taken off as rejects.
+    """
+    reader = spark.readStream.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    path = F.col("_metadata.file_path")
+    text = F.col("content").cast("string")
     return reader.load(folder).select(
-        F.xxhash64(path).alias("source_seq"),
+        F.xxhash64("path").alias("source_seq"),
         F.lit(None).cast("string").alias("program"),
-        path.alias("path"),
-        F.col("value").alias("code"),
+        clean_path(F.col("path")).alias("path"),
+        F.when(F.is_valid_utf8(text), text).alias("code"),
     )
 
 

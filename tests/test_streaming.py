@@ -13,14 +13,18 @@ def test_files_are_scanned_as_they_arrive(spark, tmp_path):
     def run():
         found = scan_strict(arriving_files(spark, str(inbox), "*.rs"), stock_rust_rules(spark))
         run_to_end(found, out, state)
-        return sorted((r.file_path.rsplit("/", 1)[1], r.line_number) for r in spark.read.parquet(out).collect())
+        found = spark.read.parquet(out).collect()
+        assert all(r.file_path.startswith(f"{inbox}/") for r in found)
+        return sorted((r.file_path.removeprefix(f"{inbox}/"), r.line_number) for r in found)
 
     (inbox / "a.rs").write_text("x\nunsafe {\n")
     (inbox / "b.txt").write_text("unsafe {\n")
+    (inbox / "bad.rs").write_bytes(b"unsafe {\xff")
     assert run() == [("a.rs", 2)]
     assert run() == [("a.rs", 2)]
-    (inbox / "c.rs").write_text("unsafe {}")
-    assert run() == [("a.rs", 2), ("c.rs", 1)]
+    (inbox / "deep").mkdir()
+    (inbox / "deep/c d+e.rs").write_text("unsafe {}")
+    assert run() == [("a.rs", 2), ("deep/c d+e.rs", 1)]
 
 
 def test_redelivered_sources_are_dropped(spark, tmp_path):
