@@ -20,11 +20,15 @@ def split_lines(code: Column) -> Column:
     r"""Array of lines, cut at ``\n`` and ``\r\n``.
 
     A final line end opens no further line; a lone ``\r`` stays in its line. The empty
-    text still gives one empty line here, so callers drop empty texts before.
+    text still gives one empty line here, so callers leave empty texts out.
     """
-    unix = F.replace(code, F.lit("\r\n"), F.lit("\n"))
-    body = F.when(F.endswith(unix, F.lit("\n")), F.left(unix, F.char_length(unix) - 1)).otherwise(unix)
-    return F.split(body, "\n", -1)
+    size = F.char_length(code)
+    body = (
+        F.when(F.endswith(code, F.lit("\r\n")), F.left(code, size - 2))
+        .when(F.endswith(code, F.lit("\n")), F.left(code, size - 1))
+        .otherwise(code)
+    )
+    return F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
 
 def span_start(src: Column) -> Column:

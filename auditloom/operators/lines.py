@@ -1,17 +1,28 @@
 """Sources to lines."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import split_lines, trim_unicode
 
 
-def lines(sources: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1. The text itself goes no further than this step."""
-    return (
-        sources.where(F.col("code") != "")
-        .select("program", "source_seq", "path", F.posexplode(split_lines(F.col("code"))).alias("pos", "line"))
-        .select("program", "source_seq", "path", (F.col("pos") + 1).cast("bigint").alias("line_number"), "line")
+def line_array(gate: str = "true") -> Column:
+    """The lines of ``code`` as an array; null for empty texts and those off the gate.
+
+    The conditions stand beside the split and not in a filter: below a projection that
+    makes the texts, each term of a filter would make them anew.
+    """
+    code = F.col("code")
+    return F.when((code != "") & F.expr(gate), split_lines(code))
+
+
+def lines(sources: DataFrame, gate: str = "true") -> DataFrame:
+    """One row per line, numbered from 1. The text itself goes no further than this step.
+
+    ``gate`` is a SQL predicate on ``code``; texts for which it fails give no lines.
+    """
+    return sources.select("program", "source_seq", "path", F.posexplode(line_array(gate)).alias("pos", "line")).select(
+        "program", "source_seq", "path", (F.col("pos") + 1).cast("bigint").alias("line_number"), "line"
     )
 
 

@@ -2,8 +2,8 @@
 
 The rules become literal predicates of one projection, so that a scan is a single pass
 over the sources without any shuffle. One row per hit comes out of a generator over the
-numbers of the rules that hold. Texts that hold none of the words a hit needs are
-filtered out before they are cut into lines.
+numbers of the rules that hold. Texts that hold none of the words a hit needs are not
+cut into lines at all.
 """
 
 from collections.abc import Callable, Hashable
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from auditloom import schemas
 from auditloom.functions.patterns import WordFlags, any_word, matches, needed_words, sql_text
-from auditloom.functions.text import split_lines, trim_unicode
+from auditloom.functions.text import trim_unicode
 from auditloom.operators import rules as rule_sets
-from auditloom.operators.lines import lines
+from auditloom.operators.lines import line_array, lines
 
 # Predicates per array expression, and per pass over the sources. They bound the size of
 # generated code; more rules only mean more arrays or more passes.
@@ -68,14 +68,12 @@ def scan_context(
         return (rule.trigger, rule.guard), hit
 
     return _scan(
-        sources, guarded, test, lambda rule: [rule.trigger], lambda texts: _lines_with_neighbours(texts, reach)
+        sources, guarded, test, lambda rule: [rule.trigger], lambda texts, gate: _lines_with_neighbours(texts, gate, reach)
     )
 
 
-def _lines_with_neighbours(sources: DataFrame, reach: int) -> DataFrame:
-    cut = sources.where(F.col("code") != "").select(
-        "program", "source_seq", "path", split_lines(F.col("code")).alias("all_lines")
-    )
+def _lines_with_neighbours(sources: DataFrame, gate: str, reach: int) -> DataFrame:
+    cut = sources.select("program", "source_seq", "path", line_array(gate).alias("all_lines"))
 
     def with_neighbours(line: Column, pos: Column) -> Column:
         first = F.greatest(pos + 1 - reach, F.lit(1))
@@ -103,7 +101,7 @@ def _scan(
     rules: list[Row],
     test: Callable[[Row, WordFlags], tuple[Hashable, str]],
     patterns: Callable[[Row], list[str]],
-    to_lines: Callable[[DataFrame], DataFrame],
+    to_lines: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """One finding per rule and line for which the rule's test holds.
 
@@ -113,9 +111,11 @@ def _scan(
     needed = sorted({w for ws in words for w in ws})
     if words and all(words) and len(needed) <= MAX_GATE_WORDS:
         needed = [w for w in needed if not any(o in w for o in needed if o != w)]
-        sources = sources.where(any_word("code", needed))
+        gate = any_word("code", needed)
+    else:
+        gate = "true"
     passes = [
-        _one_pass(to_lines(sources), rules[i:i + RULES_PER_PASS], test, patterns)
+        _one_pass(to_lines(sources, gate), rules[i:i + RULES_PER_PASS], test, patterns)
         for i in range(0, max(len(rules), 1), RULES_PER_PASS)
     ]
     return reduce(DataFrame.unionByName, passes)

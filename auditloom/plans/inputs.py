@@ -43,12 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _documents_as(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents"), "doc_id")
-    if code != "text":
-        # The generator keeps later filters above this step: pushed below it, each of
-        # their terms would work out the text anew.
-        documents = documents.select("doc_id", "source", F.explode(F.array(F.expr(code))).alias("text"))
     return table_sources(
-        documents, seq=F.col("doc_id"), code=F.col("text"), path=F.expr(PATH), program=F.col("source")
+        documents, seq=F.col("doc_id"), code=F.expr(code), path=F.expr(PATH), program=F.col("source")
     )
 
 
