@@ -2,8 +2,10 @@
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,20 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does, if they do not by themselves.
+
+    It is for workers that see the driver's folders; elsewhere the package is installed or
+    comes by ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,7 +73,7 @@ def slices(lengths, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with their texts; null is the empty text."""
-    lengths = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    lengths = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
     for start, end in slices(lengths):
         part = batch.slice(start, end - start)
         yield part, [t or "" for t in part.column(column).to_pylist()]
