@@ -5,10 +5,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import rule_ledger
+from auditloom.llm import decontaminate, ngram_join, rule_ledger, secret_scan, url_filter
 from auditloom.llm.shared import table
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository of its own, and its source is the owner."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = secret_scan.scan_secrets(documents, repo="doc_id", owner="source")
+    base = secret_scan.base_spans(F.col("candidates"))
+    return rows.select(
+        "doc_id",
+        *[secret_scan.count_kind(F.col("candidates"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("findings")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
+# Fixed values. (host, path, verdict) of the url rules.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "by")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.join_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.scan_benchmark(documents, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.hit_words("spans")
+    items = F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string")))
+    return hits.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -20,5 +66,9 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
+    "op6_ngram_join": op6_ngram_join,
+    "op9_decontaminate": op9_decontaminate,
     "op10_rule_ledger": op10_rule_ledger,
 }
