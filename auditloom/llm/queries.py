@@ -1,12 +1,63 @@
 """One query per operator, each over its whole table."""
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, ngram_join, rule_ledger, secret_scan, url_filter
-from auditloom.llm.shared import table
+from auditloom.llm import (
+    decontaminate,
+    language_id,
+    ngram_join,
+    pii_bootstrap,
+    quality_knn,
+    rule_ledger,
+    secret_scan,
+    sentencepiece_codec,
+    token_records,
+    url_filter,
+)
+from auditloom.llm.shared import held_out, scratch_path, table
+
+# Public vocabulary files, by name.
+PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
+# Fixed value: the id that ends each document of op7.
+END_ID = 1
+
+
+def vocabulary(name: str) -> bytes:
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    classifier = quality_knn.fit(documents, labels)
+    rows = quality_knn.classify(documents, classifier)
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece_codec.encode_and_decode(documents, vocabulary(PIECES))
+    ids = F.array_join("ids", ",")
+    return rows.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("ids_sha256"), "same",
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(documents.where(~held_out(F.col("doc_id"))), vocabulary(PIECES))
+    rows = language_id.identify(documents.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +95,24 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    documents = table(spark, sf_dir, "documents")
+    token_records.write_records(documents, folder, vocabulary(WORDS).decode(), END_ID)
+    return token_records.record_digests(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii_bootstrap.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    seeds = pii_bootstrap.seeds_of(F.col("spans"))
+    return rows.select(
+        "doc_id",
+        *[pii_bootstrap.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii_bootstrap.span_text(seeds), 256).alias("base_sha256"),
+        pii_bootstrap.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.scan_benchmark(documents, table(spark, sf_dir, "benchmark"))
@@ -66,9 +135,14 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": op1_quality_knn,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_join": op6_ngram_join,
+    "op7_token_records": op7_token_records,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_decontaminate": op9_decontaminate,
     "op10_rule_ledger": op10_rule_ledger,
 }
