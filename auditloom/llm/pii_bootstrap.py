@@ -252,6 +252,47 @@ def find_pii(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     )
 
 
+def mask(text: str, extra: list[tuple[int, int]]) -> str:
+    """The text with its seeds, and further spans, replaced by their kinds in angle brackets."""
+    spans = sorted([*base_spans(text), *((start, CONTEXT, end) for start, end in extra)])
+    kept, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            kept += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, end)
+    return "".join([*kept, text[at:]])
+
+
+def _mask(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                more = part.column("_more").to_pylist()
+                masked = [mask(t, [(m["start"], m["end"]) for m in ms or []]) for t, ms in zip(texts, more)]
+                valid = part.column("text").is_valid().to_pylist()
+                out = {c: part.column(c) for c in columns}
+                out["text"] = pa.array([t if v else None for t, v in zip(masked, valid)], pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
+
+    return run
+
+
+def mask_pii(documents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The documents (doc, text, ..) with personal data masked.
+
+    Seeds are masked where the text is; what contexts find, in few texts, is joined to
+    them by id and text, so that texts move only if that is too much to broadcast.
+    """
+    keyed = documents.select(F.col(doc).alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    found = find_pii(keyed).withColumn("_more", F.filter("spans", lambda s: s["kind"] == CONTEXT))
+    more = stored(found.where(F.size("_more") > 0).select("_id", "_hash", "_more").dropDuplicates(["_id", "_hash"]), "more")
+    marked = documents.withColumn("_text_hash", F.xxhash64("text"))
+    same = marked[doc].eqNullSafe(more["_id"]) & (marked["_text_hash"] == more["_hash"])
+    columns = documents.columns
+    joined = marked.join(more, same, "left").select(*[marked[f"`{c}`"] for c in columns], "_more")
+    return joined.mapInArrow(_mask(columns), documents.schema)
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of spans in their order, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
