@@ -8,6 +8,8 @@ takes, and put a pattern into a form in which ``rlike`` gives the same answer.
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,7 @@ def with_problem(rules: DataFrame, column: str, problem: str) -> DataFrame:
         problem,
         F.when(plain.rlike(r"\(\?<?[=!]"), "look-around")
         .when(plain.rlike(r"\(\?>"), "atomic group")
+        .when(plain.rlike(r"[*+?}]\+"), "possessive repeat")
         .when(escapes.rlike(r"\\[0-9k]"), "back-reference")
         .when(escapes.rlike(r"\\[CEGHIJKLMNOQRTVXYZceghijlmoqy]"), "unknown escape")
         .when(pattern.isNotNull() & compiled.isNull(), "malformed"),
@@ -65,13 +68,36 @@ POSIX_CLASSES = {
 }
 
 
+# Signs of a pattern, as far as their spelling differs: code points by number, escapes,
+# group names, classes with the classes named inside them, and any other sign.
+_SIGNS = (
+    r"(?s)\\[uU]\{|\\.|\(\?P?<[A-Za-z_][A-Za-z0-9_.\[\]]*>"
+    r"|\[\^?\]?(?:\\.|\[:\^?[a-z]+:\]|[^\]\\])*\]|."
+)
+
+
 def spark_pattern(pattern: Column) -> Column:
-    """The same pattern in Java's spelling (named groups, named classes, code points)."""
-    out = F.regexp_replace(pattern, r"\(\?P?<[A-Za-z_][A-Za-z0-9_.\[\]]*>", "(")
-    out = F.regexp_replace(out, r"\\[uU]\{", r"\\x{")
-    for name, ranges in POSIX_CLASSES.items():
-        out = F.replace(out, F.lit(f"[:{name}:]"), F.lit(ranges))
-    return out
+    """The same pattern in Java's spelling (group names, named classes, code points, word ends).
+
+    It is translated sign by sign, so that an escaped bracket opens neither a group nor a
+    class, and a named class counts only inside a class.
+    """
+
+    def translated(sign: Column) -> Column:
+        inside = F.substr(sign, F.lit(2))
+        for name, ranges in POSIX_CLASSES.items():
+            inside = F.replace(inside, F.lit(f"[:{name}:]"), F.lit(ranges))
+        return (
+            F.when(sign.rlike(r"^\\[uU]\{$"), F.lit("\\x{"))
+            .when(sign == "\\<", F.lit(r"\b(?=\w)"))
+            .when(sign == "\\>", F.lit(r"\b(?<=\w)"))
+            .when(sign.rlike(r"^\(\?P<|^\(\?<.*[_.\[\]]"), F.lit("("))
+            .when(F.startswith(sign, F.lit("[")) & (F.length(sign) > 1), F.concat(F.lit("["), inside))
+            .otherwise(sign)
+        )
+
+    signs = F.regexp_extract_all(pattern, F.lit(_SIGNS), F.lit(0))
+    return F.when(pattern.isNotNull(), F.array_join(F.transform(signs, translated), ""))
 
 
 # Case-blind and spaced-out patterns, characters written by number and nested classes are
@@ -90,12 +116,10 @@ def needed_words(pattern: str) -> tuple[list[str], bool]:
     """
     if _UNREADABLE.search(pattern):
         return [], False
+    inner = _unwrapped(pattern)
+    if inner is not None:
+        return needed_words(inner)
     blotted = _blot(pattern)
-    if len(pattern) > 1 and blotted == "\x00" * len(pattern) and re.match(r"\((?!\?[^:])", pattern):
-        # One group around everything.
-        inner = re.sub(r"^\((\?:)?(.*)\)$", r"\2", pattern, flags=re.DOTALL)
-        if _is_whole(inner):
-            return needed_words(inner)
     words, exact, start = [], True, 0
     for branch in blotted.split("|"):
         text = pattern[start:start + len(branch)]
@@ -135,9 +159,17 @@ def _plain(word: str) -> str:
     return re.sub(r"\\(.)", r"\1", word)
 
 
-def _is_whole(inner: str) -> bool:
-    flat = _blot(inner)
-    return "(" not in flat and ")" not in flat
+def _unwrapped(pattern: str) -> str | None:
+    """What a group around the whole pattern holds; null where there is no such group."""
+    opening = re.match(r"\((?:\?:)?(?!\?)", pattern)
+    if not opening:
+        return None
+    depth = 0
+    for sign in re.finditer(r"(?s)\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern):
+        depth += (sign.group() == "(") - (sign.group() == ")")
+        if depth == 0:
+            return pattern[opening.end():-1] if sign.end() == len(pattern) else None
+    return None
 
 
 def _blot(pattern: str) -> str:
@@ -159,35 +191,39 @@ def _blot(pattern: str) -> str:
     return flat
 
 
-def sql_text(text: str) -> str:
-    """A string as a SQL literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def holds(text: Column, word: str) -> Column:
+    """The text holds the word."""
+    return F.contains(text, F.lit(word))
 
 
-def holds(column: str, word: str) -> str:
-    """SQL predicate: the column holds the word."""
-    return f"contains({column}, {sql_text(word)})"
+def any_of(tests: list[Column]) -> Column:
+    """One of the tests holds, as a balanced tree, so that any number of them makes a plan."""
+    if len(tests) < 3:
+        return reduce(or_, tests)
+    half = len(tests) // 2
+    return any_of(tests[:half]) | any_of(tests[half:])
 
 
-def any_word(column: str, words: list[str], holds: Callable[[str, str], str] = holds) -> str:
-    """SQL predicate: the column holds one of the words."""
-    return "(" + " OR ".join(holds(column, w) for w in words) + ")"
+def any_word(text: Column, words: list[str], holds: Callable[[Column, str], Column] = holds) -> Column:
+    """The text holds one of the words."""
+    return any_of([holds(text, w) for w in words])
 
 
 def matches(
-    column: str, pattern: str, unicode_classes: bool = True, holds: Callable[[str, str], str] = holds
-) -> str:
-    """SQL predicate: the pattern matches somewhere in the column.
+    text: Column, pattern: str, unicode_classes: bool = True, holds: Callable[[Column, str], Column] = holds
+) -> Column:
+    """The pattern matches somewhere in the text.
 
     A plain search for the needed words goes first, as it is far cheaper than a regex;
-    ``holds`` says how a word is searched.
+    ``holds`` says how a word is searched. Rules reach the plan as literals, never as SQL
+    text, so that nothing in them is expanded.
     """
     words, exact = needed_words(pattern)
     if exact:
-        return any_word(column, words, holds)
+        return any_word(text, words, holds)
     flags = UNICODE_CLASSES if unicode_classes else UNIX_LINES
-    found = f"rlike({column}, {sql_text(flags + pattern)})"
-    return f"({any_word(column, words, holds)} AND {found})" if words else found
+    found = text.rlike(flags + pattern)
+    return any_word(text, words, holds) & found if words else found
 
 
 class WordFlags:
@@ -200,24 +236,23 @@ class WordFlags:
 
     def __init__(self, words: set[str]):
         self._gates: dict[str, str] = {}
-        many_underscores = sum("_" in w for w in words) > 2
         for word in words:
             parts = [o for o in words if o != word and o in word]
             if parts:
                 self._gates[word] = max(parts, key=lambda o: (len(o), o))
-            elif many_underscores and "_" in word and word != "_":
+            elif "_" in word and word != "_":
                 self._gates[word] = "_"
         plain = {w for w in words if w not in self._gates} | set(self._gates.values()) - set(self._gates)
         self._numbers = {w: i for i, w in enumerate(sorted(plain))}
 
-    def column(self, line: str) -> str:
-        """SQL for the array of flags."""
-        return "array(" + ", ".join(holds(line, w) for w in self._numbers) + ")"
+    def column(self, line: Column) -> Column:
+        """The array of flags."""
+        return F.array(*[holds(line, w) for w in self._numbers])
 
-    def holds(self, line: str, word: str) -> str:
-        """SQL predicate that the line holds the word, by its flag."""
+    def holds(self, line: Column, word: str) -> Column:
+        """The line holds the word, by its flag."""
         if word in self._numbers:
-            return f"has[{self._numbers[word]}]"
+            return F.get("has", F.lit(self._numbers[word]))
         if word in self._gates:
-            return f"({self.holds(line, self._gates[word])} AND {holds(line, word)})"
+            return self.holds(line, self._gates[word]) & holds(line, word)
         return holds(line, word)

@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 def keep_first_source(sources: DataFrame) -> DataFrame:
     """The first source of each path, by ``source_seq``; inline texts are all kept.
 
-    Only paths and numbers are grouped. The texts then meet their winners on path and
-    number, so that a path with very many copies is spread by number.
+    Only paths and numbers are grouped, and only those of repeated paths go on. What is
+    joined to the texts are the losers, usually few: if their measured size allows it,
+    they are broadcast and the texts stay where they are.
     """
-    inline = F.when(F.col("path").isNull(), F.col("source_seq"))
-    first = (
-        sources.groupBy(F.col("path").alias("first_path"), inline.alias("inline"))
-        .agg(F.min("source_seq").alias("first_seq"))
-        .drop("inline")
-    )
-    same = (F.col("source_seq") == F.col("first_seq")) & F.col("path").eqNullSafe(F.col("first_path"))
-    return sources.join(first, same, "left_semi")
+    named = sources.where(F.col("path").isNotNull()).select("path", "source_seq")
+    repeated = named.groupBy("path").agg(F.min("source_seq").alias("first_seq"), F.max("source_seq").alias("last_seq"))
+    repeated = repeated.where("first_seq < last_seq").drop("last_seq")
+    losers = named.join(repeated, "path").where("source_seq > first_seq").select("path", "source_seq")
+    return sources.join(losers, ["path", "source_seq"], "left_anti").select(sources.columns)
 
 
 def first_per(findings: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from auditloom.functions.text import split_lines, trim_unicode
 
 
-def line_array(gate: str = "true") -> Column:
+def line_array(gate: Column | None = None) -> Column:
     """The lines of ``code`` as an array; null for empty texts and those off the gate.
 
     The conditions stand beside the split and not in a filter: below a projection that
     makes the texts, each term of a filter would make them anew.
     """
     code = F.col("code")
-    return F.when((code != "") & F.expr(gate), split_lines(code))
+    some = code != ""
+    return F.when(some if gate is None else some & gate, split_lines(code))
 
 
-def lines(sources: DataFrame, gate: str = "true") -> DataFrame:
+def lines(sources: DataFrame, gate: Column | None = None) -> DataFrame:
     """One row per line, numbered from 1. The text itself goes no further than this step.
 
     ``gate`` is a SQL predicate on ``code``; texts for which it fails give no lines.

@@ -9,7 +9,8 @@ from auditloom.functions.text import trim_unicode
 from auditloom.operators.dedup import first_per
 from auditloom.operators.lines import lines
 
-_FINDING_KEYS = ["path", "rule_id", "line_number", "code_snippet"]
+# Columns by which a node names its source; tables of a parser may know the path only.
+_SOURCE_KEYS = ["source_seq", "program", "path"]
 
 
 def node_checks(spark: SparkSession) -> DataFrame:
@@ -26,7 +27,7 @@ def scan_nodes(nodes: DataFrame) -> DataFrame:
     """One row per node that a check names, with the span of the node.
 
     A call with a qualified name (``path_len`` over 1) is not the called function itself
-    and is left alone. Nodes without a line or a snippet give no finding.
+    and is left alone. Nodes with ``source_seq`` and ``program`` keep them.
     """
     kind = F.col("kind")
     key = (
@@ -36,9 +37,9 @@ def scan_nodes(nodes: DataFrame) -> DataFrame:
         .when(kind.isin("loop", "while", "for", "fn", "struct"), "")
     )
     checks = node_checks(nodes.sparkSession)
-    keyed = nodes.withColumn("key", key).where(_is_valid(F.col("line_number"), F.col("snippet")))
+    keyed = nodes.withColumn("key", key)
     return keyed.join(F.broadcast(checks), ["kind", "key"]).select(
-        "path", "check_seq", F.col("node_seq").alias("item_seq"), "rule_id", "severity", "message",
+        *_source_keys(nodes), "check_seq", F.col("node_seq").alias("item_seq"), "rule_id", "severity", "message",
         "mitigation", "line_number", F.col("snippet").alias("code_snippet"),
     )
 
@@ -47,17 +48,23 @@ def _is_valid(line_number: Column, snippet: Column) -> Column:
     return (line_number > 0) & (snippet != "") & (snippet != catalogue.UNKNOWN_SNIPPET)
 
 
+def _source_keys(nodes: DataFrame) -> list[str]:
+    return [c for c in _SOURCE_KEYS if c in nodes.columns]
+
+
 def dedup_nodes(found: DataFrame) -> DataFrame:
-    """First finding of each rule, line and snippet of a file."""
-    return _with_check_texts(first_per(found, _FINDING_KEYS))
+    """First finding of each rule, line and snippet of a source; without a line or a snippet, none."""
+    valid = found.where(_is_valid(F.col("line_number"), F.col("code_snippet")))
+    return _with_check_texts(first_per(valid, [*_source_keys(found), "rule_id", "line_number", "code_snippet"]))
 
 
 def collapse_nodes(found: DataFrame) -> DataFrame:
-    """First finding of each rule of a file, with the placeholder line and snippet.
+    """First finding of each rule of a source, with the placeholder line and snippet.
 
-    This is what a report without node positions comes to.
+    This is what a report without node positions comes to, so that nodes without a line or
+    a snippet count, too.
     """
-    first = first_per(found, ["path", "rule_id"])
+    first = first_per(found, [*_source_keys(found), "rule_id"])
     return _with_check_texts(
         first.withColumn("line_number", F.lit(catalogue.PLACEHOLDER_LINE).cast("bigint"))
         .withColumn("code_snippet", F.lit(catalogue.PLACEHOLDER_SNIPPET))
@@ -67,14 +74,23 @@ def collapse_nodes(found: DataFrame) -> DataFrame:
 def _with_check_texts(first: DataFrame) -> DataFrame:
     texts = node_checks(first.sparkSession).select("check_seq", "severity", "message", "mitigation")
     return first.join(F.broadcast(texts), "check_seq").select(
-        "path", "check_seq", "item_seq", "rule_id", "severity", "message", "mitigation",
+        *_source_keys(first), "check_seq", "item_seq", "rule_id", "severity", "message", "mitigation",
         "line_number", "code_snippet",
     )
 
 
 def node_findings(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Node rows as findings of their sources, matched by path."""
-    return found.join(sources.select("program", "source_seq", "path"), "path").select(
+    """Node rows as findings of their sources.
+
+    Nodes that know their source need no join. Others are matched by path with the first
+    source of the path, after they have been reduced to the first ones.
+    """
+    if "source_seq" not in found.columns:
+        named = sources.where(F.col("path").isNotNull()).groupBy("path").agg(
+            F.min(F.struct("source_seq", "program")).alias("first")
+        )
+        found = found.join(named.select("path", "first.source_seq", "first.program"), "path")
+    return found.select(
         "program",
         "source_seq",
         F.lit(schemas.ANALYZER_TREE).alias("analyzer"),
@@ -131,11 +147,11 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     ).otherwise(F.col("line"))
     tokens = F.transform(F.regexp_extract_all(code_line, F.lit(_TOKEN), F.lit(0)), _token_node)
     found = lines(sources).select(
-        "path", "line_number", "line",
+        *_SOURCE_KEYS, "line_number", "line",
         F.posexplode(F.filter(tokens, lambda t: t["kind"].isNotNull())).alias("pos", "node"),
     )
     return found.select(
-        "path",
+        *_SOURCE_KEYS,
         (F.shiftleft("line_number", 32) + F.col("pos")).alias("node_seq"),
         "node.kind",
         "node.name",

@@ -5,11 +5,6 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.patterns import guard_parts, spark_pattern, with_problem
 
-# A rule table is configuration that ends up as text inside the plan. It is brought to
-# the driver only within this bound.
-MAX_RULES = 20_000
-
-
 def with_state(rules: DataFrame) -> DataFrame:
     """Rules with their first pattern and state: live, disabled, no pattern, unsupported."""
     first = rules.withColumn("pattern", F.try_element_at("patterns", F.lit(1)))
@@ -76,7 +71,7 @@ def last_rule_texts(rules: DataFrame) -> DataFrame:
 
 def collect_live(rules: DataFrame) -> list[Row]:
     """Live rules, on the driver, each with its ``tests``: the first pattern only."""
-    return _bounded(
+    return _in_order(
         active_rules(rules).withColumn("tests", F.array(spark_pattern(F.col("pattern")))).drop("pattern")
     )
 
@@ -86,7 +81,7 @@ def collect_all_patterns(rules: DataFrame) -> list[Row]:
     each = rules.where("enabled").select(
         "rule_seq", "id", "description", "severity", "mitigation", F.explode("patterns").alias("pattern")
     )
-    return _bounded(
+    return _in_order(
         with_problem(each, "pattern", "problem")
         .where(F.col("problem").isNull())
         .groupBy("rule_seq", "id", "description", "severity", "mitigation")
@@ -105,7 +100,7 @@ def collect_guarded(rules: DataFrame) -> list[Row]:
         .withColumn("guard", guard)
     )
     checked = with_problem(with_problem(parts, "trigger", "trigger_problem"), "guard", "guard_problem")
-    return _bounded(
+    return _in_order(
         checked.where("trigger_problem IS NULL AND guard_problem IS NULL").select(
             "rule_seq", "id", "description", "severity", "mitigation",
             spark_pattern(F.col("trigger")).alias("trigger"),
@@ -114,8 +109,6 @@ def collect_guarded(rules: DataFrame) -> list[Row]:
     )
 
 
-def _bounded(rules: DataFrame) -> list[Row]:
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; scan with parts of the rule table and union the findings")
-    return sorted(rows, key=lambda r: r.rule_seq)
+def _in_order(rules: DataFrame) -> list[Row]:
+    """Rules on the driver: they are configuration that ends up as literals inside the plan."""
+    return sorted(rules.toLocalIterator(), key=lambda r: r.rule_seq)

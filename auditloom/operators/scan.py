@@ -6,24 +6,21 @@ numbers of the rules that hold. Texts that hold none of the words a hit needs ar
 cut into lines at all.
 """
 
+import json
 from collections.abc import Callable, Hashable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from auditloom import schemas
-from auditloom.functions.patterns import WordFlags, any_word, matches, needed_words, sql_text
+from auditloom.functions.patterns import WordFlags, any_of, any_word, matches, needed_words
 from auditloom.functions.text import trim_unicode
 from auditloom.operators import rules as rule_sets
 from auditloom.operators.lines import line_array, lines
 
-# Predicates per array expression, and per pass over the sources. They bound the size of
-# generated code; more rules only mean more arrays or more passes.
+# Predicates per array expression. It bounds the size of generated code; more rules only
+# mean more arrays in the same projection.
 RULES_PER_ARRAY = 100
-RULES_PER_PASS = 1000
-# With more words than this, nearly every text holds one of them.
-MAX_GATE_WORDS = 200
 
 
 def scan_strict(sources: DataFrame, rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
@@ -42,10 +39,10 @@ def scan_guarded(sources: DataFrame, rules: DataFrame, unicode_classes: bool = T
     """Findings where the trigger of a rule matches a line and its guard does not."""
     guarded = rule_sets.collect_guarded(rules)
 
-    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
-        hit = matches("line", rule.trigger, unicode_classes, flags.holds)
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, Column]:
+        hit = matches(F.col("line"), rule.trigger, unicode_classes, flags.holds)
         if rule.guard is not None:
-            hit = f"{hit} AND NOT {matches('line', rule.guard, unicode_classes)}"
+            hit = hit & ~matches(F.col("line"), rule.guard, unicode_classes)
         return (rule.trigger, rule.guard), hit
 
     return _scan(sources, guarded, test, lambda rule: [rule.trigger], lines)
@@ -61,10 +58,10 @@ def scan_context(
     """
     guarded = rule_sets.collect_guarded(rules)
 
-    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
-        hit = matches("line", rule.trigger, unicode_classes, flags.holds)
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, Column]:
+        hit = matches(F.col("line"), rule.trigger, unicode_classes, flags.holds)
         if rule.guard is not None:
-            hit = f"{hit} AND NOT exists(around, near -> {matches('near', rule.guard, unicode_classes)})"
+            hit = hit & ~F.exists("around", lambda near: matches(near, rule.guard, unicode_classes))
         return (rule.trigger, rule.guard), hit
 
     return _scan(
@@ -72,7 +69,7 @@ def scan_context(
     )
 
 
-def _lines_with_neighbours(sources: DataFrame, gate: str, reach: int) -> DataFrame:
+def _lines_with_neighbours(sources: DataFrame, gate: Column, reach: int) -> DataFrame:
     cut = sources.select("program", "source_seq", "path", line_array(gate).alias("all_lines"))
 
     def with_neighbours(line: Column, pos: Column) -> Column:
@@ -87,10 +84,10 @@ def _lines_with_neighbours(sources: DataFrame, gate: str, reach: int) -> DataFra
 
 
 def _scan_patterns(sources: DataFrame, rules: list[Row], unicode_classes: bool) -> DataFrame:
-    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, str]:
+    def test(rule: Row, flags: WordFlags) -> tuple[Hashable, Column]:
         patterns = sorted(rule.tests)
-        return tuple(patterns), " OR ".join(
-            matches("line", p, unicode_classes, flags.holds) for p in patterns
+        return tuple(patterns), any_of(
+            [matches(F.col("line"), p, unicode_classes, flags.holds) for p in patterns]
         )
 
     return _scan(sources, rules, test, lambda rule: rule.tests, lines)
@@ -99,9 +96,9 @@ def _scan_patterns(sources: DataFrame, rules: list[Row], unicode_classes: bool)
 def _scan(
     sources: DataFrame,
     rules: list[Row],
-    test: Callable[[Row, WordFlags], tuple[Hashable, str]],
+    test: Callable[[Row, WordFlags], tuple[Hashable, Column]],
     patterns: Callable[[Row], list[str]],
-    to_lines: Callable[[DataFrame, str], DataFrame],
+    to_lines: Callable[[DataFrame, Column], DataFrame],
 ) -> DataFrame:
     """One finding per rule and line for which the rule's test holds.
 
@@ -109,45 +106,32 @@ def _scan(
     """
     words = [needed_words(p)[0] for rule in rules for p in patterns(rule)]
     needed = sorted({w for ws in words for w in ws})
-    if words and all(words) and len(needed) <= MAX_GATE_WORDS:
+    # Texts are passed by only if every rule has words that a hit of it needs.
+    if words and all(words):
         needed = [w for w in needed if not any(o in w for o in needed if o != w)]
-        gate = any_word("code", needed)
+        gate = any_word(F.col("code"), needed)
     else:
-        gate = "true"
-    passes = [
-        _one_pass(to_lines(sources, gate), rules[i:i + RULES_PER_PASS], test, patterns)
-        for i in range(0, max(len(rules), 1), RULES_PER_PASS)
-    ]
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _one_pass(
-    texts: DataFrame,
-    rules: list[Row],
-    test: Callable[[Row, WordFlags], tuple[Hashable, str]],
-    patterns: Callable[[Row], list[str]],
-) -> DataFrame:
+        gate = F.lit(True)
+    texts = to_lines(sources, gate)
     flags = WordFlags({w for rule in rules for p in patterns(rule) for w in needed_words(p)[0]})
-    texts = texts.withColumn("has", F.expr(flags.column("line")))
+    texts = texts.withColumn("has", flags.column(F.col("line")))
     # Rules with the same test are tried once.
-    tests: dict[Hashable, tuple[str, list[int]]] = {}
+    tests: dict[Hashable, tuple[Column, list[int]]] = {}
     for number, rule in enumerate(rules):
         key, hit = test(rule, flags)
         tests.setdefault(key, (hit, []))[1].append(number)
-    held = [
-        f"CASE WHEN {hit} THEN array({', '.join(map(str, numbers))}) END" for hit, numbers in tests.values()
-    ] or ["CAST(NULL AS ARRAY<INT>)"]
+    held = [F.when(hit, F.lit(numbers)) for hit, numbers in tests.values()]
     chunks = [
-        f"array_compact(array({', '.join(held[i:i + RULES_PER_ARRAY])}))"
+        F.flatten(F.array_compact(F.array(*held[i:i + RULES_PER_ARRAY])))
         for i in range(0, len(held), RULES_PER_ARRAY)
-    ]
+    ] or [F.array().cast("array<int>")]
     # The numbers are worked out in a projection, whose code Spark splits into small methods.
     # They sit in a struct because a generator over a bare column would bring in a filter on
     # its size, pushed below the projection and so working everything out twice.
-    hits = F.expr(f"struct(flatten(concat({', '.join(chunks)})) AS numbers)")
+    hits = F.struct(F.concat(*chunks).alias("numbers"))
     place = ["program", "source_seq", "path", "line_number", "line"]
     found = texts.select(*place, hits.alias("hits")).select(*place, F.explode("hits.numbers").alias("number"))
-    texts_of_rules = F.expr(f"array({', '.join(map(_rule_text, rules))})").cast(_RULE_TEXTS)
+    texts_of_rules = F.from_json(F.lit(json.dumps([_rule_text(r) for r in rules])), _RULE_TEXTS)
     return found.withColumn("rule", F.get(texts_of_rules, "number")).select(
         "program",
         "source_seq",
@@ -170,7 +154,8 @@ _RULE_TEXTS = (
 )
 
 
-def _rule_text(rule: Row) -> str:
-    texts = [rule.id, rule.severity, rule.description, rule.mitigation]
-    values = ["NULL" if t is None else sql_text(t) for t in texts]
-    return f"struct({rule.rule_seq}, {', '.join(values)})"
+def _rule_text(rule: Row) -> dict:
+    return {
+        "rule_seq": rule.rule_seq, "rule_id": rule.id, "severity": rule.severity, "message": rule.description,
+        "mitigation": rule.mitigation,
+    }

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from auditloom.operators.dedup import keep_first_source
 from auditloom.operators.nodes import collapse_nodes, dedup_nodes, node_findings, scan_nodes
 from auditloom.operators.responses import answer_findings, answer_rejects, parse_answers
 from auditloom.operators.routing import skipped_sources
@@ -29,9 +30,10 @@ def audit_rust(
     """Findings in Rust sources. ``nodes`` are needed for tree checks, ``responses`` for
     model findings; ``collapse`` gives one tree finding per rule and file."""
     parts = [scan_strict(sources, rules)] if mode.regex else []
-    if mode.ast and nodes is not None:
-        parts.append(_tree_part(sources, nodes, collapse))
-    if mode.llm and responses is not None:
+    if mode.ast:
+        parts.append(_tree_part(sources, _given(nodes, "nodes"), collapse))
+    if mode.llm:
+        responses = _given(responses, "responses")
         parts.append(answer_findings(parse_answers(responses), sources))
     return _bag(parts)
 
@@ -43,12 +45,16 @@ def audit_solidity(
     trees: DataFrame | None = None,
     responses: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings in Solidity and JSON sources. ``trees`` are compiler syntax trees by path."""
-    sources = drop_blank_inline(sources)
+    """Findings in Solidity and JSON sources. ``trees`` are compiler syntax trees by path.
+
+    Of several sources of one path the first one counts.
+    """
+    sources = keep_first_source(drop_blank_inline(sources))
     parts = [scan_strict(sources, rules)] if mode.regex else []
-    if mode.ast and trees is not None:
-        parts.append(setter_findings(trees, sources, rules))
-    if mode.llm and responses is not None:
+    if mode.ast:
+        parts.append(setter_findings(_given(trees, "trees"), sources, rules))
+    if mode.llm:
+        responses = _given(responses, "responses")
         parts.append(answer_findings(parse_answers(responses), sources))
     return _bag(parts)
 
@@ -85,7 +91,14 @@ def _tree_part(sources: DataFrame, nodes: DataFrame, collapse: bool) -> DataFram
     return node_findings(collapse_nodes(found) if collapse else dedup_nodes(found), sources)
 
 
+def _given(table: DataFrame | None, name: str) -> DataFrame:
+    """An analyzer that was asked for must have its input; it is never skipped in silence."""
+    if table is None:
+        raise ValueError(f"the mode asks for an analyzer whose input table is missing: {name}")
+    return table
+
+
 def _bag(parts: list[DataFrame]) -> DataFrame:
     if not parts:
-        raise ValueError("no analyzer to run: none is switched on, or its input table is missing")
+        raise ValueError("no analyzer to run: none is switched on")
     return reduce(DataFrame.unionByName, parts)

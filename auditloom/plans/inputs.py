@@ -37,12 +37,17 @@ PATH = (
 )
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for a table that is a single file here."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents_as(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = spread(table(spark, sf_dir, "documents"), _tasks(spark), "doc_id")
     return table_sources(
         documents, seq=F.col("doc_id"), code=F.expr(code), path=F.expr(PATH), program=F.col("source")
     )
@@ -71,10 +76,12 @@ def crlf_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents without paths, with white space only in place of every tenth text."""
+    """The documents without paths, and a blank text beside every tenth of them."""
     documents = table(spark, sf_dir, "documents")
-    code = F.expr("CASE WHEN doc_id % 10 = 0 THEN ' \\t\\n\\u2003' ELSE text END")
-    return table_sources(documents, seq=F.col("doc_id"), code=code)
+    blank = documents.where("doc_id % 10 = 0").withColumns({
+        "doc_id": -1 - F.col("doc_id"), "text": F.lit(" \t\n\u2003"),
+    })
+    return table_sources(documents.unionByName(blank), seq=F.col("doc_id"), code=F.col("text"))
 
 
 def redelivered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +100,7 @@ def redelivered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    pages = spread(table(spark, sf_dir, "pages"), _tasks(spark), "page_id")
     return table_sources(pages, seq=F.col("page_id"), code=F.col("html"), path=F.col("url"))
 
 
@@ -122,7 +129,7 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One syntax node per line item; a third of them in one file."""
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    return spread(table(spark, sf_dir, "lineitem"), _tasks(spark), "l_orderkey").select(
         F.expr("IF(l_orderkey % 3 = 0, 'src/hot.rs', concat('src/o', l_orderkey, '.rs'))").alias("path"),
         F.expr("(l_orderkey * 8 + l_linenumber) * 200000000 + l_partkey").alias("node_seq"),
         F.expr(
@@ -218,16 +225,14 @@ def contract_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents in place of trees, every other one an empty tree."""
-    return table(spark, sf_dir, "documents").select(
-        F.expr(PATH).alias("path"),
-        F.expr("IF(doc_id % 2 = 0, ' {\"nodes\": []}', text)").alias("tree"),
-    )
+    """The documents in place of trees, and an empty tree beside each."""
+    documents = table(spark, sf_dir, "documents").select(F.expr(PATH).alias("path"), "text")
+    return documents.select("path", F.explode(F.array(F.lit(' {"nodes": []}'), "text")).alias("tree"))
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One byte span per document, forty characters from somewhere inside it."""
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = spread(table(spark, sf_dir, "documents"), _tasks(spark), "doc_id")
     start = "CAST((doc_id * 7919) % length(text) AS INT)"
     src = f"concat(octet_length(left(text, {start})), ':', octet_length(substring(text, {start} + 1, 40)), ':0')"
     return documents.select(F.expr(PATH).alias("path"), F.expr(src).alias("src"))

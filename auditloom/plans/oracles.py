@@ -190,8 +190,7 @@ found AS (
          c.message, c.mitigation, n.line_number, n.snippet AS code_snippet
   FROM code_nodes n JOIN checks c ON n.kind = c.kind AND (
        (n.kind = 'call' AND n.path_len = 1 AND n.name = c.key) OR (n.kind = 'method_call' AND n.name = c.key)
-       OR (n.kind = 'binary' AND n.op = c.key) OR n.kind IN ('loop', 'while', 'for', 'fn', 'struct'))
-  WHERE n.line_number > 0 AND n.snippet NOT IN ('', 'unknown'))
+       OR (n.kind = 'binary' AND n.op = c.key) OR n.kind IN ('loop', 'while', 'for', 'fn', 'struct')))
 """
 _NAME = r"[\p{L}\p{M}\p{N}_]+"
 _TOKEN = rf"(?:fn|struct)[ \t]+{_NAME}|[.:!]*{_NAME}!?[ \t]*\(?"
@@ -227,7 +226,7 @@ FIRST_NODES = """
 first_nodes AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY path, rule_id, line_number, code_snippet ORDER BY item_seq) AS rn
-    FROM found) WHERE rn = 1)
+    FROM found WHERE line_number > 0 AND code_snippet NOT IN ('', 'unknown')) WHERE rn = 1)
 """
 COLLAPSED_NODES = f"""
 collapsed AS (
@@ -365,7 +364,7 @@ def all_sql() -> dict[str, str]:
     return {
         "src_files": f"SELECT item_id, text || {NL} AS code FROM benchmark",
         "src_inline": "SELECT doc_id AS source_seq, 'stdin' AS source, text AS code FROM documents "
-        f"WHERE doc_id % 10 <> 0 AND {_trim('text')} <> ''",
+        f"WHERE {_trim('text')} <> ''",
         "src_ext_filter": f"SELECT doc_id AS source_seq, {PATH} AS path, doc_id % 4 <> 3 AS solidity, "
         "doc_id % 4 = 3 AS rust, doc_id % 4 = 2 AS json FROM documents",
         "src_dedup": """
@@ -447,7 +446,7 @@ def all_sql() -> dict[str, str]:
         "response_rejects": _ANSWER_REJECTS,
         "rejects": f"SELECT 'tree' AS stage, {PATH} AS path, 'JSON artifact' AS reason FROM documents "
         f"WHERE doc_id % 4 = 2 UNION ALL SELECT 'tree', {PATH}, 'not a JSON object' FROM documents "
-        f"WHERE doc_id % 2 = 1 UNION ALL {_ANSWER_REJECTS}",
+        f"UNION ALL {_ANSWER_REJECTS}",
         "stream_scan": _TEXT_SCAN,
         "stream_dedup": "SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'users/hot' ELSE 'users/' || user_id END "
         "AS path, event_type AS code FROM events",

@@ -249,7 +249,7 @@ def nodes_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.lexical_nodes(inputs.code_sources(spark, sf_dir)).drop("op")
+    return nodes.lexical_nodes(inputs.code_sources(spark, sf_dir)).drop("op", "source_seq", "program")
 
 
 # Solidity trees.

@@ -1,6 +1,7 @@
 """Source texts from files, directories and tables."""
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,30 +23,34 @@ def read_sources(
     ``roots`` come in the order in which findings are listed; a missing one is an error.
     A file under several roots is read once, for the first of them. Without
     ``extensions`` every file is taken. ``program`` is the path segment below
-    ``program_root``. Files that are not UTF-8 go to the rejects. Spark's file listing
-    passes over empty files and over names that start with ``_`` or ``.``.
+    ``program_root``. Files that are not UTF-8 go to the rejects, and so do files that
+    Spark's readers pass over by name (``_x``, ``.x``, and all in such folders); one that
+    is named as a root is an error. Empty files are sources with an empty text.
     """
     if not roots:
         raise ValueError("no file or directory to read")
+    roots = [_absolute(r).rstrip("/") for r in roots]
+    glob = extension_glob(extensions, any_case) if extensions else None
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if extensions:
-        reader = reader.option("pathGlobFilter", extension_glob(extensions, any_case))
-    seen: list[str] = []
-    parts = []
-    for root in map(_absolute, roots):
-        files = reader.load(root).select(clean_path(F.col("path")).alias("path"), "content")
-        for earlier in seen:
-            inside = (F.col("path") == earlier) | F.startswith(F.col("path"), F.lit(earlier.rstrip("/") + "/"))
-            files = files.where(~inside)
-        seen.append(root)
-        parts.append(files)
-    files = parts[0]
-    for part in parts[1:]:
-        files = files.unionByName(part)
-    texts = files.withColumn("code", F.col("content").cast("string"))
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    # One listing of all roots; those inside another root are part of it.
+    outer = [r for r in dict.fromkeys(roots) if not any(r != o and r.startswith(o + "/") for o in roots)]
+    files = reader.load(outer)
+    empty, hidden = _unread_names(spark, roots, extensions, any_case)
+    named = sorted(set(hidden) & set(roots))
+    if named:
+        raise ValueError(f"Spark's readers pass over files with such names: {', '.join(named)}")
+    texts = files.where("length > 0").select(
+        clean_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("code")
+    )
+    blank = spark.createDataFrame([(p, "") for p in empty], "path string, code string")
+    texts = texts.unionByName(blank)
     valid = F.is_valid_utf8("code")
+    # Numbers follow the roots' order, and within a root the listing.
+    first_root = F.coalesce(*[F.when(_is_below("path", r), F.lit(i)) for i, r in enumerate(roots)], F.lit(len(roots)))
     sources = texts.where(valid).select(
-        F.monotonically_increasing_id().alias("source_seq"),
+        (F.shiftleft(first_root.cast("bigint"), 52) + F.monotonically_increasing_id()).alias("source_seq"),
         _segment_below(F.col("path"), program_root).alias("program"),
         "path",
         "code",
@@ -53,7 +58,39 @@ def read_sources(
     rejects = texts.where(~valid).select(
         F.lit("read").alias("stage"), "path", F.lit("not UTF-8").alias("reason")
     )
-    return sources, rejects
+    passed_over = spark.createDataFrame(
+        [("read", p, "name that readers pass over") for p in hidden], "stage string, path string, reason string"
+    )
+    return sources, rejects.unionByName(passed_over)
+
+
+def _is_below(path: str, root: str) -> Column:
+    return (F.col(path) == root) | F.startswith(F.col(path), F.lit(root + "/"))
+
+
+def _unread_names(
+    spark: SparkSession, roots: list[str], extensions: list[str] | None, any_case: bool
+) -> tuple[list[str], list[str]]:
+    """(empty files, files with names that Spark's readers pass over), from a listing of names."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    ends = None if extensions is None else tuple("." + e for e in extensions)
+    empty: dict[str, None] = {}
+    hidden: dict[str, None] = {}
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            file = files.next()
+            name = re.sub("^file:/+", "/", file.getPath().toString())
+            if ends and not (name.lower() if any_case else name).endswith(ends):
+                continue
+            below = name[len(root):].split("/") if name != root else [name.rsplit("/", 1)[-1]]
+            if any(part.startswith(("_", ".")) for part in below):
+                hidden[name] = None
+            elif file.getLen() == 0:
+                empty[name] = None
+    return list(empty), list(hidden)
 
 
 def read_rust_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -120,13 +157,7 @@ def drop_blank_inline(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("path").isNotNull() | (trim_unicode(F.col("code")) != ""))
 
 
-def spread(sources: DataFrame, key: str = "source_seq") -> DataFrame:
-    """Repartition an input that has too few splits to keep the cluster busy.
-
-    Meant for a plain read of a few small files. An input with enough splits is left as
-    it is: moving its texts would cost more than the scan gains.
-    """
-    cores = sources.sparkSession.sparkContext.defaultParallelism
-    if sources.rdd.getNumPartitions() >= 2 * cores:
-        return sources
-    return sources.repartition(2 * cores, key)
+def spread(sources: DataFrame, partitions: int, key: str = "source_seq") -> DataFrame:
+    """Repartition by a key. It is for an input of a few small files, whose texts may move
+    once; a large input has splits enough and is better left as it is."""
+    return sources.repartition(partitions, key)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from auditloom import catalogue, schemas
 
-MAX_RULE_FILE_BYTES = 64 * 1024 * 1024
 _REQUIRED = ["id", "description", "severity", "patterns", "enabled"]
 
 
@@ -65,13 +64,14 @@ def require_complete(rules: DataFrame) -> DataFrame:
 
 
 def read_rule_file(spark: SparkSession, path: str) -> tuple[DataFrame, AnalysisMode | None]:
-    """Rules and analysis mode of one TOML rule file; the mode is None if the file has none."""
-    files = spark.read.format("binaryFile").load(path)
-    # The file is configuration and is read whole: check its size before its content.
-    size = files.agg(F.sum("length")).first()[0] or 0
-    if size > MAX_RULE_FILE_BYTES:
-        raise ValueError(f"rule file of {size} bytes; use a JSON or Parquet rule table")
-    return parse_rule_file(spark, bytes(files.select("content").first()[0]).decode("utf-8"))
+    """Rules and analysis mode of one TOML rule file; the mode is None if the file has none.
+
+    A folder is taken if it holds exactly one file; more or none are an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content").take(2)
+    if len(files) != 1:
+        raise ValueError(f"{path} is not one rule file")
+    return parse_rule_file(spark, bytes(files[0]["content"]).decode("utf-8"))
 
 
 def parse_rule_file(spark: SparkSession, text: str) -> tuple[DataFrame, AnalysisMode | None]:

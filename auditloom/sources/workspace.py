@@ -1,19 +1,14 @@
 """Where jobs may put files that other tasks read."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``.
+    """A fresh folder name under ``spark.checkpoint.dir``, or else under the warehouse.
 
-    Only a local session without that setting, as in tests, gets a temporary folder.
+    Both are folders that driver and executors share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="auditloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,19 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPREAD = 16
 
-
-def drop_redelivered(deliveries: DataFrame, time: str, delay: str, spread: int = _SPREAD) -> DataFrame:
+def drop_redelivered(deliveries: DataFrame, time: str, delay: str) -> DataFrame:
     """First delivery of each (path, code) within the watermark delay.
 
     A row later than the watermark is dropped, and a repeat is dropped as long as the
-    state of its first delivery is kept. A delivery repeated very often meets the state
-    in two steps: copies are first dropped in ``spread`` slices, so that its second step
-    sees no more than one copy per slice.
+    state of its first delivery is kept. The state is one small entry per key.
     """
     keyed = deliveries.withWatermark(time, delay).withColumn("code_hash", F.sha2("code", 256))
-    if spread > 1:
-        keyed = keyed.withColumn("slice", F.pmod(F.xxhash64(time), F.lit(spread)))
-        keyed = keyed.dropDuplicatesWithinWatermark(["path", "code_hash", "slice"]).drop("slice")
     return keyed.dropDuplicatesWithinWatermark(["path", "code_hash"]).drop("code_hash")

@@ -1,68 +1,83 @@
 """Small sources written for the tests, and what an audit finds in them."""
 
-CONTRACT = """// A vault with open doors.
-pragma solidity ^0.8.0;
+# Two contracts: a guarded registry, and a relay that inherits from it.
+CONTRACT = """// Reports go through the relay.
+pragma solidity ^0.8.20;
 
-contract OpenVault {
-    address owner;
-    uint256 votes;
+abstract contract Registry {
+    mapping(address => bool) internal keepers;
+    modifier onlyRole(bytes32 role) { _; }
 
-    function setQuorum(uint256 value) external {
-        votes = value;
+    function addKeeper(address who) public onlyRole("KEEPER") {
+        keepers[who] = true;
     }
 
-    function upgradeImpl(address impl) external {
-        (bool done, ) = impl.delegatecall ("");
-        require(done);
+    function isKeeper(address who) public view returns (bool) {
+        return keepers[who];
     }
+}
+
+contract Relay is Registry {
+    uint64 private last;
+
+    function submitReport(uint64 slot, bytes calldata body) external {
+        require(slot > last, "old");
+        last = slot; // then applyReport
+    }
+
+    function updateReserve(uint64 floor) public { last = floor; }
 
-    function payOut(address payable to, uint256 sum) external {
-        (bool done, ) = to.call{ value: sum}("");
-        require(done);
+    function forward(address to, bytes memory body) public payable {
+        (bool ok, ) = to.call {value: msg.value}(body);
+        if (!ok) { to.delegatecall(body); }
     }
 
-    function DOMAIN_SEPARATOR() external view returns (bytes32) {
-        return keccak256("EIP712Domain(string name)");
+    function removeKeeper(address who) external {
+        delete keepers[who];
     }
 
-    function setFrameConfig(uint256 frame) external {
-        votes = frame;
+    function signed(address a, uint256 n) external pure returns (bytes32) {
+        return keccak256(abi.encode("EIP712 permit(address,uint256)", a, n));
     }
 }
 """
-FIRST_PATTERN_HITS = {("EVM-2001", 13), ("EVM-2002", 18), ("EVM-4001", 23), ("EVM-5001", 26)}
-ALL_PATTERN_HITS = FIRST_PATTERN_HITS | {("EVM-3001", 8), ("EVM-4001", 22)}
-OPEN_SETTER_LINES = {8, 12, 26}
+FIRST_PATTERN_HITS = {("EVM-2001", 29), ("EVM-2002", 28), ("EVM-4001", 37), ("EVM-5002", 22)}
+ALL_PATTERN_HITS = FIRST_PATTERN_HITS | {("EVM-5002", 20)}
+OPEN_SETTER_LINES = {25, 32}
 
-# (name, visibility, mutability, first line) of the functions, as a compiler lists them.
+# (contract, name, visibility, mutability, modifiers) of the functions, as a compiler lists them.
 CONTRACT_FUNCTIONS = [
-    ("setQuorum", "external", "nonpayable"),
-    ("upgradeImpl", "external", "nonpayable"),
-    ("payOut", "external", "nonpayable"),
-    ("DOMAIN_SEPARATOR", "external", "view"),
-    ("setFrameConfig", "external", "nonpayable"),
+    ("Registry", "addKeeper", "public", "nonpayable", ["onlyRole"]),
+    ("Registry", "isKeeper", "public", "view", []),
+    ("Relay", "submitReport", "external", "nonpayable", []),
+    ("Relay", "updateReserve", "public", "nonpayable", []),
+    ("Relay", "forward", "public", "payable", []),
+    ("Relay", "removeKeeper", "external", "nonpayable", []),
+    ("Relay", "signed", "external", "pure", []),
 ]
 
 
 def contract_tree() -> dict:
-    functions = []
-    for name, visibility, mutability in CONTRACT_FUNCTIONS:
+    contracts: dict[str, list[dict]] = {"Registry": [], "Relay": []}
+    for contract, name, visibility, mutability, modifiers in CONTRACT_FUNCTIONS:
         start = CONTRACT.index(f"function {name}")
-        end = CONTRACT.index("\n    }\n", start) + len("\n    }")
-        functions.append({
+        line_end = CONTRACT.index("\n", start)
+        one_line = CONTRACT[start:line_end].endswith("}")
+        end = line_end if one_line else CONTRACT.index("\n    }\n", start) + len("\n    }")
+        contracts[contract].append({
             "nodeType": "FunctionDefinition",
             "name": name,
             "visibility": visibility,
             "stateMutability": mutability,
             "src": f"{start}:{end - start}:0",
-            "modifiers": [],
+            "modifiers": [{"modifierName": {"name": m}} for m in modifiers],
         })
-    variable = {"nodeType": "VariableDeclaration", "name": "owner", "src": "0:1:0"}
+    variable = {"nodeType": "VariableDeclaration", "name": "last", "src": "0:1:0"}
     return {
         "nodeType": "SourceUnit",
         "nodes": [
             {"nodeType": "PragmaDirective", "literals": ["solidity"]},
-            {"nodeType": "ContractDefinition", "name": "OpenVault", "nodes": [variable, *functions]},
+            *({"nodeType": "ContractDefinition", "name": n, "nodes": [variable, *f]} for n, f in contracts.items()),
         ],
     }
 

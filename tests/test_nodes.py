@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from auditloom import schemas
 from auditloom.operators.nodes import collapse_nodes, dedup_nodes, lexical_nodes, scan_nodes
-from auditloom.plans.audit import audit_programs
+from auditloom.plans.audit import audit_programs, audit_rust
 from auditloom.plans.reports import collection_totals, count_by_severity, program_report
+from auditloom.sources.rules import AnalysisMode, stock_rust_rules
 from tests.samples import COLLAPSED, PROGRAM_NODES
 
 
@@ -63,7 +64,10 @@ def test_nodes_without_position_are_dropped(nodes):
         ("a", 2, "fn", "f", None, None, 1, "unknown"),
         ("a", 3, "fn", "f", None, None, 1, "s"),
     ]
-    assert [r.item_seq for r in scan_nodes(nodes(rows)).collect()] == [3]
+    found = scan_nodes(nodes(rows))
+    assert [r.item_seq for r in dedup_nodes(found).collect()] == [3]
+    # A report without positions keeps nodes that have none.
+    assert [r.item_seq for r in collapse_nodes(found).collect()] == [0]
 
 
 def test_keep_first(nodes):
@@ -129,6 +133,19 @@ def test_lexical_nodes(sources):
     ]
 
 
+def test_nodes_keep_to_their_source(spark):
+    """Inline sources have tree findings, and sources of one path keep to their own."""
+    rows = [(0, "p", None, "loop {}"), (1, "p", "a.rs", "loop {}"), (2, "q", "a.rs", "x\nfn f() {}")]
+    table = spark.createDataFrame(rows, schemas.SOURCES)
+    mode = AnalysisMode(regex=False, ast=True, llm=False)
+    found = audit_rust(table, stock_rust_rules(spark), mode, nodes=lexical_nodes(table)).collect()
+    assert sorted((r.source_seq, r.program, r.file_path or "", r.line_number) for r in found) == [
+        (0, "p", "", 1), (1, "p", "a.rs", 1), (2, "q", "a.rs", 2)
+    ]
+    with pytest.raises(ValueError, match="nodes"):
+        audit_rust(table, stock_rust_rules(spark), mode)
+
+
 def test_dedup_reduces_before_the_shuffle(nodes):
     plan = dedup_nodes(scan_nodes(nodes(node_rows("a", [("fn", "f", None, None)]))))
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from auditloom.plans import oracles, registry
 from check import TABLES, digest
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = oracles.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,11 @@ def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(SQL) <= set(driver.oracle_sql())
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 

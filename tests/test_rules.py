@@ -153,11 +153,5 @@ def test_lint(spark):
     ]
 
 
-def test_too_many_rules_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_RULES", 3)
-    with pytest.raises(ValueError, match="more than 3 rules"):
-        R.collect_live(stock_solidity_rules(spark))
-
-
 def test_schema_of_rules(spark):
     assert stock_rust_rules(spark).schema.simpleString() == spark.createDataFrame([], schemas.RULES).schema.simpleString()

@@ -18,7 +18,7 @@ def rule(id_, *patterns, enabled=True):
 
 
 def test_contract_hits(spark, sources):
-    source = sources(("OpenVault.sol", CONTRACT))
+    source = sources(("Relay.sol", CONTRACT))
     assert hits(scan_strict(source, stock_solidity_rules(spark))) == FIRST_PATTERN_HITS
     assert hits(scan_all_patterns(source, stock_solidity_rules(spark))) == ALL_PATTERN_HITS
 
@@ -61,9 +61,8 @@ def test_no_rule_and_no_source(spark, sources):
     assert scan_strict(sources(("a", ""), ("b", "\n")), rules_from_rows(spark, [rule("A", "^$")])).count() == 1
 
 
-def test_rules_beyond_one_array_and_one_pass(spark, sources, monkeypatch):
+def test_rules_beyond_one_array(spark, sources, monkeypatch):
     monkeypatch.setattr(scan, "RULES_PER_ARRAY", 3)
-    monkeypatch.setattr(scan, "RULES_PER_PASS", 10)
     rules = rules_from_rows(spark, [rule(f"R{i}", f"w{i}[;]") for i in range(24)])
     text = "\n".join(f"w{i};" for i in range(24))
     assert hits(scan_strict(sources(("a", text)), rules)) == {(f"R{i}", i + 1) for i in range(24)}
@@ -75,6 +74,33 @@ def test_hundreds_of_rules_in_one_pass(spark, sources):
     assert hits(scan_strict(sources(("a", text)), rules)) == {(f"R{i}", i + 1) for i in range(600)}
 
 
+def test_any_number_of_rules_reads_sources_once(spark, tmp_path):
+    text = "\n".join(f"name_{i} ;" for i in range(0, 2500, 7))
+    row = (0, "p", "a", text)
+    spark.createDataFrame([row], "source_seq long, program string, path string, code string").write.parquet(str(tmp_path / "s"))
+    table = spark.read.parquet(str(tmp_path / "s"))
+    named = [rule(f"R{i}", rf"name_{i}\s*;") for i in range(2500)]
+    found = scan_strict(table, rules_from_rows(spark, named))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = hits(found)
+    parts = set()
+    for start in range(0, 2500, 500):
+        parts |= hits(scan_strict(table, rules_from_rows(spark, named[start:start + 500])))
+    assert got == parts == {(f"R{i}", line + 1) for line, i in enumerate(range(0, 2500, 7))}
+
+
+def test_rule_texts_are_taken_as_they_are(spark, sources):
+    """Nothing in a rule is expanded, and odd patterns mean what they say."""
+    rules = rules_from_rows(spark, [
+        ("A", "low", True, [r"\$\{env:HOME\}"], "reads ${env:HOME}", "${env:HOME}"),
+        ("B", "low", True, [r"\(?<div>"], "b", None), ("C", "low", True, [r"(buy|sell)\d"], "c", None),
+        ("D", "low", True, [r"(?P<who>me)[[:digit:]]"], "d", None), ("E", "low", True, [r"\<word\>"], "e", None),
+    ])
+    found = scan_strict(sources(("a", "${env:HOME}\n/root\n<div>\n(\nsell9\nme7\nswords word\nswords")), rules)
+    assert hits(found) == {("A", 1), ("B", 3), ("C", 5), ("D", 6), ("E", 7)}
+    assert {(r.message, r.mitigation) for r in found.collect() if r.rule_id == "A"} == {("reads ${env:HOME}", "${env:HOME}")}
+
+
 CODE = """pub fn run(ctx: Ctx) {
   invoke(&ix, accounts);
   account.reload()?;

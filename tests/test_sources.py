@@ -19,7 +19,7 @@ from auditloom.sources.files import (
     table_sources,
 )
 from auditloom.sources.tables import save_by_path
-from auditloom.sources.rules import stock_rust_rules
+from auditloom.sources.rules import read_rule_file, stock_rust_rules
 from pyspark.sql import functions as F
 
 
@@ -50,19 +50,22 @@ def names(frame, tree):
 def test_directories_and_files(spark, tree):
     roots = [str(tree / "one"), str(tree / "two/a.sol"), str(tree / "two/lib.rs")]
     sources, rejects = read_sources(spark, roots, catalogue.SOLIDITY_EXTENSIONS)
-    assert names(sources, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "one/with space.sol", "two/a.sol"]
+    assert names(sources, tree) == [
+        "one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "one/deep/empty.sol", "one/with space.sol", "two/a.sol"
+    ]
     assert rejects.count() == 0
     code = {r.path.rsplit("/", 1)[1]: r.code for r in sources.collect()}
     assert code["b.SOL"] == "\n" and "a\r\nb\n" in [r.code for r in sources.collect()]
-    assert sources.select("source_seq").distinct().count() == 5
+    assert sources.select("source_seq").distinct().count() == 6
+    assert code["empty.sol"] == ""
 
 
 def test_overlapping_roots_give_each_file_once(spark, tree):
     roots = [str(tree / "one/deep"), str(tree / "one"), str(tree / "one/a.sol"), str(tree / "one/../one/deep/b.SOL")]
     sources, _ = read_sources(spark, roots, catalogue.SOLIDITY_EXTENSIONS)
-    assert names(sources, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "one/with space.sol"]
+    assert names(sources, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "one/deep/empty.sol", "one/with space.sol"]
     order = [r.path.rsplit("/", 1)[1] for r in sources.orderBy("source_seq").collect()]
-    assert set(order[:2]) == {"b.SOL", "c.Json"}
+    assert set(order[:3]) == {"b.SOL", "c.Json", "empty.sol"}
 
 
 def test_rust_files_and_programs(spark, tree):
@@ -72,7 +75,7 @@ def test_rust_files_and_programs(spark, tree):
 
 def test_reading_as_the_scans_do(spark, tree):
     project, _ = read_solidity_project(spark, str(tree), ["two/a.sol", "two/lib.rs", "one/a.sol"], ["one/deep"])
-    assert names(project, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "two/a.sol"]
+    assert names(project, tree) == ["one/a.sol", "one/deep/b.SOL", "one/deep/c.Json", "one/deep/empty.sol", "two/a.sol"]
     programs, _ = read_programs(spark, str(tree))
     assert [r.program for r in programs.collect()] == ["two"]
     given = str(tree) + "/one/../one/skip.txt"
@@ -105,6 +108,27 @@ def test_any_extension_and_broken_text(spark, tree):
     assert [(r.stage, r.reason) for r in rejects.collect()] == [("read", "not UTF-8")]
 
 
+def test_names_that_readers_pass_over_are_rejects(spark, tmp_path):
+    for name in ("a.sol", "_b.sol", ".c.sol", ".hid/d.sol", "empty.sol", "_skip.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.sol" else "x")
+    sources, rejects = read_sources(spark, [str(tmp_path)], ["sol"])
+    assert names(sources, tmp_path) == ["a.sol", "empty.sol"]
+    assert names(rejects, tmp_path) == [".c.sol", ".hid/d.sol", "_b.sol"]
+    assert {r.reason for r in rejects.collect()} == {"name that readers pass over"}
+    with pytest.raises(ValueError, match="_b.sol"):
+        read_rust_file(spark, str(tmp_path / "_b.sol"))
+
+
+def test_a_rule_folder_holds_one_file(spark, tmp_path):
+    text = '[[rules]]\nid = "A"\ndescription = "d"\nseverity = "low"\npatterns = ["x"]\nenabled = true\n'
+    (tmp_path / "one.toml").write_text(text)
+    assert read_rule_file(spark, str(tmp_path))[0].count() == 1
+    (tmp_path / "two.toml").write_text(text)
+    with pytest.raises(ValueError, match="not one rule file"):
+        read_rule_file(spark, str(tmp_path))
+
+
 def test_missing_root(spark, tree):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_sources(spark, [str(tree / "nowhere")])

@@ -47,3 +47,21 @@ def test_redelivered_sources_are_dropped(spark, tmp_path):
     assert deliver((30, "a", "1"), (31, "hot", "same"), (32, "a", "3")) == [
         ("a", "1"), ("a", "2"), ("a", "3"), ("b", "1"), ("hot", "same")
     ]
+
+
+def test_a_repeat_counts_from_the_delivery_that_was_kept(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "at timestamp, path string, code string"
+    noon = dt.datetime(2024, 1, 1, 12)
+
+    def deliver(*rows):
+        data = [(noon + dt.timedelta(minutes=m), path, "c") for m, path in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(schema).parquet(str(inbox))
+        run_to_end(drop_redelivered(stream, "at", "1 hour"), out, state)
+        return sorted((r.at.hour, r.at.minute, r.path) for r in spark.read.parquet(out).collect())
+
+    assert deliver((0, "a")) == [(12, 0, "a")]
+    assert deliver((30, "a"), (130, "z")) == [(12, 0, "a"), (14, 10, "z")]
+    # The watermark is past 13:00, where the state of the first delivery ends.
+    assert deliver((73, "a"), (131, "y")) == [(12, 0, "a"), (13, 13, "a"), (14, 10, "z"), (14, 11, "y")]
