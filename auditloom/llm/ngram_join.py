@@ -15,7 +15,8 @@ hold a link are worked out:
   below the bound that the two sizes set.
 
 A task gives the links that hold its components together, never all pairs. Links are
-exact in the 64-bit n-gram hashes; no partner is capped or sampled.
+exact but for collisions of 64-bit hashes, of n-grams within a pair and of whole sets; no
+partner is capped or sampled.
 
 Null texts, and texts without words, have an empty set and link with nothing. Repeated
 rows share a set. An empty table gives an empty result.
@@ -41,7 +42,7 @@ BLOCK_ROWS, BLOCK_GRAMS = 512, 2_000_000
 COLUMN_BLOCK = 2048
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_SETS = "_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>"
+_SETS = "_id bigint, text_hash bigint, n bigint, node bigint"
 
 
 def size_steps(longest: int, percent: int) -> list[int]:
@@ -106,39 +107,49 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, np
         yield batch.slice(start, end - start), *gram_sets(data, offsets, size)
 
 
-def _set_hashes(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        sum_by(mix(grams + _C1), offsets).view(np.int64),
-        sum_by(mix(grams ^ _C2), offsets).view(np.int64),
-    )
+def _nodes(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set, the same for equal sets wherever they are worked out."""
+    return mix(sum_by(mix(grams + _C1), offsets) ^ mix(sum_by(mix(grams ^ _C2), offsets))).view(np.int64)
 
 
-def _digest(size: int, percent: int):
-    """Sizes and hashes of the sets; the block keys for the first text of each set in a task."""
+def _digest(size: int):
+    """Sizes and hashes of the sets of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part, grams, offsets in _sets(batch, size):
-                h1, h2 = _set_hashes(grams, offsets)
-                keys = block_keys(grams, offsets, percent)
-                for i, pair in enumerate(zip(h1.tolist(), h2.tolist())):
-                    if pair in seen:
-                        keys[i] = keys[i][:0]
-                    seen.add(pair)
-                ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(h1), pa.array(h2),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                        part.column("_id"), part.column("text_hash"), pa.array(np.diff(offsets), pa.int64()),
+                        pa.array(_nodes(grams, offsets)),
                     ],
-                    names=["_id", "n", "h1", "h2", "keys"],
+                    names=["_id", "text_hash", "n", "node"],
                 )
 
     return run
 
 
+def _keys(size: int, percent: int):
+    """(node, key) of the column blocks of each set, once per set in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, grams, offsets in _sets(batch, size):
+                nodes, keys = _nodes(grams, offsets), block_keys(grams, offsets, percent)
+                fresh = [i for i, node in enumerate(nodes.tolist()) if node not in seen and not seen.add(node)]
+                if fresh:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(nodes[fresh], [len(keys[i]) for i in fresh])),
+                            pa.array(np.concatenate([keys[i] for i in fresh]).view(np.int64)),
+                        ],
+                        names=["node", "key"],
+                    )
+
+    return run
+
+
 def _fetch(size: int):
     """The sets of cluster rows, packed, each once per task of Spark."""
 
@@ -146,19 +157,16 @@ def _fetch(size: int):
         seen: set[int] = set()
         for batch in batches:
             for part, grams, offsets in _sets(batch, size):
-                h1, h2 = _set_hashes(grams, offsets)
-                rows = part.column("row").to_pylist()
-                same = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
-                chosen = []
-                for i in np.flatnonzero(same).tolist():
-                    if rows[i] not in seen:
-                        seen.add(rows[i])
-                        chosen.append(i)
+                nodes = part.column("node").to_pylist()
+                same = _nodes(grams, offsets) == part.column("node").to_numpy()
+                chosen = [
+                    i for i in np.flatnonzero(same).tolist() if nodes[i] not in seen and not seen.add(nodes[i])
+                ]
                 packed = [grams[offsets[i]:offsets[i + 1]].tobytes() for i in chosen]
                 kept = part.take(pa.array(chosen, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("row"), pa.array(packed, pa.binary()), kept.column("tasks")],
-                    names=["row", "grams", "tasks"],
+                    [kept.column("node"), pa.array(packed, pa.binary()), kept.column("tasks")],
+                    names=["node", "grams", "tasks"],
                 )
 
     return run
@@ -215,7 +223,7 @@ def _product(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, {}
         for batch in batches:
-            for name, row, grams in zip(*(batch.column(c).to_pylist() for c in ("task", "row", "grams"))):
+            for name, row, grams in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "grams"))):
                 if name != task:
                     if len(rows) > 1:
                         yield links(rows)
@@ -228,7 +236,7 @@ def _product(percent: int):
 
 
 def _tasks(classes: DataFrame, percent: int) -> DataFrame:
-    """Cluster rows (component, row, n, ..) with ``tasks``: the pairs of blocks they belong to."""
+    """Cluster rows (component, node, n, ..) with ``tasks``: the pairs of blocks they belong to."""
     total = classes.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     total = total.where("rows > 1")
     small = (F.col("rows") <= 2 * BLOCK_ROWS) & (F.col("grams") <= 2 * BLOCK_GRAMS)
@@ -244,7 +252,7 @@ def _tasks(classes: DataFrame, percent: int) -> DataFrame:
     for step in (-1, 0, 1):
         near = levels.select("component", (F.col("level") - step).alias("level"), F.col("blocks").alias(f"blocks{step}"))
         large = large.join(near, ["component", "level"], "left")
-    mine = F.pmod(F.xxhash64("row"), F.col("blocks0")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks0")).cast("int")
     large = large.withColumn("mine", mine)
 
     def names(step: int) -> Column:
@@ -259,46 +267,81 @@ def _tasks(classes: DataFrame, percent: int) -> DataFrame:
 
     large = large.withColumn("tasks", F.concat(names(-1), names(0), names(1)))
     few = rows.where(small).withColumn("tasks", F.array(F.col("component").cast("string")))
-    columns = ["row", "doc", "n", "h1", "h2", "tasks"]
+    columns = ["node", "first", "tasks"]
     return few.select(columns).unionByName(large.select(columns))
 
 
+def _joined(documents: DataFrame, doc: str, text: str, size: int, percent: int) -> DataFrame:
+    """Per row: its key (_id, text_hash), n, component_id, and the key of the row that stands for its component."""
+    pairs = documents.select(
+        F.col(doc).cast("bigint").alias("_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash")
+    )
+    digests = stored(pairs.mapInArrow(_digest(size), _SETS), "sets")
+    filled = digests.where("n > 0")
+    first = F.min(F.struct("_id", "text_hash")).alias("first")
+    classes = stored(filled.groupBy("node").agg(F.min("n").alias("n"), first), "classes")
+
+    # Sets with an equal column block, each with the one before it.
+    keyed = pairs.select("text").mapInArrow(_keys(size, percent), "node bigint, key bigint")
+    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
+    grouped = keyed.select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND b <> a")
+    clusters = connected_components(stored(grouped.distinct(), "near"))
+    members = stored(clusters.withColumnRenamed("id", "node").join(classes, "node"), "members")
+
+    # The texts of cluster rows, one for each set, come once more.
+    tasks = stored(_tasks(members, percent), "tasks").select("node", F.col("first._id").alias("_of"), "tasks")
+    # Sorted and merged at every size: how many rows are in clusters is not known beforehand.
+    fetched = pairs.drop("text_hash").join(tasks.hint("merge"), F.col("_id").eqNullSafe(F.col("_of")))
+    sets = fetched.select("text", "node", "tasks").mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
+    dealt = sets.select("node", "grams", F.explode("tasks").alias("task")).repartition("task").sortWithinPartitions("task")
+    links = stored(dealt.mapInArrow(_product(percent), "a bigint, b bigint"), "links")
+    linked = connected_components(links).withColumnRenamed("id", "node")
+
+    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    stands = rooted.groupBy("root").agg(F.min("first").alias("stands"))
+    # Stored, so that a set with a third of all rows can be split in the join.
+    of_class = stored(rooted.join(stands, "root").select("node", "stands"), "stands")
+    some = filled.join(of_class, "node").select("_id", "text_hash", "n", F.col("stands._id").alias("component_id"), "stands")
+    none = digests.where("n = 0").select(
+        "_id", "text_hash", "n", F.col("_id").alias("component_id"), F.struct("_id", "text_hash").alias("stands")
+    )
+    return some.unionByName(none)
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def join_ngrams(documents: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """(id, n, component_id) per row: size of its set, smallest id that links lead to.
 
     Rows link if 100 * overlap >= percent * union of their sets of ``size``-word n-grams.
     ``doc`` is an integer column, whose repeated and null values are allowed.
     """
-    pairs = documents.select(F.col(doc).alias("_id"), F.col(text).alias("text"))
-    digests = stored(
-        pairs.mapInArrow(_digest(size, percent), _SETS).withColumn("row", F.monotonically_increasing_id()), "sets"
-    )
-    filled = digests.where("n > 0").select("row", F.col("_id").alias("doc"), "n", "h1", "h2")
+    return _joined(documents, doc, text, size, percent).select(F.col("_id").alias("id"), "n", "component_id")
 
-    # Rows with an equal column block, each with the one before it.
-    keyed = digests.select("row", F.explode("keys").alias("key"))
-    before = F.lag("row").over(Window.partitionBy("key").orderBy("row"))
-    pairs_in_groups = keyed.select("row", before.alias("before")).where("before IS NOT NULL AND before <> row")
-    near = stored(pairs_in_groups.select(F.col("row").alias("a"), F.col("before").alias("b")).distinct(), "near")
-    clusters = stored(connected_components(near), "clusters")
 
-    members = clusters.join(filled, clusters["id"] == filled["row"]).groupBy("component", "h1", "h2", "n").agg(
-        F.min("row").alias("row"), F.min("doc").alias("doc")
-    )
-    members = stored(_tasks(stored(members, "members"), percent), "tasks")
-    fetched = pairs.join(
-        members.withColumnRenamed("doc", "_doc").drop("n"), F.col("_id").eqNullSafe(F.col("_doc"))
-    ).select("text", "row", "h1", "h2", "tasks")
-    sets = fetched.mapInArrow(_fetch(size), "row bigint, grams binary, tasks array<string>")
-    dealt = sets.select("row", "grams", F.explode("tasks").alias("task")).repartition("task").sortWithinPartitions("task")
-    links = stored(dealt.mapInArrow(_product(percent), "a bigint, b bigint"), "links")
-    linked = stored(connected_components(links), "linked")
+def keep_one(documents: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows without near duplicates: of linked rows, the one with the smallest id stays.
 
-    classes = filled.groupBy("h1", "h2", "n").agg(F.min("row").alias("id"), F.min("doc").alias("least_doc"))
-    rooted = classes.join(linked, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    # Stored, so that a set with a third of all rows can be split in the join.
-    of_class = stored(rooted.join(least, "root").select("h1", "h2", "n", "component_id"), "classes")
-    some = filled.join(of_class, ["h1", "h2", "n"]).select(F.col("doc").alias("id"), "n", "component_id")
-    none = digests.where("n = 0").select(F.col("_id").alias("id"), "n", F.col("_id").alias("component_id"))
-    return some.unionByName(none)
+    Rows with one id and one text count as the same row, of which one stays. Rows without
+    words stay.
+    """
+    rows = stored(_joined(documents, doc, text, size, percent).where("n > 0"), "groups")
+    own = F.struct("_id", "text_hash")
+    gone = stored(rows.where(own != F.col("stands")).select("_id", "text_hash").distinct(), "gone")
+    again = stored(
+        rows.where(own == F.col("stands")).groupBy("_id", "text_hash").count().where("count > 1").drop("count"), "again"
+    )
+    keyed = documents.withColumns({"_id": F.col(doc).cast("bigint"), "text_hash_": text_hash(text)})
+
+    def same(other: DataFrame) -> Column:
+        return keyed["_id"].eqNullSafe(other["_id"]) & (keyed["text_hash_"] == other["text_hash"])
+
+    rest = keyed.join(gone.hint("merge"), same(gone), "left_anti")
+    if again.isEmpty():
+        return rest.select(documents.columns)
+    once = rest.join(again, same(again), "left_anti")
+    number = F.row_number().over(Window.partitionBy("_id", "text_hash_").orderBy("_id"))
+    one = rest.join(again, same(again), "left_semi").withColumn("number_", number).where("number_ = 1")
+    return once.select(documents.columns).unionByName(one.select(documents.columns))
