@@ -13,6 +13,16 @@ def prompt(code: Column, context: str) -> Column:
     )
 
 
+def source_key(path: Column, code: Column) -> Column:
+    """A name of a source that is the same in every run, unlike its number: a hash of path and text."""
+    return F.sha2(F.concat_ws("\n", F.coalesce(path, F.lit("")), code), 256)
+
+
+def keyed(sources: DataFrame) -> DataFrame:
+    """Sources with ``source_key``, to be asked about, and to be joined with the answers of a later job."""
+    return sources.withColumn("source_key", source_key(F.col("path"), F.col("code")))
+
+
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -28,7 +38,11 @@ def chat_requests(sources: DataFrame, context: str, model: str = catalogue.CHAT_
         F.lit(catalogue.TEMPERATURE).alias("temperature"),
         F.lit(catalogue.MAX_ANSWER_TOKENS).alias("max_tokens"),
     )
-    return sources.select("source_seq", "path", F.to_json(body).alias("body"))
+    return sources.select(*_request_keys(sources), F.to_json(body).alias("body"))
+
+
+def _request_keys(sources: DataFrame) -> list[str]:
+    return [c for c in ("source_key", "source_seq", "path") if c in sources.columns]
 
 
 def message_requests(sources: DataFrame, context: str, model: str = catalogue.MESSAGES_MODEL) -> DataFrame:
@@ -39,7 +53,7 @@ def message_requests(sources: DataFrame, context: str, model: str = catalogue.ME
         F.lit(catalogue.MAX_ANSWER_TOKENS).alias("max_tokens"),
         F.array(_message("user", text)).alias("messages"),
     )
-    return sources.select("source_seq", "path", F.to_json(body).alias("body"))
+    return sources.select(*_request_keys(sources), F.to_json(body).alias("body"))
 
 
 # Fixed values. Members of an answer item, in both spellings, with the JSON type they need.
@@ -86,7 +100,7 @@ def parse_answers(responses: DataFrame) -> DataFrame:
     )
     checked = F.transform(
         "raw_items",
-        lambda item: F.struct(*[_member(item, *m).alias(m[0]) for m in _MEMBERS], _is_valid_item(item).alias("ok")),
+        lambda item: F.struct(*[_member(item, *m[:3]).alias(m[0]) for m in _MEMBERS], _is_valid_item(item).alias("ok")),
     )
     problem = (
         F.when(~F.col("is_answer"), "not a response")
@@ -98,7 +112,7 @@ def parse_answers(responses: DataFrame) -> DataFrame:
     return staged.withColumn("items", checked).select(*responses.columns, problem.alias("problem"), "items")
 
 
-def _member(item: Column, snake: str, camel: str, json_type: str, required: bool) -> Column:
+def _member(item: Column, snake: str, camel: str, json_type: str) -> Column:
     kind = json_type.lower()
     return F.coalesce(
         F.try_variant_get(item, f"$.{snake}", kind), F.try_variant_get(item, f"$.{camel}", kind)
@@ -112,7 +126,7 @@ def _is_valid_item(item: Column) -> Column:
             kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
             # Absent and JSON null are the same for a member that may be left out.
             ok = ok & F.coalesce(kind.isin(json_type, "VOID"), F.lit(True))
-        value = _member(item, snake, camel, json_type, required)
+        value = _member(item, snake, camel, json_type)
         if required:
             ok = ok & value.isNotNull()
         if json_type == "BIGINT":
@@ -123,13 +137,17 @@ def _is_valid_item(item: Column) -> Column:
 def answer_findings(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     """Findings of the valid answers, under the source they were asked for.
 
-    ``parsed`` comes from ``parse_answers`` and carries the ``source_seq`` of the request.
+    ``parsed`` comes from ``parse_answers`` and carries the ``source_key`` of the request,
+    or its ``source_seq`` if request and answer belong to one run over one table. Sources
+    that are the same in path and text share their answers.
     """
+    key = "source_key" if "source_key" in parsed.columns else "source_seq"
+    named = keyed(sources) if key == "source_key" else sources
     # The condition stays inside the generator: as a filter it would be pushed down to the
     # table and the answers would be parsed once for it and once for their items.
     valid = F.when(F.col("problem").isNull(), F.col("items"))
-    items = parsed.select("source_seq", F.posexplode(valid).alias("pos", "item"))
-    return items.join(sources.select("program", "source_seq"), "source_seq").select(
+    items = parsed.select(key, F.posexplode(valid).alias("pos", "item"))
+    return items.join(named.select(*{key, "program", "source_seq"}), key).select(
         "program",
         "source_seq",
         F.lit(schemas.ANALYZER_MODEL).alias("analyzer"),

@@ -1,6 +1,6 @@
 """Which rules run, which do not, and why."""
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from auditloom.functions.patterns import guard_parts, spark_pattern, with_problem
@@ -38,6 +38,38 @@ def rejected_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def pattern_states(rules: DataFrame) -> DataFrame:
+    """One row per rule and pattern: what each kind of scan does with it, and why not more.
+
+    ``strict`` and ``guarded`` try first patterns only, ``every`` tries all. A state is
+    live, disabled, unused or unsupported; ``problem`` is that of the whole pattern,
+    ``guarded_problem`` that of its trigger or guard. A rule without a pattern has one row
+    with number 0 and the state "no pattern".
+    """
+    each = rules.select("rule_seq", "id", "enabled", F.posexplode_outer("patterns").alias("pos", "pattern"))
+    trigger, guard = guard_parts(F.col("pattern"))
+    checked = each.withColumns({"trigger": trigger, "guard": guard})
+    for column, problem in (("pattern", "problem"), ("trigger", "trigger_problem"), ("guard", "guard_problem")):
+        checked = with_problem(checked, column, problem)
+
+    def state(problem: str, first_only: bool) -> Column:
+        unused = (F.col("pos") > 0) & F.lit(first_only)
+        return (
+            F.when(~F.col("enabled"), "disabled")
+            .when(F.col("pattern").isNull(), "no pattern")
+            .when(unused, "unused")
+            .when(F.col(problem).isNotNull(), "unsupported")
+            .otherwise("live")
+        )
+
+    checked = checked.withColumn("guarded_problem", F.coalesce("trigger_problem", "guard_problem"))
+    return checked.select(
+        "rule_seq", "id", F.coalesce(F.col("pos") + 1, F.lit(0)).alias("pattern_no"), "pattern",
+        state("problem", True).alias("strict"), state("problem", False).alias("every"),
+        state("guarded_problem", True).alias("guarded"), "problem", "guarded_problem",
+    )
+
+
 def lint_rules(rules: DataFrame) -> DataFrame:
     """One row per rule: state, patterns that are never tried, rules sharing its pattern."""
     stated = with_state(rules).select(

@@ -110,8 +110,13 @@ def setter_findings(trees: DataFrame, sources: DataFrame, rules: DataFrame) -> D
 
 
 def unreadable_trees(trees: DataFrame) -> DataFrame:
-    """Trees that are not JSON objects."""
+    """Trees that are absent or not JSON objects."""
     is_object = F.startswith(F.ltrim(F.get_json_object("tree", "$")), F.lit("{"))
-    return trees.where(F.col("tree").isNotNull() & ~F.coalesce(is_object, F.lit(False))).select(
-        F.lit("tree").alias("stage"), "path", F.lit("not a JSON object").alias("reason")
-    )
+    reason = F.when(F.col("tree").isNull(), "no tree").when(~F.coalesce(is_object, F.lit(False)), "not a JSON object")
+    return trees.select(F.lit("tree").alias("stage"), "path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def sources_without_tree(sources: DataFrame, trees: DataFrame) -> DataFrame:
+    """Sources that the tree analyzer should take and the compiler said nothing about."""
+    missing = tree_sources(sources).select("path").distinct().join(trees.select("path"), "path", "left_anti")
+    return missing.select(F.lit("tree").alias("stage"), "path", F.lit("no tree").alias("reason"))

@@ -3,13 +3,14 @@
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditloom.operators.dedup import keep_first_source
 from auditloom.operators.nodes import collapse_nodes, dedup_nodes, node_findings, scan_nodes
 from auditloom.operators.responses import answer_findings, answer_rejects, parse_answers
 from auditloom.operators.routing import skipped_sources
 from auditloom.operators.scan import scan_strict
-from auditloom.operators.solidity import setter_findings, unreadable_trees
+from auditloom.operators.solidity import setter_findings, sources_without_tree, unreadable_trees
 from auditloom.sources.files import drop_blank_inline
 from auditloom.sources.rules import AnalysisMode
 
@@ -75,12 +76,28 @@ def audit_rejects(
     trees: DataFrame | None = None,
     responses: DataFrame | None = None,
 ) -> DataFrame:
-    """What an audit left out: (stage, path, reason). ``unread`` comes from reading files."""
+    """What a Solidity audit left out: (stage, path, reason). ``unread`` comes from reading files."""
     parts = [skipped_sources(sources)]
     if unread is not None:
         parts.append(unread)
     if trees is not None:
-        parts.append(unreadable_trees(trees))
+        parts += [unreadable_trees(trees), sources_without_tree(sources, trees)]
+    if responses is not None:
+        parts.append(answer_rejects(parse_answers(responses)))
+    return _bag(parts)
+
+
+def rust_rejects(
+    unread: DataFrame | None = None, unparsed: DataFrame | None = None, responses: DataFrame | None = None
+) -> DataFrame:
+    """What a Rust audit left out; at least one table is needed.
+
+    Rust sources need no path. ``unparsed`` (path, reason) are those that the parser of the
+    node table could not read.
+    """
+    parts = [] if unread is None else [unread]
+    if unparsed is not None:
+        parts.append(unparsed.select(F.lit("nodes").alias("stage"), "path", "reason"))
     if responses is not None:
         parts.append(answer_rejects(parse_answers(responses)))
     return _bag(parts)

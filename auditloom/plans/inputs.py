@@ -75,6 +75,34 @@ def crlf_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents_as(spark, sf_dir, code)
 
 
+# Fixed values. Patterns whose spelling is easily misread, by the number of a brand, and the
+# same in the spelling of RE2.
+ODD_PATTERNS = [
+    (r"(the|of)\s", r"(the|of)[ \t\n\x0b\f\r]"),
+    (r"\(?<div>", r"\(?<div>"),
+    (r"(?P<word>on)[[:alpha:]]\.", r"(on)[[:alpha:]]\."),
+    (r"\$\{env:HOME\}", r"\$\{env:HOME\}"),
+    (r"([0-9]{1,3}\.){3}", r"([0-9]{1,3}\.){3}"),
+    (r"@\<mail[0-9]\>", r"@mail[0-9]\b"),
+]
+
+
+def odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every brand of the parts, with texts that must stay as they are."""
+    number = "CAST(substring(p_brand, 7) AS INT)"
+    patterns = F.array(*[F.lit(java) for java, _ in ODD_PATTERNS])
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("parts"))
+    return brands.select(
+        F.expr(number).alias("rule_seq"),
+        F.col("p_brand").alias("id"),
+        F.concat(F.lit("reads ${env:HOME} of "), "parts").alias("description"),
+        F.lit("low").alias("severity"),
+        F.array(F.get(patterns, F.expr(f"{number} % {len(ODD_PATTERNS)}"))).alias("patterns"),
+        F.lit(True).alias("enabled"),
+        F.lit("${user.home}").alias("mitigation"),
+    )
+
+
 def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without paths, and a blank text beside every tenth of them."""
     documents = table(spark, sf_dir, "documents")

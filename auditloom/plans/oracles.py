@@ -8,7 +8,7 @@ on the columns they were built from instead of their trees.
 import re
 
 from auditloom import catalogue
-from auditloom.plans.inputs import CODE_WORDS
+from auditloom.plans.inputs import CODE_WORDS, ODD_PATTERNS
 from auditloom.plans.registry import CONTEXT_REACH
 
 _WS = "\\t\\n\\x0b\\x0c\\r \\u0085\\u00a0\\u1680" + "".join(f"\\u{c:04x}" for c in range(0x2000, 0x200B)) + (
@@ -89,6 +89,19 @@ def _strict(rules: list[tuple]) -> str:
     return " UNION ALL ".join(_rule_select(r, _hits(r[3][0])) for r in live)
 
 
+def _odd_scan() -> str:
+    """Every brand's rule, by its number, over the lines of the texts."""
+    patterns = ", ".join(q(re2) for _, re2 in ODD_PATTERNS)
+    number = f"CAST(substr(p_brand, 7) AS INTEGER) % {len(ODD_PATTERNS)}"
+    return (
+        "SELECT program, source_seq, 'regex' AS analyzer, p_brand AS rule_id, p_brand AS vuln_type, 'low' AS severity, "
+        "'reads ${env:HOME} of ' || parts AS message, '${user.home}' AS mitigation, "
+        f"CAST(line_number AS BIGINT) AS line_number, {_trim('line')} AS code_snippet, path AS file_path "
+        f"FROM lines, (SELECT p_brand, count(*) AS parts, [{patterns}][{number} + 1] AS pattern FROM part GROUP BY p_brand) "
+        "WHERE regexp_matches(line, pattern)"
+    )
+
+
 def _all_patterns(rules: list[tuple]) -> str:
     selects = []
     for r in _enabled(rules):
@@ -362,7 +375,8 @@ def all_sql() -> dict[str, str]:
     verdict = "CASE WHEN count(*) = 0 THEN 'none found' ELSE 'review and fix' END"
     rank = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 END"
     return {
-        "src_files": f"SELECT item_id, text || {NL} AS code FROM benchmark",
+        "src_files": f"SELECT item_id // 1000 AS block, string_agg(text, {NL} ORDER BY item_id) || {NL} AS code "
+        "FROM benchmark GROUP BY 1",
         "src_inline": "SELECT doc_id AS source_seq, 'stdin' AS source, text AS code FROM documents "
         f"WHERE {_trim('text')} <> ''",
         "src_ext_filter": f"SELECT doc_id AS source_seq, {PATH} AS path, doc_id % 4 <> 3 AS solidity, "
@@ -441,6 +455,7 @@ def all_sql() -> dict[str, str]:
         f"CAST(strlen(left(text, {start})) AS BIGINT) AS span_offset, "
         f"CAST(1 + length(left(text, {start})) - length(replace(left(text, {start}), {NL}, '')) AS BIGINT) "
         f"AS line_number, {_trim(f'substring(text, {start} + 1, 40)')} AS code_snippet FROM documents",
+        "scan_odd_rules": _with(TEXT_SOURCES, LINES) + _odd_scan(),
         "prompt_build": _requests(),
         "response_parse": _with(TEXT_SOURCES, ANSWERS) + "SELECT * FROM answered",
         "response_rejects": _ANSWER_REJECTS,

@@ -40,14 +40,13 @@ def _shown(findings: DataFrame) -> DataFrame:
 
 
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items written as files, one each, and read back whole."""
+    """Benchmark items written as files, a thousand in each, and read back whole."""
     folder = shared_folder(spark, "src_files")
-    items = inputs.table(spark, sf_dir, "benchmark")
-    items.select("text", F.col("item_id").alias("item")).write.partitionBy("item").text(folder)
-    sources, _ = files.read_sources(spark, [folder], program_root=folder)
-    return sources.select(
-        F.regexp_extract("program", "item=([0-9]+)", 1).cast("bigint").alias("item_id"), "code"
-    )
+    items = inputs.table(spark, sf_dir, "benchmark").withColumn("block", F.expr("item_id div 1000"))
+    dealt = items.repartition("block").sortWithinPartitions("block", "item_id")
+    dealt.select("text", "block").write.partitionBy("block").text(folder)
+    sources, _ = files.read_sources(spark, [folder], ["txt"], program_root=folder)
+    return sources.select(F.regexp_extract("program", "block=([0-9]+)", 1).cast("bigint").alias("block"), "code")
 
 
 def src_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +132,10 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_text_findings(spark, sf_dir))
 
 
+def scan_odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(scan.scan_strict(inputs.text_sources(spark, sf_dir), inputs.odd_rules(spark, sf_dir)))
+
+
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_rules = rules_from_rows(spark, catalogue.PAGE_RULES)
     return _shown(scan.scan_all_patterns(inputs.page_sources(spark, sf_dir), page_rules))
@@ -282,8 +285,11 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = responses.parse_answers(inputs.answers(spark, sf_dir))
-    return _shown(responses.answer_findings(parsed, inputs.text_sources(spark, sf_dir)))
+    """Answers find their sources by key, as if they came from another run."""
+    sources = inputs.text_sources(spark, sf_dir)
+    asked = responses.keyed(sources).select("source_seq", "source_key")
+    answers = inputs.answers(spark, sf_dir).join(asked, "source_seq").drop("source_seq")
+    return _shown(responses.answer_findings(responses.parse_answers(answers), sources))
 
 
 def response_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +322,7 @@ QUERIES: dict[str, Query] = {
     for q in [
         src_files, src_inline, src_ext_filter, src_dedup, out_json,
         rules_load, rules_active, rules_rejected, rules_lint, rules_last,
-        lines, route_kind, scan_text, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
+        lines, route_kind, scan_text, scan_odd_rules, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
         scan_guarded_code, scan_context, scan_all, audit_contracts, rejects,
         count_total, count_by_analyzer, count_by_severity, count_by_source, report_matrix, report_rollup,
         program_report, program_totals,

@@ -7,6 +7,7 @@ from auditloom.operators.responses import (
     answer_findings,
     answer_rejects,
     chat_requests,
+    keyed,
     message_requests,
     parse_answers,
 )
@@ -102,3 +103,14 @@ def test_requests(spark, sources):
     assert other["messages"] == [
         {"role": "user", "content": catalogue.MESSAGES_PREAMBLE + "\n\n" + prompt}
     ]
+
+
+def test_answers_find_their_sources_in_another_run(spark, sources):
+    """Numbers change with the files and the splits; keys do not."""
+    asked = keyed(sources(("a.rs", "x"), ("b.rs", "y"), (None, "z")))
+    requests = chat_requests(asked, "c").collect()
+    bodies = [(r.source_key, r.path, chat(items({**GOOD, "message": r.path or "inline"}))) for r in requests]
+    answers = spark.createDataFrame(bodies, "source_key string, path string, body string")
+    later = sources(("new.rs", "n"), (None, "z"), ("b.rs", "y"), ("a.rs", "x"))
+    found = answer_findings(parse_answers(answers), later).collect()
+    assert sorted((r.source_seq, r.message) for r in found) == [(1, "inline"), (2, "b.rs"), (3, "a.rs")]

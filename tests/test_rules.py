@@ -153,5 +153,19 @@ def test_lint(spark):
     ]
 
 
+def test_states_of_every_pattern(spark):
+    rows = [
+        ("A", "low", True, ["x", "(?<=y)z", "w"], "a", None), ("B", "low", True, ["t.*?(?<!g)"], "b", None),
+        ("C", "low", True, ["t.*?(?<!(?=g))"], "c", None), ("D", "low", False, ["x"], "d", None), ("E", "low", True, [], "e", None),
+    ]
+    states = R.pattern_states(rules_from_rows(spark, rows)).orderBy("rule_seq", "pattern_no").collect()
+    assert [(r.id, r.pattern_no, r.strict, r.every, r.guarded) for r in states] == [
+        ("A", 1, "live", "live", "live"), ("A", 2, "unused", "unsupported", "unused"), ("A", 3, "unused", "live", "unused"),
+        ("B", 1, "unsupported", "unsupported", "live"), ("C", 1, "unsupported", "unsupported", "unsupported"),
+        ("D", 1, "disabled", "disabled", "disabled"), ("E", 0, "no pattern", "no pattern", "no pattern"),
+    ]
+    assert {r.problem for r in states if r.id == "A"} == {None, "look-around"}
+
+
 def test_schema_of_rules(spark):
     assert stock_rust_rules(spark).schema.simpleString() == spark.createDataFrame([], schemas.RULES).schema.simpleString()

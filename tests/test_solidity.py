@@ -3,7 +3,7 @@ import json
 import pytest
 
 from auditloom.operators.solidity import functions, open_setters, setter_findings, unreadable_trees
-from auditloom.plans.audit import audit_solidity
+from auditloom.plans.audit import audit_rejects, audit_solidity, rust_rejects
 from auditloom.sources.rules import AnalysisMode, rules_from_rows, stock_rust_rules, stock_solidity_rules
 from tests.samples import CONTRACT, FIRST_PATTERN_HITS, OPEN_SETTER_LINES, contract_tree
 
@@ -111,3 +111,20 @@ def test_rule_text(spark, sources, trees):
     assert texts(stock_rust_rules(spark)) == [("medium", "Potentially unprotected privileged function", None)]
     twice = [("EVM-1001", "low", True, [], "one", "m"), ("EVM-1001", "high", False, [], "two", None)]
     assert texts(rules_from_rows(spark, twice)) == [("high", "two", None)]
+
+
+def test_rejects_name_every_source_that_was_left_out(spark, sources, trees):
+    source = sources(("a.sol", "x"), ("b.sol", "x"), ("c.sol", "x"), ("d.json", "{}"), (None, "x"))
+    rejects = audit_rejects(source, trees=trees(("a.sol", contract()), ("b.sol", "oops")))
+    assert sorted((r.path or "", r.reason) for r in rejects.collect()) == [
+        ("", "no path"), ("b.sol", "not a JSON object"), ("c.sol", "no tree"), ("d.json", "JSON artifact")
+    ]
+    unparsed = spark.createDataFrame([("l.rs", "line 3")], "path string, reason string")
+    assert [tuple(r) for r in rust_rejects(unparsed=unparsed).collect()] == [("nodes", "l.rs", "line 3")]
+
+
+def test_a_repeated_path_counts_once(spark, sources, trees):
+    source = sources(("Relay.sol", CONTRACT), ("Relay.sol", CONTRACT))
+    mode = AnalysisMode(True, True, False)
+    found = audit_solidity(source, stock_solidity_rules(spark), mode, trees(("Relay.sol", contract_tree()))).collect()
+    assert len(found) == len(FIRST_PATTERN_HITS) + len(OPEN_SETTER_LINES)
