@@ -56,11 +56,12 @@ def _shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Shares of repeated words and word runs, and of kinds of signs."""
     texts = len(offsets) - 1
     words, owner = word_hashes(data, offsets)
-    n_words = np.maximum(np.bincount(owner, minlength=texts), 1)
+    found = np.bincount(owner, minlength=texts)
+    n_words = np.maximum(found, 1)
     same = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
     adjacent = np.bincount(owner[1:][same], minlength=texts) / n_words
     _, runs = gram_sets(data, offsets, 3)
-    repeated = 1 - np.diff(runs) / np.maximum(n_words - 2, 1)
+    repeated = np.where(found > 0, 1 - np.diff(runs) / np.maximum(n_words - 2, 1), 0)
     size = np.maximum(np.diff(offsets), 1)
 
     def share(signs: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def _shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         [
             adjacent, np.clip(repeated, 0, 1), np.minimum(4 * share(symbol), 1),
             np.minimum(8 * share(data == ord("!")), 1), share((data >= 65) & (data <= 90)),
-            share((data >= 48) & (data <= 57)), share(data == ord("|")), np.minimum(n_words / 1e4, 1),
+            share((data >= 48) & (data <= 57)), share(data == ord("|")), np.minimum(found / 1e4, 1),
         ],
         axis=1,
     ).astype(np.float32)
