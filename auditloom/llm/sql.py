@@ -41,9 +41,9 @@ FROM bits
 
 OP5 = """
 WITH urls AS (
-    SELECT page_id, position('://' IN coalesce(url, '')) AS at, coalesce(url, '') AS url FROM pages
+    SELECT page_id, position('://' IN coalesce(url, '')) AS place, coalesce(url, '') AS url FROM pages
 ),
-rests AS (SELECT page_id, CASE WHEN at = 0 THEN '' ELSE substr(url, at + 3) END AS rest FROM urls),
+rests AS (SELECT page_id, CASE WHEN place = 0 THEN '' ELSE substr(url, place + 3) END AS rest FROM urls),
 parts AS (
     SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
@@ -78,11 +78,11 @@ sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
 sets AS (SELECT r, n, md5(string_agg(g, '|' ORDER BY g)) AS s FROM grams JOIN sizes USING (r) GROUP BY r, n),
 classes AS (SELECT s, any_value(n) AS n, min(r) AS c FROM sets GROUP BY s),
 members AS (SELECT c, g FROM grams JOIN classes ON r = c),
-overlaps AS (
+shared AS (
     SELECT a.c AS a, b.c AS b, count(*) AS k FROM members a JOIN members b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2
 ),
 links AS (
-    SELECT a, b FROM overlaps JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE 190 * k >= 90 * (x.n + y.n)
+    SELECT a, b FROM shared JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE 190 * k >= 90 * (x.n + y.n)
 ),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(c, d) AS (SELECT c, c FROM classes UNION SELECT reach.c, b FROM reach JOIN both_ways ON reach.d = a),
