@@ -60,11 +60,31 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
     return key if there else None, np.frombuffer(body, dtype=f"<u{width}", offset=10), at + length + 17
 
 
+# Signs that the tokenizer keeps apart from a letter before them.
+_TRAILING = "!#$%&*,.:;?|"
+
+
+def _stem_and_tail(word: str) -> tuple[str, str]:
+    """A word as a stem and the signs behind it, which are always encoded apart.
+
+    Letters beyond the first blocks of Unicode may be unknown to the tokenizer as letters,
+    and a letter whose lower case is two signs may end in a mark; such words stay whole.
+    The tokenizer lower-cases what is not a special token.
+    """
+    stem = word.rstrip(_TRAILING)
+    last = stem[-1:].lower()
+    if len(stem) < len(word) and not (len(last) == 1 and last < "\u0250" and last.isalpha()):
+        return word, ""
+    tail = word[len(stem):]
+    return (stem.lower() if stem.isascii() and "<" not in stem else stem), tail
+
+
 class WordEncoder:
-    """A tokenizer that never joins words, with the words it has seen.
+    """A lower-casing tokenizer that never joins words, with the words it has seen.
 
-    Its first step cuts texts at white space, so that a text's ids are those of its words
-    in turn, and each different word is encoded once.
+    Its first step cuts texts at white space and between letters and other signs, so that
+    a text's ids are those of its words in turn. Each different word is looked up once,
+    and each different stem encoded once.
     """
 
     def __init__(self, definition: str):
@@ -82,8 +102,12 @@ class WordEncoder:
             if len(known) > CACHE_WORDS:
                 known.clear()
                 new = list(set(words))
-            for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(encoded.ids, dtype=np.uint32).tobytes()
+            parts = [_stem_and_tail(word) for word in new]
+            fresh = list({part for pair in parts for part in pair}.difference(known))
+            for part, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                known[part] = np.array(encoded.ids, dtype=np.uint32).tobytes()
+            for word, (stem, tail) in zip(new, parts):
+                known[word] = known[stem] + known[tail]
         return np.frombuffer(b"".join([*map(known.__getitem__, words), struct.pack("<I", end)]), dtype=np.uint32)
 
 
