@@ -196,8 +196,10 @@ def score_graph(seen: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -
         "graph",
     )
     known = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
-    # Only words that stand before a seed, or before what shares a pattern's instances, matter.
-    totals = stored(occurrences.join(edges.select("left").distinct(), "left", "left_semi"), "totals")
+    # Only words before enough different instances can be part of a good pattern. They are
+    # stored first, so that their size is known where the join with all words is planned.
+    lefts = edges.groupBy("left", "shape").count().where(F.col("count") >= LEAST_SUPPORT).select("left").distinct()
+    totals = stored(occurrences.join(stored(lefts, "lefts"), "left", "left_semi"), "totals")
     seeds = stored(known, "instances")
     scores = seeds
     for _ in range(rounds):
