@@ -14,6 +14,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM_MODEL, BPE_MODEL = 1, 2
 MARK = "▁"
 # Different words that a task remembers, and threads of the library in a task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 THREADS = 2
+# Words in one batch of the library.
+BATCH_WORDS = 20_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -149,7 +152,7 @@ class Codec:
         # Words can be encoded one by one if no piece goes on after a word has ended.
         self.by_word = not any(MARK in text.lstrip(MARK) for text, _, kind in model.pieces if kind == NORMAL)
         self.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if self.charsmap:
@@ -178,27 +181,24 @@ class Codec:
             words.append(MARK * marks)
         return words
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self._words(self.normalise(t)) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
         new = list({w for words in split for w in words}.difference(known))
-        for word, encoded in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = encoded.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(ids)
-        return out
+        for start in range(0, len(new), BATCH_WORDS):
+            part = new[start:start + BATCH_WORDS]
+            for word, encoded in zip(part, self.core.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(encoded.ids, dtype=np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
 
-    def decode(self, batch: list[list[int]]) -> list[str]:
+    def decode(self, batch: list) -> list[str]:
         """The normalised texts: spaces for marks, without the first one that encoding adds."""
         pieces, skipped = self.pieces, self.skipped
         out = []
         for ids in batch:
+            ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
             text = self._join([pieces[i] for i in ids if i not in skipped]).replace(MARK, " ")
             out.append(text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text)
         return out
@@ -216,7 +216,7 @@ def parity(data: bytes, texts: list[str]) -> list[int]:
     original = sentencepiece.SentencePieceProcessor(model_proto=data)
     ours = Codec(data).encode(texts)
     theirs = original.encode(texts, num_threads=1)
-    return [i for i, (a, b) in enumerate(zip(ours, theirs)) if a != b]
+    return [i for i, (a, b) in enumerate(zip(ours, theirs)) if a.tolist() != b]
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -230,10 +230,17 @@ def codec_of(data: bytes, threads: int) -> Codec:
     return _codecs[data]
 
 
-def encode_texts(documents: DataFrame, model: bytes, text: str = "text", ids: str = "ids", threads: int = THREADS) -> DataFrame:
-    """The rows with a column of token ids. ``model`` is the content of a model file."""
+def _id_lists(encoded: list[np.ndarray], valid: list[bool]) -> pa.Array:
+    ends = np.cumsum([0] + [len(e) for e in encoded]).astype(np.int32)
+    flat = np.concatenate(encoded) if encoded else np.empty(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([not v for v in valid]))
+
+
+def _encoded(
+    documents: DataFrame, model: bytes, text: str, ids: str, threads: int, decoded: str | None
+) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.drop(ids) if ids != text else documents
+    kept = documents.drop(*(c for c in (ids, decoded) if c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(sent.value, threads)
@@ -241,11 +248,22 @@ def encode_texts(documents: DataFrame, model: bytes, text: str = "text", ids: st
             for part, texts in text_slices(batch, text):
                 encoded = codec.encode(texts)
                 valid = part.column(text).is_valid().to_pylist()
-                column = pa.array([e if v else None for e, v in zip(encoded, valid)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
+                columns = [*part.columns, _id_lists(encoded, valid)]
+                names = [*part.schema.names, ids]
+                if decoded:
+                    out = [t if v else None for t, v in zip(codec.decode(encoded), valid)]
+                    columns.append(pa.array(out, pa.string()))
+                    names.append(decoded)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    last = f", `{decoded}` string" if decoded else ""
+    return kept.mapInArrow(run, f"{schema}, `{ids}` array<int>{last}")
+
+
+def encode_texts(documents: DataFrame, model: bytes, text: str = "text", ids: str = "ids", threads: int = THREADS) -> DataFrame:
+    """The rows with a column of token ids. ``model`` is the content of a model file."""
+    return _encoded(documents, model, text, ids, threads, None)
 
 
 def decode_ids(rows: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded", threads: int = THREADS) -> DataFrame:
@@ -270,6 +288,5 @@ def encode_and_decode(documents: DataFrame, model: bytes, text: str = "text", th
 
     Both steps are one task, so that ids do not travel between them.
     """
-    encoded = encode_texts(documents, model, text, "ids", threads)
-    decoded = decode_ids(encoded, model, "ids", "decoded", threads)
-    return decoded.withColumn("same", F.col("decoded").eqNullSafe(F.col(text)))
+    rows = _encoded(documents, model, text, "ids", threads, "decoded")
+    return rows.withColumn("same", F.col("decoded").eqNullSafe(F.col(text)))
