@@ -23,7 +23,7 @@ from auditloom.llm.shared import text_slices
 
 WINDOW = 10
 # Words of the items in one automaton; a longer item has one of its own.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 # Bytes of a text as those of its words, with spaces between; all bytes of a sign beyond
 # ASCII belong to words.
 _WORD_BYTES = bytes(

@@ -7,8 +7,10 @@ hold a link are worked out:
 * Rows with the same set are one row.
 * Sizes decide which rows can link at all, and in how many n-grams a linked pair may
   differ at most. The columns are cut into more blocks than that, so that a linked pair
-  has a block in which both rows are the same. Rows are grouped by such equal blocks, and
-  groups that share a row are joined into clusters. Nothing outside a cluster can link.
+  has a filled block in which both rows are the same. Where sets are too small for that,
+  or a set leaves too many blocks empty, the least columns that the sizes ask for take
+  the blocks' place. Rows are grouped by what they have in common, and groups that share
+  a row are joined into clusters. Nothing outside a cluster can link.
 * A cluster's rows are dealt into blocks of bounded size, by size of set, and each pair
   of blocks within reach of each other is one task. It adds up overlaps column block by
   column block and discards rows whose overlap, with all that is still to come, stays
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +37,14 @@ from auditloom.llm.components import connected_components
 from auditloom.llm.grams import gram_sets, mix, sum_by
 from auditloom.llm.shared import slices, stored
 
-# Blocks beyond those that the bound asks for. A text with no more empty blocks than this
-# needs none of them: one of its filled blocks must be equal, too.
+# At least so many blocks more than the bound asks for. Linked sets agree in one block more
+# than that, so that sets with no more empty blocks agree in a filled one.
 SPARE_BLOCKS = 2
 # Rows and n-grams of a block of rows; a task holds two blocks.
 BLOCK_ROWS, BLOCK_GRAMS = 512, 2_000_000
 COLUMN_BLOCK = 2048
 
-_C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _SETS = "_id bigint, text_hash bigint, n bigint, node bigint"
 
 
@@ -53,26 +56,67 @@ def size_steps(longest: int, percent: int) -> list[int]:
     return steps
 
 
-def blocks_of_class(steps: list[int], number: int, percent: int) -> int:
-    """Column blocks for pairs whose smaller set is in a size class."""
-    largest = steps[number + 1] - 1
-    differing = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
-    return differing + 1 + SPARE_BLOCKS
+def blocks_of_classes(steps: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, spare blocks) for pairs whose smaller set is in each size class.
+
+    Spare blocks make up for those that most sets leave empty. 0 blocks say that there is
+    no such number, as sets are too small.
+    """
+    blocks, spares = [], []
+    for smallest, beyond in zip(steps, steps[1:]):
+        largest = beyond - 1
+        differing = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
+        for spare in range(SPARE_BLOCKS, differing + 12):
+            count = differing + 1 + spare
+            empty = count * np.exp(-smallest / count)
+            if empty + 3 * np.sqrt(empty) <= spare:
+                break
+        else:
+            count = spare = 0
+        blocks.append(count)
+        spares.append(spare)
+    return np.array(blocks), np.array(spares)
+
+
+def least_columns(grams: np.ndarray, percent: int, together: int) -> np.ndarray:
+    """Keys of the n-grams with the least hashes, ``together`` at a time.
+
+    Linked sets of one size or another share percent / 100 of the larger one. So their
+    first ``together`` n-grams in common are among the first ones of each, as many as
+    there are beyond that share, and ``together`` more.
+    """
+    first = grams[:len(grams) - -(-percent * len(grams) // 100) + together]
+    if together == 1:
+        return mix(first ^ _C3)
+    one, other = np.triu_indices(len(first), 1)
+    return mix(mix(first[one] + _C2) + first[other])
 
 
-def block_keys(grams: np.ndarray, offsets: np.ndarray, percent: int) -> list[np.ndarray]:
-    """For every set, the keys of its column blocks, for partners of its own class and the one below."""
+def block_keys(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every set, the keys of its column blocks, for partners of its own class and the one below.
+
+    Beside them is the room of each key: twice the number of keys of its kind that the set
+    could do without, as it has more equal blocks with every partner, and one more for the
+    class below; negative if it can do without none.
+    """
     sizes = np.diff(offsets)
     steps = size_steps(int(sizes.max(initial=1)) * 100 // percent + 1, percent)
     classes = np.searchsorted(steps, sizes, side="right") - 1
-    counts = np.array([blocks_of_class(steps, k, percent) for k in range(len(steps) - 1)])
+    counts, spares = blocks_of_classes(steps, percent)
+    # Different sets that link share two n-grams from about two thirds on.
+    together = 2 if percent >= 67 else 1
     text = np.repeat(np.arange(len(sizes)), sizes)
     values = mix(grams ^ _C1)
     parts: list[list[np.ndarray]] = [[] for _ in sizes]
+    rooms: list[list[np.ndarray]] = [[] for _ in sizes]
+    small: set[int] = set()
+    sparse: set[int] = set()
     for below in (0, 1):
         level = classes - below
-        used = np.where(level >= 0, counts[np.maximum(level, 0)], 0)
-        chosen = (level >= 0)[text]
+        real = (level >= 0) & (sizes > 0)
+        used = np.where(real, counts[np.maximum(level, 0)], 0)
+        small.update(np.flatnonzero(real & (used == 0)).tolist())
+        chosen = (used > 0)[text]
         if not chosen.any():
             continue
         owner, inside = text[chosen], values[chosen]
@@ -84,16 +128,21 @@ def block_keys(grams: np.ndarray, offsets: np.ndarray, percent: int) -> list[np.
         labels = level[owner[at]].astype(np.uint64) * _C2 + block[at]
         keys = mix(mix(labels + _C1) + held)
         bounds = np.searchsorted(owner[at], np.arange(len(sizes) + 1))
-        for i in range(len(sizes)):
+        for i in np.flatnonzero(used > 0).tolist():
             mine = keys[bounds[i]:bounds[i + 1]]
-            if len(mine):
-                parts[i].append(mine)
-                if used[i] - len(mine) > SPARE_BLOCKS:
-                    absent = np.setdiff1d(
-                        np.arange(used[i], dtype=np.uint64), block[at[bounds[i]:bounds[i + 1]]], assume_unique=True
-                    )
-                    parts[i].append(mix(mix(np.uint64(level[i]) * _C2 + absent + _C1)))
-    return [np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts]
+            parts[i].append(mine)
+            room = int(spares[level[i]] - (used[i] - len(mine)))
+            rooms[i].append(np.full(len(mine), 2 * room + below, dtype=np.int32))
+            if room < 0:
+                sparse.add(i)
+    for which, number in ((small, together), (sparse, 1)):
+        for i in which:
+            parts[i].append(least_columns(grams[offsets[i]:offsets[i + 1]], percent, number))
+            rooms[i].append(np.full(len(parts[i][-1]), -1, dtype=np.int32))
+    return (
+        [np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts],
+        [np.concatenate(r) if r else np.empty(0, dtype=np.int32) for r in rooms],
+    )
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -130,26 +179,59 @@ def _digest(size: int):
 
 
 def _keys(size: int, percent: int):
-    """(node, key) of the column blocks of each set, once per set in a task."""
+    """(node, key, room) of the column blocks of each set, once per set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, grams, offsets in _sets(batch, size):
-                nodes, keys = _nodes(grams, offsets), block_keys(grams, offsets, percent)
+                nodes, (keys, rooms) = _nodes(grams, offsets), block_keys(grams, offsets, percent)
                 fresh = [i for i, node in enumerate(nodes.tolist()) if node not in seen and not seen.add(node)]
                 if fresh:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.repeat(nodes[fresh], [len(keys[i]) for i in fresh])),
                             pa.array(np.concatenate([keys[i] for i in fresh]).view(np.int64)),
+                            pa.array(np.concatenate([rooms[i] for i in fresh])),
                         ],
-                        names=["node", "key"],
+                        names=["node", "key", "room"],
                     )
 
     return run
 
 
+def _packed(frame: DataFrame, text: str) -> DataFrame:
+    """The rows with their texts compressed, for a join that moves them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor()
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            column = batch.column(at).cast(pa.large_binary())
+            small = [None if not t.is_valid else codec.compress(t.as_buffer()) for t in column]
+            yield batch.set_column(at, text, pa.array(small, pa.binary()))
+
+    fields = ", ".join(
+        f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in frame.schema
+    )
+    return frame.mapInArrow(run, fields)
+
+
+def _unpacked(frame: DataFrame, text: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            # Texts are longer again here, so only some rows at a time.
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                texts = [None if t is None else codec.decompress(t).decode() for t in part.column(at).to_pylist()]
+                yield part.set_column(at, text, pa.array(texts, pa.string()))
+
+    fields = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in frame.schema)
+    return frame.mapInArrow(run, fields)
+
+
 def _fetch(size: int):
     """The sets of cluster rows, packed, each once per task of Spark."""
 
@@ -281,18 +363,16 @@ def _joined(documents: DataFrame, doc: str, text: str, size: int, percent: int)
     first = F.min(F.struct("_id", "text_hash")).alias("first")
     classes = stored(filled.groupBy("node").agg(F.min("n").alias("n"), first), "classes")
 
-    # Sets with an equal column block, each with the one before it.
-    keyed = pairs.select("text").mapInArrow(_keys(size, percent), "node bigint, key bigint")
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    grouped = keyed.select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND b <> a")
-    clusters = connected_components(stored(grouped.distinct(), "near"))
+    keyed = pairs.select("text").mapInArrow(_keys(size, percent), "node bigint, key bigint, room int")
+    clusters = connected_components(_near(keyed))
     members = stored(clusters.withColumnRenamed("id", "node").join(classes, "node"), "members")
 
     # The texts of cluster rows, one for each set, come once more.
     tasks = stored(_tasks(members, percent), "tasks").select("node", F.col("first._id").alias("_of"), "tasks")
     # Sorted and merged at every size: how many rows are in clusters is not known beforehand.
-    fetched = pairs.drop("text_hash").join(tasks.hint("merge"), F.col("_id").eqNullSafe(F.col("_of")))
-    sets = fetched.select("text", "node", "tasks").mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
+    moved = _packed(pairs.select("_id", "text"), "text")
+    fetched = moved.join(tasks.hint("merge"), F.col("_id").eqNullSafe(F.col("_of"))).select("text", "node", "tasks")
+    sets = _unpacked(fetched, "text").mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
     dealt = sets.select("node", "grams", F.explode("tasks").alias("task")).repartition("task").sortWithinPartitions("task")
     links = stored(dealt.mapInArrow(_product(percent), "a bigint, b bigint"), "links")
     linked = connected_components(links).withColumnRenamed("id", "node")
@@ -308,6 +388,22 @@ def _joined(documents: DataFrame, doc: str, text: str, size: int, percent: int)
     return some.unionByName(none)
 
 
+def _near(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that chain the sets with an equal key; rows are (node, key, room).
+
+    Linked sets have one key more in common than either has room for. So each set does
+    without as many keys as it has room for, the most common ones first: the rarest key
+    of those that a linked pair shares stays with both. These are mostly short passages
+    that stand in very many sets.
+    """
+    same = Window.partitionBy("key")
+    shared = stored(keyed.withColumn("sets", F.count("*").over(same)).where("sets > 1"), "shared")
+    rank = F.row_number().over(Window.partitionBy("node", "room").orderBy(F.desc("sets"), "key"))
+    kept = shared.withColumn("rank", rank).where((F.col("room") < 0) | (F.col("rank") > F.shiftright("room", 1)))
+    chained = kept.select(F.col("node").alias("a"), F.lag("node").over(same.orderBy("node")).alias("b"))
+    return stored(chained.where("b IS NOT NULL AND b <> a").distinct(), "near")
+
+
 def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -333,15 +429,15 @@ def keep_one(documents: DataFrame, doc: str = "doc_id", text: str = "text", size
     again = stored(
         rows.where(own == F.col("stands")).groupBy("_id", "text_hash").count().where("count > 1").drop("count"), "again"
     )
-    keyed = documents.withColumns({"_id": F.col(doc).cast("bigint"), "text_hash_": text_hash(text)})
+    keyed = _packed(documents.withColumns({"_id": F.col(doc).cast("bigint"), "text_hash_": text_hash(text)}), text)
 
     def same(other: DataFrame) -> Column:
         return keyed["_id"].eqNullSafe(other["_id"]) & (keyed["text_hash_"] == other["text_hash"])
 
     rest = keyed.join(gone.hint("merge"), same(gone), "left_anti")
     if again.isEmpty():
-        return rest.select(documents.columns)
+        return _unpacked(rest.select(documents.columns), text)
     once = rest.join(again, same(again), "left_anti")
     number = F.row_number().over(Window.partitionBy("_id", "text_hash_").orderBy("_id"))
     one = rest.join(again, same(again), "left_semi").withColumn("number_", number).where("number_ = 1")
-    return once.select(documents.columns).unionByName(one.select(documents.columns))
+    return _unpacked(once.select(documents.columns).unionByName(one.select(documents.columns)), text)

@@ -29,10 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         # Nothing says what a language is, so only texts without a letter are rejected.
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = language_id.identify(docs, model)
-    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(
-        docs.columns
-    )
+    told = language_id.identify(docs, model, pred="_told", score="_certainty")
+    sure = (F.col("_told") != language_id.UNDETERMINED) & (F.col("_certainty") >= LEAST_CERTAINTY)
+    return told.where(sure).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +53,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids and whether decoding gives their texts back."""
+    """Documents with their token ids and whether decoding gives their texts back.
+
+    Columns of theirs that have the names of the new ones give way to them.
+    """
     ship(spark)
     rows = sentencepiece_codec.encode_and_decode(docs, vocabulary(PIECES))
-    return rows.select(*docs.columns, "ids", F.size("ids").cast("bigint").alias("n_tokens"), "same")
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "same")]
+    return rows.select(*kept, "ids", F.size("ids").cast("bigint").alias("n_tokens"), "same")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
