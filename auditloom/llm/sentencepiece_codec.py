@@ -26,7 +26,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM_MODEL, BPE_MODEL = 1, 2
 MARK = "▁"
 # Different words that a task remembers, and threads of the library in a task.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 THREADS = 2
 # Words in one batch of the library.
 BATCH_WORDS = 20_000

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text bytes that one task works on at a time; only a single longer text exceeds it.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 # ASCII white space, and the same as a Java class.
 SPACES = " \t\n\x0b\x0c\r"
