@@ -3,8 +3,9 @@
 The automaton holds the word sequences of the normalised test items. Each training text
 is streamed through it; at every word the automaton knows the longest sequence ending
 there that some item holds, and so which words lie in a window of an item. Items come in
-blocks of bounded size, one automaton per block, so that a benchmark of any size can be
-used; every text meets every block.
+blocks of bounded size, one automaton per block; every text, as it was given, meets every
+block in one task, and what all blocks hit is merged there. Results do not depend on how
+items are dealt into blocks. Items without an id hit texts as others do.
 
 Words are runs of digits, letters and signs beyond ASCII, with A-Z lower-cased. An item
 of fewer words than a window, but not none, is one window. Null texts have no words.
@@ -24,6 +25,8 @@ from auditloom.llm.shared import text_slices
 WINDOW = 10
 # Words of the items in one automaton; a longer item has one of its own.
 BLOCK_WORDS = 100_000
+# Text bytes that a task holds while several automatons go over them one after another.
+GROUP_BYTES = 1 << 24
 # Bytes of a text as those of its words, with spaces between; all bytes of a sign beyond
 # ASCII belong to words.
 _WORD_BYTES = bytes(
@@ -155,24 +158,82 @@ class Automaton:
         return spans, found
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items, a bounded block at a time; one partition is read at a time."""
-    block: list[tuple[int, list[bytes]]] = []
+    block: list[tuple[int | None, str]] = []
     size = 0
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text)
-    for number, item_text in rows.toLocalIterator():
-        sequence = words(item_text)
-        if block and size + len(sequence) > block_words:
+    for number, item_text in benchmark.where(F.col(text).isNotNull()).select(item, text).toLocalIterator():
+        length = len(words(item_text))
+        if block and size + length > block_words:
             yield block
             block, size = [], 0
-        block.append((number, sequence))
-        size += len(sequence)
+        block.append((number, item_text))
+        size += length
     yield block
 
 
+def _automaton(block, window: int) -> Automaton:
+    automaton = Automaton([(item, words(text)) for item, text in block.value], window)
+    if getattr(block, "_path", None):
+        # The worker's copy is a file, which is read again when it is needed again.
+        vars(block).pop("_value", None)
+    return automaton
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
+    """Parts of batches with their texts, of about ``limit`` bytes together."""
+    group, size = [], 0
+    for batch in batches:
+        for part, texts in text_slices(batch, column):
+            group.append((part, texts))
+            size += sum(map(len, texts))
+            if size >= limit:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _joined(spans: list[int], more: list[int]) -> list[int]:
+    """Spans of two automatons, merged."""
+    if not spans or not more:
+        return spans or more
+    joined: list[int] = []
+    for start, end in sorted([*zip(spans[::2], spans[1::2]), *zip(more[::2], more[1::2])]):
+        if joined and joined[-1] >= start:
+            joined[-1] = max(joined[-1], end)
+        else:
+            joined += [start, end]
+    return joined
+
+
+def _hits(batches: Iterator[pa.RecordBatch], column: str, blocks: list, window: int):
+    """(part, texts, [(spans, items) of a text under all blocks]) for all parts of the batches.
+
+    Several automatons are built one after another for each group of texts, so that a task
+    holds one at a time.
+    """
+    only = _automaton(blocks[0], window) if len(blocks) == 1 else None
+    for group in _groups(batches, column, 0 if only else GROUP_BYTES):
+        hits = [[([], set()) for _ in texts] for _, texts in group]
+        for block in blocks:
+            automaton = only or _automaton(block, window)
+            for (_, texts), held in zip(group, hits):
+                for i, text in enumerate(texts):
+                    spans, found = automaton.hits(words(text))
+                    if spans:
+                        held[i] = (_joined(held[i][0], spans), held[i][1] | found)
+        for (part, texts), held in zip(group, hits):
+            yield part, texts, held
+
+
+def _listed(items: set[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
+
+
 def _scan(block, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(block.value, window)
+        automaton = _automaton(block, window)
         for batch in batches:
             for part, texts in text_slices(batch, "_text"):
                 counts, spans, items = [], [], []
@@ -181,7 +242,7 @@ def _scan(block, window: int):
                     where, found = automaton.hits(sequence)
                     counts.append(len(sequence))
                     spans.append(where)
-                    items.append(sorted(found))
+                    items.append(_listed(found))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
                      pa.array(items, pa.list_(pa.int64()))],
@@ -259,26 +320,18 @@ def _cut(window_spans: list[int], text: str) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def _clean(block, window: int, max_share: float):
+def _clean(blocks: list, window: int, max_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automatons = [Automaton(items, window) for items in block.value]
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                kept, cleaned = [], []
-                for i, text in enumerate(texts):
-                    for automaton in automatons:
-                        sequence = words(text)
-                        spans, _ = automaton.hits(sequence)
-                        hit = sum(spans[1::2]) - sum(spans[::2])
-                        if hit > max_share * len(sequence):
-                            break
-                        text = _cut(spans, text)
-                    else:
-                        kept.append(i)
-                        cleaned.append(text if part.column("text")[i].is_valid else None)
-                rows = part.take(pa.array(kept, pa.int64()))
-                at = rows.schema.get_field_index("text")
-                yield rows.set_column(at, rows.schema.field("text"), pa.array(cleaned, rows.schema.field("text").type))
+        for part, texts, hits in _hits(batches, "text", blocks, window):
+            kept, cleaned = [], []
+            for i, (text, (spans, _)) in enumerate(zip(texts, hits)):
+                if sum(spans[1::2]) - sum(spans[::2]) > max_share * len(words(text)):
+                    continue
+                kept.append(i)
+                cleaned.append(_cut(spans, text) if part.column("text")[i].is_valid else None)
+            rows = part.take(pa.array(kept, pa.int64()))
+            at = rows.schema.get_field_index("text")
+            yield rows.set_column(at, rows.schema.field("text"), pa.array(cleaned, rows.schema.field("text").type))
 
     return run
 
@@ -289,11 +342,9 @@ def remove_benchmark(
 ) -> DataFrame:
     """The documents (.., text, ..) without benchmark passages.
 
-    Hit spans are cut out of the text; a document goes whole if more than ``max_share``
-    of its words are hit. Each block of items is one more pass over what is left.
+    The hit spans of all items are cut out of the text at once; a document goes whole if
+    more than ``max_share`` of its words are hit.
     """
-    spark = documents.sparkSession
-    for block in item_blocks(benchmark, item, item_text, block_words):
-        held = spark.sparkContext.broadcast([block])
-        documents = documents.mapInArrow(_clean(held, window, max_share), documents.schema)
-    return documents
+    context = documents.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in item_blocks(benchmark, item, item_text, block_words)]
+    return documents.mapInArrow(_clean(blocks, window, max_share), documents.schema)

@@ -69,6 +69,47 @@ def test_passages_are_cut_and_clean_texts_stay(documents, benchmark):
     assert sorted(str(r.doc_id) for r in strict.collect()) == sorted(str(k[0]) for k in before if k[0] not in (1, 5))
 
 
+def numbered_words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 20])
+def test_removal_does_not_depend_on_blocks(spark, block_words):
+    a, b, long = numbered_words("a", 15), numbered_words("b", 15), numbered_words("c", 20)
+    items = spark.createDataFrame(
+        [(1, a), (2, b), (3, " ".join(long.split()[:12])), (4, " ".join(long.split()[8:])), (5, "x0 x1 x2 y0 y1 y2 z")],
+        "item_id bigint, text string",
+    )
+    texts = [
+        # 15 % and 15 % of the words.
+        f"{a} {numbered_words('p', 70)} {b}",
+        # Passages of two items that overlap.
+        f"{numbered_words('p', 90)} {long} {numbered_words('q', 90)}",
+        # Only cutting makes the words of the last item neighbours.
+        f"{numbered_words('p', 90)} x0 x1 x2 {a} y0 y1 y2 z {numbered_words('q', 90)}",
+        f"{numbered_words('p', 90)} {numbered_words('q', 90)}",
+    ]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = clean.remove_benchmark(documents, items, max_share=0.2, block_words=block_words)
+    assert {r.doc_id: " ".join(r.text.split()) for r in kept.collect()} == {
+        1: f"{numbered_words('p', 90)} {numbered_words('q', 90)}",
+        2: f"{numbered_words('p', 90)} x0 x1 x2 y0 y1 y2 z {numbered_words('q', 90)}",
+        3: texts[3],
+    }
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 20])
+def test_items_without_an_id(spark, block_words):
+    items = spark.createDataFrame(
+        [(None, numbered_words("a", 12)), (2, numbered_words("b", 12)), (None, None)], "item_id bigint, text string"
+    )
+    documents = spark.createDataFrame([(1, f"{numbered_words('a', 12)} {numbered_words('b', 12)} end")], "doc_id bigint, text string")
+    assert [r.text for r in clean.remove_benchmark(documents, items, 0.99, block_words=block_words).collect()] == [" end"]
+    assert clean.scan_benchmark(documents, items, block_words=block_words).first().asDict() == {
+        "doc_id": 1, "n_words": 25, "spans": [0, 24], "items": [2, None],
+    }
+
+
 def test_no_texts_and_no_items(documents, no_documents, benchmark):
     assert clean.scan_benchmark(no_documents, benchmark).count() == 0
     none = benchmark.where("false")
