@@ -231,23 +231,18 @@ def _listed(items: set[int | None]) -> list[int | None]:
     return sorted(items, key=lambda i: (i is None, i or 0))
 
 
-def _scan(block, window: int):
+def _scan(blocks: list, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(block, window)
-        for batch in batches:
-            for part, texts in text_slices(batch, "_text"):
-                counts, spans, items = [], [], []
-                for text in texts:
-                    sequence = words(text)
-                    where, found = automaton.hits(sequence)
-                    counts.append(len(sequence))
-                    spans.append(where)
-                    items.append(_listed(found))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
-                     pa.array(items, pa.list_(pa.int64()))],
-                    names=["_row", "n_words", "spans", "items"],
-                )
+        for part, texts, hits in _hits(batches, "_text", blocks, window):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_row"),
+                    pa.array([len(words(text)) for text in texts], pa.int64()),
+                    pa.array([spans for spans, _ in hits], pa.list_(pa.int32())),
+                    pa.array([_listed(found) for _, found in hits], pa.list_(pa.int64())),
+                ],
+                names=["_row", "n_words", "spans", "items"],
+            )
 
     return run
 
@@ -258,46 +253,14 @@ def scan_benchmark(
 ) -> DataFrame:
     """(row, n_words, spans, items): merged spans of hit words (start, end, ..) and items hit.
 
-    With one block of items a row of the result is a row of the documents, in one pass
-    without a shuffle. With more, the results of a ``row`` value are brought together, so
-    that ``row`` must then tell rows apart.
+    A row of the result is a row of the documents, in one pass without a shuffle, whatever
+    the number of blocks; ``row`` need not tell rows apart.
     """
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     texts = documents.select(F.col(row).alias("_row"), F.col(text).alias("_text"))
     kind = texts.schema["_row"].dataType.simpleString()
-    parts = [
-        texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), window), f"_row {kind}, {_HITS}")
-        for block in item_blocks(benchmark, item, item_text, block_words)
-    ]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("_row", row)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    merged = rows.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return merged.withColumn("spans", _merged("spans")).withColumnRenamed("_row", row)
-
-
-def _merged(spans: str) -> Column:
-    """Spans of several blocks, in order and without overlaps."""
-    pairs = F.array_sort(F.transform(
-        F.filter(spans, lambda _, i: i % 2 == 0),
-        lambda start, i: F.struct(start.alias("start"), F.get(spans, 2 * i + 1).alias("end")),
-    ))
-    empty = F.array().cast("array<struct<start: int, end: int>>")
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when(
-            F.coalesce(last["end"] >= span["start"], F.lit(False)),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)),
-        ).otherwise(F.concat(done, F.array(span)))
-
-    return F.flatten(F.transform(F.aggregate(pairs, empty, add), lambda s: F.array(s["start"], s["end"])))
+    blocks = [context.broadcast(block) for block in item_blocks(benchmark, item, item_text, block_words)]
+    return texts.mapInArrow(_scan(blocks, window), f"_row {kind}, {_HITS}").withColumnRenamed("_row", row)
 
 
 def hit_words(spans: str = "spans") -> Column:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from auditloom.llm import decontaminate as clean
@@ -57,6 +58,29 @@ def test_scan_of_all_rows(documents, benchmark, block_words):
         assert (row.n_words, spans_to_words(row.spans), set(row.items), row.n_hit) == (count, hit, found, len(hit))
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 20])
+def test_repeated_and_missing_ids_are_rows_of_their_own(spark, benchmark, block_words):
+    texts = [(7, PASSAGE), (7, f"so {PASSAGE}"), (7, "clean"), (None, "clean too"), (None, f"{PASSAGE} it was")]
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string")
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    wanted = []
+    for doc, text in texts:
+        count, hit, found = brute(text, items, 10)
+        wanted.append((str(doc), count, sorted(hit), sorted(found)))
+    rows = clean.scan_benchmark(documents, benchmark, block_words=block_words).collect()
+    assert sorted((str(r.doc_id), r.n_words, sorted(spans_to_words(r.spans)), sorted(r["items"])) for r in rows) == sorted(wanted)
+
+
+def test_groups_of_texts_and_spans_of_blocks():
+    spans = [[0, 4, 9, 12], [3, 5, 12, 13], []]
+    assert clean._joined(spans[0], spans[1]) == [0, 5, 9, 13]
+    assert clean._joined(spans[0], spans[2]) == clean._joined(spans[2], spans[0]) == spans[0]
+    batches = [pa.RecordBatch.from_pydict({"text": ["abc", None, "de"]}), pa.RecordBatch.from_pydict({"text": ["f" * 9, "g"]})]
+    groups = [[texts for _, texts in group] for group in clean._groups(iter(batches), "text", 6)]
+    assert [sum(group, []) for group in groups] == [["abc", "", "de", "f" * 9, "g"]]
+    assert len(list(clean._groups(iter(batches), "text", 0))) == 2
+
+
 def test_passages_are_cut_and_clean_texts_stay(documents, benchmark):
     before = {(r.doc_id, r.source): r.text for r in documents.collect()}
     kept = clean.remove_benchmark(documents, benchmark, max_share=0.9)
