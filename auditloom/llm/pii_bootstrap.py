@@ -1,18 +1,19 @@
 """Personal data, by patterns and by contexts bootstrapped from them.
 
-Validated matches of fixed patterns are the seeds. The word before a seed, with the shape
-of what follows, is a lexical pattern. Patterns and the identifier-like instances they
-precede form a graph over the corpus, which Spark scores in rounds: a pattern is as good
-as the share of its occurrences that precede good instances, an instance as good as its
-best pattern or, if it is a seed anywhere, wholly good. Instances of good patterns that
-enough others support are found beside the seeds.
+Validated matches of fixed patterns are the seeds. The word before a seed with the shape of
+the seed is a lexical pattern, and so is the word after it; a line's start and end stand
+for words. Patterns and the identifier-like instances beside them form a graph over the
+corpus, which Spark scores in rounds: a pattern is as good as the share of its occurrences
+that stand beside good instances, an instance as good as its best good pattern or, if it is
+a seed anywhere, wholly good. An occurrence of a pattern is one of its word beside an
+instance of its shape; the word beside other words is none. Instances of good patterns
+that enough others support are found beside the seeds.
 
 Null texts are empty. Repeated rows are rows of their own. An empty table gives an empty
 result. Offsets are code points, ends exclusive.
 """
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +26,12 @@ from auditloom.llm.shared import stored, text_slices
 KINDS = ("email", "ip", "card", "phone", "context")
 CONTEXT = KINDS.index("context")
 # A pattern is good from this share on, with so many different good instances. An instance
-# has so many digits.
+# has so many digits, or an @ between other signs.
 LEAST_CONFIDENCE, LEAST_SUPPORT = 0.5, 3
 LEAST_DIGITS = 6
 ROUNDS = 3
-# Different words that a task counts before it passes the counts on.
-COUNTED_WORDS = 300_000
+# The word beside the first and the last word of a line; no word holds white space.
+LINE_EDGE = "\n"
 
 # Each looks at a run from its start only, so that long runs take linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -44,7 +45,7 @@ _EDGES = "\"'`()[]{}<>|*$%&#!?.,;:="
 
 _FOUND = (
     "spans array<struct<start: int, kind: int, end: int>>, "
-    "mentions array<struct<start: int, end: int, left: string, shape: string, value: string, seed: boolean>>"
+    "mentions array<struct<start: int, end: int, left: string, right: string, shape: string, value: string, seed: boolean>>"
 )
 
 
@@ -92,32 +93,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def left_word(token: str) -> str:
+def context_word(token: str) -> str:
     return token.lower().strip(_EDGES)
 
 
 def shape_of(value: str) -> str:
     """Kinds of signs in a value, in order of their first place in runs: 9 a @ and others."""
     runs = re.sub("[0-9]+", "9", value)
-    return re.sub("[^\\W\\d_]+", "a", runs)[:12]
+    return re.sub("[^\\W\\d_]+", "a", runs)
+
+
+def is_candidate(word: str) -> bool:
+    """True for what looks like a number or an e-mail address."""
+    return len(_DIGIT.findall(word)) >= LEAST_DIGITS or "@" in word.strip("@" + _EDGES)
 
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, left, shape, value, seed) of seeds and of identifier-like words apart from them.
+    """(start, end, left, right, shape, value, seed) of seeds and of identifier-like words apart from them.
 
-    The word before is that of the same line. A number that is a card by itself, but for
-    what stands beside it, counts as a seed.
+    The words before and after are those of the same line, or else its edge. A number that
+    is a card by itself, but for what stands beside it, counts as a seed.
     """
-    if not spans and not _DIGIT.search(text):
+    if not spans and not _DIGIT.search(text) and "@" not in text:
         return []
-    found = []
+    found: list[list] = []
     covered = sorted((s, e) for s, _, e in spans)
     at = 0
-    left, line_end = "", 0
+    left, line_end = LINE_EDGE, 0
+    # Mentions whose next word has not come yet.
+    waiting: list[list] = []
     for token in _TOKEN.finditer(text):
         start, end = token.span()
-        if "\n" in text[line_end:start]:
-            left = ""
+        new_line = "\n" in text[line_end:start]
+        if waiting:
+            right = LINE_EDGE if new_line else context_word(token.group())
+            for mention in waiting:
+                if mention[1] <= start:
+                    mention[3] = right
+            waiting = [m for m in waiting if m[1] > start]
+        if new_line:
+            left = LINE_EDGE
         line_end = end
         while at < len(covered) and covered[at][1] <= start:
             at += 1
@@ -127,24 +142,27 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             while seed < len(covered) and covered[seed][0] < end:
                 if covered[seed][0] >= start:
                     value = text[covered[seed][0]:covered[seed][1]]
-                    found.append((*covered[seed], left, shape_of(value), value, True))
+                    found.append([*covered[seed], left, LINE_EDGE, shape_of(value), value, True])
+                    waiting.append(found[-1])
                 seed += 1
         else:
             word = token.group()
-            if len(_DIGIT.findall(word)) >= LEAST_DIGITS:
+            if is_candidate(word):
                 value = word.strip(_EDGES)
                 first = start + word.find(value)
-                found.append((first, first + len(value), left, shape_of(value), value, value.isascii() and value.isdigit() and is_card(value)))
-        left = left_word(token.group())
-    return found
+                seed_like = value.isascii() and value.isdigit() and is_card(value)
+                found.append([first, first + len(value), left, LINE_EDGE, shape_of(value), value, seed_like])
+                waiting.append(found[-1])
+        left = context_word(token.group())
+    return [tuple(m) for m in found]
 
 
 def _find(text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         mention_type = pa.list_(pa.struct([
-            ("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("shape", pa.string()),
-            ("value", pa.string()), ("seed", pa.bool_()),
+            ("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string()),
+            ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_()),
         ]))
         names = [f.name for f in mention_type.value_type]
         for batch in batches:
@@ -163,57 +181,43 @@ def _find(text: str, columns: list[str]):
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
-
-    def out() -> pa.RecordBatch:
-        lefts: Counter[str] = Counter()
-        for word, n in counts.items():
-            lefts[left_word(word)] += n
-        counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(lefts), pa.string()), pa.array(list(lefts.values()), pa.int64())], names=["left", "n"]
-        )
-
-    for batch in batches:
-        for _, texts in text_slices(batch):
-            for text in texts:
-                counts.update(text.split())
-            if len(counts) > COUNTED_WORDS:
-                yield out()
-    yield out()
+def in_contexts(mentions: DataFrame) -> DataFrame:
+    """Each mention once with the word before and once with the word after, if they are words."""
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(word).alias("word")) for side, word in enumerate(("left", "right"))
+    ])
+    return mentions.select("*", F.inline(sides)).drop("left", "right").where("word <> ''")
 
 
-def score_graph(seen: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(left, shape, confidence, support) of the patterns of mentions (left, shape, value, seed).
+def score_graph(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(side, word, shape, confidence, support) of the good patterns of mentions (left, right, shape, value, seed).
 
-    ``occurrences`` (left, n) says how often a word stands in the corpus at all. Mentions
-    are counted by pattern and instance first, so that neither a common word nor a common
-    instance moves more than once from a task; each round is written to shared storage.
+    Mentions are counted by pattern and instance first, so that neither a common word nor a
+    common instance moves more than once from a task; each round is written to shared
+    storage.
     """
+    pattern = ["side", "word", "shape"]
     edges = stored(
-        seen.where("left <> ''").groupBy("left", "shape", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")),
-        "graph",
+        in_contexts(seen).groupBy(*pattern, "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph"
     )
-    known = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
-    # Only words before enough different instances can be part of a good pattern. They are
-    # stored first, so that their size is known where the join with all words is planned.
-    lefts = edges.groupBy("left", "shape").count().where(F.col("count") >= LEAST_SUPPORT).select("left").distinct()
-    totals = stored(occurrences.join(stored(lefts, "lefts"), "left", "left_semi"), "totals")
-    seeds = stored(known, "instances")
+    totals = stored(
+        edges.groupBy(*pattern).agg(F.sum("n").alias("total"), F.count("*").alias("values"))
+        .where(F.col("values") >= LEAST_SUPPORT).drop("values"),
+        "totals",
+    )
+    seeds = stored(edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0)), "instances")
     scores = seeds
     for _ in range(rounds):
-        scored = edges.join(scores, "value")
-        patterns = scored.groupBy("left", "shape").agg(
+        scored = edges.join(scores, "value").groupBy(*pattern).agg(
             F.sum(F.col("n") * F.col("score")).alias("good"), F.count("*").alias("support")
         )
         patterns = stored(
-            patterns.join(totals.withColumnRenamed("n", "total"), "left").select(
-                "left", "shape", F.least(F.lit(1.0), F.col("good") / F.col("total")).alias("confidence"), "support"
-            ).where(F.col("support") >= LEAST_SUPPORT),
+            scored.where(F.col("support") >= LEAST_SUPPORT).join(totals, pattern)
+            .select(*pattern, (F.col("good") / F.col("total")).alias("confidence"), "support")
+            .where(F.col("confidence") >= LEAST_CONFIDENCE),
             "patterns",
         )
-        reached = edges.join(patterns, ["left", "shape"]).groupBy("value").agg(F.max("confidence").alias("score"))
+        reached = edges.join(patterns, pattern).groupBy("value").agg(F.max("confidence").alias("score"))
         scores = stored(
             reached.unionByName(seeds).groupBy("value").agg(F.max("score").alias("score")), "instances"
         )
@@ -223,8 +227,8 @@ def score_graph(seen: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -
 def find_pii(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The rows, without texts, with ``spans``: (start, kind, end) of seeds and of what contexts find.
 
-    ``spans`` is in order of start and kind. Texts are read twice: for seeds and mentions,
-    which are stored, and for the words that stand before them.
+    ``spans`` is in order of start and kind. Texts are read once; seeds and mentions are
+    stored.
     """
     kept = documents.drop("spans", "mentions", text)
     columns = kept.columns
@@ -232,18 +236,14 @@ def find_pii(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     rows = documents.select(*[F.col(f"`{c}`") for c in [*columns, text]]).mapInArrow(_find(text, columns), schema)
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "pii")
     seen = rows.select("_row", F.inline("mentions"))
-    occurrences = (
-        documents.select(F.col(text).alias("text")).mapInArrow(_count_words, "left string, n bigint")
-        .groupBy("left").agg(F.sum("n").alias("n"))
-    )
-    patterns = score_graph(seen, occurrences, rounds).where(F.col("confidence") >= LEAST_CONFIDENCE)
+    patterns = score_graph(seen, rounds)
     # A value that is a seed somewhere is one wherever it stands.
     known = stored(seen.where("seed").select("value").distinct(), "known")
     loose = rows.select("_row", "spans", F.inline("mentions")).where(
         ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     )
     by_value = loose.join(known, "value", "left_semi").select("_row", "start", "end")
-    by_pattern = loose.join(patterns, ["left", "shape"], "left_semi").select("_row", "start", "end")
+    by_pattern = in_contexts(loose).join(patterns, ["side", "word", "shape"], "left_semi").select("_row", "start", "end")
     more = by_value.unionByName(by_pattern).distinct().groupBy("_row").agg(
         F.collect_list(F.struct("start", F.lit(CONTEXT).alias("kind"), "end")).alias("more")
     )

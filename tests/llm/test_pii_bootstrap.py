@@ -69,6 +69,44 @@ def test_contexts_find_what_patterns_miss(spark):
         assert [s.kind for s in found[3]] == [pii.CONTEXT]
 
 
+def card(n):
+    """A number of 16 digits that is a card."""
+    return next(f"{4000000000000000 + 10 * n + d}" for d in range(10) if luhn(f"{4000000000000000 + 10 * n + d}"))
+
+
+def contexts_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {
+        r.doc_id: texts[r.doc_id][s.start:s.end]
+        for r in pii.find_pii(rows).collect() for s in r.spans if s.kind == pii.CONTEXT
+    }
+
+
+def test_a_cue_word_that_is_common_in_prose(spark):
+    prose = [f"the card game number {i} has a card on the card table" for i in range(60)]
+    seeds = [f"her card {card(i)} was used" for i in range(5)]
+    # Only the word before is known, only the word after, the line's start, and none.
+    unseen = ["lost card 1234567890123456, he said", "see 9876543210987654 was paid", "box 1111222233334445 moved"]
+    assert contexts_of(spark, prose + seeds + unseen) == {65: "1234567890123456", 66: "9876543210987654"}
+    # The pattern's share counts, not that of all numbers: most numbers after the word are no seeds.
+    others = [f"a card 99{i:02d}123456789012 of {i}" for i in range(6)]
+    assert contexts_of(spark, seeds[:4] + others + ["lost card 1234567890123456 x"]) == {}
+
+
+def test_line_starts_and_odd_addresses(spark):
+    seeds = [f"head\n{card(i)} word{i} tail{i}" for i in range(4)]
+    assert contexts_of(spark, [*seeds, "head\n1234567890123456 xx"]) == {4: "1234567890123456"}
+    mail = [f"write to user{'abcd'[i]}@example.com soon" for i in range(4)]
+    assert contexts_of(spark, [*mail, "write to name@bücher.de today"]) == {4: "name@bücher.de"}
+
+
+def test_words_before_and_after():
+    text = f"a b: {card(1)}, next\n{card(2)}\nlast +1 (017) 555-7713 end"
+    found = pii.mentions(text, pii.base_spans(text))
+    assert [(m[2], m[3]) for m in found] == [("b", "next"), ("\n", "\n"), ("last", "end")]
+    assert pii.shape_of("12-34-56-78-90-12-34-56") == "9-9-9-9-9-9-9-9"
+
+
 def test_seeds_are_found_wherever_they_stand(spark):
     rows = spark.createDataFrame([(1, "pay 4111111111111111 now"), (2, "4111111111111111 5500000000000004 x")], "doc_id bigint, text string")
     found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(rows).collect()}
