@@ -39,27 +39,40 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of the words of UTF-8 texts that lie end to end in ``data``.
-
-    A word is a run of signs other than ASCII white space; A-Z count as a-z.
-    """
-    solid = ~_IS_SPACE[data]
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, text number) of the runs of solid bytes; no run goes over the end of its text."""
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     bounds = offsets[1:-1]
-    bounds = bounds[bounds < len(data)]
+    bounds = bounds[bounds < len(solid)]
     first[bounds] = solid[bounds]
     last = solid.copy()
     last[:-1] &= ~solid[1:]
     ends = bounds[bounds > 0] - 1
     last[ends] = solid[ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _Powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[:-1], out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, stops, np.searchsorted(offsets, starts, side="right") - 1
+
+
+class RunHashes:
+    """Hashes of any runs of the same bytes, from sums over all of them; A-Z count as a-z."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _Powers.upto(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * up[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stops] - self.sums[starts]) * self.down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of the words of UTF-8 texts that lie end to end in ``data``.
+
+    A word is a run of signs other than ASCII white space; A-Z count as a-z.
+    """
+    starts, stops, text = runs(~_IS_SPACE[data], offsets)
+    return RunHashes(data).of(starts, stops), text
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

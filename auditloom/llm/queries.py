@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import (
     decontaminate,
+    gnat_codes,
+    hard_negatives,
     language_id,
     ngram_join,
     pii_bootstrap,
@@ -17,9 +19,10 @@ from auditloom.llm import (
     secret_scan,
     sentencepiece_codec,
     token_records,
+    toxic_crf,
     url_filter,
 )
-from auditloom.llm.shared import held_out, scratch_path, table
+from auditloom.llm.shared import held_out, scratch_path, stored, table
 
 # Public vocabulary files, by name.
 PIECES = "piece_bpe_32k.model"
@@ -134,6 +137,32 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = gnat_codes.fit(vectors)
+    coded = gnat_codes.encode(vectors, books).select("vec_id", "label", "code", "error")
+    rows = gnat_codes.with_label_error(stored(coded, "codes"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(vectors, F.col("vec_id"), moved, "embedding")
+    return hard_negatives.mine_negatives(rows, F.col("key") % 100 == 0)
+
+
+def op13_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
+    rows = toxic_crf.tag(documents, toxic_crf.fit(documents, labels))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), spans.alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_sentencepiece": op2_sentencepiece,
@@ -145,4 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_decontaminate": op9_decontaminate,
     "op10_rule_ledger": op10_rule_ledger,
+    "op11_gnat_codes": op11_gnat_codes,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxic_crf": op13_toxic_crf,
 }

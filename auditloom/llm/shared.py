@@ -50,9 +50,9 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the documents that no model may learn from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
+    """True for the part of the documents, a fifth by default, that no model may learn from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def lower_ascii(text: Column) -> Column:

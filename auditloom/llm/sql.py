@@ -130,6 +130,77 @@ FROM texts LEFT JOIN hits USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round is a table of its own; codebook rows are (p, e, v)."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS (
+    SELECT r, p, arg_min(e, [d, e]) AS e, min(d) AS d FROM (
+        SELECT cells.r, cells.p, e, list_sum(list_transform(list_zip(cells.v, book{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM cells JOIN book{i} ON cells.p = book{i}.p
+    ) GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""
+means{i} AS (
+    SELECT p, e, list(m ORDER BY j) AS v FROM (
+        SELECT p, e, j, floor_div(sum(x), count(*)) AS m FROM (
+            SELECT near{i}.p, near{i}.e, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS x FROM near{i} JOIN cells USING (r, p)
+        ) GROUP BY p, e, j
+    ) GROUP BY p, e
+),
+book{i + 1} AS (SELECT book{i}.p, book{i}.e, coalesce(means{i}.v, book{i}.v) AS v FROM book{i} LEFT JOIN means{i} USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+        list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cells AS MATERIALIZED (
+    SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) AS t(p)
+),
+book0 AS (SELECT p, r - 1 AS e, v FROM cells WHERE r <= {entries}),
+{",".join(steps).replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")},
+sums AS (
+    SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r
+),
+books AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN sums USING (r), books
+"""
+
+
+OP12 = """
+WITH rows AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS MATERIALIZED (
+    SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same,
+        list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM rows a JOIN rows b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT * FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id NULLS LAST, n.b)::INTEGER AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.a = p.a
+WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
 def all_sql() -> dict[str, str]:
     """Others learn from the corpus, or depend on a tokenizer; tests hold them against brute force.
 
@@ -138,4 +209,5 @@ def all_sql() -> dict[str, str]:
     """
     return {
         "op5_url_filter": OP5, "op6_ngram_join": OP6, "op9_decontaminate": OP9, "op10_rule_ledger": OP10,
+        "op11_gnat_codes": _op11(), "op12_hard_negatives": OP12,
     }
