@@ -425,7 +425,7 @@ def _spans(words: Words, chances: np.ndarray, data: np.ndarray, offsets: np.ndar
     joined = np.zeros(len(at), dtype=bool)
     joined[1:] = (at[1:] == at[:-1] + 1) & ~words.first[at[1:]]
     begins = np.flatnonzero(~joined)
-    ends = np.append(begins[1:], len(at)) - 1
+    ends = np.append(begins, len(at))[1:] - 1
     signs = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     owner = words.owner[at[begins]] if len(at) else np.zeros(0, dtype=np.int64)
     base = signs[offsets[owner]]
