@@ -13,24 +13,30 @@ executor's half-written parts never show. The index is a Parquet table (part, po
 key, offset, length) beside them, so that records can be read in any order.
 
 Null texts are empty; with the end id they have one id. Repeated rows are records of
-their own; rows of one key follow their texts' hashes. Null keys come first. An empty
-table has no records.
+their own; rows of one key follow their texts' hashes. Null keys come first. A very long
+text is one record. An empty table has no records. Other columns are not looked at.
 """
 
+import bisect
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.shared import stored, text_slices
+from auditloom.llm.shared import stored
+from auditloom.llm.word_tables import RowsByWord, array_slices, sums_of
 
-# Text bytes of one part file, and different words that a task remembers.
+# Text bytes of one part file and of a block, and different words that a task remembers.
 PART_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 CACHE_WORDS = 400_000
 _MASK_DELTA = 0xA282EAD8
 
@@ -62,63 +68,157 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
 
 # Signs that the tokenizer keeps apart from a letter before them.
 _TRAILING = "!#$%&*,.:;?|"
+# The steps of a tokenizer whose words can be encoded one by one: white space is dropped,
+# letters are lower-cased and kept apart from other signs, bytes stand for themselves.
+_NORMALISER = ["NFC", ("Replace", r"\s+", " "), "Lowercase"]
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Words that are handed to the library in one text, and texts in one batch.
+_JOINED, _BATCH = 50, 400
+
+
+def _cuts_words(definition: dict) -> bool:
+    """Whether a tokenizer takes these steps, so that texts can be cut at white space first."""
+    steps = [
+        (n["type"], n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"]
+        for n in (definition.get("normalizer") or {}).get("normalizers", [])
+    ]
+    cuts = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = definition["model"]
+    return (
+        steps == _NORMALISER and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"].get("Regex") == _CUTS and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in definition.get("added_tokens", []))
+    )
+
+
+def _byte_signs() -> dict[int, str]:
+    """What the tokenizer writes for the bytes of letters beyond ASCII: each byte has a visible sign."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {b: chr(b) for b in seen}
+    signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in signs)}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(128, 0x250)}
+
 
+_SIGNS = _byte_signs()
 
-def _stem_and_tail(word: str) -> tuple[str, str]:
+
+def _stem_and_tail(word: str) -> tuple[str, str, bool]:
     """A word as a stem and the signs behind it, which are always encoded apart.
 
-    Letters beyond the first blocks of Unicode may be unknown to the tokenizer as letters,
-    and a letter whose lower case is two signs may end in a mark; such words stay whole.
-    The tokenizer lower-cases what is not a special token.
+    The last value says whether the stem is plain: lower-case letters of the first blocks of
+    Unicode and nothing else. Letters further on may be unknown to the tokenizer as letters,
+    and a letter whose lower case is two signs may end in a mark; words that end so stay whole.
     """
     stem = word.rstrip(_TRAILING)
     last = stem[-1:].lower()
     if len(stem) < len(word) and not (len(last) == 1 and last < "\u0250" and last.isalpha()):
-        return word, ""
-    tail = word[len(stem):]
-    return (stem.lower() if stem.isascii() and "<" not in stem else stem), tail
+        return word, "", False
+    low = stem.lower()
+    if low.isalpha() and (low.isascii() or (len(low) == len(stem) and max(low) < "\u0250")):
+        return low, word[len(stem):], True
+    return stem, word[len(stem):], False
 
 
-class WordEncoder:
-    """A lower-casing tokenizer that never joins words, with the words it has seen.
+class Encoder:
+    """A tokenizer for whole blocks of texts.
 
-    Its first step cuts texts at white space and between letters and other signs, so that
-    a text's ids are those of its words in turn. Each different word is looked up once,
-    and each different stem encoded once.
+    If its first steps keep words apart, texts are cut at white space, and each different
+    word is looked up once and each different stem encoded once; plain stems skip the first
+    steps, which would not change them, and go to the model many in one text. Any other
+    tokenizer takes whole texts.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, np.ndarray] = {}
+        said = json.loads(definition)
+        self.by_word = _cuts_words(said)
+        if self.by_word:
+            vocabulary = said["model"]["vocab"]
+            self.model = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.parts = RowsByWord(np.uint32, CACHE_WORDS, self._words)
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, stems: list[str]) -> list[np.ndarray]:
+        """Ids of plain stems; each ends with the only piece that may end a word."""
+        signs = [s if s.isascii() else s.translate(_SIGNS) for s in stems]
+        joined = [" ".join(signs[i:i + _JOINED]) for i in range(0, len(signs), _JOINED)]
+        ids = [np.empty(0, dtype=np.uint32)]
+        for i in range(0, len(joined), _BATCH):
+            ids += [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(joined[i:i + _BATCH], add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(stems):
+            return [np.array(x, dtype=np.uint32) for x in self._whole(stems)]
+        return np.split(flat, ends[:-1]) if len(ends) else []
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [_stem_and_tail(w) for w in words]
+        plain = list(dict.fromkeys(stem for stem, _, is_plain in split if is_plain))
+        rest = list(dict.fromkeys([stem for stem, _, is_plain in split if not is_plain] + [tail for _, tail, _ in split]))
+        known = dict(zip(plain, self._plain(plain)))
+        other = dict(zip(rest, (np.array(x, dtype=np.uint32) for x in self._whole(rest))))
+        pieces = [x for stem, tail, is_plain in split for x in ((known if is_plain else other)[stem], other[tail])]
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)).reshape(-1, 2).sum(axis=1)
+        return np.concatenate(pieces), lengths
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts, each followed by the end id."""
+        if not self.by_word:
+            lists = [np.array([*ids, end], dtype=np.uint32) for ids in self._whole(texts.to_pylist())]
+            return np.concatenate([np.empty(0, dtype=np.uint32), *lists]), np.cumsum([0, *map(len, lists)])
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten()
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        ids, lengths = self.parts.gather(self.parts.numbers(words))
+        sizes = sums_of(lengths, bounds - bounds[0])
+        offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.full(offsets[-1], end, dtype=np.uint32)
+        within = np.ones(len(out), dtype=bool)
+        within[offsets[1:] - 1] = False
+        out[within] = ids
+        return out, offsets
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = Encoder(definition)
+    return _encoders[definition]
 
-    def encode(self, text: str, end: int) -> np.ndarray:
-        known = self.known
-        words = text.split(" ")
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            parts = [_stem_and_tail(word) for word in new]
-            fresh = list({part for pair in parts for part in pair}.difference(known))
-            for part, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[part] = np.array(encoded.ids, dtype=np.uint32).tobytes()
-            for word, (stem, tail) in zip(new, parts):
-                known[word] = known[stem] + known[tail]
-        return np.frombuffer(b"".join([*map(known.__getitem__, words), struct.pack("<I", end)]), dtype=np.uint32)
 
+def _bounds(rows: DataFrame, parts: int, count: int, least: int) -> list[tuple]:
+    """First rows of all parts but the first, so that parts hold about as many bytes of text.
 
-_encoders: dict[str, WordEncoder] = {}
+    They come from a sample of rows, like those of Spark's own range partitioning; the
+    row number tells equal rows apart, so that any number of copies is split.
+    """
+    share = min(1.0, max(50 * parts, 2000) / max(count, 1))
+    picked = rows.select("key", "order", "number", F.octet_length("text").alias("n"))
+    if share < 1:
+        picked = picked.sample(fraction=share, seed=7)
+    picked = sorted((_place(r["key"], r["order"], r["number"]), r["n"] + least) for r in picked.collect())
+    sizes = np.cumsum([n for _, n in picked])
+    if not len(sizes):
+        return []
+    at = np.searchsorted(sizes, sizes[-1] * np.arange(1, parts) / parts)
+    return sorted({picked[i][0] for i in at})
 
 
-def encoder_of(definition: str) -> WordEncoder:
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+def _place(key: int | None, order: int, number: int) -> tuple:
+    return key is not None, key or 0, order, number
 
 
 def write_records(
@@ -127,28 +227,39 @@ def write_records(
 ) -> None:
     """Encode and write the texts below a folder: part files in ``data``, then the ``index``.
 
-    ``definition`` is the JSON text of a tokenizer that cuts at white space first. Texts
-    are dealt by ranges of keys into parts of about ``part_bytes``, encoded where they
-    arrive and written there; a key with very many rows is split by its texts' hashes.
+    ``definition`` is the JSON text of a tokenizer. Texts are encoded where they are read;
+    their records, not the texts, are dealt by ranges of keys into parts of about
+    ``part_bytes`` of text, sorted and written there.
     """
     spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(definition)
     rows = documents.select(
-        F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("order")
+        F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.xxhash64(text).alias("order"), F.monotonically_increasing_id().alias("number"),
     )
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    dealt = rows.repartitionByRange(parts, "key", "order").sortWithinPartitions("key", "order")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // part_bytes))
+    sent = spark.sparkContext.broadcast((definition, _bounds(rows, parts, size["rows"], 16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent.value)
+        definition, bounds = sent.value
+        encoder = encoder_of(definition)
         for batch in batches:
-            for part, texts in text_slices(batch):
-                frames = [frame(k, encoder.encode(t, end)) for k, t in zip(part.column("key").to_pylist(), texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+            for part, texts in array_slices(batch, "text", BLOCK_BYTES):
+                ids, offsets = encoder.encode(texts, end)
+                keys, orders, numbers = (part.column(c).to_pylist() for c in ("key", "order", "number"))
+                frames = [frame(k, ids[a:b]) for k, a, b in zip(keys, offsets[:-1].tolist(), offsets[1:].tolist())]
+                to = [bisect.bisect_right(bounds, _place(*place)) for place in zip(keys, orders, numbers)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to, pa.int32()), *(part.column(c) for c in ("key", "order", "number")),
+                        pa.array(frames, pa.binary()),
+                    ],
+                    names=["part", "key", "order", "number", "frame"],
+                )
 
+    encoded = rows.mapInArrow(run, "part int, key bigint, order bigint, number bigint, frame binary")
+    framed = encoded.repartitionById(parts, "part").sortWithinPartitions("key", "order", "number")
     # The text writer puts down the bytes as they are and ends each row with one byte.
-    framed = dealt.mapInArrow(run, "frame binary")
     framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(f"{folder}/data")
     index_parts(spark, folder).write.parquet(f"{folder}/index")
 
@@ -257,9 +368,26 @@ def record_digests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_at(path: str, offset: int, length: int) -> tuple[int | None, np.ndarray]:
-    """(key, ids) of one record of a part file, by its entry in the index."""
-    with open(path, "rb") as file:
-        file.seek(offset)
-        key, ids, _ = unframe(file.read(length))
-    return key, ids
+def read_entries(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    """(part, offset, key, ids) of the records at the entries (part, offset) of the index.
+
+    The wanted offsets of a part meet its file; other parts are not read on. Entries may
+    repeat and come in any order; one that is no record's place is an error.
+    """
+    wanted = entries.groupBy(F.col("part").alias("wanted")).agg(F.collect_list("offset").alias("offsets"))
+    rows = _part_files(spark, folder).join(wanted, F.col("part") == F.col("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, content, offsets in zip(batch.column("part").to_pylist(), batch.column("content"), batch.column("offsets").to_pylist()):
+                data = content.as_py()
+                found = [(part, at, *unframe(data, at)[:2]) for at in offsets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([r[i] for r in found], pa.int64()) for i in range(3)),
+                        pa.array([r[3].astype(np.int32) for r in found], pa.list_(pa.int32())),
+                    ],
+                    names=["part", "offset", "key", "ids"],
+                )
+
+    return rows.select("part", "content", "offsets").mapInArrow(run, "part bigint, offset bigint, key bigint, ids array<int>")

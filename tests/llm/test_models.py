@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -187,13 +188,21 @@ def test_records_of_odd_rows(spark, documents, folder):
     digests = token_records.record_digests(spark, folder).orderBy("start").collect()
     assert [r.n_tokens for r in digests] == [len(ids) for _, ids in expected]
     assert [r.start for r in digests] == [0, *np.cumsum([len(ids) for _, ids in expected])[:-1].tolist()]
-    # Any record is found by its entry in the index.
-    files = {r.part: r.path.removeprefix("file:") for r in token_records._part_files(spark, folder).select("part").join(
-        spark.read.format("binaryFile").load(f"{folder}/data/part-*").select("path", F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint").alias("part")), "part"
-    ).collect()}
-    for entry in spark.read.parquet(f"{folder}/index").collect():
-        key, ids = token_records.read_at(files[entry.part], entry.offset, entry.length)
-        assert key == entry.key and len(ids) > 0
+    # Any record is found by its entry in the index, in any order and as often as it is asked for.
+    index = spark.read.parquet(f"{folder}/index")
+    shuffled = index.unionByName(index).orderBy(F.xxhash64("part", "offset"))
+    read = token_records.read_entries(spark, folder, shuffled).join(index.withColumnRenamed("key", "other"), ["part", "offset"])
+    assert read.count() == 2 * len(expected) and read.where("NOT key <=> other").count() == 0
+    assert sorted(map(str, (r.ids for r in read.collect()))) == sorted(str(ids) for _, ids in expected * 2)
+
+
+def test_equal_rows_are_split_over_parts(spark, folder):
+    rows = spark.range(4000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("the same text again").alias("text"))
+    token_records.write_records(rows, folder, vocabulary(WORDS).decode(), 1, part_bytes=10_000)
+    sizes = [r["count"] for r in spark.read.parquet(f"{folder}/index").groupBy("part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes) and len(sizes) >= 6
+    digests = token_records.record_digests(spark, folder)
+    assert [r.start for r in digests.orderBy("start").collect()] == list(range(0, 5 * 4000, 5))
 
 
 def test_damage_is_an_error():
@@ -221,6 +230,20 @@ def test_words_are_encoded_as_whole_texts_are(text):
     from tokenizers import Tokenizer
 
     text = text.encode("utf-8", "ignore").decode()
-    encoder = token_records.WordEncoder(vocabulary(WORDS).decode())
+    encoder = token_records.encoder_of(vocabulary(WORDS).decode())
     whole = Tokenizer.from_file(public_tokenizers.path(WORDS)).encode(text, add_special_tokens=False).ids
-    assert encoder.encode(text, 1).tolist() == [*whole, 1]
+    ids, offsets = encoder.encode(pa.array([text, "", text], pa.large_string()), 1)
+    assert encoder.by_word and ids.tolist() == [*whole, 1, 1, *whole, 1]
+    assert offsets.tolist() == [0, len(whole) + 1, len(whole) + 2, 2 * len(whole) + 3]
+
+
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    definition = vocabulary("byte_bpe_50k.json").decode()
+    texts = ["The cat sat.", "", "two  words\n", "İ é́!"]
+    encoder = token_records.Encoder(definition)
+    ids, offsets = encoder.encode(pa.array(texts, pa.large_string()), 9)
+    assert not encoder.by_word
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == [*Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids, 9]
