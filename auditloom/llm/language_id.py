@@ -6,24 +6,28 @@ likelihood in a language is the product over its words; a word's is the sum over
 segmentations into pieces, by a forward pass. The answer is the language of the highest
 posterior under equal priors.
 
-Words are runs of letters in lower case, with the vocabulary's word mark before them. A
-letter that is no piece is the unknown piece. A text that is null, or has no letter, is
-``und`` with score 0. Repeated rows are rows of their own. Without a labelled text every
-answer is ``und``.
+Words are runs of letters in lower case, with the vocabulary's word mark before them; other
+signs, numerals among them, are no letters. A letter that is no piece is the unknown
+piece. A text that is null, or has no letter, is ``und`` with score 0. Words and texts may
+be of any length, in learning as in scoring. Languages of equal posterior: the first by
+name. Repeated rows are rows of their own, and a row's answer depends on its text alone.
+Without a labelled text every answer is ``und``.
 """
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm.sentencepiece_codec import MARK, NORMAL, parse_model
-from auditloom.llm.shared import stored, text_slices
+from auditloom.llm.shared import stored
+from auditloom.llm.word_tables import RowsByWord, array_slices
 
 UNDETERMINED = "und"
 # Labelled texts per language that the pieces are learned from, and rounds of learning.
@@ -32,8 +36,9 @@ ROUNDS = 3
 # Added to the expected count of every piece.
 PSEUDO_COUNT = 0.05
 # Different words that a task remembers with their likelihoods.
-CACHE_WORDS = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+CACHE_WORDS = 300_000
+# Bytes of texts in a block.
+BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,23 +121,56 @@ def forward(pieces: Pieces, probabilities: np.ndarray, codes: np.ndarray) -> np.
     return scale + np.log(sums[length % span])
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, end to end, and the text number of each."""
+    split = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
+    words = split.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    there = pc.greater(pc.binary_length(words), 0)
+    return words.filter(there), owner[there.to_numpy(zero_copy_only=False)]
+
+
 def expected_counts(pieces: Pieces, probabilities: np.ndarray, codes: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in words of one length, over all their segmentations.
 
-    ``probabilities`` is the column of one language.
+    ``probabilities`` is the column of one language. Sums from both sides are scaled as they
+    go; each place keeps the logarithm of its scale, so that no word is too long.
     """
     rows, length = codes.shape
     edges = list(pieces.edges(codes))
     before, after = np.zeros((length + 1, rows)), np.zeros((length + 1, rows))
+    before_scale, after_scale = np.zeros((length + 1, rows)), np.zeros((length + 1, rows))
     before[0] = after[length] = 1
+    last = 0
     for start, end, some, number in edges:
+        if start != last:
+            last = start
+            # The places ahead hold sums of one scale, that of the place just reached.
+            ahead = slice(start, min(start + pieces.longest, length) + 1)
+            before_scale[ahead] = before_scale[start - 1]
+            if start % 8 == 0:
+                top = before[ahead].max(axis=0)
+                before[ahead] /= top
+                before_scale[ahead] += np.log(top)
         before[end, some] += before[start, some] * probabilities[number]
+    if length:
+        before_scale[length] = before_scale[last]
+    last = length
     for start, end, some, number in reversed(edges):
+        if start != last:
+            last = start
+            behind = slice(start + 1, min(start + 1 + pieces.longest, length + 1))
+            if (length - start) % 8 == 0:
+                top = after[behind].max(axis=0)
+                after[behind] /= top
+                after_scale[behind] += np.log(top)
+            after_scale[start] = after_scale[start + 1]
         after[start, some] += after[end, some] * probabilities[number]
     counts = np.zeros(pieces.count)
-    weight = times / before[length]
+    total = np.log(before[length]) + before_scale[length]
     for start, end, some, number in edges:
-        used = before[start, some] * probabilities[number] * after[end, some] * weight[some]
+        scale = np.exp(before_scale[start, some] + after_scale[end, some] - total[some])
+        used = before[start, some] * probabilities[number] * after[end, some] * scale * times[some]
         counts += np.bincount(number, used, minlength=pieces.count)
     return counts
 
@@ -144,39 +182,31 @@ class LanguageModel:
     probabilities: np.ndarray
 
     def __post_init__(self):
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.languages)))
-
-    def word_numbers(self, words: list[str]) -> np.ndarray:
-        """Rows of ``table`` for words; likelihoods of new words are worked out together."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.table = {}, np.zeros((0, len(self.languages)))
-        new = list(set(words).difference(self.known))
-        if new:
-            fresh = np.empty((len(new), len(self.languages)))
-            for at, codes in code_groups(new):
-                fresh[at] = forward(self.pieces, self.probabilities, codes)
-            first = len(self.table)
-            self.table = np.concatenate([self.table, fresh])
-            self.known.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def scores(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        split = [_WORD.findall(t.lower()) for t in texts]
-        counts = np.array([len(w) for w in split], dtype=np.int64)
-        numbers = self.word_numbers([w for words in split for w in words])
-        sums = np.zeros((len(numbers) + 1, len(self.languages)))
-        np.cumsum(self.table[numbers], axis=0, out=sums[1:])
-        ends = np.cumsum(counts)
-        totals = sums[ends] - sums[ends - counts]
-        totals -= totals.max(axis=1, keepdims=True, initial=-np.inf) if len(self.languages) else 0
-        shares = np.exp(totals)
+        self.table = RowsByWord(np.float64, CACHE_WORDS, self._likelihoods)
+
+    def _likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods of words, a value for each language; words of one length go together."""
+        width = len(self.languages)
+        fresh = np.empty((len(words), width))
+        for at, codes in code_groups(words):
+            fresh[at] = forward(self.pieces, self.probabilities, codes)
+        return fresh.ravel(), np.full(len(words), width)
+
+    def scores(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        n = len(texts)
+        words, owner = words_in(texts)
+        if not self.languages:
+            return [UNDETERMINED] * n, np.zeros(n)
+        numbers = self.table.numbers(words)
+        values = self.table.flat.reshape(-1, len(self.languages))[numbers]
+        # Each text is summed by itself, in the order of its words.
+        totals = np.stack([np.bincount(owner, values[:, i], minlength=n) for i in range(values.shape[1])], axis=1)
+        shares = np.exp(totals - totals.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
-        best = shares.argmax(axis=1) if len(self.languages) else np.zeros(len(texts), dtype=int)
-        told = counts > 0
-        names = [self.languages[b] if t and self.languages else UNDETERMINED for b, t in zip(best, told)]
-        top = shares[np.arange(len(texts)), best] if self.languages else np.zeros(len(texts))
-        return names, np.where(told, top, 0.0)
+        best = shares.argmax(axis=1)
+        told = np.bincount(owner, minlength=n) > 0
+        names = [self.languages[b] if t else UNDETERMINED for b, t in zip(best, told)]
+        return names, np.where(told, shares[np.arange(n), best], 0.0)
 
 
 def learn(
@@ -218,16 +248,10 @@ def learn(
 
 def _lang_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in text_slices(batch):
-            split = [_WORD.findall(t.lower()) for t in texts]
-            langs = part.column("lang").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name for name, ws in zip(langs, split) for _ in ws], pa.string()),
-                    pa.array([w for ws in split for w in ws], pa.string()),
-                ],
-                names=["lang", "word"],
-            )
+        for part, texts in array_slices(batch, "text", BLOCK_BYTES):
+            words, owner = words_in(texts)
+            langs = part.column("lang").take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([langs, words.cast(pa.string())], names=["lang", "word"])
 
 
 def _learning_round(spark: SparkSession, words: DataFrame, pieces: Pieces, languages: list[str], probabilities: np.ndarray) -> np.ndarray:
@@ -242,8 +266,6 @@ def _learning_round(spark: SparkSession, words: DataFrame, pieces: Pieces, langu
             times = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
             for column, name in enumerate(names):
                 mine = np.flatnonzero(langs == name)
-                # Longer words hold a vanishing share of a text and could underflow.
-                mine = np.array([i for i in mine if len(all_words[i]) <= 40], dtype=int)
                 if not len(mine):
                     continue
                 for at, codes in code_groups(list(all_words[mine])):
@@ -280,17 +302,17 @@ def identify(
     """
     sent = documents.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.probabilities))
     name = uuid.uuid4().hex
-    kept = documents.drop(pred, score)
+    kept = documents.drop(*({pred, score} - {text}))
+    fields = [*kept.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = model_of(name, sent.value)
         for batch in batches:
-            for part, texts in text_slices(batch, text):
+            for part, texts in array_slices(batch, text, BLOCK_BYTES):
                 names, scores = mine.scores(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*part.schema.names, pred, score],
+                    names=[f.name for f in fields],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, `{pred}` string, `{score}` double")
+    return kept.mapInArrow(run, T.StructType(fields))

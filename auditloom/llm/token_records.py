@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.shared import stored
-from auditloom.llm.word_tables import RowsByWord, array_slices, sums_of
+from auditloom.llm.word_tables import RowsByWord, array_slices, spread, sums_of
 
 # Text bytes of one part file and of a block, and different words that a task remembers.
 PART_BYTES = 16 << 20
@@ -112,6 +112,8 @@ def _stem_and_tail(word: str) -> tuple[str, str, bool]:
     and a letter whose lower case is two signs may end in a mark; words that end so stay whole.
     """
     stem = word.rstrip(_TRAILING)
+    if stem.isascii() and stem.isalpha():
+        return stem.lower(), word[len(stem):], True
     last = stem[-1:].lower()
     if len(stem) < len(word) and not (len(last) == 1 and last < "\u0250" and last.isalpha()):
         return word, "", False
@@ -121,6 +123,12 @@ def _stem_and_tail(word: str) -> tuple[str, str, bool]:
     return stem, word[len(stem):], False
 
 
+def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, and the length of each list."""
+    arrays = [np.array(x, dtype=np.uint32) for x in lists]
+    return np.concatenate([np.empty(0, dtype=np.uint32), *arrays]), np.array([len(x) for x in arrays], dtype=np.int64)
+
+
 class Encoder:
     """A tokenizer for whole blocks of texts.
 
@@ -148,8 +156,8 @@ class Encoder:
     def _whole(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _plain(self, stems: list[str]) -> list[np.ndarray]:
-        """Ids of plain stems; each ends with the only piece that may end a word."""
+    def _plain(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain stems, end to end, and their lengths; each ends with the only piece that may end a word."""
         signs = [s if s.isascii() else s.translate(_SIGNS) for s in stems]
         joined = [" ".join(signs[i:i + _JOINED]) for i in range(0, len(signs), _JOINED)]
         ids = [np.empty(0, dtype=np.uint32)]
@@ -157,19 +165,20 @@ class Encoder:
             ids += [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(joined[i:i + _BATCH], add_special_tokens=False)]
         flat = np.concatenate(ids)
         ends = np.flatnonzero(self.last[flat]) + 1
-        if len(ends) != len(stems):
-            return [np.array(x, dtype=np.uint32) for x in self._whole(stems)]
-        return np.split(flat, ends[:-1]) if len(ends) else []
+        return (flat, np.diff(ends, prepend=0)) if len(ends) == len(stems) else _laid(self._whole(stems))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [_stem_and_tail(w) for w in words]
-        plain = list(dict.fromkeys(stem for stem, _, is_plain in split if is_plain))
-        rest = list(dict.fromkeys([stem for stem, _, is_plain in split if not is_plain] + [tail for _, tail, _ in split]))
-        known = dict(zip(plain, self._plain(plain)))
-        other = dict(zip(rest, (np.array(x, dtype=np.uint32) for x in self._whole(rest))))
-        pieces = [x for stem, tail, is_plain in split for x in ((known if is_plain else other)[stem], other[tail])]
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)).reshape(-1, 2).sum(axis=1)
-        return np.concatenate(pieces), lengths
+        plain = dict.fromkeys(stem for stem, _, is_plain in split if is_plain)
+        rest = dict.fromkeys(stem for stem, _, is_plain in split if not is_plain)
+        rest.update(dict.fromkeys(tail for _, tail, _ in split))
+        parts = [self._plain(list(plain)), _laid(self._whole(list(rest)))]
+        plain = dict(zip(plain, range(len(plain))))
+        rest = dict(zip(rest, range(len(plain), len(plain) + len(rest))))
+        every, lengths = (np.concatenate(x) for x in zip(*parts))
+        order = np.array([x for stem, tail, is_plain in split for x in ((plain if is_plain else rest)[stem], rest[tail])])
+        found = lengths[order]
+        return every[spread((np.cumsum(lengths) - lengths)[order], found)], found.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts, each followed by the end id."""

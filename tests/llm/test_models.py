@@ -80,6 +80,39 @@ def test_a_very_long_word_has_a_likelihood():
         assert np.isfinite(language_id.forward(pieces, np.full((3, 1), 1e-5), codes)).all()
 
 
+def test_counts_of_a_very_long_word():
+    pieces = language_id.Pieces(["▁", "a", "aa"])
+    shares = np.array([0.2, 0.5, 0.2, 0.1])
+    for _, codes in language_id.code_groups(["a" * 10_000]):
+        counts = language_id.expected_counts(pieces, shares, codes, np.array([3.0]))
+        assert np.isclose((counts * [1, 1, 2, 1]).sum(), 3 * 10_001)
+        # Places of one and of two letters, as a chain of that length has them on average.
+        assert counts[1] > counts[2] > 0
+
+
+def test_counts_are_those_of_all_segmentations():
+    texts = ["▁", "a", "b", "ab", "▁a", "aba"]
+    pieces = language_id.Pieces(texts)
+    shares = np.array([0.2, 0.2, 0.1, 0.3, 0.1, 0.05, 0.05])
+    word = "abaxbaababab"
+    value = likelihood(word, dict(zip(texts, shares)), shares[-1])
+    for _, codes in language_id.code_groups([word]):
+        counts = language_id.expected_counts(pieces, shares, codes, np.array([1.0]))
+    step = 1e-6
+    for i, text in enumerate(texts):
+        more = dict(zip(texts, shares)) | {text: shares[i] * (1 + step)}
+        assert np.isclose(counts[i], (likelihood(word, more, shares[-1]) - value) / (step * value), atol=1e-4)
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["½ ²", "Ⅷ ①", "12 34", "½ un texto", "x", "…\u00a0!", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labelled = spark.createDataFrame([(1, "some plain english text", "en"), (2, "un texto en otra lengua", "es")], "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify(rows, language_id.learn(labelled, vocabulary(PIECES))).collect()}
+    assert [i for i in found if found[i].lang_pred == "und"] == [0, 1, 2, 5, 6, 7]
+    assert all(found[i].score == 0 for i in (0, 1, 2, 5, 6, 7)) and found[3].lang_pred == "es"
+
+
 # Quality.
 
 
@@ -158,6 +191,34 @@ def test_unigram_models_are_rebuilt():
     assert codec.decode(codec.encode(["ab é"])) == ["ab é"]
 
 
+def model_file(pieces, kind, suffix=False):
+    data = b""
+    for text, score, sort in pieces:
+        body = b"\x0a" + varint(len(text.encode())) + text.encode() + b"\x15" + np.float32(score).tobytes() + b"\x18" + varint(sort)
+        data += b"\x0a" + varint(len(body)) + body
+    trainer = b"\x18" + varint(kind) + (varint(24 << 3) + b"\x01" if suffix else b"")
+    return data + b"\x12" + varint(len(trainer)) + trainer
+
+
+def test_models_that_cannot_be_rebuilt_are_errors():
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -1.0, 1), ("▁a", -1.5, 1)]
+    sentencepiece_codec.Codec(model_file(pieces, 1))
+    for odd, suffix in ((("ab", 0.0, 4), False), (("ab", 0.0, 5), False), (("b", -3.0, 1), True)):
+        with pytest.raises(ValueError, match="read"):
+            sentencepiece_codec.Codec(model_file([*pieces, odd], 1, suffix))
+
+
+def test_odd_and_plain_texts_of_a_block_keep_their_order():
+    import sentencepiece
+
+    codec = sentencepiece_codec.Codec(vocabulary(PIECES))
+    original = sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECES))
+    texts = [x for odd in ODD for x in (odd, "plain words here", odd)]
+    ids = codec.encode(texts)
+    assert [x.tolist() for x in ids] == original.encode(texts)
+    assert codec.decode(ids) == [original.decode(x) for x in original.encode(texts)]
+
+
 def test_encoding_of_odd_rows(documents, no_documents):
     rows = sentencepiece_codec.encode_and_decode(documents, vocabulary(PIECES)).collect()
     assert len(rows) == documents.count()
