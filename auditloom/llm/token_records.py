@@ -214,7 +214,7 @@ def _bounds(rows: DataFrame, parts: int, count: int, least: int) -> list[tuple]:
     They come from a sample of rows, like those of Spark's own range partitioning; the
     row number tells equal rows apart, so that any number of copies is split.
     """
-    share = min(1.0, max(50 * parts, 2000) / max(count, 1))
+    share = min(1.0, max(200 * parts, 2000) / max(count, 1))
     picked = rows.select("key", "order", "number", F.octet_length("text").alias("n"))
     if share < 1:
         picked = picked.sample(fraction=share, seed=7)
