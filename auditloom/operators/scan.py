@@ -25,14 +25,13 @@ RULES_PER_ARRAY = 100
 
 def scan_strict(sources: DataFrame, rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
     """Findings of the live rules, by first pattern only: one per rule and matching line."""
-    live = rule_sets.collect_live(rules)
-    return _scan_patterns(sources, live, unicode_classes)
+    return scan_rows(sources, rule_sets.collect_live(rules), unicode_classes)
 
 
 def scan_all_patterns(sources: DataFrame, rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
     """Like ``scan_strict``, but a rule hits a line if any of its patterns does."""
     enabled = rule_sets.collect_all_patterns(rules)
-    return _scan_patterns(sources, enabled, unicode_classes)
+    return scan_rows(sources, enabled, unicode_classes)
 
 
 def scan_guarded(sources: DataFrame, rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
@@ -83,7 +82,9 @@ def _lines_with_neighbours(sources: DataFrame, gate: Column, reach: int) -> Data
     return cut.select("program", "source_seq", "path", F.inline(F.transform("all_lines", with_neighbours)))
 
 
-def _scan_patterns(sources: DataFrame, rules: list[Row], unicode_classes: bool) -> DataFrame:
+def scan_rows(sources: DataFrame, rules: list[Row], unicode_classes: bool) -> DataFrame:
+    """Findings of collected rules: a line is hit if one of a rule's ``tests`` matches it."""
+
     def test(rule: Row, flags: WordFlags) -> tuple[Hashable, Column]:
         patterns = sorted(rule.tests)
         return tuple(patterns), any_of(
@@ -131,22 +132,27 @@ def _scan(
     hits = F.struct(F.concat(*chunks).alias("numbers"))
     place = ["program", "source_seq", "path", "line_number", "line"]
     found = texts.select(*place, hits.alias("hits")).select(*place, F.explode("hits.numbers").alias("number"))
-    texts_of_rules = F.from_json(F.lit(json.dumps([_rule_text(r) for r in rules])), _RULE_TEXTS)
-    return found.withColumn("rule", F.get(texts_of_rules, "number")).select(
-        "program",
-        "source_seq",
+    texts_of_rules = F.from_json(F.lit(json.dumps([rule_text(r) for r in rules])), _RULE_TEXTS)
+    return found.withColumn("rule", F.get(texts_of_rules, "number")).select(*finding_columns(F.col("rule")))
+
+
+def finding_columns(rule: Column) -> list[Column]:
+    """The columns of findings, from the columns of lines and a struct with the text of a rule."""
+    return [
+        F.col("program"),
+        F.col("source_seq"),
         F.lit(schemas.ANALYZER_REGEX).alias("analyzer"),
-        "rule.rule_seq",
+        rule["rule_seq"].alias("rule_seq"),
         F.col("line_number").alias("item_seq"),
-        "rule.rule_id",
-        F.col("rule.rule_id").alias("vuln_type"),
-        "rule.severity",
-        "rule.message",
-        "rule.mitigation",
-        "line_number",
+        rule["rule_id"].alias("rule_id"),
+        rule["rule_id"].alias("vuln_type"),
+        rule["severity"].alias("severity"),
+        rule["message"].alias("message"),
+        rule["mitigation"].alias("mitigation"),
+        F.col("line_number"),
         trim_unicode(F.col("line")).alias("code_snippet"),
         F.col("path").alias("file_path"),
-    )
+    ]
 
 
 _RULE_TEXTS = (
@@ -154,7 +160,7 @@ _RULE_TEXTS = (
 )
 
 
-def _rule_text(rule: Row) -> dict:
+def rule_text(rule: Row) -> dict:
     return {
         "rule_seq": rule.rule_seq, "rule_id": rule.id, "severity": rule.severity, "message": rule.description,
         "mitigation": rule.mitigation,

@@ -103,6 +103,38 @@ def odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Pieces of a part's name and two letters by its number, as they stand in patterns.
+MANY_PIECES = {
+    "head": "left(p_name, 3)",
+    "tail": "right(p_name, 3)",
+    "a": "chr(CAST(97 + p_partkey % 26 AS INT))",
+    "b": "chr(CAST(97 + (p_partkey div 26) % 26 AS INT))",
+}
+# Fixed values. Forms of these rules by the number of the part: as written, with a class
+# inside, with two words, as written the other way round, and, seldom, without a long word.
+MANY_FORMS = [
+    ["head", "a"], ["tail", "a", "b", "[a-z]*", "[,.]"], ["(", "tail", "a", "|", "head", "b", ")", "[a-z]"], ["a", "b", "head"],
+    ["a", "b", "[0-9]+"],
+]
+MANY_FORM = "CAST(CASE WHEN p_partkey % 500 = 0 THEN 4 ELSE p_partkey % 4 END AS INT)"
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every part; some thousand patterns, each of them in several rules."""
+    forms = [
+        "concat(" + ", ".join(MANY_PIECES.get(p, f"'{p}'") for p in form) + ")" for form in MANY_FORMS
+    ]
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("int").alias("rule_seq"),
+        F.expr("concat('M-', p_partkey)").alias("id"),
+        F.col("p_name").alias("description"),
+        F.lit("low").alias("severity"),
+        F.expr(f"array(get(array({', '.join(forms)}), {MANY_FORM}))").alias("patterns"),
+        F.expr("p_size % 7 <> 0").alias("enabled"),
+        F.col("p_type").alias("mitigation"),
+    )
+
+
 def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without paths, and a blank text beside every tenth of them."""
     documents = table(spark, sf_dir, "documents")

@@ -8,7 +8,7 @@ on the columns they were built from instead of their trees.
 import re
 
 from auditloom import catalogue
-from auditloom.plans.inputs import CODE_WORDS, ODD_PATTERNS
+from auditloom.plans.inputs import CODE_WORDS, MANY_FORM, MANY_FORMS, MANY_PIECES, ODD_PATTERNS
 from auditloom.plans.registry import CONTEXT_REACH
 
 _WS = "\\t\\n\\x0b\\x0c\\r \\u0085\\u00a0\\u1680" + "".join(f"\\u{c:04x}" for c in range(0x2000, 0x200B)) + (
@@ -102,6 +102,23 @@ def _odd_scan() -> str:
     )
 
 
+def _many_scan() -> str:
+    """Every part's rule tried on every line; letters that stand in any hit go before the regex."""
+    pieces = {k: v.replace(" div ", " // ") for k, v in MANY_PIECES.items()}
+    forms = ", ".join(" || ".join(pieces.get(p, q(p)) for p in form) for form in MANY_FORMS)
+    head, tail, a, b = (pieces[k] for k in ("head", "tail", "a", "b"))
+    one = f"[{head} || {a}, {tail} || {a} || {b}, {tail} || {a}, {a} || {b} || {head}, {a} || {b}]"
+    other = f"[{head} || {a}, {tail} || {a} || {b}, {head} || {b}, {a} || {b} || {head}, {a} || {b}]"
+    return (
+        f", rules AS MATERIALIZED (SELECT p_partkey, p_name, p_type, [{forms}][{MANY_FORM} + 1] AS pattern, "
+        f"{one}[{MANY_FORM} + 1] AS one, {other}[{MANY_FORM} + 1] AS other FROM part WHERE p_size % 7 <> 0), "
+        "met AS MATERIALIZED (SELECT * FROM lines JOIN rules ON contains(line, one) OR contains(line, other)) "
+        "SELECT program, source_seq, 'regex' AS analyzer, 'M-' || p_partkey AS rule_id, 'M-' || p_partkey AS vuln_type, "
+        "'low' AS severity, p_name AS message, p_type AS mitigation, CAST(line_number AS BIGINT) AS line_number, "
+        f"{_trim('line')} AS code_snippet, path AS file_path FROM met WHERE regexp_matches(line, pattern)"
+    )
+
+
 def _all_patterns(rules: list[tuple]) -> str:
     selects = []
     for r in _enabled(rules):
@@ -456,6 +473,7 @@ def all_sql() -> dict[str, str]:
         f"CAST(1 + length(left(text, {start})) - length(replace(left(text, {start}), {NL}, '')) AS BIGINT) "
         f"AS line_number, {_trim(f'substring(text, {start} + 1, 40)')} AS code_snippet FROM documents",
         "scan_odd_rules": _with(TEXT_SOURCES, LINES) + _odd_scan(),
+        "scan_many": _with(TEXT_SOURCES, LINES) + _many_scan(),
         "prompt_build": _requests(),
         "response_parse": _with(TEXT_SOURCES, ANSWERS) + "SELECT * FROM answered",
         "response_rejects": _ANSWER_REJECTS,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom import catalogue
 from auditloom.functions.text import clean_path, display_name, has_extension, is_json
-from auditloom.operators import dedup, nodes, responses, routing, rules, scan, solidity
+from auditloom.operators import candidates, dedup, nodes, responses, routing, rules, scan, solidity
 from auditloom.operators.lines import snippets
 from auditloom.plans import inputs, reports
 from auditloom.plans.audit import audit_programs, audit_rejects, audit_rust, audit_solidity
@@ -136,6 +136,11 @@ def scan_odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(scan.scan_strict(inputs.text_sources(spark, sf_dir), inputs.odd_rules(spark, sf_dir)))
 
 
+def scan_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every part: lines meet rules by the rarest piece of what a hit needs."""
+    return _shown(candidates.scan_many(inputs.text_sources(spark, sf_dir), inputs.many_rules(spark, sf_dir)))
+
+
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_rules = rules_from_rows(spark, catalogue.PAGE_RULES)
     return _shown(scan.scan_all_patterns(inputs.page_sources(spark, sf_dir), page_rules))
@@ -322,7 +327,7 @@ QUERIES: dict[str, Query] = {
     for q in [
         src_files, src_inline, src_ext_filter, src_dedup, out_json,
         rules_load, rules_active, rules_rejected, rules_lint, rules_last,
-        lines, route_kind, scan_text, scan_odd_rules, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
+        lines, route_kind, scan_text, scan_odd_rules, scan_many, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
         scan_guarded_code, scan_context, scan_all, audit_contracts, rejects,
         count_total, count_by_analyzer, count_by_severity, count_by_source, report_matrix, report_rollup,
         program_report, program_totals,
