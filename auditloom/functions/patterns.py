@@ -11,8 +11,13 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from auditloom.functions.classes import java_pattern
+from auditloom.sources.workspace import ship
 
 # Regex flags: unix line ends only, and Unicode character classes.
 UNIX_LINES = "(?d)"
@@ -29,75 +34,47 @@ def guard_parts(pattern: Column) -> tuple[Column, Column]:
     return trigger, F.when(guarded, F.regexp_extract(pattern, _GUARDED, 2))
 
 
+_SPELLING = T.StructType([T.StructField("java", T.StringType()), T.StructField("frame", T.StringType())])
+
+
+def _spelled(patterns: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if p is None else java_pattern(p) for p in patterns]
+    return pd.DataFrame(rows, columns=["java", "frame"], index=patterns.index)
+
+
+def _spelling(pattern: Column) -> Column:
+    """Rules are few beside sources, so that their patterns may pass through Python once."""
+    return F.pandas_udf(_spelled, _SPELLING)(pattern)
+
+
 def with_problem(rules: DataFrame, column: str, problem: str) -> DataFrame:
-    """Add a column saying why the strict dialect rejects a pattern, null if it takes it."""
+    """Add a column saying why the strict dialect rejects a pattern, null if it takes it.
+
+    A construct is searched in the frame of the pattern, where classes and escaped signs
+    are out of the way.
+    """
+    ship(rules.sparkSession)
     pattern = F.col(column)
-    # Escaped backslashes, then other escaped signs and classes, are out of the way
-    # before a construct is searched.
-    staged = (
-        rules.withColumn("_escapes", F.replace(pattern, F.lit("\\\\"), F.lit("")))
-        .withColumn("_plain", F.regexp_replace("_escapes", r"\\[^A-Za-z0-9]|\[\^?\]?[^\]]*\]", "c"))
-        .withColumn("_java", spark_pattern(pattern))
+    staged = rules.withColumn("_spelling", _spelling(pattern)).withColumn(
+        "_escapes", F.replace(pattern, F.lit("\\\\"), F.lit(""))
     )
-    plain, escapes = F.col("_plain"), F.col("_escapes")
+    frame, escapes, java = F.col("_spelling.frame"), F.col("_escapes"), F.col("_spelling.java")
     # rlike raises an error on a malformed pattern; try_reflect gives null instead.
-    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("_java"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java)
     return staged.withColumn(
         problem,
-        F.when(plain.rlike(r"\(\?<?[=!]"), "look-around")
-        .when(plain.rlike(r"\(\?>"), "atomic group")
-        .when(plain.rlike(r"[*+?}]\+"), "possessive repeat")
+        F.when(frame.rlike(r"\(\?<?[=!]"), "look-around")
+        .when(frame.rlike(r"\(\?>"), "atomic group")
+        .when(frame.rlike(r"[*+?}]\+"), "possessive repeat")
         .when(escapes.rlike(r"\\[0-9k]"), "back-reference")
         .when(escapes.rlike(r"\\[CEGHIJKLMNOQRTVXYZceghijlmoqy]"), "unknown escape")
         .when(pattern.isNotNull() & compiled.isNull(), "malformed"),
-    ).drop("_escapes", "_plain", "_java")
-
-
-# Fixed values. ASCII classes by name, as ranges.
-POSIX_CLASSES = {
-    "alnum": "0-9A-Za-z",
-    "alpha": "A-Za-z",
-    "digit": "0-9",
-    "lower": "a-z",
-    "upper": "A-Z",
-    "word": "0-9A-Za-z_",
-    "xdigit": "0-9A-Fa-f",
-    "blank": r"\t ",
-    "space": r"\t\n\x0B\f\r ",
-    "punct": r"!-/:-@\[-`{-~",
-}
-
-
-# Signs of a pattern, as far as their spelling differs: code points by number, escapes,
-# group names, classes with the classes named inside them, and any other sign.
-_SIGNS = (
-    r"(?s)\\[uU]\{|\\.|\(\?P?<[A-Za-z_][A-Za-z0-9_.\[\]]*>"
-    r"|\[\^?\]?(?:\\.|\[:\^?[a-z]+:\]|[^\]\\])*\]|."
-)
+    ).drop("_escapes", "_spelling")
 
 
 def spark_pattern(pattern: Column) -> Column:
-    """The same pattern in Java's spelling (group names, named classes, code points, word ends).
-
-    It is translated sign by sign, so that an escaped bracket opens neither a group nor a
-    class, and a named class counts only inside a class.
-    """
-
-    def translated(sign: Column) -> Column:
-        inside = F.substr(sign, F.lit(2))
-        for name, ranges in POSIX_CLASSES.items():
-            inside = F.replace(inside, F.lit(f"[:{name}:]"), F.lit(ranges))
-        return (
-            F.when(sign.rlike(r"^\\[uU]\{$"), F.lit("\\x{"))
-            .when(sign == "\\<", F.lit(r"\b(?=\w)"))
-            .when(sign == "\\>", F.lit(r"\b(?<=\w)"))
-            .when(sign.rlike(r"^\(\?P<|^\(\?<.*[_.\[\]]"), F.lit("("))
-            .when(F.startswith(sign, F.lit("[")) & (F.length(sign) > 1), F.concat(F.lit("["), inside))
-            .otherwise(sign)
-        )
-
-    signs = F.regexp_extract_all(pattern, F.lit(_SIGNS), F.lit(0))
-    return F.when(pattern.isNotNull(), F.array_join(F.transform(signs, translated), ""))
+    """The same pattern in Java's spelling (classes, properties, group names, code points, word ends)."""
+    return _spelling(pattern)["java"]
 
 
 # Case-blind and spaced-out patterns, characters written by number and nested classes are

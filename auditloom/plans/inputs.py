@@ -84,6 +84,10 @@ ODD_PATTERNS = [
     (r"\$\{env:HOME\}", r"\$\{env:HOME\}"),
     (r"([0-9]{1,3}\.){3}", r"([0-9]{1,3}\.){3}"),
     (r"@\<mail[0-9]\>", r"@mail[0-9]\b"),
+    (r"[[:^alpha:]--[:^digit:]]{11}", r"[0-9]{11}"),
+    (r"[[:upper:]~~[:alpha:]]{18}", r"[a-z]{18}"),
+    (r"[[:print:]&&[^[:alnum:][:space:].,]]{3}", r"[!-+\-/:-@\[-`{-~]{3}"),
+    (r"[a-z]\p{^Letter}{3}\p{Uppercase_Letter}", r"[a-z]\P{L}{3}\p{Lu}"),
 ]
 
 

@@ -91,14 +91,16 @@ def _strict(rules: list[tuple]) -> str:
 
 def _odd_scan() -> str:
     """Every brand's rule, by its number, over the lines of the texts."""
-    patterns = ", ".join(q(re2) for _, re2 in ODD_PATTERNS)
-    number = f"CAST(substr(p_brand, 7) AS INTEGER) % {len(ODD_PATTERNS)}"
-    return (
+    brands = (
+        "SELECT p_brand, count(*) AS parts FROM part GROUP BY p_brand "
+        f"HAVING CAST(substr(p_brand, 7) AS INTEGER) % {len(ODD_PATTERNS)}"
+    )
+    return " UNION ALL ".join(
         "SELECT program, source_seq, 'regex' AS analyzer, p_brand AS rule_id, p_brand AS vuln_type, 'low' AS severity, "
         "'reads ${env:HOME} of ' || parts AS message, '${user.home}' AS mitigation, "
         f"CAST(line_number AS BIGINT) AS line_number, {_trim('line')} AS code_snippet, path AS file_path "
-        f"FROM lines, (SELECT p_brand, count(*) AS parts, [{patterns}][{number} + 1] AS pattern FROM part GROUP BY p_brand) "
-        "WHERE regexp_matches(line, pattern)"
+        f"FROM (SELECT * FROM lines WHERE regexp_matches(line, {q(re2)})), ({brands} = {i})"
+        for i, (_, re2) in enumerate(ODD_PATTERNS)
     )
 
 

@@ -1,6 +1,7 @@
-"""Where jobs may put files that other tasks read."""
+"""What driver and executors share: folders for files, and this package."""
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +13,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does.
+
+    It is for workers that see the driver's folders; elsewhere the package is installed or
+    comes by ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
