@@ -1,13 +1,13 @@
 """Checks on syntax-node tables."""
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import catalogue, schemas
-from auditloom.functions.text import trim_unicode
+from auditloom.functions.text import split_lines, trim_unicode
 from auditloom.operators.dedup import first_per
-from auditloom.operators.lines import lines
+from auditloom.operators.lines import line_array
 
 # Columns by which a node names its source; tables of a parser may know the path only.
 _SOURCE_KEYS = ["source_seq", "program", "path"]
@@ -108,55 +108,169 @@ def node_findings(found: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 _LETTER = r"\p{L}\p{M}\p{N}_"
-# Definitions, loops, and names before an opening parenthesis with what stands before
-# them; all of them from the start of a name on. Possessive repeats keep it linear.
-_TOKEN = (
-    rf"(?<![{_LETTER}.:!])(?:(?:fn|struct)[ \t]+[{_LETTER}]+|(?:loop|while|for)(?![{_LETTER}]))"
-    rf"|(?:[.:!]++|(?<![{_LETTER}.:!]))[{_LETTER}]++!?+[ \t]*+\("
+# Block comments may hold others, up to so many deep; deeper ones run to the end of the text.
+COMMENT_DEPTH = 8
+
+
+def _block_comment(depth: int) -> str:
+    inner = f"|{_block_comment(depth - 1)}" if depth else ""
+    return rf"/\*(?:[^*/]++|\*++(?!/)|/(?!\*){inner})*+\*/"
+
+
+# A text as comments, strings, signs in quotes, words, and what is between. Possessive
+# repeats keep it linear and off the stack.
+_PARTS = (
+    rf"(?s)//[^\n]*+|{_block_comment(COMMENT_DEPTH)}|/\*.*+"
+    rf"|(?:br|cr|r)(#*+)\"(?:.*?\"\1|.*+)|(?:b|c)?\"(?:[^\"\\]++|\\.)*+\"?"
+    r"|'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|.)|[^\\'\n])'"
+    rf"|[{_LETTER}]++|[^/\"'{_LETTER}]++|."
 )
-# Words that an opening parenthesis does not make a call.
-_NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct"]
+# The words and signs of a line; signs of two characters that are not two signs.
+_LEXEMES = rf"[{_LETTER}]+|[ \t]+|->|=>|::|\.\.+=?|[-+*/%^!=<>&|]=|[^{_LETTER} \t]"
+# Lines without any of these have no node and no bracket.
+_LIVELY = r"[\]\[(){};#+*/-]|fn|struct|loop|while|for|impl|trait|enum|mod|extern"
+# Words that an opening parenthesis does not make a call, and such that an operator may follow as a sign.
+NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct", "in", "as", "impl", "mut", "move", "let", "else", "where"]
+NO_OPERANDS = ["return", "in", "if", "match", "while", "as", "mut", "else", "const", "let", "ref", "move", "break", "dyn", "impl", "where"]
+HEADERS = ["fn", "struct", "impl", "trait", "enum", "mod", "extern"]
+
+_MATTERS = ["loop", "while", "for", *HEADERS, "+", "-", "*", "/", "(", "[", "{", ")", "]", "}", ";"]
+
+
+def blank_comments(code: Column) -> Column:
+    """The text with comments gone and strings emptied, line by line as before."""
+
+    def blank(part: Column) -> Column:
+        breaks = F.regexp_replace(part, r"[^\n]", "")
+        is_comment = F.startswith(part, F.lit("//")) | F.startswith(part, F.lit("/*"))
+        is_string = part.rlike("^(?:br|cr|r|b|c)?#*\"")
+        return (
+            F.when(is_comment, F.concat(F.lit(" "), breaks))
+            .when(is_string, F.concat(F.lit('""'), breaks))
+            .when(F.startswith(part, F.lit("'")) & (F.length(part) > 2), F.lit('""'))
+            .otherwise(part)
+        )
+
+    parts = F.transform(F.regexp_extract_all(code, F.lit(_PARTS), F.lit(0)), blank)
+    return F.when(code.rlike("[/\"']"), F.array_join(parts, "")).otherwise(code)
+
 
+def _lexeme(lexemes: Column, place: Column) -> Column:
+    """What a lexeme is to the structure of its text: a node, a bracket, a header word, an end."""
+    sign = F.get(lexemes, place)
 
-def _token_node(token: Column) -> Column:
-    name = F.trim(token, F.lit(".:!( \t"))
-    is_call = F.endswith(token, F.lit("("))
-    is_bare = F.left(token, F.lit(1)).rlike(f"[{_LETTER}]")
-    is_method = F.startswith(token, F.lit(".")) & ~F.startswith(token, F.lit(".."))
+    def beside(step: int) -> Column:
+        near = F.get(lexemes, place + step)
+        return F.when(near.rlike(r"^[ \t]"), F.get(lexemes, place + 2 * step)).otherwise(near)
+
+    before, after = beside(-1), beside(1)
+    word = sign.rlike(f"^[{_LETTER}]")
+    named = F.coalesce(after.rlike(rf"^[\p{{L}}_]"), F.lit(False))
+    is_definition = sign.isin("fn", "struct") & named
+    bare = ~F.coalesce(before.isin(".", "::", ":", "!"), F.lit(False))
+    keyword = sign.isin(NO_CALLS) & ~F.coalesce(before.isin(".", "::"), F.lit(False))
+    called = word & F.coalesce(after == "(", F.lit(False)) & ~sign.rlike("^[0-9]") & ~keyword
+    called = called & ~F.coalesce(before.isin("fn", "struct"), F.lit(False))
+    # An operator stands behind a word, a number or a closing bracket; at the start of a line
+    # only + and / are sure not to be signs. Bounds of types are no sums.
+    operand = F.coalesce(before.rlike(rf"^[{_LETTER})\]?\"]") & ~before.isin(NO_OPERANDS), F.lit(False))
+    exponent = F.coalesce(F.get(lexemes, place - 1).rlike("^[0-9_]+[eE]$"), F.lit(False)) & sign.isin("+", "-")
+    bound = (sign == "+") & F.coalesce(after.isin("'", "?") | after.rlike("^[A-Z][A-Za-z0-9_]*[a-z]"), F.lit(False))
+    is_operator = sign.isin("+", "-", "*", "/") & ~exponent & ~bound & (operand | (before.isNull() & sign.isin("+", "/")))
     kind = (
-        F.when(~is_call, F.regexp_extract(token, "^[a-z]+", 0))
-        .when(F.contains(token, F.lit("!")) | name.rlike("^[0-9]") | (is_bare & name.isin(_NO_CALLS)), F.lit(None))
-        .when(is_method, "method_call")
-        .otherwise("call")
+        F.when(is_definition, sign)
+        .when(sign.isin("loop", "while", "for") & bare & ~F.coalesce(after == "<", F.lit(False)), sign)
+        .when(called & F.coalesce(before == ".", F.lit(False)), "method_call")
+        .when(called, "call")
+        .when(is_operator, "binary")
     )
+    # Macros and attributes are opaque: name ! [ and # [ open them.
+    far = F.get(lexemes, place - 2)
+    hash_before = (before == "#") | ((before == "!") & (far.isin("#") | far.rlike(f"^[{_LETTER}]")))
+    spaced = F.get(lexemes, place - 1).rlike(r"^[ \t]") & (before == "!") & F.get(lexemes, place - 3).rlike(f"^[{_LETTER}]")
+    rules = (far == "!") | (F.get(lexemes, place - 3) == "!")
+    is_rules = F.coalesce((F.get(lexemes, F.lit(0)) == "macro_rules") & rules, F.lit(False))
+    opaque = sign.isin("(", "[", "{") & (F.coalesce(hash_before | spaced, F.lit(False)) | is_rules)
     return F.struct(
-        kind.alias("kind"),
-        F.when(is_call, name).otherwise(F.regexp_extract(token, rf"[{_LETTER}]+$", 0)).alias("name"),
-        F.when(F.contains(token, F.lit(":")), 2).otherwise(1).alias("qualified"),
+        place.alias("pos"), kind.alias("kind"),
+        F.when(is_definition, after).when(kind.isin("binary"), F.lit(None)).when(kind.isNotNull(), sign).alias("name"),
+        F.when(kind == "call", F.when(F.coalesce(before == "::", F.lit(False)), 2).otherwise(1)).alias("path_len"),
+        F.when(kind == "binary", sign).alias("op"),
+        F.when(sign.isin("(", "[", "{"), 1).when(sign.isin(")", "]", "}"), -1).otherwise(0).alias("step"),
+        opaque.alias("opaque"),
+        F.when(sign.isin(HEADERS) & bare & (sign.isin("impl", "extern") | named), sign).alias("header"),
+        sign.isin("{", "}", ";").alias("ends"), (sign == "{").alias("block"),
     )
 
 
+def _places(lexemes: Column) -> Column:
+    """Places of the lexemes that may matter: few of all, so that the rest costs next to nothing."""
+    found = F.array_compact(F.transform(lexemes, lambda x, i: F.when(x.isin(_MATTERS), i)))
+
+    def with_name(place: Column) -> Column:
+        near = F.get(lexemes, place - 1)
+        at = F.when(near.rlike(r"^[ \t]"), place - 2).otherwise(place - 1)
+        name = F.get(lexemes, at)
+        is_name = (F.get(lexemes, place) == "(") & name.rlike(rf"^[{_LETTER}]") & ~name.isin(_MATTERS)
+        return F.when(F.coalesce(is_name, F.lit(False)), F.array(at, place)).otherwise(F.array(place))
+
+    return F.flatten(F.transform(found, with_name))
+
+
 def lexical_nodes(sources: DataFrame) -> DataFrame:
-    """A stand-in for parser output: calls, loops, functions and structs by their words.
+    """A stand-in for parser output: calls, operators, loops, functions and structs by their words.
 
-    Line comments are cut off first. ``node_seq`` follows the text. The words are sorted
-    out within their line, so that only nodes leave it as rows.
+    Comments and strings are taken out of the whole text first. The brackets of a text then
+    say what stands where: running sums give each place its depth, and the last bracket that
+    opened a depth is the one around it. Functions in the body of an ``impl``, a ``trait`` or
+    an ``extern`` block are no free functions and are left out; bodies of macros and
+    attributes are opaque. ``node_seq`` follows the text. Texts move once, as their nodes
+    and brackets, dealt by source.
     """
-    code_line = F.when(
-        F.contains("line", F.lit("//")), F.regexp_replace("line", "(?s)//.*", "")
-    ).otherwise(F.col("line"))
-    tokens = F.transform(F.regexp_extract_all(code_line, F.lit(_TOKEN), F.lit(0)), _token_node)
-    found = lines(sources).select(
-        *_SOURCE_KEYS, "line_number", "line",
-        F.posexplode(F.filter(tokens, lambda t: t["kind"].isNotNull())).alias("pos", "node"),
+    # A projection of its own, as splitting names the text several times.
+    blanked = sources.select(*_SOURCE_KEYS, "code", F.when(F.col("code") != "", blank_comments(F.col("code"))).alias("live"))
+    both = F.arrays_zip(line_array().alias("line"), split_lines(F.col("live")).alias("live"))
+    cut = blanked.select(*_SOURCE_KEYS, F.posexplode(both).alias("number", "both"))
+    lexemes = F.when(F.col("both.live").rlike(_LIVELY), F.regexp_extract_all("both.live", F.lit(_LEXEMES), F.lit(0)))
+    listed = cut.select(*_SOURCE_KEYS, "number", F.col("both.line").alias("line"), lexemes.alias("lexemes")).where(
+        "lexemes IS NOT NULL"
     )
-    return found.select(
-        *_SOURCE_KEYS,
-        (F.shiftleft("line_number", 32) + F.col("pos")).alias("node_seq"),
-        "node.kind",
-        "node.name",
-        F.when(F.col("node.kind") == "call", F.col("node.qualified")).alias("path_len"),
-        F.lit(None).cast("string").alias("op"),
-        "line_number",
-        trim_unicode(F.col("line")).alias("snippet"),
+    seen = F.filter(
+        F.transform(_places(F.col("lexemes")), lambda i: _lexeme(F.col("lexemes"), i)),
+        lambda x: x["kind"].isNotNull() | (x["step"] != 0) | x["header"].isNotNull() | x["ends"],
+    )
+    rows = listed.select(*_SOURCE_KEYS, "number", "line", F.explode(seen).alias("x")).select(
+        *_SOURCE_KEYS, (F.col("number") + 1).cast("bigint").alias("line_number"), "x.*",
+        F.when(F.col("x.kind").isNotNull(), trim_unicode(F.col("line"))).alias("snippet"),
+    )
+    return _in_scope(rows).select(
+        *_SOURCE_KEYS, "node_seq", "kind", "name", "path_len", "op", "line_number", "snippet"
     )
+
+
+def _in_scope(rows: DataFrame) -> DataFrame:
+    """The nodes that count, by the brackets around them."""
+    rows = rows.withColumn("node_seq", F.shiftleft("line_number", 32) + F.col("pos"))
+    by_source = Window.partitionBy("source_seq").orderBy("node_seq")
+    so_far = by_source.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = by_source.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "depth": F.sum("step").over(so_far),
+        "part": F.coalesce(F.sum(F.col("ends").cast("int")).over(earlier), F.lit(0)),
+    })
+    # The first header word since the last block or statement says what a block is.
+    in_part = Window.partitionBy("source_seq", "part").orderBy("node_seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("heads", F.first("header", ignorenulls=True).over(in_part))
+    members = F.col("block") & F.col("heads").isin("impl", "trait", "extern")
+    rows = rows.withColumns({
+        "opens": F.when(F.col("opaque"), "opaque").when(members, "members").when(F.col("step") > 0, "plain"),
+        "level": F.when(F.col("step") > 0, F.col("depth")).otherwise(F.col("depth") - F.col("step")),
+    })
+    at_level = Window.partitionBy("source_seq", "level").orderBy("node_seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.last("opens", ignorenulls=True).over(at_level))
+    closes = (F.col("step") < 0) & (F.col("inside") == "opaque")
+    hidden = F.when(F.col("opaque"), 1).when(closes, -1).otherwise(0)
+    rows = rows.withColumn("hidden", F.coalesce(F.sum(hidden).over(earlier), F.lit(0)))
+    in_impl = (F.col("kind") == "for") & F.coalesce(F.col("heads") == "impl", F.lit(False))
+    method = (F.col("kind") == "fn") & F.coalesce(F.col("inside") == "members", F.lit(False))
+    return rows.where(F.col("kind").isNotNull() & (F.col("hidden") <= 0) & ~in_impl & ~method)

@@ -4,6 +4,9 @@ The tables hold prose, orders and web pages. Each function turns whole tables, r
 into one of the inputs of an audit; nothing is grouped, cut or left out.
 """
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +151,76 @@ def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_sources(documents.unionByName(blank), seq=F.col("doc_id"), code=F.col("text"))
 
 
+def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callable[[str], str]) -> None:
+    """Texts as files, one for each place, with the texts of a place in the order of ``seq``.
+
+    Spark's writers choose names and endings themselves, so that the files, a few of them
+    however many texts there are, get their names afterwards.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartition(*places).sortWithinPartitions(*places, "seq")
+    dealt.select("text", *places).write.partitionBy(*places).text(folder)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = store.listFiles(root, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-"):
+            files.append(path)
+    for path in files:
+        store.rename(path, path.suffix(ending(path.getParent().getName())))
+
+
+# Texts of one source file of a program.
+TEXTS_PER_FILE = 2000
+
+
+def write_programs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The documents as code, as a collection of programs: a directory for every document source.
+
+    They stand there once more by language; files of other languages than English hold a
+    byte that is no UTF-8.
+    """
+    documents = table(spark, sf_dir, "documents")
+    code = "text"
+    for word, piece in CODE_WORDS:
+        code = f"replace({code}, '{word}', '{piece}')"
+    block = F.expr(f"doc_id div {TEXTS_PER_FILE}").alias("block")
+    by_source = documents.select(F.col("source").alias("program"), block, F.col("doc_id").alias("seq"), F.expr(code).alias("text"))
+    bad = F.expr(f"CAST(concat(CAST({code} AS BINARY), unhex(IF(lang = 'en', '', 'FF'))) AS STRING)")
+    lang = F.coalesce("lang", F.lit("none"))
+    by_language = documents.withColumn("lang", lang).select(
+        F.concat(F.lit("again-"), "lang").alias("program"), block, F.col("doc_id").alias("seq"), bad.alias("text")
+    )
+    _write_files(by_source.unionByName(by_language), folder, ["program", "block"], lambda place: ".rs")
+
+
+# Fixed values. Endings of files by the number of their place.
+PROJECT_ENDINGS = [".sol", ".SOL", ".Json", ".md"]
+
+
+def write_project(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The benchmark items as files of a project: three directories with eight places each."""
+    items = table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL").select(
+        F.expr("element_at(array('a', 'b', 'c'), CAST(item_id % 3 AS INT) + 1)").alias("dir"),
+        F.expr("item_id % 8").alias("place"), F.col("item_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    _write_files(items, folder, ["dir", "place"], lambda place: PROJECT_ENDINGS[int(place.partition("=")[2]) % 4])
+
+
+def rules_as_toml(spark: SparkSession, sf_dir: str) -> str:
+    """The part rules as the text of a rule file, mode included; rule files are small by nature."""
+    def value(x: object) -> str:
+        return json.dumps(x, ensure_ascii=False)
+
+    lines = ["[metadata]", 'name = "parts"', "", "[analysis_mode]", "regex = true", "ast = false", "llm = true"]
+    for rule in part_rules(spark, sf_dir).orderBy("rule_seq").toLocalIterator():
+        lines += ["", "[[rules]]", *(f"{k} = {value(rule[k])}" for k in ("id", "description", "severity", "patterns", "enabled"))]
+        if rule["mitigation"] is not None:
+            lines.append(f"mitigation = {value(rule['mitigation'])}")
+    return "\n".join(lines) + "\n"
+
+
 def redelivered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document twice, under paths that several documents share.
 

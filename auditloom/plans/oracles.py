@@ -8,7 +8,8 @@ on the columns they were built from instead of their trees.
 import re
 
 from auditloom import catalogue
-from auditloom.plans.inputs import CODE_WORDS, MANY_FORM, MANY_FORMS, MANY_PIECES, ODD_PATTERNS
+from auditloom.operators.nodes import HEADERS, NO_CALLS, NO_OPERANDS
+from auditloom.plans.inputs import CODE_WORDS, MANY_FORM, MANY_FORMS, MANY_PIECES, ODD_PATTERNS, PROJECT_ENDINGS, TEXTS_PER_FILE
 from auditloom.plans.registry import CONTEXT_REACH
 
 _WS = "\\t\\n\\x0b\\x0c\\r \\u0085\\u00a0\\u1680" + "".join(f"\\u{c:04x}" for c in range(0x2000, 0x200B)) + (
@@ -188,6 +189,26 @@ judged AS (
   FROM stated)
 """
 
+# What a pattern is by the form of its rule: form 2 is a guarded trigger, 3 lacks a bracket,
+# 5 has a back-reference, 7 an atomic group in its first pattern.
+_PATTERN_STATES = """
+, each AS (
+  SELECT rule_seq, id, enabled, form, unnest(CASE WHEN len(patterns) = 0 THEN [NULL] ELSE patterns END) AS pattern,
+         CASE WHEN len(patterns) = 0 THEN 0 ELSE unnest(range(1, greatest(len(patterns), 1) + 1)) END AS pattern_no FROM part_rules),
+problems AS (
+  SELECT *, CASE WHEN pattern_no <> 1 THEN NULL WHEN form = 2 THEN 'look-around' WHEN form = 3 THEN 'malformed'
+                 WHEN form = 5 THEN 'back-reference' WHEN form = 7 THEN 'atomic group' END AS problem FROM each),
+judged_both AS (SELECT *, CASE WHEN problem <> 'look-around' THEN problem END AS guarded_problem FROM problems)
+SELECT rule_seq, id, CAST(pattern_no AS INTEGER) AS pattern_no, pattern,
+  CASE WHEN NOT enabled THEN 'disabled' WHEN pattern IS NULL THEN 'no pattern' WHEN pattern_no > 1 THEN 'unused'
+       WHEN problem IS NOT NULL THEN 'unsupported' ELSE 'live' END AS strict,
+  CASE WHEN NOT enabled THEN 'disabled' WHEN pattern IS NULL THEN 'no pattern'
+       WHEN problem IS NOT NULL THEN 'unsupported' ELSE 'live' END AS every,
+  CASE WHEN NOT enabled THEN 'disabled' WHEN pattern IS NULL THEN 'no pattern' WHEN pattern_no > 1 THEN 'unused'
+       WHEN guarded_problem IS NOT NULL THEN 'unsupported' ELSE 'live' END AS guarded, problem, guarded_problem
+FROM judged_both
+"""
+
 # Syntax nodes.
 
 
@@ -224,35 +245,94 @@ found AS (
        (n.kind = 'call' AND n.path_len = 1 AND n.name = c.key) OR (n.kind = 'method_call' AND n.name = c.key)
        OR (n.kind = 'binary' AND n.op = c.key) OR n.kind IN ('loop', 'while', 'for', 'fn', 'struct')))
 """
-_NAME = r"[\p{L}\p{M}\p{N}_]+"
-_TOKEN = rf"(?:fn|struct)[ \t]+{_NAME}|[.:!]*{_NAME}!?[ \t]*\(?"
-# Every name of a line is a token here; those that are nodes are numbered by position.
+_L = r"\p{L}\p{M}\p{N}_"
+_PARTS = (
+    r"(?s)//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|/\*.*" + r'|(?:br|cr|r)"[^"]*"|(?:b|c)?"(?:[^"\\]|\\.)*"?'
+    r"|'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|.)|[^\\'\n])'" + rf"""|[{_L}]+|[^/"'{_L}]+|."""
+)
+_LEXEMES = rf"[{_L}]+|[ \t]+|->|=>|::|\.\.+=?|[-+*/%^!=<>&|]=|[^{_L} \t]"
+_BREAKS = r"regexp_replace(t, '[^\n]', '', 'g')"
+
+
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(q(w) for w in words) + ")"
+
+
+# Every sign of a line is a row; those beside it say what it is, and sums over the signs of
+# a source what stands around it.
 LEXICAL_NODES = rf"""
-tokens AS (
-  SELECT path, line_number, line, unnest(t) AS token, unnest(range(len(t))) AS token_pos
-  FROM (SELECT *, regexp_extract_all(regexp_replace(line, '(?s)//.*', ''), '{_TOKEN}') AS t FROM lines)),
-words AS (
-  SELECT *, regexp_extract(token, '{_NAME}') AS word, regexp_matches(token, '^{_NAME}') AS bare,
-         regexp_matches(token, '\($') AS opens
-  FROM tokens),
-kinds AS (
-  SELECT *, CASE
-      WHEN regexp_matches(token, '^(fn|struct)[ \t]+{_NAME}$') THEN word
-      WHEN bare AND word IN ('loop', 'while', 'for') THEN word
-      WHEN contains(token, '!') OR regexp_matches(word, '^[0-9]') THEN NULL
-      WHEN bare AND word IN ('if', 'match', 'return', 'fn', 'struct') THEN NULL
-      WHEN opens AND regexp_matches(token, '^\.([^.]|$)') THEN 'method_call'
-      WHEN opens THEN 'call' END AS kind
-  FROM words),
-placed_nodes AS (
-  SELECT *, row_number() OVER (PARTITION BY path, line_number ORDER BY token_pos) - 1 AS pos
-  FROM kinds WHERE kind IS NOT NULL),
+blanked AS (
+  SELECT *, CASE WHEN regexp_matches(code, '[/"'']') THEN array_to_string(list_transform(
+      regexp_extract_all(code, {q(_PARTS)}), lambda t: CASE
+        WHEN starts_with(t, '//') OR starts_with(t, '/*') THEN ' ' || {_BREAKS}
+        WHEN regexp_matches(t, '^(?:br|cr|r|b|c)?#*"') THEN '""' || {_BREAKS}
+        WHEN starts_with(t, '''') AND length(t) > 2 THEN '""' ELSE t END), '') ELSE code END AS live_code
+  FROM sources WHERE code <> ''),
+both_parts AS (
+  SELECT path, source_seq, string_split_regex(code, '\r?\n') AS old, string_split_regex(live_code, '\r?\n') AS new FROM blanked),
+live_lines AS (
+  SELECT path, source_seq, unnest(old) AS line, unnest(new) AS live, unnest(range(1, len(old) + 1)) AS line_number FROM both_parts),
+signs AS (
+  SELECT path, source_seq, line, line_number, unnest(x) AS s, unnest(range(len(x))) AS pos
+  FROM (SELECT *, regexp_extract_all(live, {q(_LEXEMES)}) AS x FROM live_lines)),
+near AS (
+  SELECT *, lag(s, 1) OVER w AS l1, lag(s, 2) OVER w AS l2, lag(s, 3) OVER w AS l3, lead(s, 1) OVER w AS n1,
+         lead(s, 2) OVER w AS n2, first_value(s) OVER w AS s0
+  FROM signs WINDOW w AS (PARTITION BY source_seq, line_number ORDER BY pos)),
+beside AS (
+  SELECT *, CASE WHEN regexp_matches(l1, '^[ \t]') THEN l2 ELSE l1 END AS b,
+         CASE WHEN regexp_matches(n1, '^[ \t]') THEN n2 ELSE n1 END AS a FROM near),
+judged_signs AS (
+  SELECT *, s IN ('fn', 'struct') AND coalesce(regexp_matches(a, '^[\p{{L}}_]'), false) AS defines,
+         coalesce(b, '') NOT IN ('.', '::', ':', '!') AS bare,
+         regexp_matches(s, '^[{_L}]') AND coalesce(a, '') = '(' AND NOT regexp_matches(s, '^[0-9]')
+           AND NOT (s IN {_listed(NO_CALLS)} AND coalesce(b, '') NOT IN ('.', '::'))
+           AND coalesce(b, '') NOT IN ('fn', 'struct') AS called,
+         s IN ('+', '-', '*', '/')
+           AND NOT (coalesce(regexp_matches(l1, '^[0-9_]+[eE]$'), false) AND s IN ('+', '-'))
+           AND NOT (s = '+' AND (coalesce(a, '') IN ('''', '?') OR regexp_matches(coalesce(a, ''), '^[A-Z][A-Za-z0-9_]*[a-z]')))
+           AND (regexp_matches(coalesce(b, ''), '^[{_L})\]?"]') AND coalesce(b, '') NOT IN {_listed(NO_OPERANDS)}
+                OR b IS NULL AND s IN ('+', '/')) AS operates,
+         s IN ('(', '[', '{{') AND (
+           coalesce(b, '') = '#' OR coalesce(b, '') = '!' AND (coalesce(l2, '') = '#' OR regexp_matches(coalesce(l2, ''), '^[{_L}]'))
+           OR regexp_matches(coalesce(l1, ''), '^[ \t]') AND coalesce(b, '') = '!' AND regexp_matches(coalesce(l3, ''), '^[{_L}]')
+           OR s0 = 'macro_rules' AND (coalesce(l2, '') = '!' OR coalesce(l3, '') = '!')) AS opaque
+  FROM beside),
+named_signs AS (
+  SELECT path, source_seq, line, (CAST(line_number AS BIGINT) << 32) + pos AS node_seq, CAST(line_number AS BIGINT) AS line_number,
+         s, opaque, CASE WHEN defines THEN s
+           WHEN s IN ('loop', 'while', 'for') AND bare AND coalesce(a, '') <> '<' THEN s
+           WHEN called AND coalesce(b, '') = '.' THEN 'method_call' WHEN called THEN 'call' WHEN operates THEN 'binary' END AS kind,
+         CASE WHEN defines THEN a ELSE s END AS word, CASE WHEN coalesce(b, '') = '::' THEN 2 ELSE 1 END AS parts_of_name,
+         CASE WHEN s IN ('(', '[', '{{') THEN 1 WHEN s IN (')', ']', '}}') THEN -1 ELSE 0 END AS step,
+         CASE WHEN s IN {_listed(HEADERS)} AND bare AND (s IN ('impl', 'extern') OR coalesce(regexp_matches(a, '^[\p{{L}}_]'), false))
+           THEN s END AS header,
+         s IN ('{{', '}}', ';') AS ends
+  FROM judged_signs),
+deep AS (
+  SELECT *, sum(step) OVER (w ROWS UNBOUNDED PRECEDING) AS depth,
+         coalesce(sum(ends::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM named_signs WHERE kind IS NOT NULL OR step <> 0 OR header IS NOT NULL OR ends
+  WINDOW w AS (PARTITION BY source_seq ORDER BY node_seq)),
+headed AS (
+  SELECT *, first_value(header IGNORE NULLS) OVER (PARTITION BY source_seq, part ORDER BY node_seq ROWS UNBOUNDED PRECEDING) AS heads
+  FROM deep),
+opened AS (
+  SELECT *, CASE WHEN opaque THEN 'opaque' WHEN s = '{{' AND heads IN ('impl', 'trait', 'extern') THEN 'members'
+           WHEN step > 0 THEN 'plain' END AS opens, CASE WHEN step > 0 THEN depth ELSE depth - step END AS level FROM headed),
+inside AS (
+  SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY source_seq, level ORDER BY node_seq ROWS UNBOUNDED PRECEDING) AS around
+  FROM opened),
+hiding AS (
+  SELECT *, coalesce(sum(CASE WHEN opaque THEN 1 WHEN step < 0 AND around = 'opaque' THEN -1 ELSE 0 END) OVER (
+           PARTITION BY source_seq ORDER BY node_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hidden
+  FROM inside),
 code_nodes AS (
-  SELECT path, (CAST(line_number AS BIGINT) << 32) + pos AS node_seq, kind,
-         CASE WHEN kind IN ('fn', 'struct') THEN regexp_extract(token, '{_NAME}$') ELSE word END AS name,
-         CASE WHEN kind = 'call' THEN CASE WHEN contains(token, ':') THEN 2 ELSE 1 END END AS path_len,
-         CAST(NULL AS VARCHAR) AS op, CAST(line_number AS BIGINT) AS line_number, {_trim('line')} AS snippet
-  FROM placed_nodes)
+  SELECT path, node_seq, kind, CASE WHEN kind <> 'binary' THEN word END AS name, CASE WHEN kind = 'call' THEN parts_of_name END AS path_len,
+         CASE WHEN kind = 'binary' THEN s END AS op, line_number, {_trim('line')} AS snippet
+  FROM hiding
+  WHERE kind IS NOT NULL AND hidden <= 0 AND NOT (kind = 'for' AND coalesce(heads, '') = 'impl')
+    AND NOT (kind = 'fn' AND coalesce(around, '') = 'members'))
 """
 FIRST_NODES = """
 first_nodes AS (
@@ -306,6 +386,11 @@ WHERE ending = '.sol' AND p_partkey % 11 <> i AND name NOT IN ('', 'sweep')
   AND modifiers NOT IN ('onlyOwner', 'lock,ONLYROLE')
 """
 
+SETTERS_DEFAULT = (
+    f"SELECT * REPLACE ({q(catalogue.MISSING_RULE_SEVERITY)} AS severity, {q(catalogue.MISSING_RULE_MESSAGE)} AS message, "
+    f"CAST(NULL AS VARCHAR) AS mitigation) FROM ({SETTERS})"
+)
+
 # Answers.
 
 ANSWERS = """
@@ -344,8 +429,15 @@ _ALL = _with(CODE_SOURCES, LINES, LEXICAL_NODES, _check_rows(), FOUND_NODES, FIR
     "UNION ALL SELECT * FROM answered) "
 )
 _GUARDED_TEXT = _with(TEXT_SOURCES, LINES) + f", findings AS ({_guarded(catalogue.RUST_RULES)}) "
-_RUST_FILES = CODE_SOURCES[:-1] + " WHERE doc_id % 4 = 3)"
-_COLLECTION = _with(_RUST_FILES, LINES, LEXICAL_NODES, _check_rows(), FOUND_NODES, COLLAPSED_NODES) + (
+_PROGRAM_FILES = f"""
+program_texts AS (
+  SELECT 'program=' || source AS program, doc_id // {TEXTS_PER_FILE} AS block, doc_id, {_code()} AS code FROM documents
+  UNION ALL SELECT 'program=again-' || lang, doc_id // {TEXTS_PER_FILE}, doc_id, {_code()} FROM documents WHERE lang = 'en'),
+sources AS (
+  SELECT row_number() OVER () AS source_seq, program, program || '/' || block AS path,
+         string_agg(code, {NL} ORDER BY doc_id) || {NL} AS code FROM program_texts GROUP BY program, block)
+"""
+_COLLECTION = _with(_PROGRAM_FILES, LINES, LEXICAL_NODES, _check_rows(), FOUND_NODES, COLLAPSED_NODES) + (
     f", findings AS ({_NODE_PART.format(nodes='collapsed')}) "
 )
 _COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in catalogue.SEVERITIES)
@@ -396,6 +488,12 @@ def all_sql() -> dict[str, str]:
     return {
         "src_files": f"SELECT item_id // 1000 AS block, string_agg(text, {NL} ORDER BY item_id) || {NL} AS code "
         "FROM benchmark GROUP BY 1",
+        # Root 0 is place 4 of c, root 1 is b, root 2 is a, root 4 is place 2 of c; the others lie inside those.
+        "src_project": "WITH kept AS (SELECT *, ['a', 'b', 'c'][item_id % 3 + 1] AS dir, item_id % 8 AS place FROM benchmark) "
+        "SELECT CASE dir WHEN 'b' THEN 1 WHEN 'a' THEN 2 ELSE CASE place WHEN 4 THEN 0 ELSE 4 END END AS root, dir, place, "
+        f"[{', '.join(q(e) for e in PROJECT_ENDINGS)}][place % 4 + 1] AS ending, "
+        f"string_agg(coalesce(text, ''), {NL} ORDER BY item_id) || {NL} AS code FROM kept "
+        "WHERE place % 4 <> 3 AND (dir <> 'c' OR place IN (2, 4)) GROUP BY dir, place",
         "src_inline": "SELECT doc_id AS source_seq, 'stdin' AS source, text AS code FROM documents "
         f"WHERE {_trim('text')} <> ''",
         "src_ext_filter": f"SELECT doc_id AS source_seq, {PATH} AS path, doc_id % 4 <> 3 AS solidity, "
@@ -414,6 +512,11 @@ def all_sql() -> dict[str, str]:
         "rules_load": _with(PART_RULES)
         + "SELECT rule_seq, id, description, severity, array_to_string(patterns, ' , ') AS patterns, enabled, "
         "mitigation FROM part_rules",
+        "rules_toml": _with(PART_RULES)
+        + "SELECT CAST(row_number() OVER (ORDER BY rule_seq) - 1 AS INTEGER) AS rule_seq, id, description, severity, "
+        "array_to_string(patterns, ' , ') AS patterns, enabled, mitigation, true AS mode_regex, false AS mode_ast, "
+        "true AS mode_llm FROM part_rules",
+        "rules_patterns": _with(PART_RULES) + _PATTERN_STATES,
         "rules_active": _with(PART_RULES)
         + "SELECT rule_seq, id, description, severity, patterns[1] AS pattern, mitigation FROM judged "
         "WHERE state = 'live'",
@@ -462,14 +565,17 @@ def all_sql() -> dict[str, str]:
         "program_report": _COLLECTION + ", " + _PER_PROGRAM + " SELECT * FROM report",
         "program_totals": _COLLECTION + ", " + _PER_PROGRAM
         + " SELECT count(*) AS programs, CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM report",
+        "program_rejects": f"SELECT DISTINCT 'read' AS stage, 'not UTF-8' AS reason, 'again-' || coalesce(lang, 'none') AS program, "
+        f"doc_id // {TEXTS_PER_FILE} AS block FROM documents WHERE coalesce(lang, 'none') <> 'en'",
         "nodes_scan": _with(ITEM_NODES, _check_rows(), FOUND_NODES) + "SELECT * FROM found",
         "nodes_dedup": _with(ITEM_NODES, _check_rows(), FOUND_NODES, FIRST_NODES) + "SELECT * FROM first_nodes",
         "nodes_collapse": _with(ITEM_NODES, _check_rows(), FOUND_NODES, COLLAPSED_NODES) + "SELECT * FROM collapsed",
-        "nodes_lexical": _with(CODE_SOURCES, LINES, LEXICAL_NODES) + "SELECT * EXCLUDE (op) FROM code_nodes",
+        "nodes_lexical": _with(CODE_SOURCES, LINES, LEXICAL_NODES) + "SELECT * FROM code_nodes",
         "sol_functions": _with(CONTRACTS)
         + "SELECT path, 'C' || p_partkey AS contract_name, CAST(i AS INTEGER) AS function_pos, name, visibility, "
         "state_mutability, src, modifiers FROM fns",
         "sol_setters": _with(CONTRACTS) + SETTERS,
+        "sol_setters_default": _with(CONTRACTS) + SETTERS_DEFAULT,
         "sol_spans": f"SELECT doc_id AS source_seq, {PATH} AS path, "
         f"CAST(strlen(left(text, {start})) AS BIGINT) AS span_offset, "
         f"CAST(1 + length(left(text, {start})) - length(replace(left(text, {start}), {NL}, '')) AS BIGINT) "

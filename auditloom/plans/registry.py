@@ -10,10 +10,11 @@ from auditloom.functions.text import clean_path, display_name, has_extension, is
 from auditloom.operators import candidates, dedup, nodes, responses, routing, rules, scan, solidity
 from auditloom.operators.lines import snippets
 from auditloom.plans import inputs, reports
-from auditloom.plans.audit import audit_programs, audit_rejects, audit_rust, audit_solidity
+from auditloom.plans.audit import audit_programs, audit_rejects, audit_rust, audit_solidity, rust_rejects
 from auditloom.sources import files, sinks
 from auditloom.sources.rules import (
     AnalysisMode,
+    read_rule_file,
     read_rules,
     rules_from_rows,
     stock_rust_rules,
@@ -49,6 +50,21 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select(F.regexp_extract("program", "block=([0-9]+)", 1).cast("bigint").alias("block"), "code")
 
 
+def src_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project with roots inside each other: directories count before targets, and each file once."""
+    folder = shared_folder(spark, "src_project")
+    inputs.write_project(spark, sf_dir, folder)
+    sources, _ = files.read_solidity_project(
+        spark, folder, targets=["dir=a", "dir=b/place=1", "dir=c/place=2", "dir=a"], target_dirs=["dir=c/place=4", "dir=b"]
+    )
+    place = "/dir=([abc])/place=([0-9]+)/part-[^/]*([.][A-Za-z]+)$"
+    return sources.select(
+        F.shiftright("source_seq", 52).cast("int").alias("root"), F.regexp_extract("path", place, 1).alias("dir"),
+        F.regexp_extract("path", place, 2).cast("bigint").alias("place"), F.regexp_extract("path", place, 3).alias("ending"),
+        "code",
+    )
+
+
 def src_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = files.drop_blank_inline(inputs.inline_sources(spark, sf_dir))
     return kept.select("source_seq", display_name(F.col("path")).alias("source"), "code")
@@ -89,6 +105,20 @@ def rules_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_rules(spark, folder).withColumn("patterns", F.array_join("patterns", " , "))
 
 
+def rules_toml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part rules as a TOML file, and read back with its mode."""
+    folder = shared_folder(spark, "rules_toml")
+    text = spark.createDataFrame([(inputs.rules_as_toml(spark, sf_dir),)], "text string")
+    text.coalesce(1).write.text(folder)
+    table, mode = read_rule_file(spark, folder)
+    modes = [F.lit(value).alias(f"mode_{name}") for name, value in mode._asdict().items()]
+    return table.withColumn("patterns", F.array_join("patterns", " , ")).select("*", *modes)
+
+
+def rules_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.pattern_states(inputs.part_rules(spark, sf_dir))
+
+
 def rules_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.active_rules(inputs.part_rules(spark, sf_dir))
 
@@ -227,18 +257,29 @@ def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.severity_rollup(scan.scan_guarded(inputs.text_sources(spark, sf_dir), stock_rust_rules(spark)))
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rust = has_extension(F.col("path"), catalogue.RUST_EXTENSIONS, any_case=False)
-    sources = inputs.code_sources(spark, sf_dir).where(rust)
-    return sources, audit_programs(sources, nodes.lexical_nodes(sources))
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, findings, files that could not be read) of a collection of program directories."""
+    folder = shared_folder(spark, "programs")
+    inputs.write_programs(spark, sf_dir, folder)
+    sources, unread = files.read_programs(spark, folder)
+    return sources, audit_programs(sources, nodes.lexical_nodes(sources)), unread
 
 
 def program_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.program_report(*_collection(spark, sf_dir))
+    return reports.program_report(*_collection(spark, sf_dir)[:2])
 
 
 def program_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.collection_totals(*_collection(spark, sf_dir))
+    return reports.collection_totals(*_collection(spark, sf_dir)[:2])
+
+
+def program_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the collection that were left out; the other programs count."""
+    place = "program=([^/]+)/block=([0-9]+)/"
+    return rust_rejects(unread=_collection(spark, sf_dir)[2]).select(
+        "stage", "reason", F.regexp_extract("path", place, 1).alias("program"),
+        F.regexp_extract("path", place, 2).cast("bigint").alias("block"),
+    )
 
 
 # Syntax nodes.
@@ -257,7 +298,7 @@ def nodes_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.lexical_nodes(inputs.code_sources(spark, sf_dir)).drop("op", "source_seq", "program")
+    return nodes.lexical_nodes(inputs.code_sources(spark, sf_dir)).drop("source_seq", "program")
 
 
 # Solidity trees.
@@ -274,6 +315,12 @@ def sol_setters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def sol_setters_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open setters where the rule table has no rule for them: the default text stands in."""
+    other = stock_solidity_rules(spark).where(F.col("id") != catalogue.SETTER_RULE_ID)
+    return _shown(solidity.setter_findings(inputs.contract_trees(spark, sf_dir), inputs.contract_sources(spark, sf_dir), other))
+
+
 def sol_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = solidity.locate(inputs.document_spans(spark, sf_dir), inputs.text_sources(spark, sf_dir))
     return found.select("source_seq", "path", "span_offset", "line_number", "code_snippet")
@@ -325,14 +372,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in [
-        src_files, src_inline, src_ext_filter, src_dedup, out_json,
-        rules_load, rules_active, rules_rejected, rules_lint, rules_last,
+        src_files, src_project, src_inline, src_ext_filter, src_dedup, out_json,
+        rules_load, rules_toml, rules_patterns, rules_active, rules_rejected, rules_lint, rules_last,
         lines, route_kind, scan_text, scan_odd_rules, scan_many, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
         scan_guarded_code, scan_context, scan_all, audit_contracts, rejects,
         count_total, count_by_analyzer, count_by_severity, count_by_source, report_matrix, report_rollup,
-        program_report, program_totals,
+        program_report, program_totals, program_rejects,
         nodes_scan, nodes_dedup, nodes_collapse, nodes_lexical,
-        sol_functions, sol_setters, sol_spans,
+        sol_functions, sol_setters, sol_setters_default, sol_spans,
         prompt_build, response_parse, response_rejects,
         stream_scan, stream_dedup,
     ]
