@@ -38,7 +38,8 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node go below the smallest one of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Stored, so that both sides of the join are plain scans and the edges of a hub can be split.
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 

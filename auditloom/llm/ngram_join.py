@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.components import connected_components
 from auditloom.llm.grams import gram_sets, mix, sum_by
-from auditloom.llm.shared import slices, stored
+from auditloom.llm.shared import shield, slices, stored
 
 # At least so many blocks more than the bound asks for. Linked sets agree in one block more
 # than that, so that sets with no more empty blocks agree in a filled one.
@@ -368,10 +368,13 @@ def _joined(documents: DataFrame, doc: str, text: str, size: int, percent: int)
     members = stored(clusters.withColumnRenamed("id", "node").join(classes, "node"), "members")
 
     # The texts of cluster rows, one for each set, come once more.
-    tasks = stored(_tasks(members, percent), "tasks").select("node", F.col("first._id").alias("_of"), "tasks")
+    tasks = stored(_tasks(members, percent), "tasks").select("node", "first", "tasks")
+    tasks = tasks.select("node", F.col("first._id").alias("_of"), F.col("first.text_hash").alias("hash_of"), "tasks")
     # Sorted and merged at every size: how many rows are in clusters is not known beforehand.
-    moved = _packed(pairs.select("_id", "text"), "text")
-    fetched = moved.join(tasks.hint("merge"), F.col("_id").eqNullSafe(F.col("_of"))).select("text", "node", "tasks")
+    # By id and text, so that texts of one id do not meet each other.
+    moved = _packed(pairs, "text")
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("hash_of"))
+    fetched = moved.join(tasks.hint("merge"), same).select("text", "node", "tasks")
     sets = _unpacked(fetched, "text").mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
     dealt = sets.select("node", "grams", F.explode("tasks").alias("task")).repartition("task").sortWithinPartitions("task")
     links = stored(dealt.mapInArrow(_product(percent), "a bigint, b bigint"), "links")
@@ -396,12 +399,17 @@ def _near(keyed: DataFrame) -> DataFrame:
     of those that a linked pair shares stays with both. These are mostly short passages
     that stand in very many sets.
     """
-    same = Window.partitionBy("key")
-    shared = stored(keyed.withColumn("sets", F.count("*").over(same)).where("sets > 1"), "shared")
+    # Counts are small before they move, and stored, so that a key of very many sets can be
+    # split in the joins. The sets of a key hang on the smallest of them.
+    keyed = stored(keyed, "keys")
+    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-keys")
+    shared = stored(keyed.join(counts, "key"), "shared")
     rank = F.row_number().over(Window.partitionBy("node", "room").orderBy(F.desc("sets"), "key"))
     kept = shared.withColumn("rank", rank).where((F.col("room") < 0) | (F.col("rank") > F.shiftright("room", 1)))
-    chained = kept.select(F.col("node").alias("a"), F.lag("node").over(same.orderBy("node")).alias("b"))
-    return stored(chained.where("b IS NOT NULL AND b <> a").distinct(), "near")
+    kept = stored(kept.select("key", "node"), "kept-keys")
+    heads = stored(kept.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("sets")).where("sets > 1"), "heads")
+    hung = kept.join(heads, "key").select(F.col("node").alias("a"), "b")
+    return stored(hung.where("b <> a").distinct(), "near")
 
 
 def text_hash(text: str) -> Column:
@@ -421,8 +429,11 @@ def keep_one(documents: DataFrame, doc: str = "doc_id", text: str = "text", size
     """The rows without near duplicates: of linked rows, the one with the smallest id stays.
 
     Rows with one id and one text count as the same row, of which one stays. Rows without
-    words stay.
+    words stay. Columns keep their names and values, whatever they are called.
     """
+    given = documents.columns
+    documents, names = shield(documents)
+    doc, text = names[doc], names[text]
     rows = stored(_joined(documents, doc, text, size, percent).where("n > 0"), "groups")
     own = F.struct("_id", "text_hash")
     gone = stored(rows.where(own != F.col("stands")).select("_id", "text_hash").distinct(), "gone")
@@ -436,8 +447,8 @@ def keep_one(documents: DataFrame, doc: str = "doc_id", text: str = "text", size
 
     rest = keyed.join(gone.hint("merge"), same(gone), "left_anti")
     if again.isEmpty():
-        return _unpacked(rest.select(documents.columns), text)
+        return _unpacked(rest.select(documents.columns), text).toDF(*given)
     once = rest.join(again, same(again), "left_anti")
-    number = F.row_number().over(Window.partitionBy("_id", "text_hash_").orderBy("_id"))
-    one = rest.join(again, same(again), "left_semi").withColumn("number_", number).where("number_ = 1")
-    return _unpacked(once.select(documents.columns).unionByName(one.select(documents.columns)), text)
+    # Equal rows are reduced in their tasks before they move.
+    one = rest.join(again, same(again), "left_semi").dropDuplicates(["_id", "text_hash_"])
+    return _unpacked(once.select(documents.columns).unionByName(one.select(documents.columns)), text).toDF(*given)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.shared import stored, text_slices
+from auditloom.llm.shared import shield, stored, text_slices, unshield
 
 # Kinds in the order in which spans of one start are listed; context comes from patterns.
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -228,9 +228,11 @@ def find_pii(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     """The rows, without texts, with ``spans``: (start, kind, end) of seeds and of what contexts find.
 
     ``spans`` is in order of start and kind. Texts are read once; seeds and mentions are
-    stored.
+    stored. A column ``spans`` of the rows gives way to the new one.
     """
-    kept = documents.drop("spans", "mentions", text)
+    documents, names = shield(documents)
+    given, text = text, names[text]
+    kept = documents.drop(text)
     columns = kept.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), _FOUND])
     rows = documents.select(*[F.col(f"`{c}`") for c in [*columns, text]]).mapInArrow(_find(text, columns), schema)
@@ -248,10 +250,8 @@ def find_pii(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
         F.collect_list(F.struct("start", F.lit(CONTEXT).alias("kind"), "end")).alias("more")
     )
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    return rows.join(more, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"),
-    )
+    found = rows.join(more, "_row", "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("more", none))))
+    return unshield(found, names, ["spans"], gone=(given,))
 
 
 def mask(text: str, extra: list[tuple[int, int]]) -> str:
@@ -285,6 +285,10 @@ def mask_pii(documents: DataFrame, doc: str = "doc_id") -> DataFrame:
     Seeds are masked where the text is; what contexts find, in few texts, is joined to
     them by id and text, so that texts move only if that is too much to broadcast.
     """
+    schema = documents.schema
+    hidden, names = shield(documents)
+    documents = hidden.withColumnRenamed(names["text"], "text")
+    doc = names[doc]
     keyed = documents.select(F.col(doc).alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     found = find_pii(keyed).withColumn("_more", F.filter("spans", lambda s: s["kind"] == CONTEXT))
     more = stored(found.where(F.size("_more") > 0).select("_id", "_hash", "_more").dropDuplicates(["_id", "_hash"]), "more")
@@ -292,7 +296,8 @@ def mask_pii(documents: DataFrame, doc: str = "doc_id") -> DataFrame:
     same = marked[doc].eqNullSafe(more["_id"]) & (marked["_text_hash"] == more["_hash"])
     columns = documents.columns
     joined = marked.join(more, same, "left").select(*[marked[f"`{c}`"] for c in columns], "_more")
-    return joined.mapInArrow(_mask(columns), documents.schema)
+    masked = joined.mapInArrow(_mask(columns), documents.schema)
+    return masked.select(*[F.col("text" if c == "text" else names[c]).alias(c) for c in schema.names])
 
 
 def span_text(spans: Column) -> Column:

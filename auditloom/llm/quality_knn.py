@@ -98,7 +98,8 @@ class Classifier:
     labels: np.ndarray
 
     def latent(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        return _unit(_weighted(counts, shares, self.weights) @ self.projection)
+        # In 64 bits and rounded, so that a text's vector does not depend on the block it is in.
+        return _unit(np.round(_weighted(counts, shares, self.weights).astype(np.float64) @ self.projection.astype(np.float64), 9))
 
     def scores(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -107,13 +108,15 @@ class Classifier:
         out = np.empty(len(counts))
         near = min(NEIGHBOURS, len(self.labels))
         for start in range(0, len(counts), BLOCK):
-            cosines = latent[start:start + BLOCK] @ self.vectors.T
+            cosines = np.round(latent[start:start + BLOCK] @ self.vectors.T.astype(np.float64), 9)
+            # Of equally near neighbours the earlier ones vote.
+            cosines -= np.arange(len(self.labels)) * 1e-15
             at = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
             weight = np.clip(np.take_along_axis(cosines, at, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
             total = weight.sum(axis=1)
             vote = (weight * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1)
             out[start:start + BLOCK] = np.where(total > 0, vote, self.labels.mean())
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 9)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -155,10 +158,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     names=["key", "label", "terms"],
                 )
 
-    rows = texts.mapInArrow(run, "key string, label int, terms binary").collect()
-    # A repeated key counts once, whatever the order of rows.
-    rows = {row["key"]: row for row in sorted(rows, key=lambda r: (r["key"], bytes(r["terms"])))}
-    return _decompose(list(rows.values()))
+    # A repeated key counts once, and is one row before it leaves Spark.
+    rows = texts.mapInArrow(run, "key string, label int, terms binary").groupBy("key", "label").agg(F.min("terms").alias("terms"))
+    return _decompose(sorted(rows.collect(), key=lambda row: row["key"]))
 
 
 def _decompose(rows: list) -> Classifier:

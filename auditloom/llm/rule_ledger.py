@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.shared import SPACES, WORD_BREAK
+from auditloom.llm.shared import SPACES, WORD_BREAK, shield, unshield
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -131,7 +131,10 @@ def fails(policy: Policy, bits: str = "fail_bits") -> Column:
 
 
 def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
-    return with_bits(measure(documents, text))
+    """The rows with all measurements and ``fail_bits``; columns of theirs with such names give way."""
+    hidden, names = shield(documents)
+    rows = with_bits(measure(hidden, names[text]))
+    return unshield(rows, names, [c for c in rows.columns if c not in names.values()])
 
 
 def ablations(ledger_rows: DataFrame, policies: list[Policy]) -> DataFrame:

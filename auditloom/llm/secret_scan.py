@@ -12,7 +12,7 @@ result. Offsets are code points, ends exclusive.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.shared import stored
+from auditloom.llm.shared import shield, stored, unshield
 
 # Kinds in the order in which spans of one start are listed. ``loose`` candidates count
 # only if the corpus speaks for them.
@@ -29,8 +29,8 @@ PATTERNS = {
     "loose": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
 }
 LEAST_ASSIGNED = 6
-# A value of more owners than this is a copied example.
-MAX_OWNERS = 2
+# A value of more owners, or in more repositories, than this is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 20
 # A loose candidate looks random with so many different characters, a digit and letters
 # of both cases.
 LEAST_VARIETY = 12
@@ -40,6 +40,11 @@ _CHUNK = 256
 
 def find_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows with ``candidates``: an array of (kind, start, end, value) by start and kind."""
+    hidden, names = shield(documents)
+    return unshield(_candidates(hidden, names[text]), names, ["candidates"])
+
+
+def _candidates(documents: DataFrame, text: str) -> DataFrame:
     frame = documents.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for kind in KINDS:
         frame = _with_matches(frame, kind)
@@ -130,20 +135,24 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan_secrets(documents: DataFrame, repo: str, owner: str, text: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(
+    documents: DataFrame, repo: str, owner: str, text: str = "text", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
+) -> DataFrame:
     """The rows, without their texts, with ``findings`` and ``n_live``, ``n_copied``.
 
     ``findings`` holds (start, rank, end, value, n_repos, n_owners, verdict): ``live`` for
-    a value of at most ``max_owners`` owners that looks random or stands beside a name,
-    else ``copied``. Loose candidates are findings only if they are live, or if the
+    a value of at most ``max_owners`` owners and in at most ``max_repos`` repositories,
+    whoever owns them, that looks random or stands beside a name, else ``copied``. Loose candidates are findings only if they are live, or if the
     corpus has their value in a named or formatted secret, and if no other finding of
     the text overlaps them.
 
-    Texts are read once; their candidates are stored, and only they are shuffled.
+    Texts are read once; their candidates are stored, and only they are shuffled. Columns of
+    the rows that have the names of the new ones give way to them.
     """
-    keys = documents.columns
-    rows = documents.withColumns({"_repo": F.col(repo).cast("string"), "_owner": F.col(owner).cast("string")})
-    rows = find_candidates(rows, text).drop(text).withColumn("_row", F.monotonically_increasing_id())
+    given, names = shield(documents)
+    repo, owner, hidden = names[repo], names[owner], names[text]
+    rows = given.withColumns({"_repo": F.col(repo).cast("string"), "_owner": F.col(owner).cast("string")})
+    rows = _candidates(rows, hidden).drop(hidden).withColumn("_row", F.monotonically_increasing_id())
     rows = stored(rows, "secrets")
     each = rows.where(F.size("candidates") > 0).select(
         "_row", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.inline("candidates")
@@ -155,7 +164,8 @@ def scan_secrets(documents: DataFrame, repo: str, owner: str, text: str = "text"
     variety = F.size(F.array_distinct(F.split(value, "")))
     random = (variety >= LEAST_VARIETY) & value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
     is_loose = F.col("rank") == KINDS.index("loose")
-    live = (F.col("n_owners") <= max_owners) & (~is_loose | random)
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    live = few & (~is_loose | random)
     judged = counted.where(~is_loose | live | F.col("is_known")).withColumn(
         "verdict", F.when(live, "live").otherwise("copied")
     )
@@ -176,11 +186,8 @@ def scan_secrets(documents: DataFrame, repo: str, owner: str, text: str = "text"
     def count(verdict: str) -> Column:
         return F.size(F.filter("findings", lambda f: f["verdict"] == verdict)).cast("bigint")
 
-    kept = [c for c in keys if c != text]
-    return joined.select(
-        *[F.col(f"`{c}`") for c in kept], "candidates", "findings",
-        count("live").alias("n_live"), count("copied").alias("n_copied"),
-    )
+    counted = joined.withColumns({"n_live": count("live"), "n_copied": count("copied")})
+    return unshield(counted, names, ["candidates", "findings", "n_live", "n_copied"], gone=(text,))
 
 
 def span_text(spans: Column) -> Column:

@@ -50,6 +50,22 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def shield(documents: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names that no operator uses, and those names by the given ones.
+
+    An operator works on shielded rows and hands back the given names at its end, so that
+    no column of the input meets a name of its own on the way.
+    """
+    names = {c: f"__given_{i}__" for i, c in enumerate(documents.columns)}
+    return documents.toDF(*names.values()), names
+
+
+def unshield(rows: DataFrame, names: dict[str, str], new: list[str], gone: tuple[str, ...] = ()) -> DataFrame:
+    """The given columns under their names, but for those that are gone or have the name of a new one, and the new ones."""
+    kept = [F.col(f"`{hidden}`").alias(c) for c, hidden in names.items() if c not in gone and c not in new]
+    return rows.select(*kept, *new)
+
+
 def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
     """True for the part of the documents, a fifth by default, that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
