@@ -16,6 +16,8 @@ from auditloom.llm.shared import held_out, ship, stored, table
 
 # A text whose language is less sure than this goes.
 LEAST_CERTAINTY = 0.5
+# Names that no column of the documents has.
+TOLD, CERTAINTY = "__told__", "__certainty__"
 # Near duplicates share so many in a hundred of their word n-grams.
 NGRAM_WORDS, SIMILARITY_PERCENT = 5, 80
 # A document goes whole if benchmark passages make up more than this share of its words.
@@ -29,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         # Nothing says what a language is, so only texts without a letter are rejected.
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = language_id.identify(docs, model, pred="_told", score="_certainty")
-    sure = (F.col("_told") != language_id.UNDETERMINED) & (F.col("_certainty") >= LEAST_CERTAINTY)
+    told = language_id.identify(docs, model, pred=TOLD, score=CERTAINTY)
+    sure = (F.col(TOLD) != language_id.UNDETERMINED) & (F.col(CERTAINTY) >= LEAST_CERTAINTY)
     return told.where(sure).select(docs.columns)
 
 
