@@ -188,8 +188,11 @@ def _lexeme(lexemes: Column, place: Column) -> Column:
     far = F.get(lexemes, place - 2)
     hash_before = (before == "#") | ((before == "!") & (far.isin("#") | far.rlike(f"^[{_LETTER}]")))
     spaced = F.get(lexemes, place - 1).rlike(r"^[ \t]") & (before == "!") & F.get(lexemes, place - 3).rlike(f"^[{_LETTER}]")
-    rules = (far == "!") | (F.get(lexemes, place - 3) == "!")
-    is_rules = F.coalesce((F.get(lexemes, F.lit(0)) == "macro_rules") & rules, F.lit(False))
+    is_rules = F.lit(False)
+    for gap in (4, 5):
+        is_rules = is_rules | F.coalesce(
+            (F.get(lexemes, place - gap) == "macro_rules") & (F.get(lexemes, place - gap + 1) == "!"), F.lit(False)
+        )
     opaque = sign.isin("(", "[", "{") & (F.coalesce(hash_before | spaced, F.lit(False)) | is_rules)
     return F.struct(
         place.alias("pos"), kind.alias("kind"),
@@ -230,7 +233,10 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     # A projection of its own, as splitting names the text several times.
     blanked = sources.select(*_SOURCE_KEYS, "code", F.when(F.col("code") != "", blank_comments(F.col("code"))).alias("live"))
     both = F.arrays_zip(line_array().alias("line"), split_lines(F.col("live")).alias("live"))
-    cut = blanked.select(*_SOURCE_KEYS, F.posexplode(both).alias("number", "both"))
+    # Arrays sit in structs because a generator over a bare column would bring in a filter on
+    # its size, and so work everything out twice.
+    paired = blanked.select(*_SOURCE_KEYS, F.struct(both.alias("lines")).alias("cut"))
+    cut = paired.select(*_SOURCE_KEYS, F.posexplode("cut.lines").alias("number", "both"))
     lexemes = F.when(F.col("both.live").rlike(_LIVELY), F.regexp_extract_all("both.live", F.lit(_LEXEMES), F.lit(0)))
     listed = cut.select(*_SOURCE_KEYS, "number", F.col("both.line").alias("line"), lexemes.alias("lexemes")).where(
         "lexemes IS NOT NULL"
@@ -239,7 +245,8 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
         F.transform(_places(F.col("lexemes")), lambda i: _lexeme(F.col("lexemes"), i)),
         lambda x: x["kind"].isNotNull() | (x["step"] != 0) | x["header"].isNotNull() | x["ends"],
     )
-    rows = listed.select(*_SOURCE_KEYS, "number", "line", F.explode(seen).alias("x")).select(
+    held = listed.select(*_SOURCE_KEYS, "number", "line", F.struct(seen.alias("places")).alias("seen"))
+    rows = held.select(*_SOURCE_KEYS, "number", "line", F.explode("seen.places").alias("x")).select(
         *_SOURCE_KEYS, (F.col("number") + 1).cast("bigint").alias("line_number"), "x.*",
         F.when(F.col("x.kind").isNotNull(), trim_unicode(F.col("line"))).alias("snippet"),
     )

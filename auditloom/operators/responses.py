@@ -23,6 +23,16 @@ def keyed(sources: DataFrame) -> DataFrame:
     return sources.withColumn("source_key", source_key(F.col("path"), F.col("code")))
 
 
+def distinct_sources(sources: DataFrame) -> DataFrame:
+    """One source for each ``source_key``, to be asked about once: equal texts share their answer.
+
+    Equal rows are reduced in their tasks before they move; ``source_seq`` is left out, as
+    the answer belongs to all of them.
+    """
+    named = keyed(sources)
+    return named.select("source_key", "path", "code").dropDuplicates(["source_key"])
+
+
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -139,7 +149,9 @@ def answer_findings(parsed: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``parsed`` comes from ``parse_answers`` and carries the ``source_key`` of the request,
     or its ``source_seq`` if request and answer belong to one run over one table. Sources
-    that are the same in path and text share their answers.
+    that are the same in path and text share their answers: asked about once, by
+    ``distinct_sources``, each of them gets the findings of that one answer. Equal answers to
+    one key count once.
     """
     key = "source_key" if "source_key" in parsed.columns else "source_seq"
     named = keyed(sources) if key == "source_key" else sources
@@ -147,6 +159,8 @@ def answer_findings(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     # table and the answers would be parsed once for it and once for their items.
     valid = F.when(F.col("problem").isNull(), F.col("items"))
     items = parsed.select(key, F.posexplode(valid).alias("pos", "item"))
+    if key == "source_key":
+        items = items.distinct()
     return items.join(named.select(*{key, "program", "source_seq"}), key).select(
         "program",
         "source_seq",

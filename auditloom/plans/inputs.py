@@ -172,7 +172,7 @@ def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callab
 
 
 # Texts of one source file of a program.
-TEXTS_PER_FILE = 2000
+TEXTS_PER_FILE = 500
 
 
 def write_programs(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -208,6 +208,36 @@ def write_project(spark: SparkSession, sf_dir: str, folder: str) -> None:
     _write_files(items, folder, ["dir", "place"], lambda place: PROJECT_ENDINGS[int(place.partition("=")[2]) % 4])
 
 
+def shared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as inline sources; every tenth of them has the text of its whole group."""
+    text = "CASE WHEN doc_id % 10 = 0 THEN concat('shared text of ', source) ELSE text END"
+    return table_sources(table(spark, sf_dir, "documents"), seq=F.col("doc_id"), code=F.expr(text))
+
+
+def shared_answers(requests: DataFrame) -> DataFrame:
+    """One well-formed answer to each request, with the start of its text as the message."""
+    item = (
+        "to_json(named_struct('rule_id', 'M-1', 'vuln_type', 'shared', 'severity', 'low', 'message', left(code, 60), "
+        "'line_number', 1, 'code_snippet', left(code, 10)), map('ignoreNullFields', 'false'))"
+    )
+    content = f"concat('Found: [', {item}, ']')"
+    body = f"to_json(named_struct('choices', array(named_struct('message', named_struct('content', {content})))))"
+    return requests.select("source_key", "path", F.expr(body).alias("body"))
+
+
+def deliver_files(spark: SparkSession, sf_dir: str, folder: str, delivery: int) -> None:
+    """The documents as files that arrive in two deliveries, even and odd blocks of them.
+
+    The second delivery brings every third block of the first one once more.
+    """
+    block = F.expr("doc_id div 50")
+    documents = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(
+        block.alias("block"), F.col("doc_id").alias("seq"), "text"
+    )
+    again = (F.col("block") % 2 == 0) & (F.col("block") % 3 == 0) & F.lit(delivery == 1)
+    _write_files(documents.where((F.col("block") % 2 == delivery) | again), f"{folder}/delivery={delivery}", ["block"], lambda place: "")
+
+
 def rules_as_toml(spark: SparkSession, sf_dir: str) -> str:
     """The part rules as the text of a rule file, mode included; rule files are small by nature."""
     def value(x: object) -> str:

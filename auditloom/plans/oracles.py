@@ -276,8 +276,8 @@ signs AS (
   SELECT path, source_seq, line, line_number, unnest(x) AS s, unnest(range(len(x))) AS pos
   FROM (SELECT *, regexp_extract_all(live, {q(_LEXEMES)}) AS x FROM live_lines)),
 near AS (
-  SELECT *, lag(s, 1) OVER w AS l1, lag(s, 2) OVER w AS l2, lag(s, 3) OVER w AS l3, lead(s, 1) OVER w AS n1,
-         lead(s, 2) OVER w AS n2, first_value(s) OVER w AS s0
+  SELECT *, lag(s, 1) OVER w AS l1, lag(s, 2) OVER w AS l2, lag(s, 3) OVER w AS l3, lag(s, 4) OVER w AS l4,
+         lag(s, 5) OVER w AS l5, lead(s, 1) OVER w AS n1, lead(s, 2) OVER w AS n2
   FROM signs WINDOW w AS (PARTITION BY source_seq, line_number ORDER BY pos)),
 beside AS (
   SELECT *, CASE WHEN regexp_matches(l1, '^[ \t]') THEN l2 ELSE l1 END AS b,
@@ -296,7 +296,7 @@ judged_signs AS (
          s IN ('(', '[', '{{') AND (
            coalesce(b, '') = '#' OR coalesce(b, '') = '!' AND (coalesce(l2, '') = '#' OR regexp_matches(coalesce(l2, ''), '^[{_L}]'))
            OR regexp_matches(coalesce(l1, ''), '^[ \t]') AND coalesce(b, '') = '!' AND regexp_matches(coalesce(l3, ''), '^[{_L}]')
-           OR s0 = 'macro_rules' AND (coalesce(l2, '') = '!' OR coalesce(l3, '') = '!')) AS opaque
+           OR coalesce(l4, '') = 'macro_rules' AND l3 = '!' OR coalesce(l5, '') = 'macro_rules' AND l4 = '!') AS opaque
   FROM beside),
 named_signs AS (
   SELECT path, source_seq, line, (CAST(line_number AS BIGINT) << 32) + pos AS node_seq, CAST(line_number AS BIGINT) AS line_number,
@@ -509,6 +509,10 @@ def all_sql() -> dict[str, str]:
         "out_json": _with(TEXT_SOURCES, LINES) + f", findings AS ({_strict(catalogue.TEXT_RULES)}) "
         'SELECT rule_id AS "ruleId", vuln_type AS "vulnType", severity, message, mitigation, '
         'line_number AS "lineNumber", code_snippet AS "codeSnippet", file_path AS "filePath" FROM findings',
+        "out_ordered": _with(TEXT_SOURCES, LINES) + f", findings AS ({_strict(catalogue.TEXT_RULES)}) "
+        "SELECT row_number() OVER (ORDER BY source_seq, "
+        f"list_position([{', '.join(q(r[0]) for r in catalogue.TEXT_RULES)}], rule_id), line_number) AS ordinal, "
+        "source_seq, rule_id, line_number, code_snippet FROM findings",
         "rules_load": _with(PART_RULES)
         + "SELECT rule_seq, id, description, severity, array_to_string(patterns, ' , ') AS patterns, enabled, "
         "mitigation FROM part_rules",
@@ -584,11 +588,19 @@ def all_sql() -> dict[str, str]:
         "scan_many": _with(TEXT_SOURCES, LINES) + _many_scan(),
         "prompt_build": _requests(),
         "response_parse": _with(TEXT_SOURCES, ANSWERS) + "SELECT * FROM answered",
+        "response_shared": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'shared text of ' || source ELSE text END AS code "
+        "FROM documents) SELECT CAST(NULL AS VARCHAR) AS program, doc_id AS source_seq, 'model' AS analyzer, 'M-1' AS rule_id, "
+        "'shared' AS vuln_type, 'low' AS severity, left(code, 60) AS message, CAST(NULL AS VARCHAR) AS mitigation, "
+        "CAST(1 AS BIGINT) AS line_number, left(code, 10) AS code_snippet, CAST(NULL AS VARCHAR) AS file_path FROM s",
         "response_rejects": _ANSWER_REJECTS,
         "rejects": f"SELECT 'tree' AS stage, {PATH} AS path, 'JSON artifact' AS reason FROM documents "
         f"WHERE doc_id % 4 = 2 UNION ALL SELECT 'tree', {PATH}, 'not a JSON object' FROM documents "
         f"UNION ALL {_ANSWER_REJECTS}",
         "stream_scan": _TEXT_SCAN,
+        "stream_files": _with(
+            "sources AS (SELECT CAST(NULL AS VARCHAR) AS program, doc_id // 50 AS source_seq, 'block=' || (doc_id // 50) AS path, "
+            f"string_agg(text, {NL} ORDER BY doc_id) || {NL} AS code FROM documents GROUP BY doc_id // 50)", LINES,
+        ) + f", findings AS ({_strict(catalogue.TEXT_RULES)}) SELECT file_path, rule_id, line_number, code_snippet FROM findings",
         "stream_dedup": "SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'users/hot' ELSE 'users/' || user_id END "
         "AS path, event_type AS code FROM events",
     }

@@ -22,7 +22,7 @@ from auditloom.sources.rules import (
 )
 from auditloom.sources.workspace import shared_folder
 from auditloom.streaming.dedup import drop_redelivered
-from auditloom.streaming.scan import run_to_end
+from auditloom.streaming.scan import arriving_files, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTEXT_REACH = 2
@@ -95,6 +95,13 @@ def out_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(folder)
 
 
+def out_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written in report order, and read back with their places in it."""
+    folder = shared_folder(spark, "out_ordered")
+    sinks.write_ordered(_text_findings(spark, sf_dir), folder)
+    return sinks.read_ordered(spark, folder).select("ordinal", "source_seq", "rule_id", "line_number", "code_snippet")
+
+
 # Rules.
 
 
@@ -344,6 +351,13 @@ def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(responses.answer_findings(responses.parse_answers(answers), sources))
 
 
+def response_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that share texts are asked about once, and each has the findings of the one answer."""
+    sources = inputs.shared_sources(spark, sf_dir)
+    answers = inputs.shared_answers(responses.distinct_sources(sources))
+    return _shown(responses.answer_findings(responses.parse_answers(answers), sources))
+
+
 def response_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.answer_rejects(responses.parse_answers(inputs.answers(spark, sf_dir)))
 
@@ -364,6 +378,22 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that land in two deliveries, each taken up by a run of its own with one checkpoint.
+
+    A file that comes again counts once: what was seen is state that the runs hand on.
+    """
+    folder = shared_folder(spark, "stream_files")
+    for delivery in (0, 1):
+        inputs.deliver_files(spark, sf_dir, f"{folder}/in", delivery)
+        arrived = arriving_files(spark, f"{folder}/in")
+        place = F.regexp_extract("path", "block=[0-9]+", 0)
+        first = drop_redelivered(arrived.withColumn("path", place), "arrived_at", "1 day")
+        found = scan.scan_strict(first, rules_from_rows(spark, catalogue.TEXT_RULES))
+        run_to_end(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("file_path", "rule_id", "line_number", "code_snippet")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = drop_redelivered(inputs.deliveries(spark, sf_dir), "arrived_at", "1 hour")
     return _drained(spark, first, "stream_dedup").select("path", "code")
@@ -372,7 +402,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in [
-        src_files, src_project, src_inline, src_ext_filter, src_dedup, out_json,
+        src_files, src_project, src_inline, src_ext_filter, src_dedup, out_json, out_ordered,
         rules_load, rules_toml, rules_patterns, rules_active, rules_rejected, rules_lint, rules_last,
         lines, route_kind, scan_text, scan_odd_rules, scan_many, scan_pages, scan_strict, scan_all_patterns, scan_guarded,
         scan_guarded_code, scan_context, scan_all, audit_contracts, rejects,
@@ -380,7 +410,7 @@ QUERIES: dict[str, Query] = {
         program_report, program_totals, program_rejects,
         nodes_scan, nodes_dedup, nodes_collapse, nodes_lexical,
         sol_functions, sol_setters, sol_setters_default, sol_spans,
-        prompt_build, response_parse, response_rejects,
-        stream_scan, stream_dedup,
+        prompt_build, response_parse, response_shared, response_rejects,
+        stream_scan, stream_files, stream_dedup,
     ]
 }

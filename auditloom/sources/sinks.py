@@ -1,6 +1,6 @@
 """Findings to JSON and Parquet."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import schemas
@@ -40,6 +40,30 @@ def write_json(findings: DataFrame, path: str, mode: str = "errorifexists") -> N
     json_columns(ordered).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_ordered(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A findings table in report order, each row with its part and its position there.
+
+    The sort runs in ranges and is the only shuffle; the parts follow each other.
+    """
+    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ordered = findings.orderBy(*report_order()).withColumns({"part": F.spark_partition_id(), "position": position})
+    ordered.write.mode(mode).parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of such a table with ``ordinal``, their place in the whole report, from 1 on.
+
+    Only the sizes of the parts, a row for each, are added up in one place.
+    """
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(starts, "part").withColumn("ordinal", F.col("before") + F.col("position") + 1).drop(
+        "part", "position", "before"
+    )
+
+
 def write_parquet(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A findings table, split by analyzer, for reports to read instead of a new scan."""
     findings.write.mode(mode).partitionBy("analyzer").parquet(path)

@@ -13,17 +13,23 @@ def arriving_files(spark: SparkSession, folder: str, glob: str | None = None) ->
     """A stream of files, each one whole source.
 
     ``code`` is null for a file that is not UTF-8: scans find nothing in it, and such rows
-    can be taken off as rejects.
+    can be taken off as rejects. ``source_key`` names a file by its path below the folder,
+    in 128 bits and the same in every run; ``source_seq`` is an order only.
     """
     reader = spark.readStream.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     text = F.col("content").cast("string")
+    path = clean_path(F.col("path"))
+    root = clean_path(F.lit(folder.rstrip("/") + "/"))
+    below = F.when(F.startswith(path, root), F.substr(path, F.length(root) + 1)).otherwise(path)
     return reader.load(folder).select(
         F.xxhash64("path").alias("source_seq"),
         F.lit(None).cast("string").alias("program"),
-        clean_path(F.col("path")).alias("path"),
+        path.alias("path"),
         F.when(F.is_valid_utf8(text), text).alias("code"),
+        F.md5(below).alias("source_key"),
+        F.col("modificationTime").alias("arrived_at"),
     )
 
 

@@ -105,3 +105,47 @@ COLLAPSED = {
     "plain": {("S-2035", "low"), ("S-2002", "medium")},
     "plain too": {("S-2035", "low"), ("S-2002", "medium")},
 }
+
+# The same programs as texts: an anchored one with a qualified call and an assignment that is
+# no sum, an exchange, a pool and two plain ones.
+PROGRAM_TEXTS = {
+    "anchor": """
+#[program]
+pub mod vault { // fn not_this(a + b)
+    pub fn open(ctx: Context<Open>, amount: u64) -> Result<()> {
+        let vault = &mut ctx.accounts.vault;
+        vault.total -= amount;
+        token::program::cpi::invoke(ctx.accounts.into(), amount)?;
+        msg!("left: {}", vault.total - amount);
+        Ok(())
+    }
+}
+#[derive(Accounts)]
+pub struct Open<'info> {
+    #[account(init, payer = user, space = 8 + 32, has_one = user)]
+    pub vault: Account<'info, Vault>,
+}
+""",
+    "exchange": """
+struct Pair { a: u64, b: u64 }
+impl Pair {
+    fn method_only(&self) -> u64 { 0 }
+}
+fn quote(a: u64, b: u64) -> u64 {
+    a * b / 2 /* a + b /* fn inner() */ */
+}
+fn wait(url: &str) {
+    loop { let here = "http://x"; break; }
+    let state = State::try_from_slice(here);
+}
+""",
+    "pool": """
+pub fn enter() {}
+trait Pool { fn size(&self) -> u64; fn more(&self) { } }
+impl<T: Clone + Copy> Pool for Shares<T> { fn size(&self) -> u64 { 1 } }
+fn leave() { solana::program::invoke(r#"fn hidden() { loop {"#, '{', &["+"]); }
+struct Shares<T> { each: Vec<T> }
+""",
+    "plain": "fn run() {}\nstruct Empty;\n",
+    "plain too": "/* struct A; fn b() */ fn run() {}\nstruct Empty;\n",
+}

@@ -8,7 +8,7 @@ from auditloom.operators.nodes import collapse_nodes, dedup_nodes, lexical_nodes
 from auditloom.plans.audit import audit_programs, audit_rust
 from auditloom.plans.reports import collection_totals, count_by_severity, program_report
 from auditloom.sources.rules import AnalysisMode, stock_rust_rules
-from tests.samples import COLLAPSED, PROGRAM_NODES
+from tests.samples import COLLAPSED, PROGRAM_NODES, PROGRAM_TEXTS
 
 
 def node_rows(path, nodes, snippet="s"):
@@ -133,6 +133,52 @@ def test_lexical_nodes(sources):
     ]
 
 
+def test_programs_from_their_texts(sources):
+    table = sources(*[(f"{name}/lib.rs", text) for name, text in PROGRAM_TEXTS.items()])
+    found = audit_programs(table, lexical_nodes(table)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.file_path.removesuffix("/lib.rs"), set()).add((r.rule_id, r.severity))
+    assert got == COLLAPSED
+
+
+def kinds(table):
+    return [(r.line_number, r.kind, r.name or r.op) for r in lexical_nodes(table).orderBy("source_seq", "node_seq").collect()]
+
+
+@pytest.mark.parametrize("code, nodes", [
+    ("impl A { fn a(&self) { fn b() {} } }\nfn c() {}", [(1, "fn", "b"), (2, "fn", "c")]),
+    ("trait A { fn a(); fn b() {} }\nextern \"C\" { fn c(); }", []),
+    ("fn f() -> impl Fn() + Send { x }", [(1, "fn", "f"), (1, "call", "Fn")]),
+    ("impl A for B\nwhere\n  T: X,\n{\n  fn a() {}\n}\nfn b() {}", [(7, "fn", "b")]),
+    ("fn f(x: impl A) { fn g() {} }", [(1, "fn", "f"), (1, "fn", "g")]),
+    ("let u = \"http://x\"; loop {}", [(1, "loop", "loop")]),
+    ("let s = \"a \\\" fn x()\nfn y()\"; fn z() {}", [(2, "fn", "z")]),
+    ("/* a /* b */ fn c() */ fn d() {}", [(1, "fn", "d")]),
+    ("/* fn a()\nfn b() */\nfn c() {}", [(3, "fn", "c")]),
+    ("/* never closed\nfn a() {}", []),
+    ("let c = '\"'; fn a<'x>(b: &'x str) {}", [(1, "fn", "a")]),
+    ("r#\"fn a() \"fn b()\"# ; fn c() {}", [(1, "fn", "c")]),
+    ("#[cfg(any(a, b + c))]\nmacro_rules! m { () => { fn a() {} } }\nvec![x + y; z(1)]\nfn d() {}", [(4, "fn", "d")]),
+    ("m! { fn a() { b + c } }\nif a != (b) { c(d) }", [(2, "call", "c")]),
+    ("a + b - c * d / e", [(1, "binary", o) for o in "+-*/"]),
+    ("x += 1; y -> z; *p = -q; return -1; 1e-5; a\n  + b", [(2, "binary", "+")]),
+    ("fn f<T: A0b + Cd>(x: Box<dyn Ef + 'static>) -> u8 { N + M }", [(1, "fn", "f"), (1, "binary", "+")]),
+    ("for x in y {}\nimpl A for B {}\nfor<'a> fn(&'a u8)", [(1, "for", "for")]),
+    ("} ) ] fn a() { ( fn b() {}", [(1, "fn", "a"), (1, "fn", "b")]),
+    ("", []),
+])
+def test_scopes(sources, code, nodes):
+    assert kinds(sources(("a.rs", code))) == nodes
+
+
+def test_texts_of_any_length(sources):
+    """Comments and strings of many lines do not overflow a stack."""
+    code = "/*" + " * a / b\n" * 30_000 + "*/\n" + "\"" + "x\\n\n" * 30_000 + "\"\n" + "fn a() { b(c) }\n" * 3_000
+    found = kinds(sources(("a.rs", code), (None, "fn z() {}"), ("b", None)))
+    assert len(found) == 6_001 and found[0] == (60_003, "fn", "a")
+
+
 def test_nodes_keep_to_their_source(spark):
     """Inline sources have tree findings, and sources of one path keep to their own."""
     rows = [(0, "p", None, "loop {}"), (1, "p", "a.rs", "loop {}"), (2, "q", "a.rs", "x\nfn f() {}")]

@@ -3,8 +3,11 @@ from collections import Counter
 
 import pytest
 
-from auditloom import schemas
+from auditloom import catalogue, schemas
+from auditloom.operators.scan import scan_strict
 from auditloom.plans import reports
+from auditloom.sources import sinks
+from auditloom.sources.rules import rules_from_rows
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +66,15 @@ def test_matrix(tables):
         assert row.worst == next((s for s in ["critical", "high", "medium", "low"] if mine[s]), None)
     total = [r for r in reports.severity_rollup(findings).collect() if r.program is None and r.severity is None]
     assert 300 in [r.findings for r in total]
+
+
+def test_ordinals_follow_the_report(spark, sources, tmp_path):
+    table = sources(*[(f"f{i}", "token = abcdefgh\n" * (i % 4)) for i in range(60)])
+    found = scan_strict(table, rules_from_rows(spark, catalogue.TEXT_RULES))
+    sinks.write_ordered(found, f"{tmp_path}/ordered")
+    rows = sinks.read_ordered(spark, f"{tmp_path}/ordered").orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(1, found.count() + 1)) and len(rows) > 50
+    keys = [(r.source_seq, r.rule_seq, r.line_number) for r in rows]
+    assert keys == sorted(keys)
+    sinks.write_ordered(found.where("false"), f"{tmp_path}/none")
+    assert sinks.read_ordered(spark, f"{tmp_path}/none").count() == 0

@@ -7,6 +7,7 @@ from auditloom.operators.responses import (
     answer_findings,
     answer_rejects,
     chat_requests,
+    distinct_sources,
     keyed,
     message_requests,
     parse_answers,
@@ -114,3 +115,18 @@ def test_answers_find_their_sources_in_another_run(spark, sources):
     later = sources(("new.rs", "n"), (None, "z"), ("b.rs", "y"), ("a.rs", "x"))
     found = answer_findings(parse_answers(answers), later).collect()
     assert sorted((r.source_seq, r.message) for r in found) == [(1, "inline"), (2, "b.rs"), (3, "a.rs")]
+
+
+def test_equal_texts_share_one_answer(spark):
+    """A hundred equal texts are asked about once, and each has the finding once, however often it is answered."""
+    rows = [(i, "p", "a.rs", "same") for i in range(100)] + [(100, "p", "b.rs", "same"), (101, None, None, "other")]
+    table = spark.createDataFrame(rows, "source_seq long, program string, path string, code string")
+    asked = distinct_sources(table)
+    requests = chat_requests(asked, "ctx").collect()
+    assert len(requests) == 3 and len({r.source_key for r in requests}) == 3
+    for times in (1, 3):
+        answers = spark.createDataFrame(
+            [(r.source_key, r.path, chat(items(GOOD))) for r in requests] * times, "source_key string, path string, body string"
+        )
+        found = answer_findings(parse_answers(answers), table).collect()
+        assert sorted(r.source_seq for r in found) == list(range(102))

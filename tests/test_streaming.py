@@ -65,3 +65,16 @@ def test_a_repeat_counts_from_the_delivery_that_was_kept(spark, tmp_path):
     assert deliver((30, "a"), (130, "z")) == [(12, 0, "a"), (14, 10, "z")]
     # The watermark is past 13:00, where the state of the first delivery ends.
     assert deliver((73, "a"), (131, "y")) == [(12, 0, "a"), (13, 13, "a"), (14, 10, "z"), (14, 11, "y")]
+
+
+def test_keys_of_arriving_files(spark, tmp_path):
+    """A file has one key in every run and folder, and no two files of a run share one."""
+    keys = []
+    for name in ("one", "two"):
+        inbox = tmp_path / name
+        (inbox / "deep").mkdir(parents=True)
+        for file in ("a.rs", "b.rs", "deep/a.rs"):
+            (inbox / file).write_text("x")
+        run_to_end(arriving_files(spark, str(inbox)), f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-state")
+        keys.append(sorted(r.source_key for r in spark.read.parquet(f"{tmp_path}/{name}-out").collect()))
+    assert keys[0] == keys[1] and len(set(keys[0])) == 3 and all(len(k) == 32 for k in keys[0])
