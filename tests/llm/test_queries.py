@@ -134,3 +134,16 @@ def test_pipeline_result(spark, texts):
         assert not personal(row.text)
     # Copies of a text keep its first document.
     assert len({r.text for r in rows}) == len(rows)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Held-out accuracy needs more than the smallest tables."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.QUERIES["op13_toxic_crf"](spark, sf_dir).collect()
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    right = sum(r.predicted == labels[r.doc_id] for r in held)
+    assert right >= 0.9 * len(held) and any(r.predicted and labels[r.doc_id] for r in held)
+    assert not any(r.predicted and not labels[r.doc_id] for r in held)
