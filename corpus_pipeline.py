@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import decontaminate, language_id, ngram_join, pii_bootstrap, sentencepiece_codec
 from auditloom.llm.queries import PIECES, vocabulary
-from auditloom.llm.shared import held_out, ship, stored, table
+from auditloom.llm.shared import held_out, shield, ship, stored, table, unshield
 
 # A text whose language is less sure than this goes.
 LEAST_CERTAINTY = 0.5
@@ -60,9 +60,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of theirs that have the names of the new ones give way to them.
     """
     ship(spark)
-    rows = sentencepiece_codec.encode_and_decode(docs, vocabulary(PIECES))
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "same")]
-    return rows.select(*kept, "ids", F.size("ids").cast("bigint").alias("n_tokens"), "same")
+    hidden, names = shield(docs)
+    rows = sentencepiece_codec.encode_and_decode(hidden, vocabulary(PIECES), text=names["text"])
+    counted = rows.withColumn("n_tokens", F.size("ids").cast("bigint"))
+    return unshield(counted, names, ["ids", "n_tokens", "same"])
 
 
 def _counted(docs: DataFrame) -> DataFrame:
