@@ -1,10 +1,10 @@
 """Checks on compiler syntax trees of Solidity sources."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom import catalogue, schemas
-from auditloom.functions.text import line_of_offset, snippet_of_span, span_length, span_start
+from auditloom.functions.text import line_of_offset, snippet_of_span, span_length, span_start, trim_unicode
 from auditloom.operators.routing import tree_sources
 
 
@@ -78,6 +78,82 @@ def locate(found: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+# Bytes of a block of a text, and the shares into which the spans of one block are dealt.
+BLOCK_BYTES = 4096
+
+
+def locate_many(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """``locate`` for sources with very many spans: no text travels with a span.
+
+    Texts are cut into blocks of bytes, and each block is numbered with the line ends before
+    it; spans meet the one block that they start in, and further ones only if they reach
+    into them. A span's line is that of its block and the line ends before it inside; its
+    snippet is put together from what each block holds of it. A source with a third of all
+    spans is many blocks, which are joined apart.
+    """
+    spans = (
+        found.withColumn("span_offset", span_start(F.col("src")))
+        .withColumn("span_length", span_length(F.col("src")))
+        .where("span_offset IS NOT NULL AND span_length IS NOT NULL")
+    )
+    named = spans.select("path", F.struct("*").alias("span"), "span_offset", "span_length").withColumn(
+        "number", F.monotonically_increasing_id()
+    )
+    blocks = _blocks(sources)
+    sizes = sources.select("path", "source_seq", "program", F.octet_length("code").cast("bigint").alias("size"))
+    # A span past the end of its text belongs to the last block, with nothing of it inside.
+    placed = named.join(sizes, "path").withColumns({
+        "first": F.least("span_offset", "size"), "end": F.least(F.expr("span_offset + least(span_length, size)"), F.col("size")),
+    })
+    last_block = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / BLOCK_BYTES)
+    first_block = F.least(F.floor(F.col("first") / BLOCK_BYTES), last_block)
+    end_block = F.greatest(first_block, F.floor(F.greatest(F.col("end") - 1, F.col("first")) / BLOCK_BYTES))
+    reached = placed.withColumn("block", F.explode(F.sequence(first_block, F.least(end_block, last_block))))
+    met = reached.join(blocks.drop("program", "size"), ["path", "source_seq", "block"])
+    start, stop = F.greatest(F.col("first") - F.col("begins"), F.lit(0)), F.least(F.col("end"), F.col("ends")) - F.col("begins")
+
+    def piece(begin: Column, end: Column) -> Column:
+        return F.substring("content", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+    before = piece(F.lit(0), F.col("first") - F.col("begins")).cast("string")
+    breaks = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n")))
+    parts = met.select(
+        "number", "span", "source_seq", "program", F.col("block"), piece(start, stop).alias("piece"), "first", "end",
+        F.when(F.col("first") >= F.col("begins"), F.col("lines_before") + breaks + 1).alias("line_number"),
+    )
+    # Most spans lie in one block; those of more are put together by their number.
+    whole = parts.groupBy("number").agg(
+        F.first("span").alias("span"), F.first("source_seq").alias("source_seq"), F.first("program").alias("program"),
+        F.max("line_number").alias("line_number"),
+        F.array_sort(F.collect_list(F.struct("block", F.hex("piece").alias("piece")))).alias("pieces"),
+    )
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).cast("string"))
+    return whole.select(
+        "span.*", "source_seq", "program", F.col("line_number").cast("bigint").alias("line_number"),
+        trim_unicode(text).alias("code_snippet"),
+    )
+
+
+def _blocks(sources: DataFrame) -> DataFrame:
+    """(path, source_seq, block, begins, ends, content, lines_before) of every text."""
+    size = F.octet_length("code").cast("bigint")
+    count = F.greatest(F.ceil(size / BLOCK_BYTES), F.lit(1))
+    cut = sources.select(
+        "path", "source_seq", "program", F.col("code").cast("binary").alias("bytes"), size.alias("size"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block"),
+    )
+    content = F.substring("bytes", (F.col("block") * BLOCK_BYTES + 1).cast("int"), F.lit(BLOCK_BYTES))
+    begins = F.col("block") * BLOCK_BYTES
+    rows = cut.select(
+        "path", "source_seq", "program", "size", "block", begins.alias("begins"),
+        F.least(begins + BLOCK_BYTES, F.col("size")).alias("ends"), content.alias("content"),
+    )
+    text = F.col("content").cast("string")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    earlier = Window.partitionBy("path", "source_seq").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("lines_before", F.coalesce(F.sum(breaks).over(earlier), F.lit(0)))
+
+
 def setter_findings(trees: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings on open setters, with the text of their rule, or the default text."""
     found = locate(open_setters(functions(trees)), tree_sources(sources))

@@ -405,6 +405,18 @@ def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(F.expr(PATH).alias("path"), F.expr(src).alias("src"))
 
 
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte span for every line of every document, its line end included."""
+    documents = spread(table(spark, sf_dir, "documents"), _tasks(spark), "doc_id")
+    pieces = "split(text, '\\n', -1)"
+    cut = documents.select(F.expr(PATH).alias("path"), F.expr(f"transform({pieces}, x -> octet_length(x) + 1)").alias("sizes"))
+    ends = "aggregate(sizes, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    placed = cut.select("path", "sizes", F.expr(ends).alias("starts"))
+    return placed.select("path", F.posexplode("sizes").alias("pos", "size"), "starts").select(
+        "path", F.expr("concat(starts[pos], ':', size, ':0')").alias("src")
+    )
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a model answer: well formed in both styles, or broken."""
     turns = table(spark, sf_dir, "conversations")

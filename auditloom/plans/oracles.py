@@ -584,6 +584,10 @@ def all_sql() -> dict[str, str]:
         f"CAST(strlen(left(text, {start})) AS BIGINT) AS span_offset, "
         f"CAST(1 + length(left(text, {start})) - length(replace(left(text, {start}), {NL}, '')) AS BIGINT) "
         f"AS line_number, {_trim(f'substring(text, {start} + 1, 40)')} AS code_snippet FROM documents",
+        "sol_spans_many": f"WITH cut AS (SELECT doc_id, {PATH} AS path, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS n "
+        f"FROM (SELECT *, string_split(text, {NL}) AS p FROM documents)) SELECT doc_id AS source_seq, path, "
+        "CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        f"AS BIGINT) AS span_offset, n AS line_number, {_trim('line')} AS code_snippet FROM cut",
         "scan_odd_rules": _with(TEXT_SOURCES, LINES) + _odd_scan(),
         "scan_many": _with(TEXT_SOURCES, LINES) + _many_scan(),
         "prompt_build": _requests(),

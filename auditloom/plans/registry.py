@@ -333,6 +333,12 @@ def sol_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_seq", "path", "span_offset", "line_number", "code_snippet")
 
 
+def sol_spans_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span for every line of every document, found by blocks of the texts."""
+    found = solidity.locate_many(inputs.line_spans(spark, sf_dir), inputs.text_sources(spark, sf_dir))
+    return found.select("source_seq", "path", "span_offset", "line_number", "code_snippet")
+
+
 # Model requests and answers.
 
 
@@ -409,7 +415,7 @@ QUERIES: dict[str, Query] = {
         count_total, count_by_analyzer, count_by_severity, count_by_source, report_matrix, report_rollup,
         program_report, program_totals, program_rejects,
         nodes_scan, nodes_dedup, nodes_collapse, nodes_lexical,
-        sol_functions, sol_setters, sol_setters_default, sol_spans,
+        sol_functions, sol_setters, sol_setters_default, sol_spans, sol_spans_many,
         prompt_build, response_parse, response_shared, response_rejects,
         stream_scan, stream_files, stream_dedup,
     ]

@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from auditloom.operators.solidity import functions, open_setters, setter_findings, unreadable_trees
+from auditloom.operators import solidity
+from auditloom.operators.solidity import functions, locate, locate_many, open_setters, setter_findings, unreadable_trees
 from auditloom.plans.audit import audit_rejects, audit_solidity, rust_rejects
 from auditloom.sources.rules import AnalysisMode, rules_from_rows, stock_rust_rules, stock_solidity_rules
 from tests.samples import CONTRACT, FIRST_PATTERN_HITS, OPEN_SETTER_LINES, contract_tree
@@ -32,6 +33,22 @@ def modifier(name):
     return {"nodeType": "ModifierInvocation", "modifierName": {"name": name}}
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 4096])
+def test_spans_by_blocks(spark, sources, monkeypatch, size):
+    """Blocks of any size give the lines and snippets that whole texts give."""
+    monkeypatch.setattr(solidity, "BLOCK_BYTES", size)
+    codes = ["", "a", "\n\n", "ab\ncd\r\nef\n", "é€😀\n x é\n", "  spaced  \n\tout\n" * 5]
+    table = sources(*[(f"f{i}", code) for i, code in enumerate(codes)])
+    spans = [
+        (f"f{i}", f"{start}:{length}:0") for i, code in enumerate(codes) for start in range(0, len(code.encode()) + 3, 2)
+        for length in (0, 1, 4, 11, 10**12)
+    ] + [("f1", "x:1:0"), ("f1", "1"), ("none", "0:1:0"), ("f1", None), (None, "0:1:0"), ("f3", "2:3:0"), ("f3", "2:3:0")]
+    found = spark.createDataFrame(spans, "path string, src string")
+    columns = ["path", "src", "span_offset", "span_length", "source_seq", "program", "line_number", "code_snippet"]
+    whole, many = (sorted(map(repr, f(found, table).select(columns).collect())) for f in (locate, locate_many))
+    assert whole == many and len(whole) > 200
+
+
 def test_open_setters_of_the_contract(spark, sources, trees):
     source = sources(("Relay.sol", CONTRACT))
     found = setter_findings(trees(("Relay.sol", contract_tree())), source, stock_solidity_rules(spark)).collect()
