@@ -163,6 +163,50 @@ def op13_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policies does, from a stored ledger of all documents."""
+    rows = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = stored(rows.select("doc_id", "fail_bits"), "ledger")
+    return rule_ledger.ablations(kept, [rule_ledger.BASE, rule_ledger.FULL])
+
+
+# Fixed values. Hosts and paths of linked pages, by the number of a page.
+LINKED_ENDS = ("net", "org", "example.com", "de", "fr", "example.net", "io")
+LINKED_PATHS = ("/en/p", "/de/p", "/fr/p", "/x")
+HUB = "https://hub.example.org/fr/hub"
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages under hosts of their own, with links by their numbers.
+
+    Of four neighbours the second names the first as canonical and the third redirects to
+    the second; some fourths redirect on to a later page; a fifth of all name one hub.
+    """
+    def url(number: str) -> str:
+        ends, paths = (", ".join(f"'{x}'" for x in xs) for xs in (LINKED_ENDS, LINKED_PATHS))
+        return (
+            f"concat('https://h', {number}, '.', element_at(array({ends}), CAST(({number}) % {len(LINKED_ENDS)} AS INT) + 1), "
+            f"element_at(array({paths}), CAST(({number}) div 3 % {len(LINKED_PATHS)} AS INT) + 1))"
+        )
+
+    canonical, refresh = "<link rel=\"canonical\" href=\"%s\">", "<meta http-equiv=refresh content=\"0; url=%s\">"
+    link = (
+        f"CASE WHEN page_id % 5 = 0 THEN format_string('{canonical}', '{HUB}') "
+        f"WHEN page_id % 4 = 1 THEN format_string('{canonical}', {url('page_id - 1')}) "
+        f"WHEN page_id % 4 = 2 THEN format_string('{refresh}', {url('page_id - 1')}) "
+        f"WHEN page_id % 16 = 3 THEN format_string('{refresh}', {url('page_id + 13')}) ELSE '' END"
+    )
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
+    return pages.select("page_id", F.expr(url("page_id")).alias("url"), F.expr(f"concat(coalesce(html, ''), {link})").alias("html"))
+
+
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with links, judged by rules and, through their components, by those of their aliases."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rows = url_filter.filter_urls(linked_pages(spark, sf_dir), rules)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "by")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_sentencepiece": op2_sentencepiece,
@@ -177,4 +221,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_gnat_codes": op11_gnat_codes,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_toxic_crf": op13_toxic_crf,
+    "url_aliases": url_aliases,
+    "ledger_ablations": ledger_ablations,
 }

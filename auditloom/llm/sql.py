@@ -1,5 +1,8 @@
 """The same results in DuckDB's SQL, where SQL can express them."""
 
+from auditloom.llm.queries import HUB, LINKED_ENDS, LINKED_PATHS
+from auditloom.llm.rule_ledger import BASE, BITS, FULL
+
 OP10 = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
@@ -201,13 +204,67 @@ QUALIFY rank <= 5
 """
 
 
+def _linked_url(number: str) -> str:
+    ends, paths = (", ".join(f"'{x}'" for x in xs) for xs in (LINKED_ENDS, LINKED_PATHS))
+    return (
+        f"'h' || ({number}) || '.' || [{ends}][({number}) % {len(LINKED_ENDS)} + 1] || "
+        f"[{paths}][({number}) // 3 % {len(LINKED_PATHS)} + 1]"
+    )
+
+
+def _url_aliases() -> str:
+    """Links by the numbers of the pages, and components by walking them from every node."""
+    hub = HUB.removeprefix("https://")
+    return f"""
+WITH RECURSIVE urls AS (SELECT page_id, {_linked_url("page_id")} AS node FROM pages),
+links AS (
+    SELECT node AS a, CASE WHEN page_id % 5 = 0 THEN '{hub}' WHEN page_id % 4 IN (1, 2) THEN {_linked_url("page_id - 1")}
+        ELSE {_linked_url("page_id + 13")} END AS b
+    FROM urls WHERE page_id % 5 = 0 OR page_id % 4 IN (1, 2) OR page_id % 16 = 3
+),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+nodes AS (SELECT a AS node FROM both_ways UNION SELECT node FROM urls),
+reach(c, d) AS (SELECT node, node FROM nodes UNION SELECT c, b FROM reach JOIN both_ways ON d = a),
+rules AS (
+    SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+        ('org', '/fr/', 'allow')) AS t(rule_host, rule_path, verdict)
+),
+parts AS (SELECT node, regexp_extract(node, '^[^/]*') AS host, regexp_extract(node, '^[^/]*(.*)', 1) AS path FROM nodes),
+ruled AS (
+    SELECT node, host, path, rule_host || rule_path AS rule, verdict FROM parts
+    LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rule_host || rule_path) DESC NULLS LAST) = 1
+),
+shared AS (
+    SELECT c AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+    FROM reach JOIN ruled ON d = ruled.node WHERE rule IS NOT NULL GROUP BY c
+)
+SELECT page_id, host, path, rule, coalesce(ruled.verdict, shared.verdict, 'allow') AS verdict,
+    CASE WHEN rule IS NOT NULL THEN 'rule' WHEN shared.verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS "by"
+FROM urls JOIN ruled USING (node) LEFT JOIN shared USING (node)
+"""
+
+
+def _ablations() -> str:
+    rows = ", ".join(
+        f"('{p.version}', '{name}', {BITS[name]}, {p.mask})" for p in (BASE, FULL) for name in p.rules
+    )
+    return f"""
+WITH ledger AS ({OP10}), rules AS (SELECT * FROM (VALUES {rows}) AS t(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only,
+    count(*) FILTER (fail_bits & mask <> 0) AS n_rejected, count(*) AS n_texts
+FROM ledger, rules GROUP BY policy, rule
+"""
+
+
 def all_sql() -> dict[str, str]:
     """Others learn from the corpus, or depend on a tokenizer; tests hold them against brute force.
 
     The pages have no redirects and no canonical links, so that plain rules give the same
-    verdicts; components are tested by themselves.
+    verdicts for ``op5_url_filter``; ``url_aliases`` runs it over pages with links.
     """
     return {
         "op5_url_filter": OP5, "op6_ngram_join": OP6, "op9_decontaminate": OP9, "op10_rule_ledger": OP10,
         "op11_gnat_codes": _op11(), "op12_hard_negatives": OP12,
+        "url_aliases": _url_aliases(), "ledger_ablations": _ablations(),
     }

@@ -36,7 +36,8 @@ def sha(text):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(sql.all_sql()))
