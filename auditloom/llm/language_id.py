@@ -36,9 +36,9 @@ ROUNDS = 3
 # Added to the expected count of every piece.
 PSEUDO_COUNT = 0.05
 # Different words that a task remembers with their likelihoods.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 # Bytes of texts in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

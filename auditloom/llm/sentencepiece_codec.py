@@ -32,12 +32,12 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM_MODEL, BPE_MODEL = 1, 2
 MARK = "▁"
 # Different words that a task remembers, and threads of the library in a task.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 THREADS = 2
 # Texts in one batch of the library, and words that are handed to it in one text.
 BATCH_TEXTS, JOINED = 400, 50
 # Bytes of texts in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

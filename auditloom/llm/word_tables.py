@@ -14,6 +14,8 @@ def array_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tup
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
     for start, end in slices(pc.binary_length(texts).to_numpy(), limit):
         yield batch.slice(start, end - start), texts.slice(start, end - start)
+    # Workers stay for later stages; what this batch took goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
