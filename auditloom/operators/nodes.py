@@ -129,6 +129,8 @@ _PARTS = (
 _LEXEMES = rf"[{_LETTER}]+|[ \t]+|->|=>|::|\.\.+=?|[-+*/%^!=<>&|]=|[^{_LETTER} \t]"
 # Lines without any of these have no node and no bracket.
 _LIVELY = r"[\]\[(){};#+*/-]|fn|struct|loop|while|for|impl|trait|enum|mod|extern"
+# Texts with none of these, in comments or not, have nothing that its place could leave out.
+_SCOPED = r"\b(?:impl|trait|extern)\b|![ \t]*[(\[{]|#!?[ \t]*\[|#[ \t]*!|macro_rules"
 # Words that an opening parenthesis does not make a call, and such that an operator may follow as a sign.
 NO_CALLS = ["loop", "while", "for", "if", "match", "return", "fn", "struct", "in", "as", "impl", "mut", "move", "let", "else", "where"]
 NO_OPERANDS = ["return", "in", "if", "match", "while", "as", "mut", "else", "const", "let", "ref", "move", "break", "dyn", "impl", "where"]
@@ -227,12 +229,21 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     say what stands where: running sums give each place its depth, and the last bracket that
     opened a depth is the one around it. Functions in the body of an ``impl``, a ``trait`` or
     an ``extern`` block are no free functions and are left out; bodies of macros and
-    attributes are opaque. ``node_seq`` follows the text. Texts move once, as their nodes
-    and brackets, dealt by source.
+    attributes are opaque. ``node_seq`` follows the text. Texts in which nothing can be left
+    out, as they hold no such block, macro or attribute, stay where they are; of the others
+    the nodes and brackets move once, dealt by source.
     """
+    columns = [*_SOURCE_KEYS, "node_seq", "kind", "name", "path_len", "op", "line_number", "snippet"]
+    plain = _lexical_rows(sources, scoped=False).where("kind IS NOT NULL")
+    return plain.select(columns).unionByName(_in_scope(_lexical_rows(sources, scoped=True)).select(columns))
+
+
+def _lexical_rows(sources: DataFrame, scoped: bool) -> DataFrame:
+    """Nodes, brackets, header words and ends of statements, of the texts that need scopes or of the others."""
     # A projection of its own, as splitting names the text several times.
-    blanked = sources.select(*_SOURCE_KEYS, "code", F.when(F.col("code") != "", blank_comments(F.col("code"))).alias("live"))
-    both = F.arrays_zip(line_array().alias("line"), split_lines(F.col("live")).alias("live"))
+    mine = (F.col("code") != "") & (F.col("code").rlike(_SCOPED) == F.lit(scoped))
+    blanked = sources.select(*_SOURCE_KEYS, "code", F.when(mine, blank_comments(F.col("code"))).alias("live"))
+    both = F.when(F.col("live").isNotNull(), F.arrays_zip(line_array().alias("line"), split_lines(F.col("live")).alias("live")))
     # Arrays sit in structs because a generator over a bare column would bring in a filter on
     # its size, and so work everything out twice.
     paired = blanked.select(*_SOURCE_KEYS, F.struct(both.alias("lines")).alias("cut"))
@@ -250,14 +261,11 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
         *_SOURCE_KEYS, (F.col("number") + 1).cast("bigint").alias("line_number"), "x.*",
         F.when(F.col("x.kind").isNotNull(), trim_unicode(F.col("line"))).alias("snippet"),
     )
-    return _in_scope(rows).select(
-        *_SOURCE_KEYS, "node_seq", "kind", "name", "path_len", "op", "line_number", "snippet"
-    )
+    return rows.withColumn("node_seq", F.shiftleft("line_number", 32) + F.col("pos"))
 
 
 def _in_scope(rows: DataFrame) -> DataFrame:
     """The nodes that count, by the brackets around them."""
-    rows = rows.withColumn("node_seq", F.shiftleft("line_number", 32) + F.col("pos"))
     by_source = Window.partitionBy("source_seq").orderBy("node_seq")
     so_far = by_source.rowsBetween(Window.unboundedPreceding, 0)
     earlier = by_source.rowsBetween(Window.unboundedPreceding, -1)

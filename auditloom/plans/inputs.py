@@ -178,7 +178,7 @@ TEXTS_PER_FILE = 500
 def write_programs(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """The documents as code, as a collection of programs: a directory for every document source.
 
-    They stand there once more by language; files of other languages than English hold a
+    Those of other languages than English stand there once more, by language, in files with a
     byte that is no UTF-8.
     """
     documents = table(spark, sf_dir, "documents")
@@ -187,9 +187,9 @@ def write_programs(spark: SparkSession, sf_dir: str, folder: str) -> None:
         code = f"replace({code}, '{word}', '{piece}')"
     block = F.expr(f"doc_id div {TEXTS_PER_FILE}").alias("block")
     by_source = documents.select(F.col("source").alias("program"), block, F.col("doc_id").alias("seq"), F.expr(code).alias("text"))
-    bad = F.expr(f"CAST(concat(CAST({code} AS BINARY), unhex(IF(lang = 'en', '', 'FF'))) AS STRING)")
+    bad = F.expr("CAST(concat(CAST(text AS BINARY), unhex('FF')) AS STRING)")
     lang = F.coalesce("lang", F.lit("none"))
-    by_language = documents.withColumn("lang", lang).select(
+    by_language = documents.withColumn("lang", lang).where("lang <> 'en'").select(
         F.concat(F.lit("again-"), "lang").alias("program"), block, F.col("doc_id").alias("seq"), bad.alias("text")
     )
     _write_files(by_source.unionByName(by_language), folder, ["program", "block"], lambda place: ".rs")

@@ -431,8 +431,7 @@ _ALL = _with(CODE_SOURCES, LINES, LEXICAL_NODES, _check_rows(), FOUND_NODES, FIR
 _GUARDED_TEXT = _with(TEXT_SOURCES, LINES) + f", findings AS ({_guarded(catalogue.RUST_RULES)}) "
 _PROGRAM_FILES = f"""
 program_texts AS (
-  SELECT 'program=' || source AS program, doc_id // {TEXTS_PER_FILE} AS block, doc_id, {_code()} AS code FROM documents
-  UNION ALL SELECT 'program=again-' || lang, doc_id // {TEXTS_PER_FILE}, doc_id, {_code()} FROM documents WHERE lang = 'en'),
+  SELECT 'program=' || source AS program, doc_id // {TEXTS_PER_FILE} AS block, doc_id, {_code()} AS code FROM documents),
 sources AS (
   SELECT row_number() OVER () AS source_seq, program, program || '/' || block AS path,
          string_agg(code, {NL} ORDER BY doc_id) || {NL} AS code FROM program_texts GROUP BY program, block)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from auditloom import catalogue, schemas
 from auditloom.functions.patterns import guard_parts, spark_pattern, with_problem
 from auditloom.operators import rules as R
+from auditloom.operators import scan
 from auditloom.sources.rules import (
     AnalysisMode,
     parse_rule_file,
@@ -169,3 +171,25 @@ def test_states_of_every_pattern(spark):
 
 def test_schema_of_rules(spark):
     assert stock_rust_rules(spark).schema.simpleString() == spark.createDataFrame([], schemas.RULES).schema.simpleString()
+
+
+@pytest.mark.parametrize("kind, scanned", [
+    ("strict", scan.scan_strict), ("every", scan.scan_all_patterns), ("guarded", scan.scan_guarded),
+])
+def test_findings_come_from_live_patterns(spark, sources, kind, scanned):
+    """What a scan finds is what the states of its patterns say it tries, and all of that."""
+    rows = [
+        (0, "A", "d", "low", ["alpha", "beta"], True, None), (1, "B", "d", "low", [], True, None),
+        (2, "C", "d", "low", ["alpha"], False, None), (3, "D", "d", "low", ["(?<!x)alpha", "beta"], True, None),
+        (4, "E", "d", "low", ["alpha.*?(?<!guard)", "gamma"], True, None), (5, "F", "d", "low", ["(alpha", "gamma"], True, None),
+        (6, "G", "d", "low", ["[a-z&&[^b]]lpha", "beta"], True, None),
+    ]
+    table = spark.createDataFrame(rows, schemas.RULES)
+    states = R.pattern_states(table).where(f"{kind} = 'live'").collect()
+    lines = ["alpha", "beta", "gamma", "blpha", ""]
+    found = {(r.rule_id, r.line_number) for r in scanned(sources(("a", "\n".join(lines))), table).collect()}
+    plain = {"[a-z&&[^b]]lpha": "[ac-z]lpha", "alpha.*?(?<!guard)": "alpha"}
+    expected = {
+        (s.id, n) for s in states for n, line in enumerate(lines, 1) if re.search(plain.get(s.pattern, s.pattern), line)
+    }
+    assert found == expected and found
