@@ -78,7 +78,7 @@ class Heaps:
     most: int
 
     def __post_init__(self):
-        self.slot = self.score = self.key = self.mark = np.empty(0, dtype=np.int64)
+        self.slot = self.score = self.key = self.mark = self.rank = np.empty(0, dtype=np.int64)
         # The worst score that still may enter a slot.
         self.floor = np.full(self.slots, np.iinfo(np.int64).min)
 
@@ -94,16 +94,19 @@ class Heaps:
         kept = rank < self.most
         order = order[kept]
         self.slot, self.score, self.key, self.mark = slot[kept], score[order], key[order], mark[order]
+        self.rank = rank[kept]
         full = rank[kept] == self.most - 1
         self.floor[self.slot[full]] = self.score[full]
 
     def batch(self) -> pa.RecordBatch:
+        """The rows with their ranks from 0, as a batch may be cut anywhere on its way."""
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (self.slot, self.score, self.key, self.mark)], names=["slot", "score", "key", "mark"]
+            [pa.array(x) for x in (self.slot, self.score, self.key, self.mark, self.rank)],
+            names=["slot", "score", "key", "mark", "rank"],
         )
 
 
-_HEAP_ROWS = "slot bigint, score bigint, key bigint, mark bigint"
+_HEAP_ROWS = "slot bigint, score bigint, key bigint, mark bigint, rank bigint"
 
 
 @dataclass
@@ -267,13 +270,11 @@ def _results(spark, found: DataFrame, block: Block, positives: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, keys, scores = sent.value
         for batch in batches:
-            slot, score, key = (batch.column(c).to_numpy() for c in ("slot", "score", "key"))
-            begins = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, int)
-            rank = np.arange(len(slot)) - np.repeat(begins, np.diff(np.append(begins, len(slot)))) + 1
+            slot, score, key, rank = (batch.column(c).to_numpy() for c in ("slot", "score", "key", "rank"))
             at = slot // positives, slot % positives
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchors[slot // positives]), _ids(keys[at]), pa.array(rank.astype(np.int32)), _ids(key),
+                    pa.array(anchors[slot // positives]), _ids(keys[at]), pa.array((rank + 1).astype(np.int32)), _ids(key),
                     pa.array(scores[at]), pa.array(score),
                 ],
                 names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],

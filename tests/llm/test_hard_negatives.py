@@ -102,6 +102,17 @@ def test_blocks_of_anchors(spark, rows):
     assert mined(table, block_bytes=3 * 8 * 12) == plain(rows)
 
 
+def test_ranks_do_not_depend_on_batches(spark, rows):
+    """Rows of one anchor and positive that come in several batches are numbered through."""
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert mined(table) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_nothing_to_mine(spark, rows):
     assert mined(spark.createDataFrame([], SCHEMA)) == []
     assert mined(spark.createDataFrame([r for r in rows if r[0] and r[0] % 100], SCHEMA)) == []
