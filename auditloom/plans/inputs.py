@@ -454,11 +454,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a table as a stream, be it one file or a folder of them."""
+    rows = table(spark, sf_dir, name)
+    # A plain path would have to be a folder; a glob may be either.
+    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of deliveries from the events: one path per user, a third under one path."""
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select(
+    return _arriving(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("arrived_at"),
         F.expr("IF(event_id % 3 = 0, 'users/hot', concat('users/', user_id))").alias("path"),
         F.col("event_type").alias("code"),
@@ -467,8 +472,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arriving_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of sources."""
-    documents = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = _arriving(spark, sf_dir, "documents")
     return table_sources(
         stream, seq=F.col("doc_id"), code=F.col("text"), path=F.expr(PATH), program=F.col("source")
     )

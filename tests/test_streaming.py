@@ -1,6 +1,7 @@
 import datetime as dt
 
 from auditloom.operators.scan import scan_strict
+from auditloom.plans import inputs, registry
 from auditloom.sources.rules import stock_rust_rules
 from auditloom.streaming.dedup import drop_redelivered
 from auditloom.streaming.scan import arriving_files, run_to_end
@@ -78,3 +79,13 @@ def test_keys_of_arriving_files(spark, tmp_path):
         run_to_end(arriving_files(spark, str(inbox)), f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-state")
         keys.append(sorted(r.source_key for r in spark.read.parquet(f"{tmp_path}/{name}-out").collect()))
     assert keys[0] == keys[1] and len(set(keys[0])) == 3 and all(len(k) == 32 for k in keys[0])
+
+
+def test_streams_of_tables_in_one_file_or_several(spark, tmp_path):
+    """A stream has all rows of a table, whether that is a file or a folder of files."""
+    for name, query in (("documents", registry.stream_scan), ("events", registry.stream_dedup)):
+        file = "/root/testdata/sf0.001"
+        rows = inputs.table(spark, file, name)
+        rows.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        whole, parts = (sorted(map(repr, query(spark, folder).collect())) for folder in (file, str(tmp_path)))
+        assert whole == parts and whole
