@@ -157,28 +157,43 @@ def blank_comments(code: Column) -> Column:
     return F.when(code.rlike("[/\"']"), F.array_join(parts, "")).otherwise(code)
 
 
-def _lexeme(lexemes: Column, place: Column) -> Column:
-    """What a lexeme is to the structure of its text: a node, a bracket, a header word, an end."""
-    sign = F.get(lexemes, place)
+# Lexemes before and after a place that say what it is.
+BEFORE, AFTER = 5, 2
 
-    def beside(step: int) -> Column:
-        near = F.get(lexemes, place + step)
-        return F.when(near.rlike(r"^[ \t]"), F.get(lexemes, place + 2 * step)).otherwise(near)
 
-    before, after = beside(-1), beside(1)
+def _around(lexemes: Column, place: Column) -> Column:
+    """A place with its lexeme, ``at``, and those before and after it."""
+    near = {"at": 0} | {f"before{i}": -i for i in range(1, BEFORE + 1)} | {f"after{i}": i for i in range(1, AFTER + 1)}
+    return F.struct(place.alias("pos"), *[F.get(lexemes, place + step).alias(name) for name, step in near.items()])
+
+
+def _beside(side: str) -> Column:
+    """The next lexeme on a side but for white space."""
+    near = F.col(f"x.{side}1")
+    is_space = F.startswith(near, F.lit(" ")) | F.startswith(near, F.lit("\t"))
+    return F.when(is_space, F.col(f"x.{side}2")).otherwise(near)
+
+
+def _lexeme() -> dict[str, Column]:
+    """What a lexeme is to the structure of its text: a node, a bracket, a header word, an end.
+
+    It reads ``x``, the place with what is around it, and ``before`` and ``after``.
+    """
+    sign, before, after = F.col("x.at"), F.col("before"), F.col("after")
     word = sign.rlike(f"^[{_LETTER}]")
     named = F.coalesce(after.rlike(rf"^[\p{{L}}_]"), F.lit(False))
     is_definition = sign.isin("fn", "struct") & named
     bare = ~F.coalesce(before.isin(".", "::", ":", "!"), F.lit(False))
     keyword = sign.isin(NO_CALLS) & ~F.coalesce(before.isin(".", "::"), F.lit(False))
-    called = word & F.coalesce(after == "(", F.lit(False)) & ~sign.rlike("^[0-9]") & ~keyword
+    called = F.coalesce(after == "(", F.lit(False)) & word & ~sign.rlike("^[0-9]") & ~keyword
     called = called & ~F.coalesce(before.isin("fn", "struct"), F.lit(False))
     # An operator stands behind a word, a number or a closing bracket; at the start of a line
     # only + and / are sure not to be signs. Bounds of types are no sums.
     operand = F.coalesce(before.rlike(rf"^[{_LETTER})\]?\"]") & ~before.isin(NO_OPERANDS), F.lit(False))
-    exponent = F.coalesce(F.get(lexemes, place - 1).rlike("^[0-9_]+[eE]$"), F.lit(False)) & sign.isin("+", "-")
+    exponent = F.coalesce(F.col("x.before1").rlike("^[0-9_]+[eE]$"), F.lit(False)) & sign.isin("+", "-")
     bound = (sign == "+") & F.coalesce(after.isin("'", "?") | after.rlike("^[A-Z][A-Za-z0-9_]*[a-z]"), F.lit(False))
-    is_operator = sign.isin("+", "-", "*", "/") & ~exponent & ~bound & (operand | (before.isNull() & sign.isin("+", "/")))
+    stands = operand | (before.isNull() & sign.isin("+", "/"))
+    is_operator = sign.isin("+", "-", "*", "/") & ~exponent & ~bound & stands
     kind = (
         F.when(is_definition, sign)
         .when(sign.isin("loop", "while", "for") & bare & ~F.coalesce(after == "<", F.lit(False)), sign)
@@ -187,25 +202,25 @@ def _lexeme(lexemes: Column, place: Column) -> Column:
         .when(is_operator, "binary")
     )
     # Macros and attributes are opaque: name ! [ and # [ open them.
-    far = F.get(lexemes, place - 2)
+    far = F.col("x.before2")
     hash_before = (before == "#") | ((before == "!") & (far.isin("#") | far.rlike(f"^[{_LETTER}]")))
-    spaced = F.get(lexemes, place - 1).rlike(r"^[ \t]") & (before == "!") & F.get(lexemes, place - 3).rlike(f"^[{_LETTER}]")
+    spaced = F.col("x.before1").rlike(r"^[ \t]") & (before == "!") & F.col("x.before3").rlike(f"^[{_LETTER}]")
     is_rules = F.lit(False)
     for gap in (4, 5):
         is_rules = is_rules | F.coalesce(
-            (F.get(lexemes, place - gap) == "macro_rules") & (F.get(lexemes, place - gap + 1) == "!"), F.lit(False)
+            (F.col(f"x.before{gap}") == "macro_rules") & (F.col(f"x.before{gap - 1}") == "!"), F.lit(False)
         )
     opaque = sign.isin("(", "[", "{") & (F.coalesce(hash_before | spaced, F.lit(False)) | is_rules)
-    return F.struct(
-        place.alias("pos"), kind.alias("kind"),
-        F.when(is_definition, after).when(kind.isin("binary"), F.lit(None)).when(kind.isNotNull(), sign).alias("name"),
-        F.when(kind == "call", F.when(F.coalesce(before == "::", F.lit(False)), 2).otherwise(1)).alias("path_len"),
-        F.when(kind == "binary", sign).alias("op"),
-        F.when(sign.isin("(", "[", "{"), 1).when(sign.isin(")", "]", "}"), -1).otherwise(0).alias("step"),
-        opaque.alias("opaque"),
-        F.when(sign.isin(HEADERS) & bare & (sign.isin("impl", "extern") | named), sign).alias("header"),
-        sign.isin("{", "}", ";").alias("ends"), (sign == "{").alias("block"),
-    )
+    return {
+        "kind": kind,
+        "named": F.when(is_definition, after).otherwise(sign),
+        "path_len": F.when(F.coalesce(before == "::", F.lit(False)), 2).otherwise(1),
+        "step": F.when(sign.isin("(", "[", "{"), 1).when(sign.isin(")", "]", "}"), -1).otherwise(0),
+        "opaque": opaque,
+        "header": F.when(sign.isin(HEADERS) & bare & (sign.isin("impl", "extern") | named), sign),
+        "ends": sign.isin("{", "}", ";"),
+        "block": sign == "{",
+    }
 
 
 def _places(lexemes: Column) -> Column:
@@ -234,12 +249,12 @@ def lexical_nodes(sources: DataFrame) -> DataFrame:
     the nodes and brackets move once, dealt by source.
     """
     columns = [*_SOURCE_KEYS, "node_seq", "kind", "name", "path_len", "op", "line_number", "snippet"]
-    plain = _lexical_rows(sources, scoped=False).where("kind IS NOT NULL")
+    plain = _lexical_rows(sources, scoped=False)
     return plain.select(columns).unionByName(_in_scope(_lexical_rows(sources, scoped=True)).select(columns))
 
 
 def _lexical_rows(sources: DataFrame, scoped: bool) -> DataFrame:
-    """Nodes, brackets, header words and ends of statements, of the texts that need scopes or of the others."""
+    """Nodes, brackets, header words and ends of statements of the texts that need scopes, or the nodes of the others."""
     # A projection of its own, as splitting names the text several times.
     mine = (F.col("code") != "") & (F.col("code").rlike(_SCOPED) == F.lit(scoped))
     blanked = sources.select(*_SOURCE_KEYS, "code", F.when(mine, blank_comments(F.col("code"))).alias("live"))
@@ -248,18 +263,31 @@ def _lexical_rows(sources: DataFrame, scoped: bool) -> DataFrame:
     # its size, and so work everything out twice.
     paired = blanked.select(*_SOURCE_KEYS, F.struct(both.alias("lines")).alias("cut"))
     cut = paired.select(*_SOURCE_KEYS, F.posexplode("cut.lines").alias("number", "both"))
-    lexemes = F.when(F.col("both.live").rlike(_LIVELY), F.regexp_extract_all("both.live", F.lit(_LEXEMES), F.lit(0)))
-    listed = cut.select(*_SOURCE_KEYS, "number", F.col("both.line").alias("line"), lexemes.alias("lexemes")).where(
-        "lexemes IS NOT NULL"
+    # Lines are chosen by what their lexemes come from, as a filter on the lexemes would cut lines twice.
+    lexemes = F.regexp_extract_all("both.live", F.lit(_LEXEMES), F.lit(0))
+    listed = cut.where(F.col("both.live").rlike(_LIVELY)).select(
+        *_SOURCE_KEYS, "number", F.col("both.line").alias("line"), lexemes.alias("lexemes")
     )
-    seen = F.filter(
-        F.transform(_places(F.col("lexemes")), lambda i: _lexeme(F.col("lexemes"), i)),
-        lambda x: x["kind"].isNotNull() | (x["step"] != 0) | x["header"].isNotNull() | x["ends"],
+    places = F.transform(_places(F.col("lexemes")), lambda i: _around(F.col("lexemes"), i))
+    held = listed.select(*_SOURCE_KEYS, "number", "line", F.struct(places.alias("places")).alias("seen"))
+    # Places become rows before they are looked into, as columns share their parts and lambdas do not.
+    each = held.select(*_SOURCE_KEYS, "number", "line", F.explode("seen.places").alias("x")).select(
+        "*", _beside("before").alias("before"), _beside("after").alias("after")
     )
-    held = listed.select(*_SOURCE_KEYS, "number", "line", F.struct(seen.alias("places")).alias("seen"))
-    rows = held.select(*_SOURCE_KEYS, "number", "line", F.explode("seen.places").alias("x")).select(
-        *_SOURCE_KEYS, (F.col("number") + 1).cast("bigint").alias("line_number"), "x.*",
-        F.when(F.col("x.kind").isNotNull(), trim_unicode(F.col("line"))).alias("snippet"),
+    known = each.select(*_SOURCE_KEYS, "number", "line", "x", *[c.alias(name) for name, c in _lexeme().items()])
+    kind = F.col("kind")
+    about = [
+        F.col("x.pos").alias("pos"), "kind", F.when(kind != "binary", F.col("named")).alias("name"),
+        F.when(kind == "call", F.col("path_len")).alias("path_len"), F.when(kind == "binary", F.col("x.at")).alias("op"),
+    ]
+    wanted = kind.isNotNull()
+    if scoped:
+        about += ["step", "opaque", "header", "ends", "block"]
+        wanted = wanted | (F.col("step") != 0) | F.col("header").isNotNull() | F.col("ends")
+    # A generator, as filters on its columns stay behind it and do not work out the kinds anew.
+    rows = known.select(*_SOURCE_KEYS, "number", "line", F.explode(F.when(wanted, F.array(F.struct(*about)))).alias("y")).select(
+        *_SOURCE_KEYS, (F.col("number") + 1).cast("bigint").alias("line_number"), "y.*",
+        F.when(F.col("y.kind").isNotNull(), trim_unicode(F.col("line"))).alias("snippet"),
     )
     return rows.withColumn("node_seq", F.shiftleft("line_number", 32) + F.col("pos"))
 
