@@ -6,11 +6,12 @@ into one of the inputs of an audit; nothing is grouped, cut or left out.
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.sources.files import spread, table_sources
+from auditloom.sources.files import list_files, spread, table_sources
 
 # Common words of the four languages, and the code that takes their place in code_sources.
 CODE_WORDS = [
@@ -151,6 +152,10 @@ def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_sources(documents.unionByName(blank), seq=F.col("doc_id"), code=F.col("text"))
 
 
+# Files that are renamed at a time.
+RENAMES = 16
+
+
 def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callable[[str], str]) -> None:
     """Texts as files, one for each place, with the texts of a place in the order of ``seq``.
 
@@ -160,15 +165,17 @@ def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callab
     spark = rows.sparkSession
     dealt = rows.repartition(*places).sortWithinPartitions(*places, "seq")
     dealt.select("text", *places).write.partitionBy(*places).text(folder)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, files = store.listFiles(root, True), []
-    while found.hasNext():
-        path = found.next().getPath()
-        if path.getName().startswith("part-"):
-            files.append(path)
-    for path in files:
-        store.rename(path, path.suffix(ending(path.getParent().getName())))
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def rename(path: str) -> None:
+        place, name = path.rsplit("/", 2)[1:]
+        end = ending(place)
+        if end and name.startswith("part-") and not store.rename(Path(path), Path(path + end)):
+            raise OSError(f"{path} cannot be renamed")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(rename, [path for path, _ in list_files(spark, folder)]))
 
 
 # Texts of one source file of a program.

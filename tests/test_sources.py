@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from auditloom.operators.scan import scan_strict
 from auditloom.sources import sinks
 from auditloom.operators.solidity import locate
 from auditloom.sources.files import (
+    list_files,
     drop_blank_inline,
     extension_glob,
     read_programs,
@@ -183,3 +185,25 @@ def test_json_sink(spark, sources, tmp_path):
     table_out = str(tmp_path / "table")
     sinks.write_parquet(found, table_out)
     assert spark.read.parquet(table_out).count() == 18
+
+
+def test_listed_files_with_any_names(spark, tmp_path):
+    """Names that look like parts of a listing are listed as they are, and so are empty and hidden files."""
+    names = ["a.rs", "x, y.rs", "deep/_b.rs", "c; isDirectory=false; length=7; .rs", "FileStatus{path=q; .rs", "new\nline.rs"]
+    for chosen in (names[:3], names, names[-1:]):
+        folder = tmp_path / str(len(chosen))
+        (folder / "deep").mkdir(parents=True)
+        for size, name in enumerate(chosen):
+            (folder / name).write_text("x" * size)
+        found = sorted((path.partition(f"{folder}/")[2], length) for path, length in list_files(spark, str(folder)))
+        assert found == sorted((name, size) for size, name in enumerate(chosen))
+    assert [n for _, n in list_files(spark, str(tmp_path / "3/x, y.rs"))] == [1]
+
+
+def test_listing_starts_no_process_for_a_file(spark, tmp_path):
+    """A folder of many files is listed in much less than the time of a process for each."""
+    for i in range(3000):
+        (tmp_path / f"{i}.rs").touch()
+    begin = time.perf_counter()
+    assert len(list_files(spark, str(tmp_path))) == 3000
+    assert time.perf_counter() - begin < 7
