@@ -170,8 +170,8 @@ def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callab
 
     def rename(path: str) -> None:
         place, name = path.rsplit("/", 2)[1:]
-        end = ending(place)
-        if end and name.startswith("part-") and not store.rename(Path(path), Path(path + end)):
+        end = ending(place) if name.startswith("part-") else ""
+        if end and not store.rename(Path(path), Path(path + end)):
             raise OSError(f"{path} cannot be renamed")
 
     with ThreadPoolExecutor(RENAMES) as pool:
