@@ -4,11 +4,10 @@ The tables hold prose, orders and web pages. Each function turns whole tables, r
 into one of the inputs of an audit; nothing is grouped, cut or left out.
 """
 
-import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.sources.files import list_files, spread, table_sources
@@ -245,17 +244,25 @@ def deliver_files(spark: SparkSession, sf_dir: str, folder: str, delivery: int)
     _write_files(documents.where((F.col("block") % 2 == delivery) | again), f"{folder}/delivery={delivery}", ["block"], lambda place: "")
 
 
-def rules_as_toml(spark: SparkSession, sf_dir: str) -> str:
-    """The part rules as the text of a rule file, mode included; rule files are small by nature."""
-    def value(x: object) -> str:
-        return json.dumps(x, ensure_ascii=False)
+def write_rule_file(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The part rules as a rule file, mode included, in part files whose names keep their order."""
 
-    lines = ["[metadata]", 'name = "parts"', "", "[analysis_mode]", "regex = true", "ast = false", "llm = true"]
-    for rule in part_rules(spark, sf_dir).orderBy("rule_seq").toLocalIterator():
-        lines += ["", "[[rules]]", *(f"{k} = {value(rule[k])}" for k in ("id", "description", "severity", "patterns", "enabled"))]
-        if rule["mitigation"] is not None:
-            lines.append(f"mitigation = {value(rule['mitigation'])}")
-    return "\n".join(lines) + "\n"
+    def value(name: str) -> Column:
+        # A string, list or boolean in JSON is one in TOML; an array of it alone has it between its brackets.
+        alone = F.to_json(F.array(name))
+        return F.substr(alone, F.lit(2), F.length(alone) - 2)
+
+    def line(name: str) -> Column:
+        return F.concat(F.lit(f"{name} = "), value(name))
+
+    fields = [line(name) for name in ("id", "description", "severity", "patterns", "enabled")]
+    mitigation = F.when(F.col("mitigation").isNotNull(), line("mitigation"))
+    # A list without its nulls, joined by line ends; the writer ends the last line.
+    text = F.concat_ws("\n", F.lit(""), F.lit("[[rules]]"), *fields, mitigation)
+    rules = part_rules(spark, sf_dir).select(F.lit(1).alias("place"), "rule_seq", text.alias("text"))
+    head = "\n".join(["[metadata]", 'name = "parts"', "", "[analysis_mode]", "regex = true", "ast = false", "llm = true"])
+    first = spark.range(1).select(F.lit(0).alias("place"), F.lit(None).cast("int").alias("rule_seq"), F.lit(head).alias("text"))
+    first.unionByName(rules).orderBy("place", "rule_seq").select("text").write.text(folder)
 
 
 def redelivered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

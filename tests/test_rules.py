@@ -17,7 +17,9 @@ from auditloom.sources.rules import (
     stock_rust_rules,
     stock_solidity_rules,
 )
+from auditloom.plans import registry
 from auditloom.plans.audit import effective_mode
+from auditloom.sources import rules as rules_module
 
 
 def test_stock_rules_that_run(spark):
@@ -120,6 +122,60 @@ def test_rule_file(spark, tmp_path):
         parse_rule_file(spark, '[[rules]]\nid = "B"\ndescription = "d"\npatterns = []\nenabled = true')
 
 
+def test_rule_file_in_pieces(spark, tmp_path, monkeypatch):
+    """Files are cut at rules wherever Spark's blocks end, never in strings, and read as the whole text is."""
+    rule = '[[rules]]\nid = "R{}"\ndescription = "ü [[rules]] {}"\nseverity = "low"\npatterns = ["a\\\\n", "b"]\nenabled = true\n'
+    head = '# rules\ntitle = "t"\n[analysis_mode]\nregex = true\nast = false\nllm = true\n'
+    plain = head + "".join("\n" * (i % 3) + rule.format(i, "x" * (i % 7)) for i in range(40))
+    inside = plain + '\n[[rules]]\nid = "S"\ndescription = """\n[[rules]]\nid = 1\n"""\nseverity = "low"\npatterns = []\nenabled = true\n'
+    indented = plain.replace("\n[[rules]]\nid = \"R7\"", "\n  [[ rules ]] # c\nid = \"R7\"").replace("\n", "\r\n")
+    late_mode = plain[len(head):] + head.partition("\n")[2].partition("\n")[2]
+    wholes = []
+    real = rules_module.parse_rule_file
+    for at, (text, whole) in enumerate([(plain, 0), (inside, 1), (indented, 0), (late_mode, 0), ("rules = []\n", 1)]):
+        path = tmp_path / f"{at}.toml"
+        path.write_bytes(text.encode())
+        expected, mode = real(spark, text)
+        expected = [tuple(r) for r in expected.orderBy("rule_seq").collect()]
+        for size in (97, 256, 1 << 20) if at == 0 else (131,):
+            monkeypatch.setattr(rules_module, "parse_rule_file", lambda *given: wholes.append(at) or real(*given))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                rules, told = read_rule_file(spark, str(path))
+                assert [tuple(r) for r in rules.orderBy("rule_seq").collect()] == expected
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert told == mode and (at in wholes) == bool(whole)
+
+
+def test_rule_file_in_parts(spark, tmp_path):
+    """Part files are one rule file, even where one begins inside a rule."""
+    head = '[analysis_mode]\nregex = true\nast = false\nllm = true\n'
+    rule = '\n[[rules]]\nid = "{}"\ndescription = "d"\nseverity = "low"\npatterns = []\nenabled = true\n'
+    for name, parts in (("even", [head + rule.format("A"), rule.format("B"), rule.format("C")[1:]]),
+                        ("odd", [head + rule.format("A"), 'mitigation = "m"\n' + rule.format("B") + rule.format("C")])):
+        (tmp_path / name).mkdir()
+        for at, text in enumerate(parts):
+            (tmp_path / name / f"part-{at:05d}").write_text(text)
+        rules, mode = read_rule_file(spark, str(tmp_path / name), in_parts=True)
+        assert mode == AnalysisMode(True, False, True)
+        found = [(r.rule_seq, r.id, r.mitigation) for r in rules.orderBy("rule_seq").collect()]
+        assert found == [(0, "A", "m" if name == "odd" else None), (1, "B", None), (2, "C", None)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0").write_text(head + rule.format("A") + rule.format("B").replace('severity = "low"\n', ""))
+    with pytest.raises(ValueError, match="rule without severity: B"):
+        read_rule_file(spark, str(tmp_path / "bad"), in_parts=True)
+
+
+def test_rules_are_not_read_whole(spark, monkeypatch):
+    """The rule file of the parts is written and read in tasks: no text of it passes the driver."""
+    def whole(*given):
+        raise AssertionError("read whole")
+
+    monkeypatch.setattr(rules_module, "parse_rule_file", whole)
+    assert registry.rules_toml(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
 def test_mode_of_the_rule_file_wins():
     asked = AnalysisMode(regex=False, ast=True, llm=True)
     assert effective_mode(AnalysisMode(True, False, False), asked) == AnalysisMode(True, False, False)
