@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.sentencepiece_codec import MARK, NORMAL, parse_model
-from auditloom.llm.shared import stored
+from auditloom.llm.shared import kept_in_worker, stored
 from auditloom.llm.word_tables import RowsByWord, array_slices
 
 UNDETERMINED = "und"
@@ -282,15 +282,9 @@ def _learning_round(spark: SparkSession, words: DataFrame, pieces: Pieces, langu
     return counts / counts.sum(axis=0)
 
 
-_models: dict[str, LanguageModel] = {}
-
-
 def model_of(name: str, parts: tuple) -> LanguageModel:
     """The model of a query; a Python worker keeps the last one, with its words."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = LanguageModel(*parts)
-    return _models[name]
+    return kept_in_worker(("language", name), lambda: LanguageModel(*parts))
 
 
 def identify(

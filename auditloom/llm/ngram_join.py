@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.components import connected_components
 from auditloom.llm.grams import gram_sets, mix, sum_by
-from auditloom.llm.shared import shield, slices, stored
+from auditloom.llm.shared import let_go, shield, slices, stored
 
 # At least so many blocks more than the bound asks for. Linked sets agree in one block more
 # than that, so that sets with no more empty blocks agree in a filled one.
@@ -165,6 +165,7 @@ def _digest(size: int):
     """Sizes and hashes of the sets of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part, grams, offsets in _sets(batch, size):
                 yield pa.RecordBatch.from_arrays(
@@ -174,6 +175,7 @@ def _digest(size: int):
                     ],
                     names=["_id", "text_hash", "n", "node"],
                 )
+        let_go()
 
     return run
 
@@ -182,6 +184,7 @@ def _keys(size: int, percent: int):
     """(node, key, room) of the column blocks of each set, once per set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
         for batch in batches:
             for _, grams, offsets in _sets(batch, size):
@@ -196,6 +199,7 @@ def _keys(size: int, percent: int):
                         ],
                         names=["node", "key", "room"],
                     )
+        let_go()
 
     return run
 
@@ -204,12 +208,14 @@ def _packed(frame: DataFrame, text: str) -> DataFrame:
     """The rows with their texts compressed, for a join that moves them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         codec = zstandard.ZstdCompressor()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             column = batch.column(at).cast(pa.large_binary())
             small = [None if not t.is_valid else codec.compress(t.as_buffer()) for t in column]
             yield batch.set_column(at, text, pa.array(small, pa.binary()))
+        let_go()
 
     fields = ", ".join(
         f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in frame.schema
@@ -217,27 +223,40 @@ def _packed(frame: DataFrame, text: str) -> DataFrame:
     return frame.mapInArrow(run, fields)
 
 
+def _unpack(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows with the bytes of their texts."""
+    codec = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index(text)
+        # Texts are longer again here, so only some rows at a time.
+        for start in range(0, len(batch), 500):
+            part = batch.slice(start, 500)
+            texts = [None if t is None else codec.decompress(t) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, text, pa.array(texts, pa.binary()))
+
+
 def _unpacked(frame: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdDecompressor()
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            # Texts are longer again here, so only some rows at a time.
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                texts = [None if t is None else codec.decompress(t).decode() for t in part.column(at).to_pylist()]
-                yield part.set_column(at, text, pa.array(texts, pa.string()))
+        let_go()
+        for part in _unpack(batches, text):
+            at = part.schema.get_field_index(text)
+            yield part.set_column(at, text, part.column(at).cast(pa.string()))
+        let_go()
 
     fields = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in frame.schema)
     return frame.mapInArrow(run, fields)
 
 
 def _fetch(size: int):
-    """The sets of cluster rows, packed, each once per task of Spark."""
+    """The sets of cluster rows from their packed texts, each once per task of Spark.
+
+    Texts are unpacked in the same Python step: two steps in one stage take two workers for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _unpack(batches, "text"):
             for part, grams, offsets in _sets(batch, size):
                 nodes = part.column("node").to_pylist()
                 same = _nodes(grams, offsets) == part.column("node").to_numpy()
@@ -250,6 +269,7 @@ def _fetch(size: int):
                     [kept.column("node"), pa.array(packed, pa.binary()), kept.column("tasks")],
                     names=["node", "grams", "tasks"],
                 )
+        let_go()
 
     return run
 
@@ -303,6 +323,7 @@ def _product(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         task, rows = None, {}
         for batch in batches:
             for name, row, grams in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "grams"))):
@@ -313,6 +334,8 @@ def _product(percent: int):
                 rows[row] = grams
         if len(rows) > 1:
             yield links(rows)
+        rows = {}
+        let_go()
 
     return run
 
@@ -375,7 +398,7 @@ def _joined(documents: DataFrame, doc: str, text: str, size: int, percent: int)
     moved = _packed(pairs, "text")
     same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("hash_of"))
     fetched = moved.join(tasks.hint("merge"), same).select("text", "node", "tasks")
-    sets = _unpacked(fetched, "text").mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
+    sets = fetched.mapInArrow(_fetch(size), "node bigint, grams binary, tasks array<string>")
     dealt = sets.select("node", "grams", F.explode("tasks").alias("task")).repartition("task").sortWithinPartitions("task")
     links = stored(dealt.mapInArrow(_product(percent), "a bigint, b bigint"), "links")
     linked = connected_components(links).withColumnRenamed("id", "node")

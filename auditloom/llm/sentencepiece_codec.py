@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.llm.shared import kept_in_worker
 from auditloom.llm.word_tables import RowsByWord, array_slices, spread, sums_of
 
 # Fixed values of the model format: kinds of pieces and of models.
@@ -334,15 +335,9 @@ def verified(data: bytes) -> bytes:
     return data
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec_of(data: bytes, threads: int) -> Codec:
     """The codec of a model; a Python worker keeps the last one with its words."""
-    if data not in _codecs:
-        _codecs.clear()
-        _codecs[data] = Codec(data, threads)
-    return _codecs[data]
+    return kept_in_worker(("codec", data), lambda: Codec(data, threads))
 
 
 def _id_lists(ids: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:

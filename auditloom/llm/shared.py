@@ -1,7 +1,8 @@
 """What the operators of this package share: tables, scratch storage, held-out rows, byte-bounded batches."""
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +51,32 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+# What the operator that ran last in this Python worker keeps for its later tasks.
+_kept: dict = {}
+# C libraries other than GNU's may have no such call.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda spare: None)
+
+
+def kept_in_worker(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the Python worker until another operator runs there."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def give_back() -> None:
+    """Memory that is free in this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def let_go() -> None:
+    """Workers stay for later stages; what the operator before kept there goes."""
+    _kept.clear()
+    give_back()
+
+
 def shield(documents: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The rows under column names that no operator uses, and those names by the given ones.
 

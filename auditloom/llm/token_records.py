@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.shared import stored
+from auditloom.llm.shared import kept_in_worker, stored
 from auditloom.llm.word_tables import RowsByWord, array_slices, spread, sums_of
 
 # Text bytes of one part file and of a block, and different words that a task remembers.
@@ -198,14 +198,8 @@ class Encoder:
         return out, offsets
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(definition: str) -> Encoder:
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = Encoder(definition)
-    return _encoders[definition]
+    return kept_in_worker(("encoder", definition), lambda: Encoder(definition))
 
 
 def _bounds(rows: DataFrame, parts: int, count: int, least: int) -> list[tuple]:

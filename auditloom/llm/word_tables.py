@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from auditloom.llm.shared import slices
+from auditloom.llm.shared import give_back, slices
 
 
 def array_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -15,7 +15,7 @@ def array_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tup
     for start, end in slices(pc.binary_length(texts).to_numpy(), limit):
         yield batch.slice(start, end - start), texts.slice(start, end - start)
     # Workers stay for later stages; what this batch took goes back.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:

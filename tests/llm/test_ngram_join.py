@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditloom.llm import ngram_join as join
+from auditloom.llm import shared
 from auditloom.llm.grams import gram_sets, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,3 +138,32 @@ def test_linked_sets_have_a_key_in_common(percent, size):
         room = max([max(one[k], other[k]) >> 1 for k in both_keys if min(one[k], other[k]) >= 0], default=0)
         free = sum(min(one[k], other[k]) < 0 for k in both_keys)
         assert free or len(both_keys) > room
+
+
+def test_one_python_step_in_a_stage(spark, monkeypatch, capsys):
+    """Two Python steps without an exchange between them take two workers for each task."""
+    plans = {}
+    real = join.stored
+
+    def watched(frame, what):
+        frame.explain()
+        plans[what] = capsys.readouterr().out
+        return real(frame, what)
+
+    monkeypatch.setattr(join, "stored", watched)
+    assert join.keep_one(spark.createDataFrame(copies(), "doc_id bigint, text string")).count()
+    assert "links" in plans
+    for what, plan in plans.items():
+        for between in plan.split("MapInArrow")[1:-1]:
+            assert "Exchange" in between, what
+
+
+def test_workers_keep_one_operator():
+    shared.let_go()
+    made = []
+    for name in ("a", "a", "b", "a"):
+        assert shared.kept_in_worker((name,), lambda: made.append(name) or name) == name
+        assert len(shared._kept) == 1
+    assert made == ["a", "b", "a"]
+    shared.let_go()
+    assert not shared._kept
