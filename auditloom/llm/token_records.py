@@ -151,6 +151,9 @@ class Encoder:
             self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            # A mark may join a small letter and not the capital, and a special word is read before letters are.
+            special = [f"(?i:{re.escape(t['content'])})" for t in said.get("added_tokens", [])]
+            self.keep_case = "|".join([r"\p{M}", *special])
         self.parts = RowsByWord(np.uint32, CACHE_WORDS, self._words)
 
     def _whole(self, words: list[str]) -> list[list[int]]:
@@ -185,7 +188,9 @@ class Encoder:
         if not self.by_word:
             lists = [np.array([*ids, end], dtype=np.uint32) for ids in self._whole(texts.to_pylist())]
             return np.concatenate([np.empty(0, dtype=np.uint32), *lists]), np.cumsum([0, *map(len, lists)])
-        split = pc.ascii_split_whitespace(texts)
+        # Words that differ in the case of ASCII letters have the same ids, and are looked up once.
+        kept = pc.match_substring_regex(texts, self.keep_case)
+        split = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
         words = split.flatten()
         bounds = split.offsets.to_numpy().astype(np.int64)
         ids, lengths = self.parts.gather(self.parts.numbers(words))

@@ -308,3 +308,19 @@ def test_other_tokenizers_take_whole_texts():
     assert not encoder.by_word
     for text, a, b in zip(texts, offsets, offsets[1:]):
         assert ids[a:b].tolist() == [*Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids, 9]
+
+
+def test_case_is_looked_up_once():
+    """ASCII letters count as small ones, but for texts with marks and special words, where case may matter."""
+    from tokenizers import Tokenizer
+
+    encoder = token_records.Encoder(vocabulary(WORDS).decode())
+    encoder.encode(pa.array(["Word word WORD wOrd, WORD,"], pa.large_string()), 1)
+    assert len(encoder.parts.known) == 2
+    texts = [
+        "H̱ ẖ ẖ Å ÉT", "<|ENDOFTEXT|> <|endoftext|> a<|StartOfText|>B", "KK İI ΣAS ASΣ", "It'S DON'T 5TH",
+    ]
+    ids, offsets = encoder.encode(pa.array(texts, pa.large_string()), 1)
+    whole = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        assert ids[a:b].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], text
