@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom import schemas
-from auditloom.functions.classes import ASCII_CLASSES, java_pattern
+from auditloom.functions.classes import ASCII_CLASSES, class_at, java_pattern
 from auditloom.operators.rules import rejected_rules
 from auditloom.operators.scan import scan_strict
 
@@ -126,6 +126,33 @@ def test_plain_classes_keep_their_words():
     assert all(java_pattern(f"[[:{name}:]]")[0] == f"[{ranges}]" for name, ranges in ASCII_CLASSES.items())
 
 
+def test_classes_of_ranges_are_flat():
+    """Java asks each part of a nested class about each sign, so that none is left where ranges are known."""
+    assert java_pattern("[[:^alpha:]--[:^digit:]]{11}")[0] == "[0-9]{11}"
+    assert java_pattern("[[:upper:]~~[:alpha:]]{18}")[0] == "[a-z]{18}"
+    assert java_pattern("[[:print:]&&[^[:alnum:][:space:].,]]")[0] == r"[!-\+\-/:-@\[-`\{-\~]"
+    assert java_pattern(r"[^\\[a-c][x&&y]]")[0] == r"[\x{0}-\[\]-`d-\x{10FFFF}]"
+    assert java_pattern("[a&&b]")[0] == r"[^\x{0}-\x{10FFFF}]"
+    assert java_pattern(r"[\w&&[a-f&&[^b]]]")[0] == r"[[\w]&&[ac-f]]"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_flat_classes_hold_what_nested_ones_do(spark, seed):
+    """Signs of all planes, in patterns that are blind to case as well: there parts widen before they are combined."""
+    rng = random.Random(100 + seed)
+    rows = [(i, made(rng)[0]) for i in range(60)] + [(60, "[a-z--[A-F]]"), (61, "[[:lower:]~~[:alpha:]]"), (62, "[^a[^K]]")]
+    nested = [(i, blind, flags + class_at(text, 0, True)[0], flags + java_pattern(start + text)[0].removeprefix(start))
+              for i, text in rows for blind, start in ((False, ""), (True, "(?i)"))
+              for flags in ["(?dU)" + start]]
+    assert all(old == new for _, blind, old, new in nested if blind)
+    table = spark.createDataFrame(nested, "i int, blind boolean, old string, new string")
+    codes = [*range(0x250), 0x2028, 0x3042, 0xD7FF, 0xE000, 0xFFFD, 0x10000, 0x1F600, 0x10FFFF]
+    signs = spark.createDataFrame([(chr(c),) for c in codes], "sign string")
+    apart = table.crossJoin(signs).where(F.rlike("sign", F.col("old")) != F.rlike("sign", F.col("new")))
+    assert not apart.collect()
+    assert any(old != new for _, blind, old, new in nested if not blind)
+
+
 def test_scans_use_them(spark, sources):
     patterns = ["[[:^alpha:]]x", "[0-9--4]y", r"\p{Greek}", r"[\p{Letter}&&[^a-z]]z", "[[:print:]--[:alnum:]]q"]
     rules = spark.createDataFrame([(i, f"R{i}", "d", "low", [p], True, None) for i, p in enumerate(patterns)], schemas.RULES)
