@@ -155,15 +155,17 @@ def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 RENAMES = 16
 
 
-def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callable[[str], str]) -> None:
+def _write_files(rows: DataFrame, folder: str, places: list[str], ending: Callable[[str], str] | None = None) -> None:
     """Texts as files, one for each place, with the texts of a place in the order of ``seq``.
 
     Spark's writers choose names and endings themselves, so that the files, a few of them
-    however many texts there are, get their names afterwards.
+    however many texts there are, get their names afterwards; without ``ending`` they keep them.
     """
     spark = rows.sparkSession
     dealt = rows.repartition(*places).sortWithinPartitions(*places, "seq")
     dealt.select("text", *places).write.partitionBy(*places).text(folder)
+    if ending is None:
+        return
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -241,7 +243,7 @@ def deliver_files(spark: SparkSession, sf_dir: str, folder: str, delivery: int)
         block.alias("block"), F.col("doc_id").alias("seq"), "text"
     )
     again = (F.col("block") % 2 == 0) & (F.col("block") % 3 == 0) & F.lit(delivery == 1)
-    _write_files(documents.where((F.col("block") % 2 == delivery) | again), f"{folder}/delivery={delivery}", ["block"], lambda place: "")
+    _write_files(documents.where((F.col("block") % 2 == delivery) | again), f"{folder}/delivery={delivery}", ["block"])
 
 
 def write_rule_file(spark: SparkSession, sf_dir: str, folder: str) -> None:

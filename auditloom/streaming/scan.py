@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import clean_path
+from auditloom.sources.files import listed_by_few
 
 
 _FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -23,7 +24,9 @@ def arriving_files(spark: SparkSession, folder: str, glob: str | None = None) ->
     path = clean_path(F.col("path"))
     root = clean_path(F.lit(folder.rstrip("/") + "/"))
     below = F.when(F.startswith(path, root), F.substr(path, F.length(root) + 1)).otherwise(path)
-    return reader.load(folder).select(
+    with listed_by_few(spark):
+        files = reader.load(folder)
+    return files.select(
         F.xxhash64("path").alias("source_seq"),
         F.lit(None).cast("string").alias("program"),
         path.alias("path"),
@@ -38,12 +41,14 @@ def run_to_end(stream: DataFrame, output: str, checkpoint: str) -> None:
 
     A later call with the same checkpoint takes up only what came since.
     """
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", output)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with listed_by_few(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        # The source of a stream lists with the settings that its session has while it runs.
+        query.awaitTermination()

@@ -1,7 +1,10 @@
 import datetime as dt
 
+import pytest
+
 from auditloom.operators.scan import scan_strict
 from auditloom.plans import inputs, registry
+from auditloom.sources.files import listed_by_few
 from auditloom.sources.rules import stock_rust_rules
 from auditloom.streaming.dedup import drop_redelivered
 from auditloom.streaming.scan import arriving_files, run_to_end
@@ -68,6 +71,51 @@ def test_a_repeat_counts_from_the_delivery_that_was_kept(spark, tmp_path):
     assert deliver((73, "a"), (131, "y")) == [(12, 0, "a"), (13, 13, "a"), (14, 10, "z"), (14, 11, "y")]
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    inbox = tmp_path / "in"
+    for i in range(60):
+        (inbox / f"d{i}").mkdir(parents=True)
+        (inbox / f"d{i}/a.rs").write_text("unsafe {")
+    context = spark.sparkContext
+    tracker = context.statusTracker()
+
+    def last_stage() -> int:
+        context.setJobGroup(str(tmp_path), "mark")
+        context.parallelize([0], 1).count()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        jobs = tracker.getJobIdsForGroup(str(tmp_path))
+        return max(s for j in jobs for s in tracker.getJobInfo(j).stageIds)
+
+    first = last_stage()
+    found = scan_strict(arriving_files(spark, str(inbox)), stock_rust_rules(spark))
+    run_to_end(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    infos = [tracker.getStageInfo(s) for s in range(first + 1, last_stage())]
+    listings = [i.numTasks for i in infos if i and i.name.startswith(("load at", "start at"))]
+    assert listings and max(listings) <= 2 * context.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+@pytest.mark.parametrize("given", [None, "3", "9999"])
+def test_the_number_of_listing_tasks_is_given_back(spark, given):
+    key, few = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 2 * spark.sparkContext.defaultParallelism
+    default = spark.conf.get(key, None)
+    if given:
+        spark.conf.set(key, given)
+    try:
+        with pytest.raises(KeyError), listed_by_few(spark):
+            assert int(spark.conf.get(key)) == min(few, int(given or few))
+            raise KeyError
+        assert spark.conf.get(key, None) == (given or default)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_deliveries_are_written_without_a_listing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "list_files", None)
+    inputs.deliver_files(spark, "/root/testdata/sf0.001", str(tmp_path), 0)
+    assert {p.parent.name for p in tmp_path.rglob("part-*")} == {"block=0", "block=2"}
+
+
 def test_keys_of_arriving_files(spark, tmp_path):
     """A file has one key in every run and folder, and no two files of a run share one."""
     keys = []
