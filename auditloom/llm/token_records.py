@@ -18,12 +18,14 @@ text is one record. An empty table has no records. Other columns are not looked
 """
 
 import bisect
+import codecs
 import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -93,15 +95,17 @@ def _cuts_words(definition: dict) -> bool:
     )
 
 
-def _byte_signs() -> dict[int, str]:
-    """What the tokenizer writes for the bytes of letters beyond ASCII: each byte has a visible sign."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    signs = {b: chr(b) for b in seen}
-    signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in signs)}
-    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(128, 0x250)}
+def _byte_signs() -> str:
+    """What the tokenizer writes for each byte, a visible sign; spaces stay, as they part words here."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    unseen = iter(range(256, 512))
+    signs = [chr(b if b in seen else next(unseen)) for b in range(256)]
+    return "".join([*signs[:32], " ", *signs[33:]])
 
 
 _SIGNS = _byte_signs()
+# Small letters of the first blocks of Unicode, which the tokenizer's first steps leave as they are.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)
 
 
 def _stem_and_tail(word: str) -> tuple[str, str, bool]:
@@ -123,6 +127,26 @@ def _stem_and_tail(word: str) -> tuple[str, str, bool]:
     return stem, word[len(stem):], False
 
 
+def _stems_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words of small letters and signs behind them as stems and tails; the others whole, with empty tails."""
+    tails = pc.utf8_ltrim(words, characters=_LETTERS)
+    plain = pc.equal(pc.binary_length(pc.ascii_rtrim(tails, characters=_TRAILING)), 0)
+    stems = pc.if_else(plain, pc.ascii_rtrim(words, characters=_TRAILING), words)
+    return stems, pc.if_else(plain, tails, "")
+
+
+def _are_letters(words: pa.Array) -> pa.Array:
+    """Whether words are small letters and nothing else."""
+    rest = pc.binary_length(pc.utf8_ltrim(words, characters=_LETTERS))
+    return pc.and_(pc.equal(rest, 0), pc.greater(pc.binary_length(words), 0))
+
+
+def _picked(values: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that lie end to end those with the given numbers, and their lengths."""
+    found = lengths[order]
+    return values[spread((np.cumsum(lengths) - lengths)[order], found)], found
+
+
 def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids end to end, and the length of each list."""
     arrays = [np.array(x, dtype=np.uint32) for x in lists]
@@ -147,7 +171,8 @@ class Encoder:
         self.by_word = _cuts_words(said)
         if self.by_word:
             vocabulary = said["model"]["vocab"]
-            self.model = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+            # The same pieces in memory, without the first steps.
+            self.model = Tokenizer(self.tokenizer.model)
             self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -161,8 +186,8 @@ class Encoder:
 
     def _plain(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain stems, end to end, and their lengths; each ends with the only piece that may end a word."""
-        signs = [s if s.isascii() else s.translate(_SIGNS) for s in stems]
-        joined = [" ".join(signs[i:i + _JOINED]) for i in range(0, len(signs), _JOINED)]
+        joined = [" ".join(stems[i:i + _JOINED]).encode() for i in range(0, len(stems), _JOINED)]
+        joined = [codecs.charmap_decode(t, "strict", _SIGNS)[0] for t in joined]
         ids = [np.empty(0, dtype=np.uint32)]
         for i in range(0, len(joined), _BATCH):
             ids += [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(joined[i:i + _BATCH], add_special_tokens=False)]
@@ -170,7 +195,8 @@ class Encoder:
         ends = np.flatnonzero(self.last[flat]) + 1
         return (flat, np.diff(ends, prepend=0)) if len(ends) == len(stems) else _laid(self._whole(stems))
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, end to end, and their lengths."""
         split = [_stem_and_tail(w) for w in words]
         plain = dict.fromkeys(stem for stem, _, is_plain in split if is_plain)
         rest = dict.fromkeys(stem for stem, _, is_plain in split if not is_plain)
@@ -178,10 +204,16 @@ class Encoder:
         parts = [self._plain(list(plain)), _laid(self._whole(list(rest)))]
         plain = dict(zip(plain, range(len(plain))))
         rest = dict(zip(rest, range(len(plain), len(plain) + len(rest))))
-        every, lengths = (np.concatenate(x) for x in zip(*parts))
-        order = np.array([x for stem, tail, is_plain in split for x in ((plain if is_plain else rest)[stem], rest[tail])])
-        found = lengths[order]
-        return every[spread((np.cumsum(lengths) - lengths)[order], found)], found.reshape(-1, 2).sum(axis=1)
+        order = np.array([x for stem, tail, is_plain in split for x in ((plain if is_plain else rest)[stem], rest[tail])], dtype=np.int64)
+        ids, lengths = _picked(*(np.concatenate(x) for x in zip(*parts)), order)
+        return ids, lengths.reshape(-1, 2).sum(axis=1)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = _are_letters(pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False)
+        parts = [self._plain(list(compress(words, plain))), self._others(list(compress(words, ~plain)))]
+        order = np.empty(len(words), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+        return _picked(*(np.concatenate(x) for x in zip(*parts)), order)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts, each followed by the end id."""
@@ -193,7 +225,14 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
         words = split.flatten()
         bounds = split.offsets.to_numpy().astype(np.int64)
-        ids, lengths = self.parts.gather(self.parts.numbers(words))
+        told = words.dictionary_encode()
+        stems, tails = _stems_and_tails(told.dictionary)
+        tailed = pc.not_equal(tails, "").to_numpy(zero_copy_only=False)
+        numbers = self.parts.numbers(pa.concat_arrays([stems, tails.filter(pa.array(tailed))]))
+        stems, tails = np.split(numbers, [len(tailed)])
+        ids, lengths = self.parts.gather(np.insert(stems, np.flatnonzero(tailed) + 1, tails))
+        lengths = sums_of(lengths, np.concatenate([[0], np.cumsum(1 + tailed)]))
+        ids, lengths = _picked(ids, lengths, told.indices.to_numpy())
         sizes = sums_of(lengths, bounds - bounds[0])
         offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
         out = np.full(offsets[-1], end, dtype=np.uint32)

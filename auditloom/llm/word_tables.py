@@ -1,6 +1,7 @@
 """Words of whole blocks of texts: told apart by Arrow, looked up once each, and put together by numpy."""
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,22 @@ class RowsByWord:
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each word in the table; good until the next call."""
         told = words.dictionary_encode()
-        different = told.dictionary.to_pylist()
+        # Several times faster than to_pylist, and the same words.
+        different = told.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > self.most:
             self._clear()
         known = self.known
-        new = [w for w in different if w not in known]
-        if new:
+        numbers = np.fromiter(map(known.get, different, repeat(-1)), dtype=np.int64, count=len(different))
+        at = np.flatnonzero(numbers < 0)
+        if len(at):
+            new = different[at].tolist()
             values, lengths = self.work_out(new)
+            numbers[at] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             begins = len(self.flat) + np.cumsum(lengths) - lengths
             self.flat = np.concatenate([self.flat, values.astype(self.dtype, copy=False)])
             self.begins = np.concatenate([self.begins, begins])
             self.lengths = np.concatenate([self.lengths, lengths])
-        numbers = np.fromiter(map(known.__getitem__, different), dtype=np.int64, count=len(different))
         return numbers[told.indices.to_numpy()]
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -324,3 +324,20 @@ def test_case_is_looked_up_once():
     whole = Tokenizer.from_file(public_tokenizers.path(WORDS))
     for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
         assert ids[a:b].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_words_are_told_apart_without_the_signs_behind_them():
+    """A stem is looked up once whatever signs end it; every small letter and sign is encoded as in whole texts."""
+    from tokenizers import Tokenizer
+
+    encoder = token_records.Encoder(vocabulary(WORDS).decode())
+    encoder.encode(pa.array(["one one, One. two", "two. TWO, one"], pa.large_string()), 1)
+    assert sorted(encoder.parts.known) == [",", ".", "one", "two"]
+    letters, signs = token_records._LETTERS, token_records._TRAILING
+    texts = [
+        " ".join(f"{a}{b} {a}x{a}{b}{c} {b}{a}{c}" for a in letters for c in signs) for b in signs
+    ] + ["", " ", ", ...", "x1, (y). é́! don't, É. straße;", " ".join(letters)]
+    ids, offsets = encoder.encode(pa.array(texts, pa.large_string()), 1)
+    whole = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        assert ids[a:b].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], text[:80]
