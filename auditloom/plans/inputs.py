@@ -414,11 +414,13 @@ def document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One byte span per document, forty characters from somewhere inside it."""
-    documents = spread(table(spark, sf_dir, "documents"), _tasks(spark), "doc_id")
-    start = "CAST((doc_id * 7919) % length(text) AS INT)"
+    """One byte span per document, forty characters from somewhere inside it; that of an empty text is empty."""
+    # Remainders come before the product, which would not hold every id, and an empty text leaves none.
+    size = "nullif(length(text), 0)"
+    start = f"CAST(coalesce((doc_id % {size}) * 7919 % {size}, 0) AS INT)"
     src = f"concat(octet_length(left(text, {start})), ':', octet_length(substring(text, {start} + 1, 40)), ':0')"
-    return documents.select(F.expr(PATH).alias("path"), F.expr(src).alias("src"))
+    # Spans are made where the texts are read, so that no text moves for them.
+    return table(spark, sf_dir, "documents").select(F.expr(PATH).alias("path"), F.expr(src).alias("src"))
 
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from auditloom.operators import solidity
 from auditloom.operators.solidity import functions, locate, locate_many, open_setters, setter_findings, unreadable_trees
+from auditloom.plans import inputs, registry
 from auditloom.plans.audit import audit_rejects, audit_solidity, rust_rejects
 from auditloom.sources.rules import AnalysisMode, rules_from_rows, stock_rust_rules, stock_solidity_rules
 from tests.samples import CONTRACT, FIRST_PATTERN_HITS, OPEN_SETTER_LINES, contract_tree
@@ -49,6 +50,35 @@ def test_spans_by_blocks(spark, sources, monkeypatch, size):
     assert whole == many and len(whole) > 200
 
 
+@pytest.fixture
+def documents(spark, tmp_path):
+    """A folder with a table of documents, from (doc_id, text) pairs."""
+
+    def make(*pairs):
+        rows = [(doc_id, text, "en", "s", None) for doc_id, text in pairs]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        table.write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def test_spans_of_empty_texts_and_large_ids(spark, documents):
+    """An empty text has an empty span, no text has none, and ids may be as large as they get."""
+    text, large = "ab\nc\u00e9 \u20acd\nef" * 9, 2**63 - 5
+    start = large * 7919 % len(text)
+    rows = registry.sol_spans(spark, documents((4, ""), (5, None), (6, "x"), (large, text))).collect()
+    assert sorted((r.source_seq, r.span_offset, r.line_number, r.code_snippet) for r in rows) == [
+        (4, 0, 1, ""), (6, 0, 1, "x"),
+        (large, len(text[:start].encode()), 1 + text[:start].count("\n"), text[start:start + 40].strip()),
+    ]
+
+
+def test_no_text_moves_for_spans(spark, documents):
+    plan = inputs.document_spans(spark, documents((1, "some text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_open_setters_of_the_contract(spark, sources, trees):
     source = sources(("Relay.sol", CONTRACT))
     found = setter_findings(trees(("Relay.sol", contract_tree())), source, stock_solidity_rules(spark)).collect()
