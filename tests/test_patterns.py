@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditloom import catalogue
-from auditloom.functions.patterns import needed_words
+from auditloom.functions.patterns import begins_with_needed, needed_words
 
 
 @pytest.mark.parametrize(
@@ -67,3 +67,21 @@ def test_needed_words_are_needed(pattern, data):
     if exact:
         for word in words:
             assert re.search(pattern, word)
+
+
+@pytest.mark.parametrize(
+    "pattern, begins",
+    [
+        ("invoke", True), ("(buy|sell)now*", True), ("buy[0-9]|sell", True), ("(?:abc)+d?", True), (r"permit\(.*x", True),
+        ("(abc)?defg", False), ("[a-z]+@[a-z]+", False), (r"\bword", False), ("^word", False), ("abcd*", True),
+        ("ab.*longer", False), ("abc|xabc.", False), ("abc|abcd.", True), ("abc|.d", False), ("(?i)abc", False),
+    ],
+)
+def test_matches_that_begin_with_a_needed_word(pattern, begins):
+    """What stands before the first needed word may be cut off without a change of the answer."""
+    assert begins_with_needed(pattern) == begins
+    words, _ = needed_words(pattern)
+    for line in ("xx abc abcd defg", "buy sell7 invoke word", "permit(permit(x", "ab longer abx longer", "a@b xabcd", "buynow", "abab"):
+        places = [line.index(w) for w in words if w in line]
+        if begins and places:
+            assert bool(re.search(pattern, line)) == bool(re.search(pattern, line[min(places):]))
